@@ -6,17 +6,30 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import quality_rules
+from chronoloom.llm import chat_format, quality_rules, warc
 from chronoloom.llm.common import read_table
 
 
+def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = chat_format.with_hostile_turns(read_table(spark, sf_dir, "conversations"))
+    return chat_format.read_back(chat_format.format_conversations(turns))
+
+
+def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derive(warc.response_records(read_table(spark, sf_dir, "pages")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(read_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_quality_rules,)}
+    return {f.__name__: f for f in (op2_chat_format, op4_warc_derivatives, op5_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": quality_rules.ORACLE_SQL}
+    return {
+        "op2_chat_format": chat_format.ORACLE_SQL,
+        "op4_warc_derivatives": warc.ORACLE_SQL,
+        "op5_quality_rules": quality_rules.ORACLE_SQL,
+    }
