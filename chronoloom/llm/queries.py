@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import chat_format, quality_rules, warc
+from chronoloom.llm import chat_format, decontaminate, license_scan, quality_rules, warc
 from chronoloom.llm.common import read_table
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.scan(docs).drop("matches")
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = chat_format.with_hostile_turns(read_table(spark, sf_dir, "conversations"))
     return chat_format.read_back(chat_format.format_conversations(turns))
@@ -23,13 +28,19 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_chat_format, op4_warc_derivatives, op5_quality_rules)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op4_warc_derivatives, op5_quality_rules, op9_decontaminate)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_license_scan": license_scan.ORACLE_SQL,
         "op2_chat_format": chat_format.ORACLE_SQL,
         "op4_warc_derivatives": warc.ORACLE_SQL,
         "op5_quality_rules": quality_rules.ORACLE_SQL,
+        "op9_decontaminate": decontaminate.ORACLE_SQL,
     }
