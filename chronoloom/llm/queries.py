@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import chat_format, decontaminate, license_scan, quality_rules, warc
+from chronoloom.llm import chat_format, decontaminate, html_text, license_scan, quality_rules, warc
 from chronoloom.llm.common import read_table
 
 
@@ -32,8 +32,12 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op4_warc_derivatives, op5_quality_rules, op9_decontaminate)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op4_warc_derivatives, op5_quality_rules, op9_decontaminate, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
