@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.llm.common import let
+
 WARC_DATE = "2024-01-01T00:00:00Z"
 CRLF, GAP = "\r\n", "\r\n\r\n"
 
@@ -28,7 +30,7 @@ NAMED = {
     "eacute": "é", "egrave": "è", "ecirc": "ê", "agrave": "à", "ccedil": "ç", "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "ntilde": "ñ", "euro": "€",
 }
 
-_SILENT = "(?is)<!--.*?-->|" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in SILENT_TAGS)
+_SILENT = "(?is)<(?:!--.*?-->|" + "|".join(rf"{t}\b[^>]*>.*?</{t}\s*>" for t in SILENT_TAGS) + ")"
 _BLOCK = rf"(?i)</?(?:{BLOCK_TAGS})(?:[\s/][^>]*)?>"
 _INLINE = r"<[a-zA-Z/!?][^>]*>"
 _BLANKS = "[ \\t\\r\\f\\x0B ]+"
@@ -77,29 +79,30 @@ def _header(headers: Column, name: str) -> Column:
     return F.regexp_extract(headers, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
 
 
-def _decode_numbers(text: Column) -> Column:
-    """Decimal and hexadecimal character references; those out of Unicode's range stay as they are."""
-    parts = F.split(text, "&#", -1)
+def _decode_references(text: Column) -> Column:
+    """Character references, named and by number, in one pass; unknown ones and numbers outside of Unicode stay as they are."""
+    named = F.create_map(*[F.lit(x) for k, v in (NAMED | {"amp": "&"}).items() for x in (k, v)])
 
     def one(p: Column) -> Column:
-        number = F.regexp_extract(p, "^([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});", 1)
-        code = F.when(F.substring(number, 1, 1).isin("x", "X"), F.conv(F.substring(number, F.lit(2), F.length(number)), 16, 10)).otherwise(F.when(number != "", number)).cast("long")
+        name = F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});", 1)
+        return let(name, lambda n: F.coalesce(F.concat(F.when(n.startswith("#"), number(n)).otherwise(F.try_element_at(named, n)), F.substring(p, F.length(n) + 2, F.length(p))), F.concat(F.lit("&"), p)))
+
+    def number(n: Column) -> Column:
+        is_hex = F.substring(n, 2, 1).isin("x", "X")
+        code = F.when(is_hex, F.conv(F.substring(n, F.lit(3), F.length(n)), 16, 10)).otherwise(F.substring(n, F.lit(2), F.length(n))).cast("long")
         good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return F.when(good, F.concat(char, F.substring(p, F.length(number) + 2, F.length(p)))).otherwise(F.concat(F.lit("&#"), p))
+        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
-    done = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), ""))
-    return F.when(F.contains(text, F.lit("&#")), done).otherwise(text)
+    done = let(F.split(text, "&", -1), lambda parts: F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), "")))
+    return done
 
 
 def plain_text(html: Column) -> Column:
     """Readable text of a page: no scripts, styles, comments or tags; one line per block; references decoded."""
     text = F.regexp_replace(html, _SILENT, " ")
     text = F.regexp_replace(F.regexp_replace(text, r"[\r\n]", " "), _BLOCK, "\n")
-    text = _decode_numbers(F.regexp_replace(text, _INLINE, ""))
-    for name, char in NAMED.items():
-        text = F.replace(text, F.lit(f"&{name};"), F.lit(char))
-    text = F.regexp_replace(F.replace(text, F.lit("&amp;"), F.lit("&")), _BLANKS, " ")
+    text = _decode_references(F.regexp_replace(text, _INLINE, ""))
+    text = F.regexp_replace(text, _BLANKS, " ")
     return F.btrim(F.regexp_replace(text, _BREAKS, "\n"), F.lit(" \n"))
 
 
