@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import chat_format, decontaminate, html_text, license_scan, quality_rules, warc
+from chronoloom.llm import chat_format, decontaminate, html_text, license_scan, ngram_join, quality_rules, warc
 from chronoloom.llm.common import read_table
 
 
@@ -28,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -37,7 +41,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op4_warc_derivatives, op5_quality_rules, op9_decontaminate, op10_html_text)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op4_warc_derivatives, op5_quality_rules, op8_ngram_jaccard, op9_decontaminate, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -46,5 +50,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_chat_format": chat_format.ORACLE_SQL,
         "op4_warc_derivatives": warc.ORACLE_SQL,
         "op5_quality_rules": quality_rules.ORACLE_SQL,
+        "op8_ngram_jaccard": ngram_join.ORACLE_SQL,
         "op9_decontaminate": decontaminate.ORACLE_SQL,
     }
