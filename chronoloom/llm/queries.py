@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import chat_format, decontaminate, html_text, license_scan, ngram_join, quality_rules, warc
+from chronoloom.llm import chat_format, decontaminate, html_text, license_scan, ngram_join, piece_codec, quality_rules, warc
 from chronoloom.llm.common import read_table
 
 
@@ -28,6 +28,10 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.score_documents(read_table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.score_documents(read_table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op4_warc_derivatives, op5_quality_rules, op8_ngram_jaccard, op9_decontaminate, op10_html_text)}
+    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op4_warc_derivatives, op5_quality_rules, op6_sentencepiece, op8_ngram_jaccard, op9_decontaminate, op10_html_text)}
 
 
 def oracle_sql() -> dict[str, str]:
