@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import chat_format, decontaminate, html_text, license_scan, ngram_join, piece_codec, quality_rules, warc
+from chronoloom.llm import chat_format, decontaminate, html_text, language_id, license_scan, ngram_join, piece_codec, quality_knn, quality_rules, warc
 from chronoloom.llm.common import read_table
 
 
@@ -20,6 +20,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_conversations(turns))
 
 
+def op3_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score_documents(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op4_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derive(warc.response_records(read_table(spark, sf_dir, "pages")))
 
@@ -32,6 +36,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.encode(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.score_documents(read_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.score_documents(read_table(spark, sf_dir, "documents"))
 
@@ -44,8 +52,22 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+REGISTERED = (
+    op1_license_scan,
+    op2_chat_format,
+    op3_quality_knn,
+    op4_warc_derivatives,
+    op5_quality_rules,
+    op6_sentencepiece,
+    op7_language_id,
+    op8_ngram_jaccard,
+    op9_decontaminate,
+    op10_html_text,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_chat_format, op4_warc_derivatives, op5_quality_rules, op6_sentencepiece, op8_ngram_jaccard, op9_decontaminate, op10_html_text)}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
