@@ -14,9 +14,11 @@ size and, as a possible smaller partner, in the next one.
 Signatures travel in packed blocks: each task deals its signatures to buckets by hash, without the sets, one emission per
 distinct set and task. A bucket is sorted, and sets that share a signature meet there. Groups of up to ``LIGHT`` sets give their
 pairs (a bounded number for each member). Larger groups are heavy: copies edited many times, or passages that many documents
-share. A set that keeps more clean partitions than ``d / 2`` apart from its heavy signatures finds every partner elsewhere and
-leaves the heavy groups. Those that remain are linked to one hub first; after the first components are known, only pairs of
-different components that are left in one group are compared. All candidate pairs are checked on their full sets.
+share. A set that keeps more clean partitions than ``d / 2`` apart from its heavy signatures finds every partner elsewhere.
+The others, the open sets, are joined among themselves by prefixes: shingles in order of their frequency among open sets,
+rarest first, of which similar sets share one among the first ``n / 4 + 1``. The sets of such a shingle are linked to one hub
+first; after the components are known, only pairs of different components that pass the size and position filters are left to
+compare. All candidate pairs are checked on their full sets.
 
 Equal sets are one node throughout, so copies never multiply; components are found by alternating star contractions, with
 checkpoints in the session's checkpoint folder. Nothing that grows with the table goes through the driver.
@@ -44,7 +46,7 @@ STEP = (4 / 3) ** 2
 PARTITIONS_PER_SIZE = 0.17
 LIGHT = 16
 BROADCAST_ROWS = 500_000
-PACK = 1_000_000
+PACK = 500_000
 
 _U = np.uint64
 LIGHT_PAIR, HEAVY_MEMBER = 0, 1
@@ -188,7 +190,8 @@ def signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def meet(sig: np.ndarray, band: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(kind, x, y, band) of the sets that share signatures of one bucket: pairs of light groups, members of heavy ones."""
+    """(kind, x, y, band, n) of the sets that share signatures of one bucket: pairs of light groups with their number of common
+    signatures, and members of heavy groups."""
     order = np.argsort(sig, kind="stable")
     s = sig[order]
     same = np.concatenate([[False], s[1:] == s[:-1], [False]])
@@ -204,20 +207,23 @@ def meet(sig: np.ndarray, band: np.ndarray, digest: np.ndarray) -> tuple[np.ndar
     is_heavy = np.repeat(heavy, sizes)
     place = np.arange(len(s)) - np.repeat(heads, sizes)
     left = np.repeat(sizes, sizes) - place - 1  # later members of the same group
-    pairs = []
+    pairs = [np.zeros((3, 0), np.int64)]
     for k in range(1, LIGHT):
         at = np.flatnonzero(~is_heavy & (left >= k))
         if not len(at):
             break
-        pairs.append(np.stack([d[at], d[at + k]]))
-    a, b = np.unique(np.concatenate(pairs, 1), axis=1) if pairs else np.zeros((2, 0), np.int64)
-    hs, hg, hd = s[is_heavy].view(np.int64), g[is_heavy], d[is_heavy]
-    kind = np.concatenate([np.full(len(a), LIGHT_PAIR, np.int32), np.full(len(hs), HEAVY_MEMBER, np.int32)])
-    return kind, np.concatenate([a, hs]), np.concatenate([b, hd]), np.concatenate([np.zeros(len(a), np.int32), hg.astype(np.int32)])
+        pairs.append(np.stack([d[at], d[at + k], g[at].astype(np.int64)]))
+    every = np.concatenate(pairs, 1)
+    a, b, band_of = every[:, np.lexsort(every)]
+    new = np.flatnonzero(np.concatenate([[len(a) > 0], (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (band_of[1:] != band_of[:-1])])[: len(a)])
+    shared = np.diff(np.concatenate([new, [len(a)]]))
+    hs, hg, hd = s[is_heavy].view(np.int64), g[is_heavy].astype(np.int64), d[is_heavy]
+    kind = np.concatenate([np.full(len(new), LIGHT_PAIR, np.int32), np.full(len(hs), HEAVY_MEMBER, np.int32)])
+    return kind, np.concatenate([a[new], hs]), np.concatenate([b[new], hd]), np.concatenate([band_of[new], hg]).astype(np.int32), np.concatenate([shared, np.ones(len(hs), np.int64)])
 
 
 def meetings(blocks: DataFrame, buckets: int) -> DataFrame:
-    """(kind, x, y, band) over all buckets."""
+    """(kind, x, y, band, n) over all buckets."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
@@ -228,11 +234,11 @@ def meetings(blocks: DataFrame, buckets: int) -> DataFrame:
                 parts.setdefault(row[0], []).append((sig, np.repeat(np.frombuffer(row[4], np.uint8), n), np.repeat(np.frombuffer(row[3], np.uint64).view(np.int64), n)))
         for b in list(parts):
             sig, band, digest = (np.concatenate(x) for x in zip(*parts.pop(b), strict=True))
-            kind, x, y, g = meet(sig | _U(b) << _U(40), band, digest)
-            for lo in range(0, len(kind), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 100_000]) for v in (kind, x, y, g)], names=["kind", "x", "y", "band"])
+            columns = meet(sig | _U(b) << _U(40), band, digest)
+            for lo in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 100_000]) for v in columns], names=["kind", "x", "y", "band", "n"])
 
-    return blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(apply, "kind int, x long, y long, band int")
+    return blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(apply, "kind int, x long, y long, band int, n long")
 
 
 def shingle_rows(docs: DataFrame) -> DataFrame:
@@ -286,45 +292,79 @@ def components(links: DataFrame) -> DataFrame:
         state = now
 
 
+def enough_shared(light: DataFrame, part: DataFrame, edge: Column) -> DataFrame:
+    """The pairs (a, b) of light groups whose sizes fit and that share as many signatures as similar sets must.
+
+    With at most ``d`` differing shingles, a set of ``c`` clean partitions keeps ``max(2c - d, 3c - 2d)`` of its signatures (one
+    difference in a partition costs two of three, a second one the last); of single shingles, similar sets share
+    ``3 (a + b) / 7``. Heavy signatures aren't counted in light groups and are taken off.
+    """
+    side = lambda s: part.select(F.col("digest").alias(s), "band", *(F.col(c).alias(f"{c}_{s}") for c in ("n_shingles", "own_band", "clean", "n_heavy")))
+    both = light.join(side("a"), ["a", "band"]).join(side("b"), ["b", "band"])
+    na, nb = F.col("n_shingles_a"), F.col("n_shingles_b")
+    own = F.when(na >= nb, F.col("own_band_a")).otherwise(F.col("own_band_b"))
+    d = F.floor((na + nb) / 7)
+    kept = lambda c: F.greatest(2 * c - d, 3 * c - 2 * d)
+    single = F.ceil(3 * (na + nb) / 7)
+    least = F.when(edge <= SMALL, single - F.least("n_heavy_a", "n_heavy_b")).otherwise(F.greatest(kept(F.col("clean_a")) - F.col("n_heavy_a"), kept(F.col("clean_b")) - F.col("n_heavy_b")))
+    return both.where((own == F.col("band")) & (WHOLE * F.least(na, nb) >= NEAR * F.greatest(na, nb)) & (F.col("n") >= least)).select("a", "b")
+
+
+def prefixes(sets: DataFrame) -> DataFrame:
+    """(token, digest, n, place): the ``n / 4 + 1`` rarest shingles of each set, without those that no other set has."""
+    tokens = sets.select("digest", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
+    counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    ranked = tokens.join(counts, "token").groupBy("digest", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
+    first = F.slice("order", F.lit(1), F.col("n") - F.ceil(F.col("n") * NEAR / WHOLE).cast("int") + 1)
+    return ranked.select("digest", "n", F.posexplode(first).alias("place", "t")).where("t.df > 1").select("t.token", "digest", "n", "place")
+
+
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents' profiles, and (digest, component) of all sets that have a link to another set."""
     spark = with_checkpoint_dir(docs.sparkSession)
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     profile = profiles(docs).checkpoint()
     met = meetings(signature_blocks(docs, buckets), buckets).checkpoint()
-    light = met.where(F.col("kind") == LIGHT_PAIR).select(F.col("x").alias("a"), F.col("y").alias("b"))
+    light = met.where(F.col("kind") == LIGHT_PAIR).select(F.col("x").alias("a"), F.col("y").alias("b"), "band", "n")
     heavy = met.where(F.col("kind") == HEAVY_MEMBER).select(F.col("x").alias("group"), F.col("y").alias("digest"), "band")
 
-    # members of heavy groups that may have a partner there alone
-    of_set = profile.select("digest", "n_shingles", F.col("band").alias("own_band"), "clean0", "clean1").dropDuplicates(["digest"])
-    spoiled = heavy.groupBy("digest", "band").agg(F.count("*").alias("n_heavy")).join(of_set, "digest")
-    clean = F.when(F.col("band") == F.col("own_band"), F.col("clean0")).otherwise(F.col("clean1"))
+    # each set in each band it takes part in: clean partitions, heavy signatures
+    of_set = profile.where("n_shingles > 0").select("digest", "n_shingles", F.col("band").alias("own_band"), "clean0", "clean1").dropDuplicates(["digest"])
+    both = F.array(F.struct(F.col("own_band").alias("band"), F.col("clean0").alias("clean")), F.struct((F.col("own_band") + 1).alias("band"), F.col("clean1").alias("clean")))
+    n_heavy = heavy.groupBy("digest", "band").agg(F.count("*").alias("n_heavy"))
+    part = of_set.select("digest", "n_shingles", "own_band", F.inline(both)).join(n_heavy, ["digest", "band"], "left").fillna(0, ["n_heavy"]).checkpoint()
+
     edge = F.element_at(F.array(*[F.lit(int(e)) for e in _EDGES]), F.col("band") + 1)
+    pairs = enough_shared(light.groupBy("a", "b", "band").agg(F.sum("n").alias("n")), part, edge).distinct().checkpoint()
+
+    # members of heavy groups that may have a partner there alone
     largest = F.floor(F.col("n_shingles") * WHOLE / NEAR)  # partner that a set of this size may have
     largest = F.when(F.col("band") == F.col("own_band"), F.least(largest, edge)).otherwise(largest)
     apart = F.floor((F.col("n_shingles") + largest) / 7)
     allowed = F.when(edge <= SMALL, apart).otherwise(F.floor(apart / 2))
-    open_sets = spoiled.where(clean - F.col("n_heavy") <= allowed).select("digest", "band")
-    left = heavy.join(open_sets, ["digest", "band"], "left_semi").checkpoint()
-    hubs = left.groupBy("group").agg(F.min("digest").alias("a"))
-    star = left.join(hubs, "group").where("a <> digest").select("a", F.col("digest").alias("b"))
-    pairs = light.unionByName(star).distinct().checkpoint()
-
-    nodes = pairs.select(F.col("a").alias("digest")).unionByName(pairs.select(F.col("b").alias("digest"))).unionByName(left.select("digest")).distinct()
-    sets = sets_of(docs, profile, nodes)
+    open_sets = part.where((F.col("n_heavy") > 0) & (F.col("clean") - F.col("n_heavy") <= allowed)).select("digest", "band")
+    open_digests = open_sets.select("digest").distinct().checkpoint()
+
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).unionByName(open_digests).distinct()
+    sets = sets_of(docs, profile, nodes).checkpoint()
     links = verified(pairs, sets).checkpoint()
+    prefix = prefixes(sets.join(open_digests, "digest", "left_semi")).checkpoint()
+    hubs = prefix.groupBy("token").agg(F.min("digest").alias("a"))
+    star = prefix.join(hubs, "token").where("a <> digest").select("a", F.col("digest").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti").checkpoint()
+    links = links.unionByName(verified(star, sets)).checkpoint()
     found = components(links).checkpoint()
 
-    # what the hubs have not joined: pairs of different components in one heavy group
-    label = left.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    split = label.groupBy("group").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("group")
-    rest = label.join(split, "group", "left_semi").join(of_set.select("digest", "n_shingles"), "digest").checkpoint()
-    if rest.isEmpty():
-        return profile, found
-    x = rest.select("group", F.col("digest").alias("a"), F.col("component").alias("ca"), F.col("n_shingles").alias("na"))
-    y = rest.select("group", F.col("digest").alias("b"), F.col("component").alias("cb"), F.col("n_shingles").alias("nb"))
-    near_size = (WHOLE * F.least("na", "nb") >= NEAR * F.greatest("na", "nb")) & (F.col("ca") < F.col("cb"))
-    more = x.join(y, "group").where(near_size).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti").checkpoint()
+    # what the hubs have not joined: pairs of different components that share a shingle of their prefixes
+    label = prefix.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    split = label.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    rest = label.join(split, "token", "left_semi").checkpoint()
+    side = lambda s: rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("digest", "component", "n", "place")))
+    na, nb = F.col("n_a"), F.col("n_b")
+    near_size = WHOLE * F.least(na, nb) >= NEAR * F.greatest(na, nb)
+    reach = F.least(na - F.col("place_a"), nb - F.col("place_b")) >= F.ceil(3 * (na + nb) / 7)
+    more = side("a").join(side("b"), "token").where((F.col("component_a") < F.col("component_b")) & near_size & reach)
+    more = more.select(F.least("digest_a", "digest_b").alias("a"), F.greatest("digest_a", "digest_b").alias("b")).distinct()
+    more = more.join(pairs, ["a", "b"], "left_anti").join(star, ["a", "b"], "left_anti").checkpoint()
     extra = verified(more, sets).checkpoint()
     if extra.isEmpty():
         return profile, found

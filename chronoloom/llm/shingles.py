@@ -14,7 +14,7 @@ import pyarrow as pa
 
 WIDTH = 5
 #: Bytes of text hashed at a time (a longer text is taken whole).
-CHUNK = 2_000_000
+CHUNK = 1_000_000
 
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
