@@ -10,11 +10,12 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from chronoloom.operators.recursive import ordered_scan
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _probit(p: pd.Series) -> pd.Series:
     inv = NormalDist().inv_cdf
     return p.map(lambda v: inv(v) if v == v else np.nan)
