@@ -311,12 +311,15 @@ def enough_shared(light: DataFrame, part: DataFrame, edge: Column) -> DataFrame:
 
 
 def prefixes(sets: DataFrame) -> DataFrame:
-    """(token, digest, n, place): the ``n / 4 + 1`` rarest shingles of each set, without those that no other set has."""
+    """(token, digest, n, place, centre): the ``n / 4 + 1`` rarest shingles of each set, without those that no other set has.
+
+    ``centre`` is the mean frequency of all shingles of the set: of copies edited in different places, the original has most.
+    """
     tokens = sets.select("digest", F.size("shingles").alias("n"), F.explode("shingles").alias("token"))
     counts = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    ranked = tokens.join(counts, "token").groupBy("digest", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"))
+    ranked = tokens.join(counts, "token").groupBy("digest", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("order"), F.avg("df").alias("centre"))
     first = F.slice("order", F.lit(1), F.col("n") - F.ceil(F.col("n") * NEAR / WHOLE).cast("int") + 1)
-    return ranked.select("digest", "n", F.posexplode(first).alias("place", "t")).where("t.df > 1").select("t.token", "digest", "n", "place")
+    return ranked.select("digest", "n", "centre", F.posexplode(first).alias("place", "t")).where("t.df > 1").select("t.token", "digest", "n", "place", "centre")
 
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -349,8 +352,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sets = sets_of(docs, profile, nodes).checkpoint()
     links = verified(pairs, sets).checkpoint()
     prefix = prefixes(sets.join(open_digests, "digest", "left_semi")).checkpoint()
-    hubs = prefix.groupBy("token").agg(F.min("digest").alias("a"))
-    star = prefix.join(hubs, "token").where("a <> digest").select("a", F.col("digest").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti").checkpoint()
+    hubs = prefix.groupBy("token").agg(F.max_by("digest", F.struct("centre", "digest")).alias("a"))
+    star = prefix.join(hubs, "token").where("a <> digest").select(F.least("a", "digest").alias("_a"), F.greatest("a", "digest").alias("_b")).toDF("a", "b").distinct().join(pairs, ["a", "b"], "left_anti").checkpoint()
     links = links.unionByName(verified(star, sets)).checkpoint()
     found = components(links).checkpoint()
 
