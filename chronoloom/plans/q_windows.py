@@ -56,9 +56,9 @@ def true_mad_z(spark, sf_dir):
 
 
 @query(f"""WITH {BARS}, x AS (SELECT k, t, lag(close, 3) OVER (PARTITION BY k ORDER BY t) AS x FROM bars), m AS (SELECT *, CASE WHEN count(x) OVER {rn(168)} >= 48 THEN quantile_cont(x, 0.5) OVER {rn(168)} END AS med FROM x), d AS (SELECT *, abs(x - med) AS dev FROM m)
-  SELECT k, t, {r("sigma")} FROM (SELECT k, t, coalesce(1.4826 * CASE WHEN count(dev) OVER {rn(168)} >= 48 THEN quantile_cont(dev, 0.5) OVER {rn(168)} END, CASE WHEN count(x) OVER e >= 12 THEN stddev_samp(x) OVER e END) AS sigma FROM d WINDOW e AS (PARTITION BY k ORDER BY t ROWS UNBOUNDED PRECEDING))""")
+  SELECT k, t, {r("sigma", digits=8)} FROM (SELECT k, t, coalesce(1.4826 * CASE WHEN count(dev) OVER {rn(168)} >= 48 THEN quantile_cont(dev, 0.5) OVER {rn(168)} END, CASE WHEN count(x) OVER e >= 12 THEN stddev_samp(x) OVER e END) AS sigma FROM d WINDOW e AS (PARTITION BY k ORDER BY t ROWS UNBOUNDED PRECEDING))""")
 def matured_sigma(spark, sf_dir):
-    return rounded(wn.matured_sigma(bars(spark, sf_dir), ["k"], "t", "close", 3, 168, 48, 12, "sigma").select("k", "t", "sigma"))
+    return rounded(wn.matured_sigma(bars(spark, sf_dir), ["k"], "t", "close", 3, 168, 48, 12, "sigma").select("k", "t", "sigma"), 8)
 
 
 @query(f"""WITH {BARS}, i AS (SELECT k, t, close, row_number() OVER (PARTITION BY k ORDER BY t) AS i FROM bars) SELECT k, t, {r("slope")} FROM (SELECT k, t, CASE WHEN count(*) OVER {rn(8)} = 8 THEN regr_slope(close, i) OVER {rn(8)} END AS slope FROM i)""")
