@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 # Element and class names of HTML pages.
-SILENT = "script|style|noscript|template|title|textarea|select|button|svg|iframe|object|canvas|head(?=\\s*>\\s*</head)"
+SILENT = "script|style|noscript|template|title|textarea|select|button|svg|iframe|object|canvas"
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header main menu nav ol section span table td ul".split())
 OTHER_ELEMENTS = frozenset("aside dialog fieldset footer form menu nav".split())
@@ -135,7 +135,8 @@ def cut_blocks(html: str) -> Blocks:
     """Flat blocks of a page. ``span`` elements count as containers only for their names."""
     out = Blocks()
     stack: list[tuple[str, int, int]] = []  # open containers: name, other, inside
-    other = inside = heading = 0
+    other = inside = heading = 0  # other: 1 by a name, 2 by an element that is never the article
+    seen_article = False
     text: list[str] = []
     linked: list[str] = []
     in_link = False
@@ -147,7 +148,7 @@ def cut_blocks(html: str) -> Blocks:
                 n = said.count(" ") + 1
                 links = len(" ".join(unescape(x) for x in linked).split()) if linked else 0
                 out.texts.append(said)
-                out.rows.append((n, min(1.0, links / n), other, inside, heading))
+                out.rows.append((n, min(1.0, links / n), int(other > 0), inside, heading))
             text.clear()
             linked.clear()
 
@@ -185,7 +186,11 @@ def cut_blocks(html: str) -> Blocks:
                 other, inside = stack[-1][1:] if stack else (0, 0)
             elif not m["attrs"].endswith("/"):
                 is_other, is_article, is_header = _about(name, m["attrs"])
-                now = (1 if is_other or other or (is_header and not inside) else 0, 1 if inside or is_article else 0)
+                if name in ARTICLE_ELEMENTS and not is_other and not seen_article:
+                    seen_article = True
+                    other = 0 if other == 1 else other  # a wrapper's name (say "with-sidebar") doesn't hide the page's article
+                own = 2 if name in OTHER_ELEMENTS else 1 if is_other or (is_header and not inside) else 0
+                now = (max(own, other), 1 if inside or is_article else 0)
                 if name == "span" and now != (other, inside):
                     flush()
                 other, inside = now
