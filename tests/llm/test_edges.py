@@ -125,6 +125,13 @@ def test_decontaminate(spark):
     assert decontaminate.overlaps(docs.limit(0), bench).count() == 0 == decontaminate.overlaps(docs, bench.limit(0)).count()
 
 
+def test_decontaminate_in_blocks(spark, sf_dir, monkeypatch):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
+    whole = sorted(map(tuple, decontaminate.overlaps(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "SEED_LIMIT", 1500)
+    assert whole and sorted(map(tuple, decontaminate.overlaps(docs, bench).collect())) == whole
+
+
 def test_piece_codec(docs, nothing, spark):
     vocabulary = piece_codec.load_vocabulary()
     codec = piece_codec.Codec(vocabulary)

@@ -58,6 +58,25 @@ def test_against_brute_force(spark, monkeypatch, seed, light, passage):
     assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_sets_with_too_few_clean_partitions(spark, monkeypatch):
+    """With few partitions (set on the driver alone) every large set is open, and the prefixes carry the join."""
+    monkeypatch.setattr(ngram_join, "PARTITIONS_PER_SIZE", 0.02)
+    monkeypatch.setattr(ngram_join, "SMALL", 24)
+    monkeypatch.setattr(ngram_join, "_EDGES", ngram_join.band_edges())
+    rng = np.random.default_rng(0)
+    text = " ".join(map(str, rng.integers(0, 10**6, 200)))
+    for _, _, data, offsets in text_chunks(__import__("pyarrow").array([text])):
+        sets, bounds = shingle_sets(data, offsets)
+    sizes = np.diff(bounds)
+    clean = ngram_join.signatures(sets, bounds, np.searchsorted(ngram_join._EDGES, sizes), sizes > 0)[2]
+    assert clean[0] <= 2 * sizes[0] // 7 // 2
+    monkeypatch.undo()
+    profiles = ngram_join.profiles
+    monkeypatch.setattr(ngram_join, "profiles", lambda docs: profiles(docs).withColumns({"clean0": F.lit(0).cast("long"), "clean1": F.lit(0).cast("long")}))
+    rows = corpus(7, words=(140, 300))
+    assert sorted(map(tuple, ngram_join.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect())) == brute(rows)
+
+
 def test_repeated_rows_null_ids_and_nothing(spark):
     text = " ".join(f"w{i}" for i in range(50))
     df = spark.createDataFrame([(5, text), (5, text), (None, text), (7, text + " more"), (9, "other words are here now too")], "doc_id long, text string")
