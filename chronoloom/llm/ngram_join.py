@@ -8,8 +8,9 @@ size and, as a possible smaller partner, in the next one.
 * Larger bands: the shingle domain is cut by hash into ``n1`` partitions of three sub-partitions each. A signature is the
   content of two sub-partitions of one partition (three subsets each). Where a partition holds at most one differing
   sub-partition, one of its subsets is equal on both sides; as fewer than ``d / 2`` partitions can hold two differing shingles
-  or more and ``n1 > d / 2``, similar sets share a signature. Empty subsets are not signed: a set whose partitions with three
-  non-empty subsets outnumber ``d / 2`` (all but a negligible share at these parameters) needs none of them.
+  or more and ``n1 > d / 2``, similar sets share a signature. Empty subsets are not signed; a set whose clean partitions (three
+  non-empty subsets) outnumber ``d / 2`` needs none of them. Should a set have fewer, it and all sets that could be its
+  smaller partners with too few clean partitions themselves are treated as open sets, see below.
 
 Signatures travel in packed blocks: each task deals its signatures to buckets by hash, without the sets, one emission per
 distinct set and task. A bucket is sorted, and sets that share a signature meet there. Groups of up to ``LIGHT`` sets give their
@@ -47,6 +48,8 @@ PARTITIONS_PER_SIZE = 0.17
 LIGHT = 16
 BROADCAST_ROWS = 500_000
 PACK = 500_000
+#: Buckets of signatures at least; on more data there are as many as shuffle partitions, so a bucket stays small.
+BUCKETS = 48
 
 _U = np.uint64
 LIGHT_PAIR, HEAVY_MEMBER = 0, 1
@@ -325,7 +328,7 @@ def prefixes(sets: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents' profiles, and (digest, component) of all sets that have a link to another set."""
     spark = with_checkpoint_dir(docs.sparkSession)
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
     profile = profiles(docs).checkpoint()
     met = meetings(signature_blocks(docs, buckets), buckets).checkpoint()
     light = met.where(F.col("kind") == LIGHT_PAIR).select(F.col("x").alias("a"), F.col("y").alias("b"), "band", "n")
@@ -346,20 +349,26 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     apart = F.floor((F.col("n_shingles") + largest) / 7)
     allowed = F.when(edge <= SMALL, apart).otherwise(F.floor(apart / 2))
     open_sets = part.where((F.col("n_heavy") > 0) & (F.col("clean") - F.col("n_heavy") <= allowed)).select("digest", "band")
+    as_larger = F.floor(2 * F.col("n_shingles") / 7)
+    loose = part.where((F.col("band") == F.col("own_band")) & (F.col("clean") <= F.when(edge <= SMALL, as_larger).otherwise(F.floor(as_larger / 2))))
+    if not loose.isEmpty():  # then partners that rely on clean partitions of the larger set may share none: all such sets are open
+        before = F.element_at(F.array(*[F.lit(int(e)) for e in _EDGES]), F.greatest(F.col("band"), F.lit(1)))
+        takes_part = (F.col("band") == F.col("own_band")) | (WHOLE * F.col("n_shingles") >= NEAR * (before + 1))
+        open_sets = part.where(takes_part & (F.col("clean") - F.col("n_heavy") <= allowed)).select("digest", "band")
     open_digests = open_sets.select("digest").distinct().checkpoint()
 
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("digest")).unionByName(open_digests).distinct()
     sets = sets_of(docs, profile, nodes).checkpoint()
     links = verified(pairs, sets).checkpoint()
     prefix = prefixes(sets.join(open_digests, "digest", "left_semi")).checkpoint()
-    hubs = prefix.groupBy("token").agg(F.max_by("digest", F.struct("centre", "digest")).alias("a"))
+    hubs = prefix.groupBy("token").agg(F.max_by("digest", F.struct("centre", "digest")).alias("a")).checkpoint()
     star = prefix.join(hubs, "token").where("a <> digest").select(F.least("a", "digest").alias("_a"), F.greatest("a", "digest").alias("_b")).toDF("a", "b").distinct().join(pairs, ["a", "b"], "left_anti").checkpoint()
     links = links.unionByName(verified(star, sets)).checkpoint()
     found = components(links).checkpoint()
 
     # what the hubs have not joined: pairs of different components that share a shingle of their prefixes
     label = prefix.join(found.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
-    split = label.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token")
+    split = label.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token").checkpoint()
     rest = label.join(split, "token", "left_semi").checkpoint()
     side = lambda s: rest.select("token", *(F.col(c).alias(f"{c}_{s}") for c in ("digest", "component", "n", "place")))
     na, nb = F.col("n_a"), F.col("n_b")
@@ -378,8 +387,8 @@ def assign(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, key, n_shingles, component_id."""
     profile, found = classes(docs)
     some = profile.where("n_shingles > 0").join(found.withColumnRenamed("node", "digest"), "digest", "left")
-    some = some.select("doc_id", "key", "n_shingles", F.coalesce("component", "digest").alias("label"))
-    least = some.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    some = some.select("doc_id", "key", "n_shingles", F.coalesce("component", "digest").alias("label")).checkpoint()
+    least = some.groupBy("label").agg(F.min("doc_id").alias("component_id")).checkpoint()  # a table of its own, so that the join may split a large group
     none = profile.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"))
     return some.join(least, "label").select("doc_id", "key", "n_shingles", "component_id").unionByName(none)
 

@@ -24,7 +24,7 @@ from pyspark.sql.types import StructType
 
 from chronoloom.llm.pieces import DEFAULT_MODEL, MAX_LEN, SPACE, Vocabulary, load_vocabulary
 
-CACHE = 200_000
+CACHE = 100_000
 RESULT = "n_tokens long, n_bytes_tokens long, score double, round_trip boolean, ids array<int>"
 
 
@@ -129,18 +129,22 @@ def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL, text_col: str = "te
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = shared_codec(shared.value)
         lo, hi = codec.vocabulary.bytes_from, codec.vocabulary.bytes_from + 256
-        for whole in batches:
-            for at in range(0, whole.num_rows, 500):
-                batch = whole.slice(at, 500)
-                texts = [t or "" for t in batch.column(text_col).to_pylist()]
-                coded = [codec.encode(t) for t in texts]
-                ids = np.frombuffer(b"".join(coded), np.int32)
-                bounds = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])])
-                total = np.concatenate([[0.0], np.cumsum(codec.scores[ids])])
-                of_bytes = np.concatenate([[0], np.cumsum((ids >= lo) & (ids < hi))])
-                same = [codec.decode(ids[bounds[k] : bounds[k + 1]].tolist()) == t.encode() for k, t in enumerate(texts)]
-                found = [pa.array(np.diff(bounds)), pa.array(np.diff(of_bytes[bounds])), pa.array(np.diff(total[bounds])), pa.array(same), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], names=schema.names)
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, 500):
+                    batch = whole.slice(at, 500)
+                    texts = [t or "" for t in batch.column(text_col).to_pylist()]
+                    coded = [codec.encode(t) for t in texts]
+                    ids = np.frombuffer(b"".join(coded), np.int32)
+                    bounds = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])])
+                    total = np.concatenate([[0.0], np.cumsum(codec.scores[ids])])
+                    of_bytes = np.concatenate([[0], np.cumsum((ids >= lo) & (ids < hi))])
+                    same = [codec.decode(ids[bounds[k] : bounds[k + 1]].tolist()) == t.encode() for k, t in enumerate(texts)]
+                    found = [pa.array(np.diff(bounds)), pa.array(np.diff(of_bytes[bounds])), pa.array(np.diff(total[bounds])), pa.array(same), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(ids))]
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *found], names=schema.names)
+        finally:  # workers live on after the task: they keep the automaton, not the cache
+            codec.clear()
+            codec.older = {}
 
     return docs.select(*keep, text_col).mapInArrow(apply, schema)
 

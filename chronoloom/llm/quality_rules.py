@@ -11,6 +11,9 @@ the ledger, in which case the ledger's win.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,31 +80,48 @@ def _pair_hashes(hashes: Column, shift: int) -> Column:
     return F.zip_with(F.slice(hashes, F.lit(1), n), F.slice(hashes, F.lit(1 + shift), n), lambda a, b: F.xxhash64(a, b))
 
 
-def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with one column per measurement."""
+def measurements(text_col: str = "text") -> Column:
+    """A struct of all measurements of a text. Words, lines and window hashes are bound once, so the struct may be used in a
+    filter, where Catalyst puts expressions in place of column names, without computing them again."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    out = docs.drop(*[c for c in docs.columns if c in MEASURES or c in ("_w", "_l", "_h")])
-    out = out.withColumn("_w", space_words(F.col(text_col))).withColumn("_l", lines)
-    out = out.withColumn("_h", F.transform("_w", lambda x: F.xxhash64(x)))
-    for shift in (1, 2, 4):
-        out = out.withColumn("_h", _pair_hashes(F.col("_h"), shift))
-    return out.withColumns({
-        "n_words": F.size("_w").cast("long"),
-        "word_chars": F.length(F.array_join("_w", "")).cast("long"),
-        "n_symbols": _count_of(text, "#*$%&|<>"),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": repeat_words(F.col("_h")),
-        "n_lines": F.size("_l").cast("long"),
-        "n_upper": _count_of(text, "A-Z"),
-        "n_bangs": _count_of(text, "!"),
-    }).drop("_w", "_l", "_h")
+
+    def windows(words: Column, body: Callable[[Column], Column]) -> Column:
+        one = F.transform(words, lambda x: F.xxhash64(x))
+        return let(one, lambda h1: let(_pair_hashes(h1, 1), lambda h2: let(_pair_hashes(h2, 2), lambda h4: let(_pair_hashes(h4, 4), body))))
+
+    def figures(w: Column, l: Column, h: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"),
+            F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
+            _count_of(text, "#*$%&|<>").alias("n_symbols"),
+            (F.size(l) - F.size(F.array_distinct(l))).cast("long").alias("n_dup_lines"),
+            repeat_words(h).alias("n_repeat_words"),
+            F.size(l).cast("long").alias("n_lines"),
+            _count_of(text, "A-Z").alias("n_upper"),
+            _count_of(text, "!").alias("n_bangs"),
+        )
+
+    return let(space_words(F.col(text_col)), lambda w: let(lines, lambda l: windows(w, lambda h: figures(w, l, h))))
+
+
+def _bits() -> Column:
+    """The failed rules of the struct ``_m``, which is named once."""
+    own = re.compile(r"\b(" + "|".join(MEASURES) + r")\b")
+    terms = " + ".join(f"CASE WHEN {own.sub(r'm.\1', sql)} THEN {rule_bit(name)} ELSE 0 END" for name, sql in RULES.items())
+    return F.expr(f"element_at(transform(array(_m), m -> CAST({terms} AS BIGINT)), 1)")
+
+
+def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """The documents with one column per measurement."""
+    kept = [F.col(c) for c in docs.columns if c not in MEASURES]
+    return docs.withColumn("_m", measurements(text_col)).select(*kept, *[F.col(f"_m.{m}").alias(m) for m in MEASURES])
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Documents with their measurements and ``rule_bits``: bit k is set where the k-th rule failed."""
-    bits = sum((F.when(F.expr(sql), F.lit(rule_bit(name))).otherwise(F.lit(0)) for name, sql in RULES.items()), F.lit(0))
-    return measure(docs, text_col).withColumn("rule_bits", bits.cast("long"))
+    kept = [F.col(c) for c in docs.columns if c not in (*MEASURES, "rule_bits")]
+    return docs.withColumn("_m", measurements(text_col)).select(*kept, *[F.col(f"_m.{m}").alias(m) for m in MEASURES], _bits().alias("rule_bits"))
 
 
 def apply_policy(ledger_df: DataFrame, version: str = CURRENT_POLICY, out: str = "kept") -> DataFrame:
@@ -136,7 +156,8 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the current policy keeps, with their own columns."""
-    return apply_policy(ledger(docs.select("*")), CURRENT_POLICY).where("kept").select(*docs.columns)
+    bits = docs.withColumn("_m", measurements()).withColumn("_bits", _bits())
+    return bits.where(F.col("_bits").bitwiseAND(F.lit(policy_mask(CURRENT_POLICY))) == 0).select(*docs.columns)
 
 
 def _sql_rules(names: tuple[str, ...]) -> str:
