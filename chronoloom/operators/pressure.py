@@ -117,9 +117,14 @@ def calibrated(df: DataFrame, levels: Sequence[Sequence[str]], value: str, train
     return df.withColumn(out, F.coalesce(*picks)).drop(*[f"_{x}{k}" for k in range(len(levels)) for x in "uc"])
 
 
-def matured_memory(base: DataFrame, events: DataFrame, keys: Keys, ts: str, available: str, score: str, span: float, half_life_hours: float, out: str = "memory") -> DataFrame:
-    """Exponential memory of event scores that were available at each time, pulled to 50 as the last one ages."""
-    remembered = ema(events.where(F.col(available).isNotNull()), keys, [available], score, span, "_ewm")
+def matured_memory(base: DataFrame, events: DataFrame, keys: Keys, ts: str, available: str, score: str, span: float, half_life_hours: float, out: str = "memory", tie: Sequence[str] = ()) -> DataFrame:
+    """Exponential memory of event scores that were available at each time, pulled to 50 as the last one ages.
+
+    Events of one time are taken in the order of ``tie``, and the last of them is what stands at that time.
+    """
+    remembered = ema(events.where(F.col(available).isNotNull()), keys, [available, *tie], score, span, "_ewm")
+    if tie:
+        remembered = remembered.groupBy(*keys, available).agg(F.max_by("_ewm", F.struct(*tie)).alias("_ewm"))
     right = remembered.select(*keys, F.col(available).alias(ts), F.col("_ewm"))
     joined = asof_join(base, right, ts, keys, ["_ewm"], age="_age")
     f = sc.half_life(F.col("_age") / HOUR, half_life_hours)
