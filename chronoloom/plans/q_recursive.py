@@ -206,7 +206,7 @@ def path_absorption(spark, sf_dir):
 def quantile_regression(spark, sf_dir):
     """Slopes kept non-negative, and the coverage they reach."""
     l = table(spark, sf_dir, "lineitem").select("l_quantity", "l_discount", "l_extendedprice")
-    a, b = quantreg.fit(l, ["l_quantity", "l_discount"], "l_extendedprice", 0.65, rounds=40)
+    a, b = quantreg.fit(l, ["l_quantity", "l_discount"], "l_extendedprice", 0.65)
     size, _ = ps.score_model(b, a, F.lit(1.0), F.lit(1))
     return l.agg(F.count("*").alias("n"), F.round(F.avg((F.col("l_extendedprice") <= size).cast("double")), 3).alias("coverage"))
 

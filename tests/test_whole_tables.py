@@ -34,3 +34,58 @@ def test_memory_of_every_event(spark, sf_dir, events):
 def test_every_event_has_a_price_row(spark, sf_dir, events):
     got = catalog.queries()["interpolated_at_all_events"](spark, sf_dir)
     assert sorted(r.event_id for r in got.select("event_id").collect()) == sorted(events.event_id)
+
+
+def plain_quantile_fit(x, y, q=0.65, ridge=1e-4, smooth=1e-3):
+    """Minimum of the smoothed loss over non-negative slopes: accelerated gradient on arrays, until it stands still."""
+    sx, sy = x.std(0), y.std()
+    m, t = np.column_stack([np.ones(len(x)), x / sx]), y / sy
+    top = 0.5 / math.sqrt(smooth) * np.linalg.eigvalsh(m.T @ m / len(m)).max() + 2 * ridge
+    z = v = np.r_[np.quantile(t, q), np.zeros(x.shape[1])]
+    a = 1.0
+    for _ in range(200_000):
+        e = t - m @ v
+        g = -m.T @ (q - 0.5 + 0.5 * e / np.sqrt(e * e + smooth)) / len(m) + 2 * ridge * np.r_[0, v[1:]]
+        new = v - g / top
+        new[1:] = np.maximum(new[1:], 0)
+        if (new - v) @ (new - z) < 0:
+            a = 1.0
+        b = (1 + math.sqrt(1 + 4 * a * a)) / 2
+        v, step, z, a = new + (a - 1) / b * (new - z), np.abs(new - z).max(), new, b
+        if step < 1e-12:
+            break
+    return z[0] * sy, z[1:] * sy / sx
+
+
+def test_quantile_regression_converges(spark, sf_dir):
+    from chronoloom.operators import quantreg
+
+    line = pd.read_parquet(f"{sf_dir}/lineitem.parquet")
+    x, y = line[["l_quantity", "l_discount"]].to_numpy(float), line.l_extendedprice.to_numpy(float)
+    a, b = plain_quantile_fit(x, y)
+    got_a, got = quantreg.fit(spark.read.parquet(f"{sf_dir}/lineitem.parquet"), ["l_quantity", "l_discount"], "l_extendedprice", 0.65)
+    assert got_a == pytest.approx(a, rel=1e-4) and list(got.values()) == pytest.approx(b, rel=1e-4)
+    row = catalog.queries()["quantile_regression"](spark, sf_dir).first()
+    assert row.n == len(line) and row.coverage == pytest.approx((y <= a + x @ b).mean(), abs=2e-3)
+
+
+def test_slopes_of_the_wrong_sign_are_zero(spark):
+    from chronoloom.operators import quantreg
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 3))
+    y = 2 * x[:, 0] - 3 * x[:, 1] + rng.normal(size=400)
+    a, b = plain_quantile_fit(x, y)
+    got_a, got = quantreg.fit(spark.createDataFrame(pd.DataFrame(np.column_stack([x, y]), columns=["p", "q", "r", "y"])), ["p", "q", "r"], "y", 0.65)
+    assert got["q"] == 0 == b[1] and got_a == pytest.approx(a, rel=1e-3) and list(got.values()) == pytest.approx(b, rel=1e-3, abs=1e-6)
+
+
+def test_walk_forward_converges(spark, sf_dir):
+    orders = pd.read_parquet(f"{sf_dir}/orders.parquet")
+    for r in catalog.queries()["walk_forward"](spark, sf_dir).collect():
+        start, cut, end = (("1995-01-01", "1996-07-01", "1996-10-01"), ("1995-04-01", "1996-10-01", "1997-01-01"))[int(r.fold)]
+        train = orders[(orders.o_orderdate >= start) & (orders.o_orderdate < cut)]
+        a, b = plain_quantile_fit(train.o_orderdate.dt.month.to_numpy(float)[:, None], train.o_totalprice.to_numpy(float))
+        test = orders[(orders.o_orderdate >= cut) & (orders.o_orderdate < end)]
+        assert (r.intercept, r.x) == pytest.approx((a, b[0]), rel=1e-4, abs=1e-2) and r.n_test == len(test)
+        assert r.coverage == pytest.approx((test.o_totalprice <= a + b[0] * test.o_orderdate.dt.month).mean(), abs=5e-3)
