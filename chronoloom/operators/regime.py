@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import warnings
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -110,68 +113,259 @@ def debounced(df: DataFrame, keys: Sequence[str], order: Sequence[str], candidat
     return ordered_scan(df, keys, order, step, f"{out} int")
 
 
-def fit_once(x: np.ndarray, k: int, seed: int, rounds: int = 25, sticky: float = 10.0, floor: float = 1e-3) -> tuple[Gaussians, float]:
-    """One run of expectation maximisation from a seeded start; transitions have a prior that favours staying."""
-    rng = np.random.default_rng(seed)
-    n, d = x.shape
-    centres = x[rng.choice(n, k, replace=False)]
-    for _ in range(10):
-        near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-        centres = np.stack([x[near == j].mean(0) if (near == j).any() else centres[j] for j in range(k)])
-    model = Gaussians(np.full(k, 1 / k), np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1)), centres, np.full((k, d), x.var(0) + floor))
-    ll = -np.inf
-    for _ in range(rounds):
-        b = model.log_density(x)
-        shift = b.max(1, keepdims=True)
-        b = np.exp(b - shift)
-        alpha, scale, beta = np.empty((n, k)), np.empty(n), np.ones((n, k))
-        for t in range(n):
-            a = model.start * b[0] if t == 0 else alpha[t - 1] @ model.move * b[t]
-            scale[t] = a.sum() + 1e-300
-            alpha[t] = a / scale[t]
-        for t in range(n - 2, -1, -1):
-            beta[t] = model.move @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
-        ll = float(np.log(scale).sum() + shift.sum())
-        g = alpha * beta
-        g /= g.sum(1, keepdims=True)
-        moves = model.move * (alpha[:-1].T @ (b[1:] * beta[1:] / scale[1:, None])) + sticky * np.eye(k) + 0.1
-        means = (g.T @ x) / (g.sum(0)[:, None] + 1e-9)
-        var = (g.T @ (x * x)) / (g.sum(0)[:, None] + 1e-9) - means**2
-        model = Gaussians(g[0] + 1e-6, moves / moves.sum(1, keepdims=True), means, np.maximum(var, floor))
-        model = Gaussians(model.start / model.start.sum(), model.move, model.means, model.variances)
-    return model, ll
-
-
-def train(series: pd.DataFrame, features: Sequence[str], k: int, spark, restarts: int = 4, validation: float = 0.2) -> Gaussians:  # noqa: ANN001
-    """The restart with the best likelihood of the held-out tail; restarts run as parallel tasks over a broadcast series.
-
-    ``series`` is one entity's training window, in order, and small by construction.
+#: Rows of a block, the unit that the driver chains, and of a strip, the unit that a block steps through side by side.
+BLOCK, STRIP = 4096, 64
+
+
+@dataclass(frozen=True)
+class _Restarts:
+    """Models of all restarts, stacked along the first axis."""
+
+    start: np.ndarray
+    move: np.ndarray
+    means: np.ndarray
+    variances: np.ndarray
+
+    def density(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Densities of rows x restarts x states, each row's divided by its largest, and the logarithm of that."""
+        d = x[:, None, None, :] - self.means[None]
+        b = -0.5 * (np.log(2 * np.pi * self.variances).sum(2)[None] + (d * d / self.variances[None]).sum(3))
+        top = b.max(2)
+        return np.exp(b - top[:, :, None]), top
+
+    def moves(self, strips: int, first: bool) -> np.ndarray:
+        """What comes before a row's density, for each strip: the transition, or the start probabilities for the first row of all."""
+        m = np.broadcast_to(self.move[None], (strips, *self.move.shape))
+        return np.concatenate([np.broadcast_to(self.start[None, :, None, :], (1, *self.move.shape)), m[1:]]) if first else m
+
+    def some(self, which: np.ndarray) -> _Restarts:
+        return _Restarts(self.start[which], self.move[which], self.means[which], self.variances[which])
+
+    def one(self, r: int) -> Gaussians:
+        return Gaussians(self.start[r], self.move[r], self.means[r], self.variances[r])
+
+
+def _scaled(x: np.ndarray, axes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    z = x.sum(axis=axes, keepdims=True) + 1e-300
+    return x / z, np.log(z).squeeze(axes)
+
+
+def _strips(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Densities as strips x STRIP x restarts x states, filled up at the end, and which rows are real."""
+    n, pad = len(b), -len(b) % STRIP
+    real = np.arange(n + pad) < n
+    return np.concatenate([b, np.ones((pad, *b.shape[1:]))]).reshape(-1, STRIP, *b.shape[1:]), real.reshape(-1, STRIP)
+
+
+def _passes(models: _Restarts, b: np.ndarray, is_first: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The matrix by which each strip changes the state probabilities (transition, then density, row by row) and its scale."""
+    rows, real = _strips(b)
+    k = b.shape[2]
+    m = np.broadcast_to(np.eye(k) / k, (len(rows), b.shape[1], k, k)).copy()
+    scale = np.full(m.shape[:2], np.log(k))
+    for t in range(STRIP):
+        step, z = _scaled(m @ models.moves(len(rows), is_first and t == 0) * rows[:, t, :, None, :], (2, 3))
+        on = real[:, t]
+        m[on] = step[on]
+        scale[on] += z[on]
+    return m, scale
+
+
+def _chain(m: np.ndarray, scale: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """State probabilities before each unit, weights of the rows after each unit, and the log likelihood of all units."""
+    n = len(m)
+    before, after, total = np.empty((n, *first.shape)), np.empty((n, *last.shape)), np.zeros(len(first))
+    a = first
+    for u in range(n):
+        before[u] = a
+        a, z = _scaled((a[:, None, :] @ m[u])[:, 0], (1,))
+        total += z + scale[u]
+    w = last
+    for u in range(n - 1, -1, -1):
+        after[u] = w
+        w, _ = _scaled((m[u] @ w[:, :, None])[:, :, 0], (1,))
+    return before, after, total
+
+
+def _expected(models: _Restarts, x: np.ndarray, before: np.ndarray, after: np.ndarray, is_first: bool) -> np.ndarray:
+    """Expected counts of a block (restarts x numbers): moves, rows, sums and squares by state, states of the first row, log likelihood."""
+    b, top = models.density(x)
+    rows, real = _strips(b)
+    strips, r, k = len(rows), b.shape[1], b.shape[2]
+    a, w, likelihood = _chain(*_passes(models, b, is_first), before, after)
+    alpha = np.empty((strips, STRIP, r, k))
+    for t in range(STRIP):
+        alpha[:, t] = a
+        a, _ = _scaled((a[:, :, None, :] @ models.moves(strips, is_first and t == 0))[:, :, 0] * rows[:, t], (2,))
+    moves, states = np.zeros((r, k, k)), np.empty((strips, STRIP, r, k))
+    for t in range(STRIP - 1, -1, -1):
+        on, move = real[:, t], models.moves(strips, is_first and t == 0)
+        ahead = rows[:, t] * w
+        both, _ = _scaled(alpha[:, t, :, :, None] * move * ahead[:, :, None, :], (2, 3))
+        states[:, t] = both.sum(2)
+        moves += both[on].sum(0) - (both[0] if is_first and t == 0 else 0.0)  # nothing moves into the first row
+        back, _ = _scaled((move @ ahead[..., None])[..., 0], (2,))
+        w = np.where(on[:, None, None], back, w)
+    g = states.reshape(-1, r, k)[: len(x)]
+    sums, squares = np.einsum("nrk,nd->rkd", g, x), np.einsum("nrk,nd->rkd", g, x * x)
+    start = g[0] if is_first else np.zeros((r, k))
+    return np.concatenate([v.reshape(r, -1) for v in (moves, g.sum(0), sums, squares, start, likelihood + top.sum(0))], 1)
+
+
+class _Series:
+    """One ordered series as blocks on the executors; only sums and one small matrix per block come to the driver."""
+
+    def __init__(self, df: DataFrame, order: Sequence[str], features: Sequence[str]) -> None:
+        self.d, d = len(features), len(features)
+
+        def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            part, kept, seq = TaskContext.get().partitionId(), np.empty((0, d)), 0
+            for pdf in batches:
+                kept = np.concatenate([kept, pdf.to_numpy(float)])
+                while len(kept) >= BLOCK:
+                    yield pd.DataFrame({"part": [part], "seq": [seq], "n": [BLOCK], "x": [kept[:BLOCK].ravel()]})
+                    kept, seq = kept[BLOCK:], seq + 1
+            if len(kept):
+                yield pd.DataFrame({"part": [part], "seq": [seq], "n": [len(kept)], "x": [kept.ravel()]})
+
+        rows = df.select(*order, *[F.col(f).cast("double").alias(f) for f in features]).dropna(subset=list(features))
+        rows = rows.where(reduce(lambda p, q: p & q, [~F.isnan(f) for f in features])).orderBy(*order)
+        self.blocks = rows.select(*features).mapInPandas(pack, "part int, seq int, n int, x array<double>").persist()
+        sizes = self.blocks.select("part", "seq", "n").orderBy("part", "seq").collect()
+        ends = np.cumsum([r.n for r in sizes]) if sizes else np.zeros(0, int)
+        self.first = {(r.part, r.seq): int(e - r.n) for r, e in zip(sizes, ends, strict=True)}
+        self.n = int(ends[-1]) if sizes else 0
+
+    def each(self, of: Callable[[int, np.ndarray], list[tuple[int, np.ndarray]]]) -> list[tuple[int, np.ndarray]]:
+        """Numbers that ``of`` makes of a block (place of its first row, its rows), with their keys."""
+        first, d = self.first, self.d
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                for part, seq, x in zip(pdf["part"], pdf["seq"], pdf["x"], strict=True):
+                    made = of(first[part, seq], np.asarray(x, float).reshape(-1, d))
+                    if made:
+                        yield pd.DataFrame({"key": [k for k, _ in made], "v": [v.ravel() for _, v in made]})
+
+        return sorted(((r.key, np.array(r.v)) for r in self.blocks.mapInPandas(run, "key long, v array<double>").collect()), key=lambda kv: kv[0])
+
+    def total(self, of: Callable[[int, np.ndarray], np.ndarray], size: int) -> np.ndarray:
+        """Sum of ``of`` over all blocks."""
+        first, d = self.first, self.d
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            found, any_block = np.zeros(size), False
+            for pdf in batches:
+                any_block = any_block or len(pdf) > 0
+                for part, seq, x in zip(pdf["part"], pdf["seq"], pdf["x"], strict=True):
+                    found += of(first[part, seq], np.asarray(x, float).reshape(-1, d)).ravel()
+            if any_block:
+                yield pd.DataFrame({"v": [found]})
+
+        return sum((np.array(r.v) for r in self.blocks.mapInPandas(run, "v array<double>").collect()), np.zeros(size))
+
+    def chained(self, models: _Restarts, lo: int, hi: int) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """What stands before and after each block of the rows lo to hi, and their log likelihood."""
+        r, k = models.start.shape
+
+        def passing(at: int, x: np.ndarray) -> list[tuple[int, np.ndarray]]:
+            x = x[max(lo - at, 0) : max(hi - at, 0)]
+            if not len(x):
+                return []
+            b, top = models.density(x)
+            m, scale = _passes(models, b, at <= lo)
+            whole, z = m[0], scale.sum(0) + top.sum(0)
+            for u in range(1, len(m)):
+                whole, more = _scaled(whole @ m[u], (1, 2))
+                z = z + more
+            return [(max(at, lo), np.concatenate([whole.ravel(), z]))]
+
+        found = self.each(passing)
+        m = np.array([v[: r * k * k].reshape(r, k, k) for _, v in found])
+        before, after, total = _chain(m, np.array([v[r * k * k :] for _, v in found]), np.full((r, k), 1 / k), np.ones((r, k)))
+        return {at: (p, q) for (at, _), p, q in zip(found, before, after, strict=True)}, total
+
+
+def _first_centres(series: _Series, k: int, restarts: int, rows: int) -> np.ndarray:
+    """Random rows of each restart, moved to the means of the rows nearest to them until they stand."""
+    chosen = np.stack([np.random.default_rng(seed).choice(rows, k, replace=False) for seed in range(restarts)])
+    wanted = np.unique(chosen)
+    at = dict(series.each(lambda first, x: [(int(i), x[i - first]) for i in wanted[(wanted >= first) & (wanted < first + len(x))]]))
+    centres, d = np.array([[at[i] for i in c] for c in chosen]), series.d
+
+    def sums(first: int, x: np.ndarray) -> np.ndarray:
+        x = x[: max(rows - first, 0)]
+        near = ((x[:, None, None, :] - centres[None]) ** 2).sum(3).argmin(2)[:, :, None] == np.arange(k)
+        return np.concatenate([near.sum(0)[:, :, None], np.einsum("nrk,nd->rkd", near.astype(float), x)], 2)
+
+    for _ in range(300):
+        got = series.total(sums, restarts * k * (1 + d)).reshape(restarts, k, 1 + d)
+        moved = np.where(got[:, :, :1] > 0, got[:, :, 1:] / np.maximum(got[:, :, :1], 1), centres)
+        still = np.abs(moved - centres).max() <= 1e-9 * (1 + np.abs(centres).max())
+        centres = moved
+        if still:
+            break
+    return centres
+
+
+def train(
+    series: DataFrame | pd.DataFrame, features: Sequence[str], k: int, spark, order: Sequence[str] = (), restarts: int = 10, validation: float = 0.2,  # noqa: ANN001
+    rounds: int = 300, tolerance: float = 1e-3, sticky: float = 10.0, floor: float = 1e-3,
+) -> Gaussians:
+    """The restart with the best likelihood of the held-out tail.
+
+    ``series`` is one entity's rows, in the order of ``order`` (a pandas frame: as it stands); rows with a missing feature are
+    left out. The rows stay on the executors as ordered blocks. A round of expectation maximisation takes two passes over all
+    training rows for all restarts at once: the blocks' transition matrices, which the driver chains, and the expected counts.
+    A restart ends when its log likelihood grows by less than ``tolerance``. Transitions have a prior that favours staying.
     """
-    x = series[list(features)].dropna().to_numpy(float)
-    cut = int(len(x) * (1 - validation))
-    data = spark.sparkContext.broadcast(x)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for seed in pdf["id"]:
-                m, _ = fit_once(data.value[:cut], k, int(seed))
-                _, held = fit_once_score(m, data.value[cut:])
-                yield pd.DataFrame([{"seed": seed, "ll": held, "par": np.concatenate([v.ravel() for v in (m.start, m.move, m.means, m.variances)])}])
-
-    found = spark.range(restarts).repartition(restarts).mapInPandas(run, "seed long, ll double, par array<double>").orderBy(F.desc("ll"), "seed").first()
-    p, d = np.array(found.par), x.shape[1]
-    return Gaussians(p[:k], p[k : k + k * k].reshape(k, k), p[k + k * k : k + k * k + k * d].reshape(k, d), p[k + k * k + k * d :].reshape(k, d))
-
-
-def fit_once_score(model: Gaussians, x: np.ndarray) -> tuple[np.ndarray, float]:
-    """Filtered probabilities of the last row and the log likelihood of a series."""
-    a, total = None, 0.0
-    for row in model.log_density(x):
-        a = np.log(model.start + 1e-300) + row if a is None else _log_add(a[:, None] + np.log(model.move + 1e-300), 0) + row
-        z = _log_add(a, 0)
-        total += float(z)
-        a = a - z
-    return (np.exp(a) if a is not None else model.start), total
+    if isinstance(series, pd.DataFrame):
+        series, order = spark.createDataFrame(series[list(features)].assign(_i=np.arange(len(series)))), ["_i"]
+    rows = _Series(series, order, features)
+    try:
+        cut, d = int(rows.n * (1 - validation)), rows.d
+        if cut < k:
+            raise ValueError(f"{rows.n} rows are too few to train {k} states")
+        centres = _first_centres(rows, k, restarts, cut)
+        spread = rows.total(lambda at, x: np.concatenate([(y := x[: max(cut - at, 0)]).sum(0), (y * y).sum(0)]), 2 * d) / cut
+        variance = np.maximum(spread[d:] - spread[:d] ** 2, 0.0) + floor
+        move = np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1))
+        models = _Restarts(np.full((restarts, k), 1 / k), np.tile(move, (restarts, 1, 1)), centres, np.tile(variance, (restarts, k, 1)))
+        one_block = sum(at < cut for at in rows.first.values()) == 1
+        last, active = np.full(restarts, -np.inf), np.arange(restarts)
+        for _ in range(rounds):
+            new = _one_round(rows, models.some(active), cut, one_block, sticky, floor)
+            for have, got in zip((models.start, models.move, models.means, models.variances), (new[0].start, new[0].move, new[0].means, new[0].variances), strict=True):
+                have[active] = got
+            grown, last[active] = new[1] - last[active], new[1]
+            active = active[grown >= tolerance]
+            if not len(active):
+                break
+        else:
+            warnings.warn(f"{len(active)} of {restarts} restarts did not converge in {rounds} rounds", stacklevel=2)
+        held = rows.chained(models, cut, rows.n)[1] if cut < rows.n else last
+        return models.one(int(np.argmax(held)))
+    finally:
+        rows.blocks.unpersist()
+
+
+def _one_round(series: _Series, models: _Restarts, cut: int, one_block: bool, sticky: float, floor: float) -> tuple[_Restarts, np.ndarray]:
+    """The models after one round over the rows before ``cut``, and the log likelihoods of those before it."""
+    (r, k), d = models.start.shape, series.d
+    alone = (np.full((r, k), 1 / k), np.ones((r, k)))
+    around = {} if one_block else series.chained(models, 0, cut)[0]
+    size = k * k + k + 2 * k * d + k + 1
+
+    def counts(at: int, x: np.ndarray) -> np.ndarray:
+        x = x[: max(cut - at, 0)]
+        return _expected(models, x, *around.get(at, alone), at == 0) if len(x) else np.zeros((r, size))
+
+    got = series.total(counts, r * size).reshape(r, size)
+    moves, n, sums, squares, start, likelihood = np.split(got, np.cumsum([k * k, k, k * d, k * d, k]), axis=1)
+    moves = moves.reshape(r, k, k) + sticky * np.eye(k) + 0.1
+    means, square = sums.reshape(r, k, d) / (n[:, :, None] + 1e-9), squares.reshape(r, k, d) / (n[:, :, None] + 1e-9)
+    start = start + 1e-6
+    return _Restarts(start / start.sum(1, keepdims=True), moves / moves.sum(2, keepdims=True), means, np.maximum(square - means**2, floor)), likelihood[:, 0]
 
 
 def relabelled(model: Gaussians, feature: int) -> tuple[Gaussians, list[int]]:

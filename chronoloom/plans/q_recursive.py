@@ -117,9 +117,9 @@ def hmm_states(spark, sf_dir):
 
 @query()
 def hmm_trained(spark, sf_dir):
-    """A model trained on one series by parallel restarts, relabelled by its first feature, then applied to it."""
-    f = flows(spark, sf_dir).withColumn("x", F.log1p(F.col("fl") + F.col("fs"))).orderBy("t")
-    model, _ = rg.relabelled(rg.train(f.select("x").limit(2000).toPandas(), ["x"], 3, spark), 0)
+    """A model trained on all rows of one series, relabelled by its first feature, then applied to it."""
+    f = flows(spark, sf_dir).withColumn("x", F.log1p(F.col("fl") + F.col("fs")))
+    model, _ = rg.relabelled(rg.train(f.select("t", "x"), ["x"], 3, spark, order=["t"]), 0)
     return rounded(rg.forward_filter(f.select("k", "t", "x"), ["k"], ["t"], ["x"], model).select("t", "p0", "p1", "p2", "state"))
 
 

@@ -89,3 +89,65 @@ def test_walk_forward_converges(spark, sf_dir):
         test = orders[(orders.o_orderdate >= cut) & (orders.o_orderdate < end)]
         assert (r.intercept, r.x) == pytest.approx((a, b[0]), rel=1e-4, abs=1e-2) and r.n_test == len(test)
         assert r.coverage == pytest.approx((test.o_totalprice <= a + b[0] * test.o_orderdate.dt.month).mean(), abs=5e-3)
+
+
+def plain_training(x, k, restarts=10, rounds=300):
+    """The same expectation maximisation row by row on one array; the models and their likelihoods of the held-out tail."""
+    cut, found = int(len(x) * 0.8), []
+    y = x[:cut]
+
+    def forward(model, z):
+        start, move, m, v = model
+        b = np.exp(-0.5 * (np.log(2 * np.pi * v)[None] + (z[:, None] - m[None]) ** 2 / v[None]))
+        alpha, scale = np.empty((len(z), k)), np.empty(len(z))
+        for t in range(len(z)):
+            a = (start if t == 0 else alpha[t - 1] @ move) * b[t]
+            scale[t] = a.sum()
+            alpha[t] = a / scale[t]
+        return b, alpha, scale
+
+    for seed in range(restarts):
+        c = y[np.random.default_rng(seed).choice(cut, k, replace=False)]
+        for _ in range(300):
+            near = ((y[:, None] - c[None]) ** 2).argmin(1)
+            c = np.array([y[near == j].mean() if (near == j).any() else c[j] for j in range(k)])
+        model, last = (np.full(k, 1 / k), np.full((k, k), 0.1 / (k - 1)) + np.eye(k) * (0.9 - 0.1 / (k - 1)), c, np.full(k, y.var() + 1e-3)), -np.inf
+        for _ in range(rounds):
+            b, alpha, scale = forward(model, y)
+            beta = np.ones((cut, k))
+            for t in range(cut - 2, -1, -1):
+                beta[t] = model[1] @ (b[t + 1] * beta[t + 1]) / scale[t + 1]
+            g = alpha * beta
+            moves = model[1] * (alpha[:-1].T @ (b[1:] * beta[1:] / scale[1:, None])) + 10 * np.eye(k) + 0.1
+            n = g.sum(0) + 1e-9
+            m = g.T @ y / n
+            start = g[0] + 1e-6
+            model = (start / start.sum(), moves / moves.sum(1, keepdims=True), m, np.maximum(g.T @ (y * y) / n - m * m, 1e-3))
+            ll = np.log(scale).sum()
+            if ll - last < 1e-3:
+                break
+            last = ll
+        found.append((np.log(forward(model, x[cut:])[2]).sum(), model))
+    return max(found, key=lambda f: f[0])[1]
+
+
+@pytest.mark.parametrize("block", [4096, 100])
+def test_training_reads_every_row(spark, monkeypatch, block):
+    from chronoloom.operators import regime
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(m, 0.6, n) for m, n in ((0, 150), (2, 130), (0, 170), (5, 150), (2, 90), (5, 60))])
+    monkeypatch.setattr(regime, "BLOCK", block)
+    df = spark.createDataFrame(pd.DataFrame({"t": np.arange(len(x)), "x": x}).sample(frac=1, random_state=1)).repartition(5)
+    got = regime.train(df, ["x"], 3, spark, order=["t"], restarts=3)
+    start, move, means, variances = plain_training(x, 3, 3)
+    assert got.means.ravel() == pytest.approx(means, abs=1e-6) and got.variances.ravel() == pytest.approx(variances, abs=1e-6)
+    assert got.move == pytest.approx(move, abs=1e-6) and got.start == pytest.approx(start, abs=1e-6)
+
+
+def test_hmm_trained_sees_rows_beyond_the_first_two_thousand(spark):
+    from chronoloom.operators import regime
+
+    x = np.concatenate([np.random.default_rng(6).normal(m, 0.3, 1500) for m in (0, 0, 4)])  # the second regime starts at row 3000
+    model, _ = regime.relabelled(regime.train(pd.DataFrame({"x": x}), ["x"], 2, spark, restarts=2), 0)
+    assert model.means.ravel() == pytest.approx([0, 4], abs=0.1)
