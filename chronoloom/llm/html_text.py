@@ -37,15 +37,20 @@ OTHER_NAMES = frozenset(
 ARTICLE_NAMES = frozenset("article articlebody content main maincontent post postbody entry story storybody".split())
 HEADER_NAMES = frozenset("header siteheader pageheader".split())
 
+# Attributes up to the end of a tag: a quote opens a value only after "=", values have any length.
+_ATTRS = r"(?:[^<>=/]++|/(?!>)|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>][^\s<>]*+)?+)*+"
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<silent>{SILENT})\b[^>]*>.*?(?:</(?P=silent)\s*>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^<>\"']++|\"[^\"]{0,4000}+\"|'[^']{0,4000}+')*+)>"
-    r"|<[a-zA-Z/!?][^>]*>",
+    rf"|<svg\b{_ATTRS}/>"
+    rf"|<(?P<silent>{SILENT})\b(?:{_ATTRS}|[^>]*+)>.*?(?:</(?P=silent)\s*>|\Z)"
+    rf"|<(?P<close>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>{_ATTRS})(?P<void>/?)>"
+    r"|<[a-zA-Z/!?][^>]*+>",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=\s*[\"']?false)|display\s*:\s*none", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=\"'/<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'<>][^\s<>]*)))?")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+#: Attributes up to this length are remembered with what they say.
+REMEMBERED = 500
 _WORD = re.compile(r"[a-z0-9]+")
 
 FEATURES = ("words", "link", "prev_words", "prev_link", "next_words", "next_link", "other", "scope", "heading")
@@ -123,14 +128,25 @@ class Blocks:
     rows: list[tuple[int, float, int, int, int]] = field(default_factory=list)  # words, link density, other, inside, heading
 
 
-@lru_cache(maxsize=50_000)
-def _about(name: str, attrs: str) -> tuple[bool, bool, bool]:
+def _says(name: str, attrs: str) -> tuple[bool, bool, bool]:
     """(not the article, the article, a header) by an element's name and attributes."""
-    words = {w for m in _NAMES.finditer(attrs) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())} if attrs else set()
-    other = name in OTHER_ELEMENTS or not words.isdisjoint(OTHER_NAMES) or bool(attrs and _HIDDEN.search(attrs))
+    words, hidden = set(), False
+    for m in _ATTRIBUTE.finditer(attrs):
+        attribute, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+        if attribute in ("class", "id", "role"):
+            words.update(_WORD.findall(value.lower()))
+        hidden = hidden or (attribute in ("hidden", "aria-hidden") and value.lower() != "false") or (attribute == "style" and bool(_UNSEEN.search(value)))
+    other = name in OTHER_ELEMENTS or not words.isdisjoint(OTHER_NAMES) or hidden
     return other, not other and (name in ARTICLE_ELEMENTS or not words.isdisjoint(ARTICLE_NAMES)), name == "header" or not words.isdisjoint(HEADER_NAMES)
 
 
+_remembered = lru_cache(maxsize=50_000)(_says)
+
+
+def _about(name: str, attrs: str) -> tuple[bool, bool, bool]:
+    return (_remembered if len(attrs) <= REMEMBERED else _says)(name, attrs)
+
+
 def cut_blocks(html: str) -> Blocks:
     """Flat blocks of a page. ``span`` elements count as containers only for their names."""
     out = Blocks()
@@ -184,7 +200,7 @@ def cut_blocks(html: str) -> Blocks:
                         del stack[k:]
                         break
                 other, inside = stack[-1][1:] if stack else (0, 0)
-            elif not m["attrs"].endswith("/"):
+            elif not m["void"]:
                 is_other, is_article, is_header = _about(name, m["attrs"])
                 if name in ARTICLE_ELEMENTS and not is_other and not seen_article:
                     seen_article = True

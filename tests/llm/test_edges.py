@@ -102,6 +102,22 @@ def test_html_edges(spark):
     assert by[1].text == "" and by[2].n_chars == 0 and by[3].text == "T\na b c ©\nd" and by[5].text == LONG
 
 
+def test_html_long_attributes_and_self_closed_svg():
+    long = "x > y, 'hidden' class=comments " * 400  # more than 10,000 characters
+    body = "<h1>The headline</h1><p>" + "Words of the first paragraph go on and on. " * 5 + "</p><p>" + "Words of the second one do as well. " * 5 + "</p>"
+    want = html_text.extract_texts([f"<body><nav>Home</nav><article>{body}</article><p>Outside</p></body>"])[0]
+    assert want.startswith("The headline\n") and want.count("\n") == 2
+    pages = [
+        f"<body><nav>Home</nav><article data-props=\"{long}\">{body}</article><p>Outside</p></body>",
+        f"<body><nav>Home</nav><article data-props = \"{long}\" id=a>{body}</article><p>Outside</p></body>",
+        f"<body><nav>Home</nav><article>{body}<div class=\"comments\" data-x=\"{long}\"><p>A comment of some words that is not the article at all.</p></div></article><p>Outside</p></body>",
+        f"<body><nav>Home</nav><article>{body.replace('</h1>', '<svg width=1 path=' + chr(34) + 'a>b' + chr(34) + ' /></h1>')}</article><p>Outside</p></body>",
+        f"<body><nav>Home</nav><article>{body.replace('</h1>', '<svg a=b/><path d=1 />no text</svg></h1>')}</article><p>Outside</p></body>",
+        f"<body><nav>Home</nav><article class=x\">{body}</article><p>Outside</p></body>",
+    ]
+    assert html_text.extract_texts(pages) == [want] * len(pages)
+
+
 def test_html_against_a_plainer_reading(spark, sf_dir):
     import re
     from html import unescape
