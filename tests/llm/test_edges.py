@@ -141,6 +141,31 @@ def test_decontaminate(spark):
     assert decontaminate.overlaps(docs.limit(0), bench).count() == 0 == decontaminate.overlaps(docs, bench.limit(0)).count()
 
 
+def test_decontaminate_finds_changed_passages(spark):
+    from itertools import combinations
+
+    words = lambda n: [f"i{n}x{j}" for j in range(n)]
+    lengths = [*range(5, 17), 21, 24, 60, 500]
+    said, clean = {}, {}
+    for n in range(5, 17):
+        for k in (1, 2) if n >= 8 else (1,):
+            for places in combinations(range(n), k):
+                said[n, "replaced", places] = ["zz" if j in places else w for j, w in enumerate(words(n))]
+    for period in (2, 3, 4):
+        for r in range(period):
+            said[24, "every", period, r] = ["zz" if j % period == r else w for j, w in enumerate(words(24))]
+    for n in (8, 11, 13, 15, 21, 24):
+        said[n, "left out"] = words(n)[: n // 2] + words(n)[n // 2 + 1 :]
+        said[n, "put in"] = [*words(n)[: n // 2], "zz", *words(n)[n // 2 :]]
+    said[60, "part"], said[500, "part"], said[500, "end"] = words(60)[20:49], words(500)[100:300], words(500)[-200:]
+    clean[5, "three words"], clean[10, "half"], clean[60, "eleven words"] = words(5)[:3], words(10)[:5], words(60)[20:31]
+    rows = [(i, " ".join(["before", "it", *w, "after"])) for i, w in enumerate([*said.values(), *clean.values()])]
+    bench = spark.createDataFrame([(n, " ".join(words(n))) for n in lengths], "item_id long, text string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {(r.doc_id, r.item_id) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert found == {(i, key[0]) for i, key in enumerate(said)}
+
+
 def test_decontaminate_in_blocks(spark, sf_dir, monkeypatch):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
     whole = sorted(map(tuple, decontaminate.overlaps(docs, bench).collect()))
