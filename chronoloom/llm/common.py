@@ -19,13 +19,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def with_checkpoint_dir(spark: SparkSession) -> SparkSession:
-    """Make sure checkpoints have a folder: the cluster's setting, or a temporary one where none is set (tests)."""
+    """Make sure checkpoints have a folder: the cluster's setting, or in local mode a temporary one where none is set (tests)."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chronoloom-ckpt-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chronoloom-ckpt-"))
     return spark
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores in front as it takes to be no column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once per row, although the body may name it many times."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import let, space_words
+from chronoloom.llm.common import free_name, let, space_words
 
 WINDOW = 8
 
@@ -105,23 +105,23 @@ def measurements(text_col: str = "text") -> Column:
     return let(space_words(F.col(text_col)), lambda w: let(lines, lambda l: windows(w, lambda h: figures(w, l, h))))
 
 
-def _bits() -> Column:
-    """The failed rules of the struct ``_m``, which is named once."""
+def _bits(measured: str) -> Column:
+    """The failed rules of the struct ``measured``, which is named once."""
     own = re.compile(r"\b(" + "|".join(MEASURES) + r")\b")
     terms = " + ".join(f"CASE WHEN {own.sub(r'm.\1', sql)} THEN {rule_bit(name)} ELSE 0 END" for name, sql in RULES.items())
-    return F.expr(f"element_at(transform(array(_m), m -> CAST({terms} AS BIGINT)), 1)")
+    return F.expr(f"element_at(transform(array(`{measured}`), m -> CAST({terms} AS BIGINT)), 1)")
 
 
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The documents with one column per measurement."""
-    kept = [F.col(c) for c in docs.columns if c not in MEASURES]
-    return docs.withColumn("_m", measurements(text_col)).select(*kept, *[F.col(f"_m.{m}").alias(m) for m in MEASURES])
+    kept, own = [F.col(f"`{c}`") for c in docs.columns if c not in MEASURES], free_name(docs, "_m")
+    return docs.withColumn(own, measurements(text_col)).select(*kept, *[F.col(f"{own}.{m}").alias(m) for m in MEASURES])
 
 
 def ledger(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """Documents with their measurements and ``rule_bits``: bit k is set where the k-th rule failed."""
-    kept = [F.col(c) for c in docs.columns if c not in (*MEASURES, "rule_bits")]
-    return docs.withColumn("_m", measurements(text_col)).select(*kept, *[F.col(f"_m.{m}").alias(m) for m in MEASURES], _bits().alias("rule_bits"))
+    kept, own = [F.col(f"`{c}`") for c in docs.columns if c not in (*MEASURES, "rule_bits")], free_name(docs, "_m")
+    return docs.withColumn(own, measurements(text_col)).select(*kept, *[F.col(f"{own}.{m}").alias(m) for m in MEASURES], _bits(own).alias("rule_bits"))
 
 
 def apply_policy(ledger_df: DataFrame, version: str = CURRENT_POLICY, out: str = "kept") -> DataFrame:
@@ -156,8 +156,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The documents that the current policy keeps, with their own columns."""
-    bits = docs.withColumn("_m", measurements()).withColumn("_bits", _bits())
-    return bits.where(F.col("_bits").bitwiseAND(F.lit(policy_mask(CURRENT_POLICY))) == 0).select(*docs.columns)
+    own, bits = free_name(docs, "_m"), free_name(docs, "_bits")
+    judged = docs.withColumn(own, measurements()).withColumn(bits, _bits(own))
+    return judged.where(F.col(bits).bitwiseAND(F.lit(policy_mask(CURRENT_POLICY))) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def _sql_rules(names: tuple[str, ...]) -> str:
