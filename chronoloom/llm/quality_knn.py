@@ -1,16 +1,16 @@
 r"""Quality classifier: labelled documents vote for their nearest neighbours in a latent-semantic space.
 
-A text's terms are its pairs of neighbouring characters by class (letters by kind, digits, white space, every common symbol for
-itself), its length, the share of its words in repeated passages and of words said twice in a row, in steps. Term weights are tf-idf; a truncated singular
-value decomposition of the labelled texts gives the latent space. Every document's vector is compared with all labelled vectors
+A text's terms are its words (hashed to ``WORDS`` buckets), its pairs of neighbouring characters by class (letters by kind, digits,
+white space, every common symbol for itself), its length, the share of its words in repeated passages and of words said twice in a
+row, in steps. Term weights are tf-idf; a truncated singular value decomposition of the labelled texts gives the latent space. Every document's vector is compared with all labelled vectors
 by exact cosine products, block by block; the ``NEIGHBOURS`` nearest vote with their label, weighted by similarity, and
 those as near as the last of them vote as well.
 
 The model is fitted on a bounded sample, ``MAX_LABELLED`` labelled documents in the order of a hash of doc_id; its size (sample x
 ``RANK`` numbers) bounds what is broadcast. Scoring covers every document and its whole text.
 
-Defined results: null and empty texts are scored by their (zero) length; several labels of one doc_id count as their mean; labels
-without doc_id or quality are left out; without any labels the score is 0.5; repeated rows are scored row by row; an empty table
+Defined results: null and empty texts are scored by their (zero) length; several labels of one doc_id count as their mean, of
+several texts of a labelled doc_id that of the smallest hash is learnt from; labels without doc_id or quality are left out; without any labels the score is 0.5; repeated rows are scored row by row; an empty table
 gives no rows; other columns are carried unless they clash with the result's.
 """
 
@@ -49,14 +49,17 @@ for _k, _c in enumerate(_SYMBOLS):
 _LENGTHS = np.array([0, 1, 5, 10, 20, 40, 80, 160, 320, 640, 1280, 2560, 5120, 10240])
 _REPEATED = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75])
 _DOUBLED = np.array([0.05, 0.1, 0.2, 0.4])
-PAIRS = CLASSES * CLASSES
-TERMS = PAIRS + len(_LENGTHS) + len(_REPEATED) + len(_DOUBLED)
-#: How many times a step of length or repetition counts, beside characters as a share of 100.
-LENGTH_WEIGHT, REPEATED_WEIGHT = 1.0, 12.0
+PAIRS, WORDS = CLASSES * CLASSES, 1024
+STEPS = PAIRS + WORDS
+TERMS = STEPS + len(_LENGTHS) + len(_REPEATED) + len(_DOUBLED)
+#: Rows that are compared with the labelled vectors at a time.
+BLOCK = 256
+#: How many times words and a step of length or repetition count, beside characters as a share of 100.
+WORD_WEIGHT, LENGTH_WEIGHT, REPEATED_WEIGHT = 10.0, 1.0, 12.0
 
 
 def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """texts x TERMS: character pairs as a percentage of the text, and the steps of length and repetition reached."""
+    """texts x TERMS: character pairs and words as a percentage of the text, and the steps of length and repetition reached."""
     n = len(offsets) - 1
     sizes = np.diff(offsets)
     out = np.zeros((n, TERMS))
@@ -69,13 +72,16 @@ def term_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         out[:, :PAIRS] = 100.0 * found / np.maximum(sizes - 1, 1)[:, None]
     hashes, at = word_hashes(data, offsets)
     words = np.diff(at)
+    if len(hashes):
+        bucket = (hashes % np.uint64(WORDS)).astype(np.int64) + np.repeat(np.arange(n), words) * WORDS
+        out[:, PAIRS:STEPS] = WORD_WEIGHT * np.bincount(bucket, minlength=n * WORDS).reshape(n, WORDS) / np.maximum(words, 1)[:, None]
     as_before = np.concatenate([[0], np.cumsum(np.concatenate([[False], hashes[1:] == hashes[:-1]]))])[: len(hashes) + 1]
     doubled = (as_before[at[1:]] - as_before[np.minimum(at[:-1] + 1, at[1:])]) / np.maximum(words - 1, 1)
     distinct = np.diff(shingle_sets(data, offsets)[1])
     runs = np.maximum(words - 4, 0)
     repeated = np.where(runs > 0, (runs - distinct) / np.maximum(runs, 1), 0.0)
-    out[:, PAIRS : PAIRS + len(_LENGTHS)] = LENGTH_WEIGHT * (words[:, None] <= _LENGTHS[None, :])
-    out[:, PAIRS + len(_LENGTHS) : -len(_DOUBLED)] = REPEATED_WEIGHT * (repeated[:, None] > _REPEATED[None, :])
+    out[:, STEPS : STEPS + len(_LENGTHS)] = LENGTH_WEIGHT * (words[:, None] <= _LENGTHS[None, :])
+    out[:, STEPS + len(_LENGTHS) : -len(_DOUBLED)] = REPEATED_WEIGHT * (repeated[:, None] > _REPEATED[None, :])
     out[:, -len(_DOUBLED) :] = REPEATED_WEIGHT * (doubled[:, None] > _DOUBLED[None, :])
     return out
 
@@ -123,16 +129,17 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """The model from at most ``max_labelled`` labelled documents of the training part."""
     marked = labels.where(in_training(F.col("doc_id")) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.avg("quality").alias("label"))
     chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    texts = docs.select("doc_id", F.struct(F.xxhash64("text").alias("hash"), "text").alias("own")).join(F.broadcast(chosen), "doc_id")
+    texts = texts.groupBy("doc_id").agg(F.min("own").alias("own"), F.first("label").alias("label")).select("doc_id", "own.text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column("text")):
+            for lo, hi, data, offsets in text_chunks(batch.column("text"), BLOCK):
                 rows = term_counts(data, offsets).astype(np.float32)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * TERMS, pa.int32()), pa.array(rows.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("label").slice(lo, hi - lo), lists], names=["doc_id", "label", "counts"])
 
-    rows = texts.mapInArrow(count, "doc_id long, label double, counts array<float>").dropDuplicates(["doc_id"]).toArrow()
+    rows = texts.mapInArrow(count, "doc_id long, label double, counts array<float>").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     counts = rows.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, TERMS).astype(np.float64)
     return fit(counts[order], rows.column("label").to_numpy()[order])
@@ -147,7 +154,7 @@ def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in text_chunks(batch.column(text_col)):
+            for lo, hi, data, offsets in text_chunks(batch.column(text_col), BLOCK):
                 score = shared.value.score(term_counts(data, offsets))
                 columns = [batch.column(c).slice(lo, hi - lo) for c in keep]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], names=schema.names)

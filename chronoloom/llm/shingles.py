@@ -106,14 +106,14 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return every[new], np.concatenate([[0], np.cumsum(new)])[bounds]
 
 
-def text_chunks(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row + 1, bytes, offsets) of pieces of a string column; null texts are empty."""
+def text_chunks(texts: pa.Array, rows: int = 1 << 40) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row + 1, bytes, offsets) of pieces of a string column, of so many rows at most; null texts are empty."""
     texts = texts.fill_null("").cast(pa.large_binary()) if texts.null_count else texts.cast(pa.large_binary())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2], np.uint8) if len(texts) and texts.buffers()[2] is not None else np.zeros(0, np.uint8)
     row = 0
     while row < len(texts):
-        stop = max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK, "right")) - 1)
+        stop = min(max(row + 1, int(np.searchsorted(ends, ends[row] + CHUNK, "right")) - 1), row + rows)
         yield row, stop, data[ends[row] : ends[stop]], ends[row : stop + 1] - ends[row]
         row = stop
 
