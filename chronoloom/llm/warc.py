@@ -4,15 +4,19 @@ r"""WARC derivatives: linked metadata and plain-text conversion records made fro
 by its Content-Length, HTTP head and payload) and makes two records of each: ``metadata`` (application/warc-fields: what the
 HTTP head and the page say of themselves) and ``conversion`` (text/plain). Both keep the source's identifier in
 WARC-Refers-To, its target URI and date, and carry its block and payload digests on; the payload digest is computed again and
-compared. Everything is per row: no exchange, no Python.
+compared. Every header of the HTTP head is carried into the metadata. Everything is per row: no exchange, no Python.
 
 Defined results: a null html is an empty payload, a null url an empty target; repeated rows give records with the same
 identifiers; an empty table gives no records; a record without header end or length has an empty block and fails
-``digest_ok``; other columns are ignored.
+``digest_ok``; records may be strings or bytes, bytes that are no UTF-8 are read as the charset that the HTTP head names (ISO-8859-1
+and its kin) or with replacement characters; other columns are carried unless they clash with the result's.
 """
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +34,11 @@ NAMED = {
     "eacute": "é", "egrave": "è", "ecirc": "ê", "agrave": "à", "ccedil": "ç", "auml": "ä", "ouml": "ö", "uuml": "ü", "szlig": "ß", "ntilde": "ñ", "euro": "€",
 }
 
-_SILENT = "(?is)<(?:!--.*?-->|" + "|".join(rf"{t}\b[^>]*>.*?</{t}\s*>" for t in SILENT_TAGS) + ")"
+#: All references of HTML that end in a semicolon, and the numbers that stand for characters of Windows-1252.
+EVERY_NAME = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+WINDOWS = {n: c for n in range(0x80, 0xA0) if (c := bytes([n]).decode("cp1252", "ignore"))}
+
+_SILENT = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in SILENT_TAGS) + ")"
 _BLOCK = rf"(?i)</?(?:{BLOCK_TAGS})(?:[\s/][^>]*)?>"
 _INLINE = r"<[a-zA-Z/!?][^>]*>"
 _BLANKS = "[ \\t\\r\\f\\x0B ]+"
@@ -82,16 +90,19 @@ def _header(headers: Column, name: str) -> Column:
 def _decode_references(text: Column) -> Column:
     """Character references, named and by number, in one pass; unknown ones and numbers outside of Unicode stay as they are."""
     named = F.create_map(*[F.lit(x) for k, v in (NAMED | {"amp": "&"}).items() for x in (k, v)])
+    every = F.from_json(F.lit(json.dumps(EVERY_NAME)), "map<string,string>")  # a constant; looked up where the common names fail
+    windows = F.create_map(*[F.lit(x) for k, v in WINDOWS.items() for x in (k, v)])
 
     def one(p: Column) -> Column:
-        name = F.regexp_extract(p, "^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});", 1)
-        return let(name, lambda n: F.coalesce(F.concat(F.when(n.startswith("#"), number(n)).otherwise(F.try_element_at(named, n)), F.substring(p, F.length(n) + 2, F.length(p))), F.concat(F.lit("&"), p)))
+        name = F.regexp_extract(p, "^(#0*[0-9]{1,7}|#[xX]0*[0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,40});", 1)
+        char = lambda n: F.when(n == "", None).when(n.startswith("#"), number(n)).otherwise(F.coalesce(F.try_element_at(named, n), F.try_element_at(every, n)))
+        return let(name, lambda n: F.coalesce(F.concat(char(n), F.substring(p, F.length(n) + 2, F.length(p))), F.concat(F.lit("&"), p)))
 
     def number(n: Column) -> Column:
         is_hex = F.substring(n, 2, 1).isin("x", "X")
-        code = F.when(is_hex, F.conv(F.substring(n, F.lit(3), F.length(n)), 16, 10)).otherwise(F.substring(n, F.lit(2), F.length(n))).cast("long")
+        code = F.when(is_hex, F.conv(F.substring(n, F.lit(3), F.length(n)), 16, 10)).otherwise(F.substring(n, F.lit(2), F.length(n))).cast("int")
         good = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
-        return F.when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
+        return F.when(code.between(0x80, 0x9F), F.try_element_at(windows, code)).when(good, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32"))
 
     done = let(F.split(text, "&", -1), lambda parts: F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts)), one), "")))
     return done
@@ -106,21 +117,36 @@ def plain_text(html: Column) -> Column:
     return F.btrim(F.regexp_replace(text, _BREAKS, "\n"), F.lit(" \n"))
 
 
+RESULT = ("record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_block_digest", "source_payload_digest", "digest_ok", "headers", "block")
+#: Charsets of an HTTP head that are read byte by byte.
+ONE_BYTE = r"(?i)charset=[\"']?(iso-8859-1|latin-?1|windows-1252|cp1252)"
+
+
+def _utf8(value: Column) -> Column:
+    return F.make_valid_utf8(value.cast("string"))
+
+
 def derive(responses: DataFrame, record_col: str = "record") -> DataFrame:
-    """Two derived records for each response record.
+    """Two derived records for each response record (a string, or bytes).
 
     Returns the other columns of ``responses`` with record_type, record_id, refers_to, target_uri, warc_date, content_type,
     content_length (bytes), block_digest, source_block_digest, source_payload_digest, digest_ok, headers and block;
     ``WARC/1.1``, headers, an empty line, block and two line ends make the record.
     """
-    keep = [c for c in responses.columns if c != record_col]
-    r = responses.select(*keep, F.coalesce(record_col, F.lit("")).alias("_rec"))
-    r = r.withColumn("_h", F.concat(F.substring_index("_rec", GAP, 1), F.lit(CRLF)))
-    raw = F.encode("_rec", "UTF-8")
+    keep = [f"`{c}`" for c in responses.columns if c != record_col and c not in (*RESULT, "_rec", "_raw")]
+    binary = dict(responses.dtypes)[record_col] == "binary"
+    raw = F.coalesce(F.col(record_col).cast("binary"), F.lit(b""))
+    head = lambda value, text: F.concat(F.substring_index(F.decode(value, "ISO-8859-1") if binary else text, GAP, 1), F.lit(CRLF))
+    size = F.length if binary else F.octet_length  # of a head, in bytes
+    r = responses.select(*keep, raw.alias("_raw"))
+    r = r.withColumn("_h", head(F.col("_raw"), F.col("_raw").cast("string")))
     r = r.withColumn("_n", F.coalesce(_header(F.col("_h"), "Content-Length").try_cast("int"), F.lit(0)))
-    r = r.withColumn("_b", F.decode(F.substring(raw, F.octet_length("_h") + F.lit(len(CRLF) + 1), F.col("_n")), "UTF-8"))
-    r = r.withColumn("_http", F.concat(F.substring_index("_b", GAP, 1), F.lit(CRLF)))
-    r = r.withColumn("_p", F.substring(F.col("_b"), F.length("_http") + F.lit(len(CRLF) + 1), F.length("_b")))
+    r = r.withColumn("_b", F.substring("_raw", size(F.col("_h")) + F.lit(len(CRLF) + 1), F.col("_n")))
+    r = r.withColumn("_http", head(F.col("_b"), F.col("_b").cast("string")))
+    r = r.withColumn("_bytes", F.substring("_b", size(F.col("_http")) + F.lit(len(CRLF) + 1), F.octet_length("_b")))
+    r = r.withColumn("_p", F.when(_header(F.col("_http"), "Content-Type").rlike(ONE_BYTE), F.decode("_bytes", "ISO-8859-1")).otherwise(_utf8(F.col("_bytes"))) if binary else _utf8(F.col("_bytes")))
+    if binary:
+        r = r.withColumns({c: _utf8(F.encode(c, "ISO-8859-1")) for c in ("_h", "_http")})
     h = {k: _header(F.col("_h"), k) for k in ("WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "WARC-Payload-Digest", "WARC-Block-Digest")}
     title = F.btrim(F.regexp_replace(F.regexp_extract("_p", r"(?is)<title[^>]*>(.*?)</title", 1), r"\s+", " "))
     meta = _fields(
@@ -131,8 +157,10 @@ def derive(responses: DataFrame, record_col: str = "record") -> DataFrame:
         ("language", F.regexp_extract("_p", r"(?is)<html[^>]*\blang=[\"']?([a-zA-Z-]*)", 1)),
         ("outlinks", F.regexp_count("_p", F.lit(r"(?i)<a\s[^>]*href")).cast("string")),
     )
+    lines = F.filter(F.split("_http", r"\r?\n"), lambda x, i: (i > 0) & x.contains(":"))
+    meta = F.concat(meta, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("sourceHeader: "), x, F.lit(CRLF))), ""))
     r = r.withColumns({"_id": h["WARC-Record-ID"], "_date": h["WARC-Date"], "_uri": h["WARC-Target-URI"], "_pd": h["WARC-Payload-Digest"], "_bd": h["WARC-Block-Digest"]})
-    r = r.withColumn("_ok", F.col("_pd") == _digest(F.col("_p")))
+    r = r.withColumn("_ok", F.col("_pd") == _digest(F.col("_bytes")))
     two = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), meta.alias("block")),
         F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("_p")).alias("block")),
@@ -184,6 +212,7 @@ def _oracle() -> str:
         ("title", r"trim(regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title', 1), '\s+', ' ', 'g'))"),
         ("language", r"""regexp_extract(html, '(?is)<html[^>]*\blang=["'']?([a-zA-Z-]*)', 1)"""),
         ("outlinks", r"len(regexp_extract_all(html, '(?i)<a\s[^>]*href'))::VARCHAR"),
+        ("sourceHeader", "'Content-Type: text/html; charset=utf-8'"), ("sourceHeader", "'Content-Length: ' || strlen(html)"),
     )
     headers = fields(
         ("WARC-Type", "record_type"), ("WARC-Record-ID", "record_id"), ("WARC-Date", "warc_date"), ("WARC-Target-URI", "u"), ("WARC-Refers-To", "id"), ("WARC-Refers-To-Target-URI", "u"), ("WARC-Refers-To-Date", "warc_date"),
