@@ -3,8 +3,10 @@ r"""SentencePiece encoding and decoding: the best segmentation into the pieces o
 An Aho-Corasick automaton over the pieces runs once over the text; at every position it follows the output links through all
 pieces that end there, longest first, and relaxes the best score of a segmentation that ends at this position (the first
 of equal scores stays). Piece scores are those of the vocabulary; a character that no piece covers costs ``min score - 10`` and
-becomes its bytes. As no piece reaches across the units of ``Vocabulary.units``, the best segmentation of a text is that of its
-units in a row; units seen before come from a bounded cache. A dummy space stands in front of every text.
+becomes its bytes. Where the scores are an order of merges, a piece may only follow one that ``Vocabulary.admissible`` lets stand
+before it; one segmentation of every prefix is left then, so that the ids are those of the merges, the model's own. As no piece
+reaches across the units of ``Vocabulary.units``, the best segmentation of a text is that of its units in a row; units seen before
+come from a bounded cache. A dummy space stands in front of every text. ``score`` is the Viterbi score, unknown characters included.
 
 Decoding joins the pieces' bytes and takes the dummy space away; it gives back every text, whatever it contains: spaces, line
 ends, marks of the vocabulary, characters without a piece.
@@ -22,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from chronoloom.llm.pieces import DEFAULT_MODEL, MAX_LEN, SPACE, Vocabulary, load_vocabulary
+from chronoloom.llm.pieces import DEFAULT_MODEL, SPACE, Vocabulary, load_vocabulary
 
-CACHE = 100_000
+#: Units that are remembered, and the length up to which they are.
+CACHE, REMEMBERED = 100_000, 64
 RESULT = "n_tokens long, n_bytes_tokens long, score double, round_trip boolean, ids array<int>"
 
 
@@ -38,13 +41,15 @@ class Codec(dict):
         self.unknown = min(vocabulary.scores[vocabulary.first :]) - 10.0
         self.scores = np.array(vocabulary.scores)
         self.scores[: vocabulary.first] = 0.0
+        for b in range(256):  # a character's first byte bears its cost
+            self.scores[vocabulary.bytes_from + b] = 0.0 if 0x80 <= b < 0xC0 else self.unknown
         self.table = [p.replace(SPACE, " ").encode() for p in vocabulary.pieces]
         for b in range(256):
             self.table[vocabulary.bytes_from + b] = bytes([b])
 
     def best(self, unit: str) -> tuple[float, list[int]]:
         """The best score of a unit and its ids, by one pass of the automaton."""
-        n = len(unit)
+        n, admissible = len(unit), self.vocabulary.admissible
         best: list[float | None] = [0.0] + [None] * n
         back: list[tuple[int, float, int] | None] = [None] * (n + 1)
         done = 0
@@ -53,8 +58,9 @@ class Codec(dict):
                 done += 1
                 if best[done] is None:
                     best[done] = best[done - 1] + self.unknown
-            score = best[end + 1 - match[0]] + match[1]
-            if (here := best[end + 1]) is None or score > here:
+            start = end + 1 - match[0]
+            score = best[start] + match[1]
+            if ((here := best[end + 1]) is None or score > here) and admissible(back[start][2] if back[start] else -1, match[2]):
                 best[end + 1] = score
                 back[end + 1] = match
         while done < n:
@@ -76,7 +82,7 @@ class Codec(dict):
         found = self.older.get(unit)
         if found is None:
             found = np.array(self.best(unit)[1], np.int32).tobytes()
-        if len(unit) <= MAX_LEN:
+        if len(unit) <= REMEMBERED:
             if len(self) >= CACHE:
                 self.older = dict(self)
                 self.clear()

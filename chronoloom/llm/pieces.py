@@ -1,4 +1,5 @@
-"""A fixed public piece vocabulary: loading, cutting texts where no piece can reach across, and matching pieces.
+"""A fixed public piece vocabulary: loading, cutting texts where no piece can reach across, matching pieces, and which pieces may
+follow each other.
 
 Vocabularies are read from a model file on the driver and sent to the tasks as a broadcast of ``Vocabulary``, whose size is
 that of the vocabulary (32,000 pieces), not of the data. Nothing is trained here.
@@ -15,7 +16,8 @@ import ahocorasick
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: The vocabulary's mark of a space.
 SPACE = "▁"
-MAX_LEN = 64
+#: Pairs of pieces whose admissibility is remembered.
+PAIRS = 500_000
 
 
 @dataclass(frozen=True, eq=False)
@@ -29,7 +31,40 @@ class Vocabulary:
 
     @cached_property
     def ordinary(self) -> dict[str, int]:
-        return {p: i for i, p in enumerate(self.pieces) if i >= self.first and 0 < len(p) < MAX_LEN}
+        return {p: i for i, p in enumerate(self.pieces) if i >= self.first and p}
+
+    @cached_property
+    def by_merges(self) -> bool:
+        """Whether scores are places in an order of merges (whole numbers) and not logarithms of probabilities."""
+        return all(s == int(s) for s in self.scores[self.first :])
+
+    def merged(self, text: str) -> list[str]:
+        """A text's characters after all merges, the best score first and the leftmost of equal ones."""
+        parts, score = list(text), self.scores
+        while len(parts) > 1:
+            found = [(-score[i], k) for k in range(len(parts) - 1) if (i := self.ordinary.get(parts[k] + parts[k + 1])) is not None]
+            if not found:
+                break
+            k = min(found)[1]
+            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+        return parts
+
+    @cached_property
+    def _pairs(self) -> dict[tuple[int, int], bool]:
+        return {}
+
+    def admissible(self, before: int, piece: int) -> bool:
+        """Whether a piece may stand after another one (-1: after nothing): always, but for vocabularies of merges only where
+        merging both texts together gives these two pieces. A segmentation all of whose pairs are admissible is that of the merges."""
+        if not self.by_merges:
+            return True
+        known = self._pairs.get((before, piece))
+        if known is None:
+            if len(self._pairs) >= PAIRS:
+                self._pairs.clear()
+            both = [self.pieces[before], self.pieces[piece]] if before >= 0 else [self.pieces[piece]]
+            known = self._pairs[before, piece] = self.merged("".join(both)) == both
+        return known
 
     @cached_property
     def automaton(self) -> ahocorasick.Automaton:
