@@ -6,8 +6,9 @@ automaton; as no piece reaches across units, it is the product over units, and u
 character that no piece covers has the probability ``UNKNOWN`` in every language. Languages are equally likely beforehand.
 
 Probabilities are learnt by expectation maximisation from texts with a language. ``train`` takes about ``docs_per_language`` documents
-of each language, chosen by a hash of doc_id (a documented bound; ``MAX_LANGUAGES`` bounds the model), counts units on Spark, and
-sums expected piece counts over all segmentations in each round. What the driver holds is one table of pieces x languages.
+of each language, chosen by a hash of doc_id and text (a documented bound), counts units on Spark, and sums expected piece counts
+over all segmentations in each round. What the driver holds is one table of pieces x languages; more than ``MAX_LANGUAGES``
+languages are an error, none is left out.
 
 Defined results: a null text or one without letters gives ``und`` with score 0; ties go to the first language by name; repeated
 rows are scored row by row; an empty table gives no rows, and without training rows every text is ``und``; other columns are
@@ -139,18 +140,20 @@ def in_training(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, languages: dict[str, int], docs_per_language: int) -> DataFrame:
-    """About so many documents of each language, by a hash of doc_id; never more than twice as many over all languages."""
+    """About so many documents of each language: those whose hash lies below the language's share. Every task chooses from its own
+    rows, so the sample stays spread."""
     share = F.create_map(*[x for k, n in languages.items() for x in (F.lit(k), F.lit(min(1.0, docs_per_language / n)))])
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1_000_000
-    chosen = docs.where(place < F.try_element_at(share, F.col("lang")))
-    return chosen.orderBy(F.xxhash64("doc_id"), "text").limit(2 * docs_per_language * len(languages))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 11) / float(1 << 53)
+    return docs.where(place < F.try_element_at(share, F.col("lang")))
 
 
 def train(docs: DataFrame, model_file: str = DEFAULT_MODEL, docs_per_language: int = DOCS_PER_LANGUAGE, rounds: int = ROUNDS) -> Model:
     """Piece probabilities of each language from ``docs`` (text, lang, doc_id); rows without text or lang are left out."""
     spark = with_checkpoint_dir(docs.sparkSession)
     docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & F.col("doc_id").isNotNull())
-    counted = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counted = {r.lang: r.n for r in docs.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(counted) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     vocabulary = load_vocabulary(model_file)
     size = len(vocabulary.pieces)
     names = tuple(sorted(counted))
