@@ -13,7 +13,8 @@ size and, as a possible smaller partner, in the next one.
   smaller partners with too few clean partitions themselves are treated as open sets, see below.
 
 Signatures travel in packed blocks: each task deals its signatures to buckets by hash, without the sets, one emission per
-distinct set and task. A bucket is sorted, and sets that share a signature meet there. Groups of up to ``LIGHT`` sets give their
+distinct set and task. The number of buckets follows from the number of signatures, so that a bucket has about ``PER_BUCKET``
+at every size of the table. A bucket is sorted, and sets that share a signature meet there. Groups of up to ``LIGHT`` sets give their
 pairs (a bounded number for each member). Larger groups are heavy: copies edited many times, or passages that many documents
 share. A set that keeps more clean partitions than ``d / 2`` apart from its heavy signatures finds every partner elsewhere.
 The others, the open sets, are joined among themselves by prefixes: shingles in order of their frequency among open sets,
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.llm.common import with_checkpoint_dir
+from chronoloom.llm.common import free_name, with_checkpoint_dir
 from chronoloom.llm.shingles import mix, set_digests, shingle_sets, text_chunks
 
 NEAR, WHOLE = 75, 100
@@ -48,8 +49,11 @@ PARTITIONS_PER_SIZE = 0.17
 LIGHT = 16
 BROADCAST_ROWS = 500_000
 PACK = 500_000
-#: Buckets of signatures at least; on more data there are as many as shuffle partitions, so a bucket stays small.
-BUCKETS = 48
+#: Buckets of signatures at least, and the signatures that one is to hold.
+BUCKETS, PER_BUCKET = 48, 3_000_000
+#: Signatures of a run (consecutive ones of one set and band) at most; its length and its band share 16 bits.
+RUN_BITS = 10
+RUN = (1 << RUN_BITS) - 1
 
 _U = np.uint64
 LIGHT_PAIR, HEAVY_MEMBER = 0, 1
@@ -103,13 +107,11 @@ def signatures(sets: np.ndarray, bounds: np.ndarray, band: np.ndarray, taking: n
             sums.append(total[ends] - total[before])
             filled.append(count[ends] - count[before])
         part_set = np.repeat(np.arange(n), parts)
-        all_filled = np.ones(base[-1], bool)
-        for a, b in ((0, 1), (0, 2), (1, 2)):
-            full = (filled[a] + filled[b]) > 0
-            all_filled &= full
-            out_sig.append(mix(sums[a] + mix(sums[b] + _U(3 * a + b + 1)))[full])
-            out_set.append(part_set[full])
-        clean += np.bincount(part_set[all_filled], minlength=n)
+        twos = ((0, 1), (0, 2), (1, 2))
+        full = np.stack([(filled[a] + filled[b]) > 0 for a, b in twos], 1)  # a set's signatures stay together
+        out_sig.append(np.stack([mix(sums[a] + mix(sums[b] + _U(3 * a + b + 1))) for a, b in twos], 1)[full])
+        out_set.append(np.repeat(part_set, 3)[full.ravel()])
+        clean += np.bincount(part_set[full.all(axis=1)], minlength=n)
     return np.concatenate(out_sig), np.concatenate(out_set), clean
 
 
@@ -122,9 +124,13 @@ def _key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.coalesce(F.col(doc_id), F.xxhash64(text))
 
 
+def _text_key(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def profiles(docs: DataFrame) -> DataFrame:
-    """doc_id, key, n_shingles, digest of the set, its band, and its clean partitions in this band and the next."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().cast("long").alias("key"), "text")
+    """doc_id, keys, n_shingles, digest of the set, its band, and its clean partitions in this band and the next."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _key().cast("long").alias("key"), _text_key().alias("text_key"), "text")
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,32 +139,30 @@ def profiles(docs: DataFrame) -> DataFrame:
                 sizes = np.diff(bounds)
                 band = np.searchsorted(_EDGES, sizes)
                 clean = [signatures(sets, bounds, np.minimum(band + k, len(_EDGES) - 1), sizes > 0 if k == 0 else takes_next(sizes, band))[2] for k in (0, 1)]
-                columns = [batch.column("doc_id").slice(lo, hi - lo), batch.column("key").slice(lo, hi - lo)]
+                columns = [batch.column(c).slice(lo, hi - lo) for c in ("doc_id", "key", "text_key")]
                 columns += [pa.array(v) for v in (sizes, set_digests(sets, bounds).view(np.int64), band.astype(np.int32), clean[0], clean[1])]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "n_shingles", "digest", "band", "clean0", "clean1"])
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "text_key", "n_shingles", "digest", "band", "clean0", "clean1"])
 
-    return rows.mapInArrow(apply, "doc_id long, key long, n_shingles long, digest long, band int, clean0 long, clean1 long")
+    return rows.mapInArrow(apply, "doc_id long, key long, text_key long, n_shingles long, digest long, band int, clean0 long, clean1 long")
 
 
 def _pack(sig: np.ndarray, band: np.ndarray, digest: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """Signatures dealt to buckets: 40 bits each, with bands and digests run by run."""
+    """Signatures dealt to buckets by their upper bits: the lower 32 bits, with digests, lengths and bands run by run."""
     bucket = ((sig >> _U(40)) * _U(buckets) >> _U(24)).astype(np.int64)
     order = np.argsort(bucket.astype(np.uint16) if buckets < 65536 else bucket, kind="stable")
     sig, band, digest, bucket = sig[order], band[order], digest[order], bucket[order]
-    cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-    rows: dict[str, list] = {k: [] for k in ("bucket", "low", "high", "run_digest", "run_band", "run_n")}
-    for b in range(buckets):
-        lo, hi = cuts[b], cuts[b + 1]
-        if lo == hi:
-            continue
-        s, d, g = sig[lo:hi], digest[lo:hi], band[lo:hi]
+    cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    rows: dict[str, list] = {k: [] for k in ("bucket", "low", "run_digest", "run")}
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        d, g = digest[lo:hi], band[lo:hi]
         new = np.flatnonzero(np.concatenate([[True], (d[1:] != d[:-1]) | (g[1:] != g[:-1])]))
-        rows["bucket"].append(b)
-        rows["low"].append((s & _U(0xFFFFFFFF)).astype(np.uint32).tobytes())
-        rows["high"].append((s >> _U(32) & _U(0xFF)).astype(np.uint8).tobytes())
+        place = np.arange(hi - lo) - np.repeat(new, np.diff(np.concatenate([new, [hi - lo]])))
+        new = np.flatnonzero(place % RUN == 0)
+        length = np.diff(np.concatenate([new, [hi - lo]]))
+        rows["bucket"].append(bucket[lo])
+        rows["low"].append((sig[lo:hi] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes())
         rows["run_digest"].append(d[new].tobytes())
-        rows["run_band"].append(g[new].astype(np.uint8).tobytes())
-        rows["run_n"].append(np.diff(np.concatenate([new, [hi - lo]])).astype(np.uint32).tobytes())
+        rows["run"].append((g[new] << RUN_BITS | length).astype(np.uint16).tobytes())
     return pa.RecordBatch.from_pydict({k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in rows.items()})
 
 
@@ -189,7 +193,7 @@ def signature_blocks(docs: DataFrame, buckets: int) -> DataFrame:
         if n_held:
             yield _pack(*(np.concatenate(x) for x in zip(*held, strict=True)), buckets)
 
-    return docs.select("text").mapInArrow(apply, "bucket int, low binary, high binary, run_digest binary, run_band binary, run_n binary")
+    return docs.select("text").mapInArrow(apply, "bucket int, low binary, run_digest binary, run binary")
 
 
 def meet(sig: np.ndarray, band: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -231,19 +235,31 @@ def meetings(blocks: DataFrame, buckets: int) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "high", "run_digest", "run_band", "run_n")), strict=True):
-                n = np.frombuffer(row[5], np.uint32)
-                sig = np.frombuffer(row[1], np.uint32).astype(_U) | np.frombuffer(row[2], np.uint8).astype(_U) << _U(32)
-                parts.setdefault(row[0], []).append((sig, np.repeat(np.frombuffer(row[4], np.uint8), n), np.repeat(np.frombuffer(row[3], np.uint64).view(np.int64), n)))
+            for bucket, low, digest, run in zip(*(batch.column(c).to_pylist() for c in ("bucket", "low", "run_digest", "run")), strict=True):
+                run = np.frombuffer(run, np.uint16)
+                n = run & RUN
+                parts.setdefault(bucket, []).append((np.frombuffer(low, np.uint32), np.repeat((run >> RUN_BITS).astype(np.uint8), n), np.repeat(np.frombuffer(digest, np.uint64).view(np.int64), n)))
         for b in list(parts):
             sig, band, digest = (np.concatenate(x) for x in zip(*parts.pop(b), strict=True))
-            columns = meet(sig | _U(b) << _U(40), band, digest)
+            columns = meet(sig.astype(_U) | _U(b) << _U(32), band, digest)
             for lo in range(0, len(columns[0]), 100_000):
                 yield pa.RecordBatch.from_arrays([pa.array(v[lo : lo + 100_000]) for v in columns], names=["kind", "x", "y", "band", "n"])
 
     return blocks.repartitionById(buckets, F.col("bucket")).mapInArrow(apply, "kind int, x long, y long, band int, n long")
 
 
+def _edge(band: Column) -> Column:
+    return F.element_at(F.array(*[F.lit(int(e)) for e in _EDGES]), F.least(band + 1, F.lit(len(_EDGES))))
+
+
+def n_buckets(of_set: DataFrame) -> int:
+    """Buckets for the signatures of all sets, in both of their bands."""
+    count = lambda edge: F.when(edge <= SMALL, F.col("n_shingles")).otherwise(3 * (edge * PARTITIONS_PER_SIZE + 5))
+    own, following = _edge(F.col("own_band")), _edge(F.col("own_band") + 1)
+    total = of_set.agg(F.sum(count(own) + F.when(WHOLE * F.col("n_shingles") >= NEAR * (own + 1), count(following)).otherwise(0.0))).first()[0]
+    return max(BUCKETS, int((total or 0) / PER_BUCKET) + 1)
+
+
 def shingle_rows(docs: DataFrame) -> DataFrame:
     """(digest, shingles) of each document."""
 
@@ -264,7 +280,7 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
 
 def sets_of(docs: DataFrame, profile: DataFrame, digests: DataFrame) -> DataFrame:
     """(digest, shingles) of the wanted digests, read again from one document of each."""
-    wanted = profile.join(digests, "digest", "left_semi").groupBy("digest").agg(F.min("key").alias("key")).select("key").distinct().checkpoint()
+    wanted = profile.groupBy("digest").agg(F.min("key").alias("key")).join(digests, "digest", "left_semi").select("key").distinct().checkpoint()
     rows = docs.select("text", _key().cast("long").alias("key")).join(_small(wanted, wanted.count()), "key", "left_semi")
     return shingle_rows(rows).dropDuplicates(["digest"])
 
@@ -327,20 +343,20 @@ def prefixes(sets: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The documents' profiles, and (digest, component) of all sets that have a link to another set."""
-    spark = with_checkpoint_dir(docs.sparkSession)
-    buckets = max(BUCKETS, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    with_checkpoint_dir(docs.sparkSession)
     profile = profiles(docs).checkpoint()
+    of_set = profile.where("n_shingles > 0").select("digest", "n_shingles", F.col("band").alias("own_band"), "clean0", "clean1").dropDuplicates(["digest"]).checkpoint()
+    buckets = n_buckets(of_set)
     met = meetings(signature_blocks(docs, buckets), buckets).checkpoint()
     light = met.where(F.col("kind") == LIGHT_PAIR).select(F.col("x").alias("a"), F.col("y").alias("b"), "band", "n")
     heavy = met.where(F.col("kind") == HEAVY_MEMBER).select(F.col("x").alias("group"), F.col("y").alias("digest"), "band")
 
     # each set in each band it takes part in: clean partitions, heavy signatures
-    of_set = profile.where("n_shingles > 0").select("digest", "n_shingles", F.col("band").alias("own_band"), "clean0", "clean1").dropDuplicates(["digest"])
     both = F.array(F.struct(F.col("own_band").alias("band"), F.col("clean0").alias("clean")), F.struct((F.col("own_band") + 1).alias("band"), F.col("clean1").alias("clean")))
     n_heavy = heavy.groupBy("digest", "band").agg(F.count("*").alias("n_heavy"))
     part = of_set.select("digest", "n_shingles", "own_band", F.inline(both)).join(n_heavy, ["digest", "band"], "left").fillna(0, ["n_heavy"]).checkpoint()
 
-    edge = F.element_at(F.array(*[F.lit(int(e)) for e in _EDGES]), F.col("band") + 1)
+    edge = _edge(F.col("band"))
     pairs = enough_shared(light.groupBy("a", "b", "band").agg(F.sum("n").alias("n")), part, edge).distinct().checkpoint()
 
     # members of heavy groups that may have a partner there alone
@@ -384,13 +400,13 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def assign(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: doc_id, key, n_shingles, component_id."""
+    """One row per row of ``docs``: doc_id, text_key, n_shingles, label (of its component, null without shingles), component_id."""
     profile, found = classes(docs)
     some = profile.where("n_shingles > 0").join(found.withColumnRenamed("node", "digest"), "digest", "left")
-    some = some.select("doc_id", "key", "n_shingles", F.coalesce("component", "digest").alias("label")).checkpoint()
+    some = some.select("doc_id", "text_key", "n_shingles", F.coalesce("component", "digest").alias("label")).checkpoint()
     least = some.groupBy("label").agg(F.min("doc_id").alias("component_id")).checkpoint()  # a table of its own, so that the join may split a large group
-    none = profile.where("n_shingles = 0").select("doc_id", "key", "n_shingles", F.col("doc_id").alias("component_id"))
-    return some.join(least, "label").select("doc_id", "key", "n_shingles", "component_id").unionByName(none)
+    none = profile.where("n_shingles = 0").select("doc_id", "text_key", "n_shingles", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
+    return some.join(least, "label").select("doc_id", "text_key", "n_shingles", "label", "component_id").unionByName(none)
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
@@ -398,20 +414,26 @@ def score_documents(docs: DataFrame) -> DataFrame:
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without all but the smallest doc_id of each component; of repeated rows of an id one stays.
-
-    Documents without words are in no group and all stay, as do those without an id, of which no smallest can be told.
-    """
+    """One row of each component: that of the smallest doc_id (rows without one come last), of several texts of this id in the
+    component that of the smallest hash, of repeated rows any. Texts of one doc_id in different components all stay, as do rows
+    without words, which are in no group. A row is told by its doc_id and the hash of its text."""
     with_checkpoint_dir(docs.sparkSession)
-    rows = assign(docs).checkpoint()
-    gone = rows.where("doc_id <> component_id").select("key").distinct()
-    kept = docs.withColumn("_key", _key().cast("long")).join(_small(gone, gone.count()).withColumnRenamed("key", "_key"), "_key", "left_anti").drop("_key")
-    again = rows.where("n_shingles > 0 AND doc_id = component_id").groupBy("doc_id").count().where("count > 1")
-    if again.isEmpty():
-        return kept
-    kept = kept.withColumn("_blank", ~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]") | F.col("doc_id").isNull())
-    one = kept.where("NOT _blank").dropDuplicates(["doc_id"])
-    return one.unionByName(kept.where("_blank")).select(*docs.columns)
+    rows = assign(docs).where("n_shingles > 0").select("label", "doc_id", "text_key").checkpoint()
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")
+    first = rows.groupBy("label").agg(F.min(place).alias("first")).checkpoint()
+    gone = rows.join(first, "label").where(~place.eqNullSafe(F.col("first"))).select("doc_id", "text_key").distinct().checkpoint()
+    again = first.join(rows.groupBy("label", "doc_id", "text_key").count().where("count > 1"), "label").where(place.eqNullSafe(F.col("first"))).select("doc_id", "text_key").checkpoint()
+    own = free_name(docs, "_text_key")
+    keyed = docs.withColumn(own, _text_key())
+
+    def joined(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.toDF("_doc_id_", "_text_key_")
+        return left.join(_small(right, right.count()), left["doc_id"].eqNullSafe(right["_doc_id_"]) & (left[own] == right["_text_key_"]), how)
+
+    kept = joined(keyed, gone, "left_anti")
+    if not again.isEmpty():
+        kept = joined(kept, again, "left_anti").unionByName(joined(kept, again, "left_semi").dropDuplicates(["doc_id", own]))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE_SQL = r"""
