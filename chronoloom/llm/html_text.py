@@ -71,6 +71,19 @@ LABELLED = """
 13 0 50 0 60 0 0 1 0 1|6 0 55 0 48 0 0 1 0 1|30 .2 40 0 10 0 0 1 0 1|18 0 22 0 35 0 0 1 0 1|9 .1 40 0 33 0 0 1 0 1|16 0 0 0 50 0 0 1 0 1
 1 1 1 1 1 1 0 1 0 0|2 1 2 1 3 1 0 1 0 0|4 .5 1 1 2 1 0 1 0 0|12 .9 3 1 40 0 0 1 0 0|20 .8 40 0 5 1 0 1 0 0|3 0 1 1 2 1 0 1 0 0
 5 0 2 1 4 1 0 1 0 0|9 .3 60 0 0 0 0 1 0 0|6 0 4 1 0 0 0 1 0 0|30 .9 2 1 30 .9 0 1 0 0|8 .6 50 0 45 0 0 1 0 0|4 0 3 0 2 0 0 1 0 0
+4 0 112 0 20 0 0 2 0 1|7 .1 110 0 10 0 0 2 0 1|9 0 10 0 41 0 0 2 1 1|18 .4 42 0 6 0 0 2 0 1|41 0 110 0 11 0 0 2 0 1|111 .05 4 0 112 0 0 2 0 1
+4 0 11 0 111 1 0 2 0 1|7 .1 18 0 10 1 0 2 0 1|9 0 41 0 110 1 0 2 1 1|19 .4 2 0 19 1 0 2 0 1|41 0 11 0 19 1 0 2 0 1|112 .05 111 0 5 1 0 2 0 1
+2 0 19 1 20 0 0 2 0 1|7 .1 19 1 2 0 0 2 0 1|11 0 110 1 10 0 0 2 0 1|20 .4 3 1 9 0 0 2 0 1|42 0 40 1 41 0 0 2 0 1|110 .05 19 1 10 0 0 2 0 1
+4 0 7 1 7 1 0 2 0 1|7 .1 4 1 3 1 0 2 0 1|10 0 40 1 2 1 0 2 0 1|20 .4 6 1 4 1 0 2 0 1|42 0 7 1 9 1 0 2 0 1|111 .05 4 1 3 1 0 2 0 1
+3 1 19 0 4 0 0 2 0 1|7 1 112 0 3 0 0 2 1 1|15 1 9 0 4 0 0 2 0 1|30 1 40 0 6 0 0 2 0 1|4 1 112 .1 0 0 0 2 0 1|6 1 0 0 4 0 0 2 1 1
+2 .9 5 0 110 1 0 2 0 0|2 1 4 1 6 0 0 2 0 0|2 1 9 1 10 1 0 2 0 0|5 .95 2 0 112 1 0 2 0 0|5 .9 10 1 112 0 0 2 0 0|5 .9 18 1 3 1 0 2 0 0
+11 1 19 0 19 1 0 2 0 0|11 1 111 1 19 0 0 2 0 0|11 1 41 1 19 1 0 2 0 0|24 1 2 0 5 1 0 2 0 0|24 .95 110 1 19 0 0 2 0 0|24 .95 111 1 2 1 0 2 0 0
+2 0 42 1 10 1 1 2 0 0|2 1 19 0 111 1 1 2 0 0|9 0 40 1 3 1 1 2 0 0|9 1 5 1 40 1 1 2 0 0|45 0 19 0 42 0 1 2 0 0|45 1 110 0 5 0 1 2 0 0
+25 .6 44 0 18 0 0 2 0 1|12 .7 20 0 90 .1 0 2 0 1|40 .55 30 0 4 1 0 2 0 1|18 .6 3 1 50 0 0 2 0 1|33 .65 5 1 6 1 0 2 0 1|14 .8 60 0 40 0 0 2 0 1
+9 .6 6 1 0 0 0 2 0 1|70 .5 2 1 3 1 0 2 0 1|11 .75 50 0 3 1 0 2 0 1|6 .55 4 0 3 1 0 2 0 1|5 .6 0 0 30 .6 0 2 0 1|21 .6 20 .6 25 .6 0 2 0 1
+2 .1 3 0 2 0 0 2 0 1|5 .2 6 1 1 1 0 2 0 1|3 .3 40 0 2 0 0 2 0 1|1 0 2 1 3 1 0 2 0 1|6 .4 12 0 4 1 0 2 0 1|2 .3 0 0 1 0 0 2 1 1
+6 0 40 0 33 0 0 1 0 1|3 0 25 0 60 0 0 1 0 1|8 0 18 0 12 0 0 1 0 1|2 0 50 0 22 0 0 1 0 1|5 0 70 0 8 0 0 1 0 1|4 0 9 0 30 0 0 1 0 1
+7 0 14 0 28 0 0 1 0 1|4 0 33 0 16 0 0 1 0 1|1 0 45 0 40 0 0 1 0 1|8 0 60 0 35 0 0 1 0 1|3 0 12 0 20 0 0 1 0 1|6 0 28 0 7 0 0 1 0 1
 20 0 0 0 0 0 0 1 0 1|9 0 0 0 0 0 0 1 0 1|20 0 60 0 0 0 0 1 0 1|14 0 45 0 0 0 0 1 0 1|12 0 50 0 4 .5 0 1 0 1|3 0 40 0 0 0 0 1 0 0
 """
 
