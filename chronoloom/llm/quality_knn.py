@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from chronoloom.llm.common import free_name
 from chronoloom.llm.shingles import shingle_sets, text_chunks, word_hashes
 
 MAX_LABELLED, RANK, NEIGHBOURS = 4096, 32, 25
@@ -170,6 +171,7 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: Model) -> DataFrame:
     """The documents that are predicted good, with their own columns."""
-    named = {c: f"_own_{c}" for c in ("score", "predicted") if c in docs.columns}
-    scored = classify(docs.withColumnsRenamed(named).withColumn("_text", F.col("text")), model, "_text")
-    return scored.where("predicted = 1").drop("score", "predicted").withColumnsRenamed({v: k for k, v in named.items()}).select(*docs.columns)
+    named = {c: free_name(docs, f"_own_{c}") for c in ("score", "predicted") if c in docs.columns}
+    text = free_name(docs, "_text")
+    scored = classify(docs.withColumnsRenamed(named).withColumn(text, F.col("text")), model, text)
+    return scored.where("predicted = 1").drop("score", "predicted").withColumnsRenamed({v: k for k, v in named.items()}).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
 from chronoloom.llm import chat_format, decontaminate, html_text, language_id, license_scan, ngram_join, piece_codec, quality_knn, quality_rules, warc
 from chronoloom.llm.common import read_table
 
@@ -68,11 +67,11 @@ REGISTERED = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in REGISTERED} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in REGISTERED}
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {
+    return {
         "op1_license_scan": license_scan.ORACLE_SQL,
         "op2_chat_format": chat_format.ORACLE_SQL,
         "op4_warc_derivatives": warc.ORACLE_SQL,
@@ -80,4 +79,3 @@ def oracle_sql() -> dict[str, str]:
         "op8_ngram_jaccard": ngram_join.ORACLE_SQL,
         "op9_decontaminate": decontaminate.ORACLE_SQL,
     }
-    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
