@@ -1,7 +1,8 @@
 """The corpus pipeline: quality rules, quality classifier, near duplicates, decontamination, SentencePiece ids.
 
 Every stage is a function of (spark, docs, sf_dir) that returns a DataFrame. ``run`` writes each stage's rows as Parquet to the
-folder of ``spark.checkpoint.dir`` and reads them again for the next one, so that a lost executor costs at most the stage in hand.
+folder of ``spark.checkpoint.dir`` and reads them again for the next one, so that a lost executor costs at most the stage in hand;
+a stage's folder is removed once the next one's rows are written.
 All stages but the last return the columns of documents.
 """
 
@@ -57,7 +58,17 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each one's result is written and read again."""
     folder = f"{with_checkpoint_dir(spark).sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = read_table(spark, sf_dir, "documents")
+    done = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if done:
+            remove(spark, f"{folder}/{done}")
+        done = name
     return docs
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any store that Spark writes to."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
