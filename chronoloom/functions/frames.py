@@ -40,11 +40,6 @@ def span(keys: Keys, ts: str, length: int) -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(micros(ts)).rangeBetween(1 - length, 0)
 
 
-def span_before(keys: Keys, ts: str, length: int) -> WindowSpec:
-    """The time span [t - length, t)."""
-    return Window.partitionBy(*keys).orderBy(micros(ts)).rangeBetween(-length, -1)
-
-
 def at_least(result: Column, value: Column, window: WindowSpec, n: int) -> Column:
     """The result where the window holds n non-null values or more."""
     return F.when(F.count(value).over(window) >= n, result)

@@ -116,8 +116,18 @@ def event_study(df: DataFrame, keys: Sequence[str], ts: str, value: str, event:
 
 
 def empirical_cdf(df: DataFrame, keys: Sequence[str], value: str, train: Column, out: str = "u") -> DataFrame:
-    """Share of the key's training values that are not above a value (a cumulative count, no list per bucket)."""
-    w = Window.partitionBy(*keys)
-    flag = F.when(train & F.col(value).isNotNull(), 1).otherwise(0)
-    upto = F.sum(flag).over(w.orderBy(value).rangeBetween(Window.unboundedPreceding, 0))
-    return df.withColumn(out, F.when(F.col(value).isNotNull(), divide(upto.cast("double"), F.sum(flag).over(w))))
+    """Share of the key's training values that are not above a value; NULL where the key has none.
+
+    Values are counted first, by key and value; what is cumulated and joined back is one row for each distinct value, so that a key
+    with many rows is not the work of one task. A NULL in a key is a key of its own.
+    """
+    flag = F.sum(F.when(train, 1).otherwise(0))
+    names = {f"_k{i}": k for i, k in enumerate(keys)}
+    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(n) for n, k in names.items()], F.col(value).alias("_v")).agg(flag.alias("_n"))
+    w = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
+    upto, total = F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), F.sum("_n").over(w)
+    shares = counts.select(*names, "_v", divide(upto.cast("double"), total).alias(out))
+    same = F.col(value) == F.col("_v")
+    for n, k in names.items():
+        same = same & F.col(k).eqNullSafe(F.col(n))
+    return df.join(shares, same, "left").drop("_v", *names)

@@ -8,11 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BROADCAST_ROWS = 1_000_000
+#: Rows that a broadcast table may have. Tables of folds and thresholds hold numbers and times, so this bounds their bytes too.
+BROADCAST_ROWS = 10_000
 
 
 def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a table that a count has shown to be small; otherwise leave the choice to the optimiser."""
+    """Broadcast a narrow table that a count has shown to be small; otherwise leave the choice to the optimiser, which goes by bytes."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
@@ -59,7 +60,7 @@ def fallback_lookup(df: DataFrame, stats: Sequence[tuple[Sequence[str], DataFram
     picks = []
     for k, (columns, table) in enumerate(stats):
         renamed = table.select(*columns, F.col(value).alias(f"_v{k}"), F.col(count).alias(f"_n{k}"))
-        df = df.join(small(renamed), list(columns), "left") if columns else df.crossJoin(F.broadcast(renamed.limit(1)))
+        df = df.join(renamed, list(columns), "left") if columns else df.crossJoin(F.broadcast(renamed.limit(1)))
         picks.append(F.col(f"_v{k}") if k == len(stats) - 1 else F.when(F.col(f"_n{k}") >= least, F.col(f"_v{k}")))
     return df.withColumn(out, F.coalesce(*picks)).drop(*[f"_{x}{k}" for k in range(len(stats)) for x in "vn"])
 

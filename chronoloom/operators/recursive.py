@@ -169,40 +169,60 @@ COIF3_LOW = (
 )
 
 
+def wavelet_end(x: np.ndarray, level: int) -> float:
+    """Last value of the approximation of a level: analysis and synthesis with symmetric extension at both ends."""
+    low = np.array(COIF3_LOW)
+    sizes, a = [], x
+    for _ in range(level):
+        sizes.append(len(a))
+        padded = np.pad(a, len(low) - 1, mode="symmetric") if len(a) >= len(low) - 1 else np.pad(a, len(low) - 1, mode="edge")
+        a = np.convolve(padded, low, mode="valid")[1::2]
+    for n in reversed(sizes):
+        up = np.zeros(2 * len(a))
+        up[::2] = a
+        a = np.convolve(up, low[::-1])[len(low) - 2 : len(low) - 2 + n]
+    return float(a[-1])
+
+
+def wavelet_reach(level: int) -> int:
+    """Values at the end of a history that its last approximation depends on, in whole steps of the level."""
+    step = 1 << level
+    return -(-(2 * len(COIF3_LOW) * step) // step) * step
+
+
 def trailing_wavelet(df: DataFrame, keys: Keys, order: Sequence[str], value: str, history: int, level: int, out: str, fallback_span: int = 64) -> DataFrame:
     """Wavelet trend of the strictly past ``history`` values: the last value of the level's approximation, not below 0.
 
-    Symmetric extension at the ends. With less than two filter lengths of history, an exponential average stands in.
+    With less than two filter lengths of history, an exponential average stands in. The last value depends on the newest
+    ``wavelet_reach`` values alone, and linearly: once the history is full it is their product with fixed weights.
     """
-    low = np.array(COIF3_LOW)
-    length = len(low)
-
-    def trend_end(x: np.ndarray) -> float:
-        sizes, a = [], x
-        for _ in range(level):
-            sizes.append(len(a))
-            padded = np.pad(a, length - 1, mode="symmetric") if len(a) >= length - 1 else np.pad(a, length - 1, mode="edge")
-            a = np.convolve(padded, low, mode="valid")[1::2]
-        for n in reversed(sizes):
-            up = np.zeros(2 * len(a))
-            up[::2] = a
-            a = np.convolve(up, low[::-1])[length - 2 : length - 2 + n]
-        return float(a[-1])
-
-    def step(state: object, rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], object]:
-        past, average = state or ([], None)
-        res = np.full(len(rows), np.nan)
-        for i, x in enumerate(rows[value].to_numpy(float)):
-            if len(past) >= 2 * length:
-                res[i] = max(trend_end(np.array(past)), 0.0)
+    least, reach, step = 2 * len(COIF3_LOW), wavelet_reach(level), 1 << level
+    tail = min(history, reach + history % step)  # as many as reach, of the same parity at every level
+    weights: list[np.ndarray] = []
+
+    def end(past: np.ndarray) -> float:
+        if len(past) < history:
+            return wavelet_end(past[-(reach + len(past) % step) :], level)
+        if not weights:
+            weights.append(np.array([wavelet_end(row, level) for row in np.eye(tail)]))
+        return float(weights[0] @ past[-tail:])
+
+    def step_of(state: object, rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], object]:
+        past, average = state if state is not None else (np.empty(0), None)
+        x = rows[value].to_numpy(float)
+        known = np.concatenate([past, x[~np.isnan(x)]])  # the values before the row at place i are known[: len(past) + i]
+        res, n = np.full(len(rows), np.nan), len(past)
+        for i, v in enumerate(x):
+            if n >= least:
+                res[i] = max(end(known[max(n - history, 0) : n]), 0.0)
             elif average is not None:
                 res[i] = max(average, 0.0)
-            if x == x:
-                past = [*past[1 - history :], x] if history > 1 else [x]
-                average = x if average is None else average + 2 / (fallback_span + 1) * (x - average)
-        return {out: res}, (past, average)
+            if v == v:
+                n += 1
+                average = v if average is None else average + 2 / (fallback_span + 1) * (v - average)
+        return {out: res}, (known[-history:], average)
 
-    return ordered_scan(df, keys, order, step, f"{out} double")
+    return ordered_scan(df, keys, order, step_of, f"{out} double")
 
 
 def cooldown_events(df: DataFrame, keys: Keys, order: Sequence[str], value: str, threshold: str, gap: int, out: str = "selected") -> DataFrame:

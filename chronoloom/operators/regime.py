@@ -6,27 +6,44 @@ import warnings
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
-from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from chronoloom.operators.recursive import ordered_scan
 
 
-@F.pandas_udf(DoubleType())
-def _probit(p: pd.Series) -> pd.Series:
-    inv = NormalDist().inv_cdf
-    return p.map(lambda v: inv(v) if v == v else np.nan)
+# Coefficients of Wichura's rational approximations of the normal quantile (algorithm AS 241), fixed values: numerator and
+# denominator near the middle, in the tails, and far out in the tails, in ascending powers.
+MIDDLE = (
+    (3.3871328727963666080, 1.3314166789178437745e2, 1.9715909503065514427e3, 1.3731693765509461125e4, 4.5921953931549871457e4, 6.7265770927008700853e4, 3.3430575583588128105e4, 2.5090809287301226727e3),
+    (1.0, 4.2313330701600911252e1, 6.8718700749205790830e2, 5.3941960214247511077e3, 2.1213794301586595867e4, 3.9307895800092710610e4, 2.8729085735721942674e4, 5.2264952788528545610e3),
+)
+TAIL = (
+    (1.42343711074968357734, 4.63033784615654529590, 5.76949722146069140550, 3.64784832476320460504, 1.27045825245236838258, 2.41780725177450611770e-1, 2.27238449892691845833e-2, 7.74545014278341407640e-4),
+    (1.0, 2.05319162663775882187, 1.67638483018380384940, 6.89767334985100004550e-1, 1.48103976427480074590e-1, 1.51986665636164571966e-2, 5.47593808499534494600e-4, 1.05075007164441684324e-9),
+)
+FAR = (
+    (6.65790464350110377720, 5.46378491116411436990, 1.78482653991729133580, 2.96560571828504891230e-1, 2.65321895265761230930e-2, 1.24266094738807843860e-3, 2.71155556874348757815e-5, 2.01033439929228813265e-7),
+    (1.0, 5.99832206555887937690e-1, 1.36929880922735805310e-1, 1.48753612908506148525e-2, 7.86869131145613259100e-4, 1.84631831751005468180e-5, 1.42151175831644588870e-7, 2.04426310338993978564e-15),
+)
+
+
+def _ratio(x: Column, both: tuple[tuple[float, ...], tuple[float, ...]]) -> Column:
+    top, bottom = (reduce(lambda acc, c: acc * x + c, reversed(cs[:-1]), F.lit(cs[-1])) for cs in both)
+    return top / bottom
 
 
 def probit(p: Column, eps: float = 1e-4) -> Column:
     """Standard normal quantile of a probability kept away from 0 and 1."""
-    return _probit(F.when(p.isNotNull(), F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps))))
+    p = F.when(p.isNotNull(), F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps)))
+    q = p - 0.5
+    r = F.sqrt(-F.ln(F.least(p, 1 - p)))
+    tails = F.when(r <= 5, _ratio(r - 1.6, TAIL)).otherwise(_ratio(r - 5.0, FAR))
+    return F.when(F.abs(q) <= 0.425, q * _ratio(0.180625 - q * q, MIDDLE)).otherwise(F.signum(q) * tails)
 
 
 @dataclass(frozen=True)
@@ -42,6 +59,10 @@ class Gaussians:
         d = x[:, None, :] - self.means[None]
         return -0.5 * (np.log(2 * np.pi * self.variances).sum(1)[None] + (d * d / self.variances[None]).sum(2))
 
+    def known_density(self, x: np.ndarray) -> np.ndarray:
+        """Log densities, 0 for rows with a missing feature, which say nothing."""
+        return np.where(np.isnan(x).any(axis=1)[:, None], 0.0, self.log_density(np.nan_to_num(x)))
+
     def reordered(self, order: Sequence[int]) -> Gaussians:
         o = np.array(order)
         return Gaussians(self.start[o], self.move[np.ix_(o, o)], self.means[o], self.variances[o])
@@ -58,14 +79,11 @@ def forward_filter(df: DataFrame, keys: Sequence[str], order: Sequence[str], fea
     log_start, log_move = np.log(model.start + 1e-300), np.log(model.move + 1e-300)
 
     def step(state: object, rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], object]:
-        x = rows[list(features)].to_numpy(float)
-        known = ~np.isnan(x).any(axis=1)
-        density = model.log_density(np.nan_to_num(x))
-        out = np.empty((len(x), k))
+        density = model.known_density(rows[list(features)].to_numpy(float))
+        out = np.empty((len(density), k))
         a = state
-        for i in range(len(x)):
-            a = log_start if a is None else _log_add(a[:, None] + log_move, 0)
-            a = a + density[i] if known[i] else a
+        for i in range(len(density)):
+            a = (log_start if a is None else _log_add(a[:, None] + log_move, 0)) + density[i]
             a = a - _log_add(a, 0)
             out[i] = np.exp(a)
         best = out.argmax(axis=1)
@@ -75,11 +93,11 @@ def forward_filter(df: DataFrame, keys: Sequence[str], order: Sequence[str], fea
 
 
 def prefix_viterbi(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[str], model: Gaussians, out: str = "viterbi") -> DataFrame:
-    """Last state of the best path up to each row: it never looks ahead."""
+    """Last state of the best path up to each row: it never looks ahead. A row with a NULL feature is a transition alone."""
     log_start, log_move = np.log(model.start + 1e-300), np.log(model.move + 1e-300)
 
     def step(state: object, rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], object]:
-        density = model.log_density(rows[list(features)].to_numpy(float))
+        density = model.known_density(rows[list(features)].to_numpy(float))
         res, d = np.empty(len(rows), np.int32), state
         for i in range(len(rows)):
             d = (log_start if d is None else (d[:, None] + log_move).max(axis=0)) + density[i]
@@ -90,8 +108,10 @@ def prefix_viterbi(df: DataFrame, keys: Sequence[str], order: Sequence[str], fea
     return ordered_scan(df, keys, order, step, f"{out} int")
 
 
-def debounced(df: DataFrame, keys: Sequence[str], order: Sequence[str], candidate: str, confidence: str, confirm: int, switch: float, least_rows: int = 1, out: str = "steady") -> DataFrame:
-    """Switches to another state after ``confirm`` rows in a row say so with confidence, and not before ``least_rows`` rows."""
+def debounced(df: DataFrame, keys: Sequence[str], order: Sequence[str], candidate: str, confidence: str, confirm: int, switch: float, least_rows: int = 1, out: str = "steady", posteriors: Sequence[str] = ()) -> DataFrame:
+    """Switches to another state after ``confirm`` rows in a row say so with confidence, and not before ``least_rows`` rows.
+
+    With the names of the states' ``posteriors``, ``{out}_confidence`` is that of the state held."""
 
     def step(state: object, rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], object]:
         current, waiting, count, age = state or (None, None, 0, 0)
@@ -110,7 +130,8 @@ def debounced(df: DataFrame, keys: Sequence[str], order: Sequence[str], candidat
             res[i] = current
         return {out: res}, (current, waiting, count, age)
 
-    return ordered_scan(df, keys, order, step, f"{out} int")
+    held = ordered_scan(df, keys, order, step, f"{out} int")
+    return held.withColumn(f"{out}_confidence", F.get(F.array(*posteriors), F.col(out))) if posteriors else held
 
 
 #: Rows of a block, the unit that the driver chains, and of a strip, the unit that a block steps through side by side.

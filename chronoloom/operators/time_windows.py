@@ -7,8 +7,9 @@ from math import pi
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chronoloom.functions.frames import HOUR, Keys, at_least, ordered, span, span_before
+from chronoloom.functions.frames import HOUR, Keys, at_least, ordered, span
 from chronoloom.functions.scalar import clip, divide, log_return_bps, micros, squash
+from chronoloom.operators import ranks
 
 
 def base_returns(df: DataFrame, keys: Keys, ts: str, price: str, out: str = "ret") -> DataFrame:
@@ -102,34 +103,37 @@ def data_quality(df: DataFrame, keys: Keys, ts: str, value: str, length: int, ba
 
 
 def past_percentile(df: DataFrame, keys: Keys, ts: str, value: str, length: int, min_periods: int, out: str) -> DataFrame:
-    """(average rank - 1) / (count - 1) of the current value within the span; the list is bounded by the span."""
-    df = df.withColumn("_a", F.collect_list(value).over(span(keys, ts, length)))
-    below, equal, n = F.size(F.filter("_a", lambda v: v < F.col(value))), F.size(F.filter("_a", lambda v: v == F.col(value))), F.size("_a")
-    return df.withColumn(out, F.when((n >= min_periods) & F.col(value).isNotNull(), divide(below + (equal - 1) / 2, n - 1))).drop("_a")
+    """(average rank - 1) / (count - 1) of the current value within the span."""
+    return ranks.past_ranks(df, keys, ts, value, length, min_periods, out, strict=False)
 
 
 def past_midrank(df: DataFrame, keys: Keys, ts: str, value: str, length: int, min_obs: int, out: str) -> DataFrame:
     """(number below + number not above) / 2n among the values of [t - d, t), the current one excluded."""
-    df = df.withColumn("_a", F.collect_list(value).over(span_before(keys, ts, length)))
-    below, upto, n = F.size(F.filter("_a", lambda v: v < F.col(value))), F.size(F.filter("_a", lambda v: v <= F.col(value))), F.size("_a")
-    return df.withColumn(out, F.when((n >= min_obs) & F.col(value).isNotNull(), divide((below + upto).cast("double"), 2 * n))).drop("_a")
+    return ranks.past_ranks(df, keys, ts, value, length, min_obs, out, strict=True)
 
 
-def iqr_z(df: DataFrame, keys: Keys, ts: str, value: str, length: int, min_periods: int, out: str, bound: float = 5.0) -> DataFrame:
-    """(x - median) / (IQR / 1.349) with both from values before the current row, clipped."""
-    df = df.withColumn("_p", F.lag(value).over(ordered(keys, ts)))
-    w = span(keys, ts, length)
-    q = at_least(F.percentile(F.col("_p"), [0.25, 0.5, 0.75]).over(w), F.col("_p"), w, min_periods)
-    df = df.withColumn("_q", q)
-    z = divide(F.col(value) - F.get("_q", F.lit(1)), (F.get("_q", F.lit(2)) - F.get("_q", F.lit(0))) / 1.349)
-    return df.withColumn(out, clip(z, -bound, bound)).drop("_p", "_q")
+def iqr_z(df: DataFrame, keys: Keys, ts: str, value: str, length: int, min_periods: int, out: str, bound: float = 5.0, scale: float = 1.349, eps: float = 0.0) -> DataFrame:
+    """(x - median) / (IQR / scale + eps) with both from values before the current row, clipped."""
+    df = ranks.past_quantiles(df, keys, ts, value, {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}, length, min_periods)
+    z = divide(F.col(value) - F.col("_q2"), (F.col("_q3") - F.col("_q1")) / scale + eps)
+    return df.withColumn(out, clip(z, -bound, bound)).drop("_q1", "_q2", "_q3")
+
+
+def train_or_past_z(df: DataFrame, keys: Keys, ts: str, value: str, train: Column | None, length: int, min_periods: int, out: str, bound: float = 5.0, eps: float = 1e-12) -> DataFrame:
+    """(x - median) / (IQR + eps): of the key's training rows where it has values there, else of the values before the row."""
+    past = iqr_z(df, keys, ts, value, length, min_periods, out, bound, 1.0, eps)
+    if train is None:
+        return past
+    fit = df.where(train).groupBy(*keys).agg(F.percentile(value, [0.25, 0.5, 0.75]).alias("_fit"))
+    q = lambda k: F.get("_fit", F.lit(k))
+    z = clip((F.col(value) - q(1)) / (q(2) - q(0) + eps), -bound, bound)
+    return past.join(fit, list(keys), "left").withColumn(out, F.when(q(1).isNull(), F.col(out)).otherwise(z)).drop("_fit")
 
 
 def outlier_cap(df: DataFrame, keys: Keys, ts: str, value: str, length: int, out: str, k: float = 3.0) -> DataFrame:
     """Values above q3 + k IQR are compressed to the stretch of one more IQR above the cap, by their place up to the maximum."""
-    w, x = span(keys, ts, length), F.col(value)
-    df = df.withColumn("_q", F.percentile(x, [0.25, 0.75]).over(w)).withColumn("_m", F.max(x).over(w))
-    q1, q3 = F.get("_q", F.lit(0)), F.get("_q", F.lit(1))
+    df = ranks.rolling_quantiles(df, keys, ts, value, {"_q1": 0.25, "_q3": 0.75, "_m": 1.0}, length=length)
+    x, q1, q3 = F.col(value), F.col("_q1"), F.col("_q3")
     iqr, cap = q3 - q1, q3 + k * (q3 - q1)
     packed = F.coalesce(q3 + (k + 1) * iqr * divide(x - q3, F.col("_m") - q3), cap)
-    return df.withColumn(out, F.when(x > cap, packed).otherwise(x)).drop("_q", "_m")
+    return df.withColumn(out, F.when(x > cap, packed).otherwise(x)).drop("_q1", "_q3", "_m")

@@ -1,6 +1,6 @@
 """Row-window operators. Each returns a Column or the frame with new columns; ``keys`` partition, ``ts`` orders.
 
-Rolling medians use ``percentile`` (linear interpolation), the form that Spark accepts over an ordered frame.
+Quantiles over long frames are in ``ranks``; short frames (bounded lists) are plain windows.
 """
 
 from __future__ import annotations
@@ -9,27 +9,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.frames import Keys, at_least, ordered, past, rows
-from chronoloom.functions.scalar import divide
+from chronoloom.functions.scalar import clip, divide
+from chronoloom.operators import ranks
 
 MAD_SCALE = 1.4826
 
 
-def _pct(x: Column, *q: float) -> Column:
-    return F.percentile(x, [float(v) for v in q]) if len(q) > 1 else F.percentile(x, float(q[0]))
-
-
-def rolling_quantile(x: Column, keys: Keys, ts: str, n: int, q: float, min_periods: int = 1) -> Column:
-    w = rows(keys, ts, n)
-    return at_least(_pct(x, q).over(w), x, w, min_periods)
-
-
 def nested_mad_z(df: DataFrame, keys: Keys, ts: str, value: str, n: int, min_periods: int, out: str) -> DataFrame:
     """(x - median) / (1.4826 median of |x - the median at that row|), both over the last n rows."""
-    x, w = F.col(value), rows(keys, ts, n)
-    df = df.withColumn("_med", at_least(_pct(x, 0.5).over(w), x, w, min_periods))
-    df = df.withColumn("_dev", F.abs(x - F.col("_med")))
-    mad = at_least(_pct(F.col("_dev"), 0.5).over(w), F.col("_dev"), w, min_periods)
-    return df.withColumn(out, divide(x - F.col("_med"), MAD_SCALE * mad)).drop("_med", "_dev")
+    df = ranks.nested_deviation(df, keys, ts, value, n, min_periods, "_med", "_mad")
+    return df.withColumn(out, divide(F.col(value) - F.col("_med"), MAD_SCALE * F.col("_mad"))).drop("_med", "_mad")
 
 
 def array_median(a: Column) -> Column:
@@ -50,19 +39,26 @@ def true_mad(df: DataFrame, keys: Keys, ts: str, value: str, n: int, min_periods
 def true_mad_z(df: DataFrame, keys: Keys, ts: str, value: str, n: int, min_periods: int, out: str) -> DataFrame:
     """Robust z against the window's own median and deviation; 0 where it can't be formed."""
     w = rows(keys, ts, n)
-    df = true_mad(df.withColumn("_med", _pct(F.col(value), 0.5).over(w)), keys, ts, value, n, min_periods, "_mad")
+    df = true_mad(df.withColumn("_med", F.percentile(value, 0.5).over(w)), keys, ts, value, n, min_periods, "_mad")
     return df.withColumn(out, F.coalesce(divide(F.col(value) - F.col("_med"), MAD_SCALE * F.col("_mad")), F.lit(0.0))).drop("_med", "_mad")
 
 
 def matured_sigma(df: DataFrame, keys: Keys, ts: str, value: str, lag: int, n: int, min_periods: int, min_expanding: int, out: str) -> DataFrame:
     """Robust scale of values that have matured (lag rows ago and before); else the deviation of all of them."""
     df = df.withColumn("_x", F.lag(value, lag).over(ordered(keys, ts)))
-    w, x = rows(keys, ts, n), F.col("_x")
-    df = df.withColumn("_med", at_least(_pct(x, 0.5).over(w), x, w, min_periods)).withColumn("_dev", F.abs(x - F.col("_med")))
-    mad = at_least(_pct(F.col("_dev"), 0.5).over(w), F.col("_dev"), w, min_periods)
-    every = ordered(keys, ts).rowsBetween(Window.unboundedPreceding, 0)
+    df = ranks.nested_deviation(df, keys, ts, "_x", n, min_periods, "_med", "_mad")
+    every, x = ordered(keys, ts).rowsBetween(Window.unboundedPreceding, 0), F.col("_x")
     wide = at_least(F.stddev_samp(x).over(every), x, every, min_expanding)
-    return df.withColumn(out, F.coalesce(MAD_SCALE * mad, wide)).drop("_x", "_med", "_dev")
+    return df.withColumn(out, F.coalesce(MAD_SCALE * F.col("_mad"), wide)).drop("_x", "_med", "_mad")
+
+
+def past_sigma(df: DataFrame, keys: Keys, ts: str, value: str, n: int, min_periods: int, length: int, out: str, least: float = 1e-12) -> DataFrame:
+    """Robust scale of the values before a row: 1.4826 MAD over n rows (each distance from its own row's median), where it can't be
+    formed the interquartile range over ``length`` / 1.349; not below ``least``."""
+    df = df.withColumn("_x", F.lag(value).over(ordered(keys, ts)))
+    df = ranks.nested_deviation(df, keys, ts, "_x", n, min_periods, "_med", "_mad")
+    df = ranks.rolling_quantiles(df, keys, ts, "_x", {"_lo": 0.25, "_hi": 0.75}, least=min_periods, length=length)
+    return df.withColumn(out, clip(F.coalesce(MAD_SCALE * F.col("_mad"), (F.col("_hi") - F.col("_lo")) / 1.349), least)).drop("_x", "_med", "_mad", "_lo", "_hi")
 
 
 def rolling_slope(y: Column, keys: Keys, ts: str, n: int) -> Column:
@@ -86,24 +82,6 @@ def extreme_flag(df: DataFrame, keys: Keys, ts: str, level: str, n: int, high: i
     return df.withColumn(out, F.when(fresh(high, high_reset), -1).when(fresh(low, low_reset), 1).otherwise(0)).drop("_rn")
 
 
-def point_in_time_bins(df: DataFrame, keys: Keys, ts: str, value: str, bins: int, first: int, every: int, neutral: int, out: str) -> DataFrame:
-    """Quantile bins of strictly past values, refitted every ``every`` rows after the first ``first``; neutral before.
-
-    Edges are one aggregate per refit and key: each value is sent to the refits after it, of which there are few per key.
-    """
-    rn = F.row_number().over(ordered(keys, ts)) - 1
-    base = df.withColumn("_rn", rn)
-    base = base.withColumn("_refit", F.when(F.col("_rn") >= first, F.floor((F.col("_rn") - first) / every)))
-    last = base.groupBy(*keys).agg(F.max("_refit").alias("_last"))
-    after = F.greatest(F.ceil((F.col("_rn") + 1 - first) / every), F.lit(0))
-    sent = base.join(last, list(keys)).where(F.col("_last").isNotNull() & (after <= F.col("_last")))
-    sent = sent.select(*keys, F.explode(F.sequence(after.cast("long"), F.col("_last").cast("long"))).alias("_refit"), F.col(value).alias("_v"))
-    edges = sent.groupBy(*keys, "_refit").agg(F.percentile("_v", [k / bins for k in range(1, bins)]).alias("_edges"))
-    binned = base.join(edges, [*keys, "_refit"], "left")
-    found = F.size(F.filter("_edges", lambda e: e <= F.col(value)))
-    return binned.withColumn(out, F.when(F.col("_edges").isNull() | F.col(value).isNull(), neutral).otherwise(found)).drop("_rn", "_refit", "_edges").select(*df.columns, out)
-
-
 def repeat_suppressed(x: Column, keys: Keys, ts: str, back: int = 3) -> Column:
     """0 where a value equals one of the ``back`` values before it (as they were before suppression)."""
     w = ordered(keys, ts)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import scalar as sc
 from chronoloom.functions.frames import ordered
 from chronoloom.operators import aggregates as ag, checks, resample, selection, windows as wn
+from chronoloom.operators import ranks
 from chronoloom.plans.registry import BARS, FLOWS, bars, flows, query, r, rounded, table
 
 
@@ -229,11 +230,18 @@ def flow_features(spark, sf_dir):
     return rounded(f.select("t", "total", (F.col("fl") - F.col("fs")).alias("diff"), sc.safe_ratio("fl", "total", 0.5).alias("ratio"), sc.safe_ratio(F.col("fl") - F.col("fs"), "total", 0.0).alias("sdom"), F.when(F.col("total") > 0, 1).otherwise(0).alias("active")))
 
 
-@query(f"""WITH {FLOWS}, x AS (SELECT t, k, ln(1 + fl + fs) AS x FROM flows), m AS (SELECT *, CASE WHEN count(x) OVER w >= 20 THEN quantile_cont(x, 0.5) OVER w END AS med FROM x WINDOW w AS (PARTITION BY k ORDER BY t ROWS 23 PRECEDING)), d AS (SELECT *, abs(x - med) AS dev FROM m)
-  SELECT t, round((x - med) / nullif(1.4826 * CASE WHEN count(dev) OVER w >= 20 THEN quantile_cont(dev, 0.5) OVER w END, 0), 6) + 0.0 AS z_log_total FROM d WINDOW w AS (PARTITION BY k ORDER BY t ROWS 23 PRECEDING)""")
+_Z_PARTS = {"z_log_total": "ln(1 + fl + fs)", "z_log_long": "ln(1 + fl)", "z_log_short": "ln(1 + fs)", "z_sdom": "CASE WHEN fl + fs > 1e-12 THEN (fl - fs) / (fl + fs + 1e-12) ELSE 0 END"}
+
+
+@query(f"""WITH {FLOWS}, m AS (SELECT t, k, {", ".join(f"{x} AS {n}_x, CASE WHEN count(*) OVER w >= 20 THEN quantile_cont({x}, 0.5) OVER w END AS {n}_m" for n, x in _Z_PARTS.items())} FROM flows WINDOW w AS (PARTITION BY k ORDER BY t ROWS 23 PRECEDING)),
+  d AS (SELECT *, {", ".join(f"abs({n}_x - {n}_m) AS {n}_d" for n in _Z_PARTS)} FROM m)
+  SELECT t, {", ".join(f"round(({n}_x - {n}_m) / nullif(1.4826 * CASE WHEN count({n}_d) OVER w >= 20 THEN quantile_cont({n}_d, 0.5) OVER w END, 0), 6) + 0.0 AS {n}" for n in _Z_PARTS)} FROM d WINDOW w AS (PARTITION BY k ORDER BY t ROWS 23 PRECEDING)""")
 def model_z_features(spark, sf_dir):
-    f = flows(spark, sf_dir).withColumn("x", F.log1p(F.col("fl") + F.col("fs")))
-    return rounded(wn.nested_mad_z(f, ["k"], "t", "x", 24, 20, "z_log_total").select("t", "z_log_total"))
+    f = flows(spark, sf_dir)
+    parts = {"z_log_total": F.log1p(F.col("fl") + F.col("fs")), "z_log_long": F.log1p("fl"), "z_log_short": F.log1p("fs"), "z_sdom": sc.safe_ratio(F.col("fl") - F.col("fs"), F.col("fl") + F.col("fs"), 0.0)}
+    for name, x in parts.items():
+        f = wn.nested_mad_z(f.withColumn("x", x), ["k"], "t", "x", 24, 20, name)
+    return rounded(f.select("t", *parts))
 
 
 @query(f"""WITH {FLOWS}, x AS (SELECT *, fl - fs AS diff FROM flows), q AS (SELECT t, diff, {", ".join(f"CASE WHEN count(diff) OVER w >= 24 THEN quantile_cont(diff, {p}) OVER w END AS q{int(p * 100)}" for p in (0.2, 0.4, 0.6, 0.8))}, CASE WHEN fl + fs > 1e-12 THEN fl / (fl + fs + 1e-12) ELSE 0.5 END AS rpn, extract(hour FROM t) % 9 AS bin FROM x WINDOW w AS (PARTITION BY k ORDER BY t ROWS 71 PRECEDING))
@@ -241,8 +249,8 @@ def model_z_features(spark, sf_dir):
 def dominance_state(spark, sf_dir):
     """First-match decision between the two sides by bin, ratio and rolling quantiles of the difference."""
     f = flows(spark, sf_dir).withColumn("diff", F.col("fl") - F.col("fs"))
-    q = {n: wn.rolling_quantile(F.col("diff"), ["k"], "t", 72, v, 24) for n, v in (("q20", 0.2), ("q40", 0.4), ("q60", 0.6), ("q80", 0.8))}
-    f = f.withColumns(q).withColumn("rpn", sc.safe_ratio("fl", F.col("fl") + F.col("fs"), 0.5)).withColumn("bin", F.hour("t") % 9)
+    f = ranks.rolling_quantiles(f, ["k"], "t", "diff", {"q20": 0.2, "q40": 0.4, "q60": 0.6, "q80": 0.8}, least=24, rows=72)
+    f = f.withColumn("rpn", sc.safe_ratio("fl", F.col("fl") + F.col("fs"), 0.5)).withColumn("bin", F.hour("t") % 9)
     c = F.col
     up = ((c("bin") <= 3) & (c("diff") <= c("q20"))) | ((c("bin") == 4) & (c("rpn") <= 0.48) & (c("diff") <= c("q40")))
     down = ((c("bin") >= 5) & (c("diff") >= c("q80"))) | ((c("bin") == 4) & (c("rpn") >= 0.52) & (c("diff") >= c("q60")))

@@ -80,7 +80,7 @@ def gaussian_dynamics(spark, sf_dir):
 def cooldown_events(spark, sf_dir):
     b = bars(spark, sf_dir)
     q = b.groupBy("k").agg(F.percentile("close", 0.9).alias("q"))
-    return rc.cooldown_events(b.join(F.broadcast(q), "k"), ["k"], ["t"], "close", "q", 12).where("selected").select("k", "t")
+    return rc.cooldown_events(b.join(q, "k"), ["k"], ["t"], "close", "q", 12).where("selected").select("k", "t")
 
 
 @query()
@@ -106,13 +106,32 @@ def hmm_filter(spark, sf_dir):
     return rounded(rg.forward_filter(b, ["k"], ["t"], ["x"], _model()).select("k", "t", "p0", "p1", "p2"))
 
 
-@query()
+def _best(a: str, b: str, c: str) -> str:
+    return f"CASE WHEN {a} >= {b} AND {a} >= {c} THEN 0 WHEN {b} >= {c} THEN 1 ELSE 2 END"
+
+
+def _log_density(m: float) -> str:
+    return f"CASE WHEN x IS NULL THEN 0.0 ELSE -0.5 * ln(2 * pi() * 0.5) - 0.5 * pow(x - {m}, 2) / 0.5 END"
+
+
+@query(f"""WITH RECURSIVE {BARS}, i AS (SELECT k, t, CASE WHEN n > 1 THEN ln(1 + close) END AS x, row_number() OVER (PARTITION BY k ORDER BY t) AS i FROM bars),
+  d AS (SELECT *, {_log_density(3)} AS g0, {_log_density(4)} AS g1, {_log_density(5)} AS g2 FROM i),
+  e(k, i, t, p0, p1, p2, d0, d1, d2, cur, waiting, cnt, age) AS (
+    SELECT k, i, t, exp(g0) / z, exp(g1) / z, exp(g2) / z, g0, g1, g2, {_best("g0", "g1", "g2")}, -1, 0, 1 FROM (SELECT *, exp(g0) + exp(g1) + exp(g2) AS z FROM d WHERE i = 1)
+    UNION ALL SELECT k, i, t, p0, p1, p2, d0 - top, d1 - top, d2 - top, CASE WHEN go THEN s ELSE cur END, CASE WHEN go OR calm THEN -1 ELSE s END, CASE WHEN go OR calm THEN 0 ELSE run END, CASE WHEN go THEN 1 ELSE age END FROM
+      (SELECT *, NOT calm AND run >= 2 AND age > 1 AS go, greatest(d0, d1, d2) AS top FROM
+        (SELECT *, s = cur OR greatest(p0, p1, p2) < 0.6 AS calm, CASE WHEN s = waiting THEN cnt + 1 ELSE 1 END AS run FROM
+          (SELECT *, {_best("p0", "p1", "p2")} AS s FROM (SELECT k, i, t, a0 / (a0 + a1 + a2) AS p0, a1 / (a0 + a1 + a2) AS p1, a2 / (a0 + a1 + a2) AS p2, d0, d1, d2, cur, waiting, cnt, age FROM
+            (SELECT d.k, d.i, d.t, (0.9 * p0 + 0.05 * p1 + 0.05 * p2) * exp(g0) AS a0, (0.05 * p0 + 0.9 * p1 + 0.05 * p2) * exp(g1) AS a1, (0.05 * p0 + 0.05 * p1 + 0.9 * p2) * exp(g2) AS a2,
+              greatest(d0 + ln(0.9), d1 + ln(0.05), d2 + ln(0.05)) + g0 AS d0, greatest(d0 + ln(0.05), d1 + ln(0.9), d2 + ln(0.05)) + g1 AS d1, greatest(d0 + ln(0.05), d1 + ln(0.05), d2 + ln(0.9)) + g2 AS d2, cur, waiting, cnt, age + 1 AS age
+             FROM e JOIN d ON d.k = e.k AND d.i = e.i + 1))))))
+  SELECT k, t, {_best("p0", "p1", "p2")} AS state, {_best("d0", "d1", "d2")} AS viterbi, cur AS steady, round([p0, p1, p2][cur + 1], 6) + 0.0 AS steady_confidence FROM e""")
 def hmm_states(spark, sf_dir):
-    """Filtered, prefix-decoded and debounced states."""
-    b = bars(spark, sf_dir).withColumn("x", F.log1p("close")).select("k", "t", "x")
+    """Filtered, prefix-decoded and debounced states of a series with missing values."""
+    b = _gappy(spark, sf_dir).withColumn("x", F.log1p("v")).select("k", "t", "x")
     f = rg.forward_filter(b, ["k"], ["t"], ["x"], _model())
     f = rg.prefix_viterbi(f, ["k"], ["t"], ["x"], _model())
-    return rg.debounced(f, ["k"], ["t"], "state", "confidence", 2, 0.6).select("k", "t", "state", "viterbi", "steady")
+    return rounded(rg.debounced(f, ["k"], ["t"], "state", "confidence", 2, 0.6, posteriors=["p0", "p1", "p2"]).select("k", "t", "state", "viterbi", "steady", "steady_confidence"))
 
 
 @query()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.frames import DAY, HOUR, ordered, rows, span
 
-from chronoloom.operators import islands, time_windows as tw, windows as wn
+from chronoloom.operators import islands, ranks, time_windows as tw, windows as wn
 from chronoloom.plans.registry import BARS, FLOWS, bars, flows, query, r, rounded
 
 W = "(PARTITION BY k ORDER BY t ROWS BETWEEN {n} PRECEDING AND CURRENT ROW)"
@@ -39,8 +39,7 @@ def rolling_stats(spark, sf_dir):
 
 @query(f"""WITH {BARS} SELECT k, t, {r("q20", "q50", "q80")} FROM (SELECT k, t, {", ".join(f"CASE WHEN count(close) OVER {rn(24)} >= 12 THEN quantile_cont(close, {q}) OVER {rn(24)} END AS q{int(q * 100)}" for q in (0.2, 0.5, 0.8))} FROM bars)""")
 def rolling_quantile(spark, sf_dir):
-    q = lambda v: wn.rolling_quantile(F.col("close"), ["k"], "t", 24, v, 12)
-    return rounded(bars(spark, sf_dir).select("k", "t", q(0.2).alias("q20"), q(0.5).alias("q50"), q(0.8).alias("q80")))
+    return rounded(ranks.rolling_quantiles(bars(spark, sf_dir), ["k"], "t", "close", {"q20": 0.2, "q50": 0.5, "q80": 0.8}, least=12, rows=24).select("k", "t", "q20", "q50", "q80"))
 
 
 @query(f"""WITH {BARS}, m AS (SELECT k, t, close, CASE WHEN count(close) OVER {rn(24)} >= 20 THEN quantile_cont(close, 0.5) OVER {rn(24)} END AS med FROM bars), d AS (SELECT *, abs(close - med) AS dev FROM m)
@@ -78,7 +77,7 @@ def extreme_flag(spark, sf_dir):
   e AS (SELECT a.k, a.g, quantile_cont(b.close, [{", ".join(str(j) + "/9" for j in range(1, 9))}]) AS edges FROM (SELECT DISTINCT k, g FROM g WHERE g IS NOT NULL) a JOIN i b ON b.k = a.k AND b.i < 72 + 24 * a.g GROUP BY 1, 2)
   SELECT g.k, g.t, CASE WHEN edges IS NULL THEN 4 ELSE len(list_filter(edges, lambda q: q <= close)) END AS bin FROM g LEFT JOIN e ON e.k = g.k AND e.g = g.g""")
 def point_in_time_bins(spark, sf_dir):
-    return wn.point_in_time_bins(bars(spark, sf_dir), ["k"], "t", "close", 9, 72, 24, 4, "bin").select("k", "t", "bin")
+    return ranks.expanding_bins(bars(spark, sf_dir), ["k"], "t", "close", 9, 72, 24, 4, "bin").select("k", "t", "bin")
 
 
 SIDE = """s AS (SELECT k, t, CASE WHEN close > open THEN 1 WHEN close < open THEN -1 ELSE 0 END AS s, row_number() OVER (PARTITION BY k ORDER BY t) AS i FROM bars)"""

@@ -134,4 +134,6 @@ class RestReader(DataSourceReader):
             raise ValueError("the answer is no list")
         for row in rows:
             yield tuple(json.dumps(row[n]) if isinstance(row.get(n), dict) else row.get(n) for n in self.names)
-        time.sleep(max(0.0, 60 / float(self.options.get("rpm", 60)) - (time.monotonic() - started)))
+        # partitions may all run at once, so each keeps to its share of the rate
+        share = float(self.options.get("rpm", 60)) / len(self.partitions())
+        time.sleep(max(0.0, 60 / share - (time.monotonic() - started)))

@@ -48,34 +48,36 @@ def online_rank(stream: DataFrame, keys: Sequence[str], ts: str, value: str, loo
     """Mid-rank of each value among those of [t - lookback, t), NULL until there are enough; older ones leave the state."""
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, values = (list(v) for v in state.get) if state.exists else ([], [])
-        rows = _fresh(pdfs, ts, times[-1] if times else -(2**62))
+        times, values, last = state.get if state.exists else ([], [], -(2**62))
+        times, values = list(times), list(values)
+        rows = _fresh(pdfs, ts, last)
         out = []
         for at, x in zip(rows["_at"].to_numpy(), rows[value].to_numpy(float), strict=True):
             cut = int(np.searchsorted(times, at - lookback))
             times, values = times[cut:], values[cut:]
             v = np.array(values)
-            out.append(((v < x).sum() + (v <= x).sum()) / (2 * len(v)) if len(v) >= max(least, 1) else None)
-            times.append(int(at))
-            values.append(float(x))
-        if times:
-            state.update((times, values))
+            out.append(((v < x).sum() + (v <= x).sum()) / (2 * len(v)) if x == x and len(v) >= max(least, 1) else None)
+            if x == x:  # a NULL has no rank and is no one's past
+                times.append(int(at))
+                values.append(float(x))
+        if len(rows):
+            state.update((times, values, int(rows["_at"].iloc[-1])))
         yield rows.assign(rank=pd.Series(out, index=rows.index, dtype=float))[[*keys, ts, value, "rank"]]
 
     schema = ", ".join(f"`{c}` {dict(stream.dtypes)[c]}" for c in (*keys, ts, value)) + ", rank double"
-    return stream.groupBy(*keys).applyInPandasWithState(step, schema, "times array<long>, seen array<double>", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(*keys).applyInPandasWithState(step, schema, "times array<long>, seen array<double>, last long", "append", GroupStateTimeout.NoTimeout)
 
 
 def online_regime(stream: DataFrame, keys: Sequence[str], ts: str, features: Sequence[str], model: Gaussians, confirm: int = 2, switch: float = 0.6) -> DataFrame:
-    """Filtered best state, its probability, and the debounced state of each accepted row."""
+    """Filtered best state, its probability, and the debounced state of each accepted row; a row with a NULL feature only predicts."""
     log_start, log_move = np.log(model.start + 1e-300), np.log(model.move + 1e-300)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        a, last, current, waiting, count = state.get if state.exists else (None, -(2**62), None, None, 0)
+        a, last, current, waiting, count, age = state.get if state.exists else (None, -(2**62), None, None, 0, 0)
         a = None if a is None else np.array(a)
         rows = _fresh(pdfs, ts, last)
         best, sure, steady = [], [], []
-        for d in model.log_density(rows[list(features)].to_numpy(float)):
+        for d in model.known_density(rows[list(features)].to_numpy(float)):
             if a is None:
                 a = log_start + d
             else:
@@ -85,22 +87,23 @@ def online_regime(stream: DataFrame, keys: Sequence[str], ts: str, features: Seq
             a = a - (a.max() + np.log(np.exp(a - a.max()).sum()))
             s, p = int(a.argmax()), float(np.exp(a.max()))
             current = s if current is None else current
+            age += 1
             if s == current or p < switch:
                 waiting, count = None, 0
             else:
                 count = count + 1 if s == waiting else 1
                 waiting = s
-                if count >= confirm:
-                    current, waiting, count = s, None, 0
+                if count >= confirm and age > 1:
+                    current, waiting, count, age = s, None, 0, 1
             best.append(s)
             sure.append(p)
             steady.append(current)
         if len(rows):
-            state.update((a.tolist(), int(rows["_at"].iloc[-1]), current, waiting, count))
+            state.update((a.tolist(), int(rows["_at"].iloc[-1]), current, waiting, count, age))
         yield rows.assign(state=best, confidence=sure, steady=steady)[[*keys, ts, "state", "confidence", "steady"]]
 
     schema = ", ".join(f"`{c}` {dict(stream.dtypes)[c]}" for c in (*keys, ts)) + ", state int, confidence double, steady int"
-    return stream.groupBy(*keys).applyInPandasWithState(step, schema, "a array<double>, last long, current int, waiting int, n int", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(*keys).applyInPandasWithState(step, schema, "a array<double>, last long, current int, waiting int, n int, age int", "append", GroupStateTimeout.NoTimeout)
 
 
 def online_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, value: str, tolerance: int) -> DataFrame:

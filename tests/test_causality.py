@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import scalar as sc
 from chronoloom.functions.frames import DAY, HOUR
-from chronoloom.operators import asof, islands, pressure, recursive as rc, regime, time_windows as tw, windows as wn
+from chronoloom.operators import asof, islands, pressure, ranks, recursive as rc, regime, time_windows as tw, windows as wn
 
 T0, N, CUT = dt.datetime(2024, 1, 1), 160, 100
 
@@ -23,12 +23,12 @@ def frame(spark, factor=1.0):
 MODEL = regime.Gaussians(np.full(2, 0.5), np.array([[0.9, 0.1], [0.1, 0.9]]), np.array([[95.0], [105.0]]), np.full((2, 1), 9.0))
 K = ["k"]
 OPERATORS = {
-    "rolling_quantile": lambda d: d.withColumn("o", wn.rolling_quantile(F.col("x"), K, "t", 12, 0.4, 4)),
+    "rolling_quantile": lambda d: ranks.rolling_quantiles(d, K, "t", "x", {"o": 0.4}, least=4, rows=12),
     "nested_mad_z": lambda d: wn.nested_mad_z(d, K, "t", "x", 12, 6, "o"),
     "true_mad_z": lambda d: wn.true_mad_z(d, K, "t", "x", 12, 6, "o"),
     "matured_sigma": lambda d: wn.matured_sigma(d, K, "t", "x", 3, 24, 12, 6, "o"),
     "slope": lambda d: d.withColumn("o", wn.rolling_slope(F.col("x"), K, "t", 5)),
-    "bins": lambda d: wn.point_in_time_bins(d, K, "t", "x", 5, 24, 12, 2, "o"),
+    "bins": lambda d: ranks.expanding_bins(d, K, "t", "x", 5, 24, 12, 2, "o"),
     "entries": lambda d: islands.entry_counter(d, K, "t", "s", "o"),
     "run": lambda d: islands.run_length(d, K, "t", "s", "o"),
     "trend": lambda d: tw.rolling_trend(d, K, "t", "x", DAY, "o").withColumnRenamed("o_slope", "o"),
