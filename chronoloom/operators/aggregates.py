@@ -115,19 +115,38 @@ def event_study(df: DataFrame, keys: Sequence[str], ts: str, value: str, event:
     return around.join(df.select(*keys, "_rn", value), [*keys, "_rn"]).groupBy("offset").agg(F.percentile(value, 0.5).alias("median"), F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def empirical_cdf(df: DataFrame, keys: Sequence[str], value: str, train: Column, out: str = "u") -> DataFrame:
-    """Share of the key's training values that are not above a value; NULL where the key has none.
+def cdf_table(df: DataFrame, keys: Sequence[str], value: str, train: Column, out: str, ranges: int = 128) -> DataFrame:
+    """One row for each key (columns ``_k0``, ``_k1`` ...) and value (``_v``): the share of the key's training values that are not
+    above it, and their number (``{out}_n``).
 
-    Values are counted first, by key and value; what is cumulated and joined back is one row for each distinct value, so that a key
-    with many rows is not the work of one task. A NULL in a key is a key of its own.
+    Values are counted first, by key and value, and cumulated in two steps: within ranges of values (cut at approximate quantiles of
+    all of them) and over the ranges, so that neither a key with many rows nor one with many values is the work of one task.
     """
-    flag = F.sum(F.when(train, 1).otherwise(0))
     names = {f"_k{i}": k for i, k in enumerate(keys)}
-    counts = df.where(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(n) for n, k in names.items()], F.col(value).alias("_v")).agg(flag.alias("_n"))
-    w = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))
-    upto, total = F.sum("_n").over(w.orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)), F.sum("_n").over(w)
-    shares = counts.select(*names, "_v", divide(upto.cast("double"), total).alias(out))
+    known = df.where(F.col(value).isNotNull())
+    edges = known.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)]).alias("_edges"))
+    counts = known.groupBy(*[F.col(k).alias(n) for n, k in names.items()], F.col(value).alias("_v")).agg(F.sum(F.when(train, 1).otherwise(0)).alias("_n"))
+    counts = counts.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e <= F.col("_v")))).drop("_edges")
+    by_range = counts.groupBy(*names, "_range").agg(F.sum("_n").alias("_n"))
+    w = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))  # at most ``ranges`` rows for each key
+    before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_range = by_range.select(*[F.col(n).alias(f"{n}r") for n in names], F.col("_range").alias("_rr"), before.alias("_before"), F.sum("_n").over(w).alias(f"{out}_n"))
+    here = F.col("_range") == F.col("_rr")
+    for n in names:
+        here = here & F.col(n).eqNullSafe(F.col(f"{n}r"))
+    upto = F.sum("_n").over(Window.partitionBy(*names, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    share = divide((F.col("_before") + F.col("_upto")).cast("double"), F.col(f"{out}_n"))
+    return counts.withColumn("_upto", upto).join(by_range, here).select(*names, "_v", share.alias(out), f"{out}_n")
+
+
+def with_cdf(df: DataFrame, keys: Sequence[str], value: str, cdf: DataFrame) -> DataFrame:
+    """The rows with the columns of a ``cdf_table``; a NULL in a key is a key of its own."""
     same = F.col(value) == F.col("_v")
-    for n, k in names.items():
-        same = same & F.col(k).eqNullSafe(F.col(n))
-    return df.join(shares, same, "left").drop("_v", *names)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return df.join(cdf, same, "left").drop("_v", *[f"_k{i}" for i in range(len(keys))])
+
+
+def empirical_cdf(df: DataFrame, keys: Sequence[str], value: str, train: Column, out: str = "u") -> DataFrame:
+    """Share of the key's training values that are not above a value; NULL where the key has none."""
+    return with_cdf(df, keys, value, cdf_table(df, keys, value, train, out)).drop(f"{out}_n")

@@ -1,4 +1,4 @@
-"""Pressure features, absorption events, matured memory and path context: compositions of the window and join operators.
+"""Pressure features, matured memory and the score model: compositions of the window and join operators.
 
 All thresholds are parameters of frozen settings; decisions are CASE chains, labels that look ahead are made only where the
 name says so. Every function takes the partition keys first and works for many entities at once.
@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 from chronoloom.functions import scalar as sc
 from chronoloom.functions.frames import HOUR, Keys, at_least, ordered, rows
 from chronoloom.operators import windows as wn
-from chronoloom.operators.aggregates import empirical_cdf
 from chronoloom.operators.asof import asof_join
 from chronoloom.operators.islands import run_length
-from chronoloom.operators.joins import fallback_lookup
 from chronoloom.operators.recursive import ema
 
 
@@ -64,59 +62,6 @@ def pressure_features(df: DataFrame, keys: Keys, ts: str, posteriors: Sequence[s
     return df.withColumn("phase", phase).drop("_log", "_z", "_age", "_usual")
 
 
-@dataclass(frozen=True)
-class ResponseSettings:
-    core: tuple[float, float, float] = (0.65, 0.20, 2.0)  # reliability, signal to noise, expected move
-    weak: tuple[float, float] = (0.30, 0.10)
-    eps: float = 1e-9
-
-
-def response_context(direction: Column, reliability: Column, snr: Column, expected: Column, s: ResponseSettings = ResponseSettings()) -> Column:
-    """How far an event's response can be read; a later assignment overrides an earlier one."""
-    weak = (direction != 0) & ((reliability >= s.weak[0]) | (snr >= s.weak[1]) | (expected >= s.core[2]))
-    core = (direction != 0) & (reliability >= s.core[0]) & (snr >= s.core[1]) & (expected >= s.core[2])
-    return sc.last_assignment(F.lit("low_quality"), (weak, F.lit("weak_directional_context")), (core, F.lit("directional_core")), (direction == 0, F.lit("true_neutral")))
-
-
-def event_scores(df: DataFrame, direction: str, ret: str, expected: str, sigma: str, reliability: str, s: ResponseSettings = ResponseSettings()) -> DataFrame:
-    """Aligned return, transmission ratio, amplitude z, signal to noise and quality weight of events."""
-    c = F.col
-    y = c(direction) * c(ret)
-    scale = F.sqrt(c(expected) ** 2 + (0.75 * c(sigma)) ** 2 + s.eps)
-    snr = c(expected) / (c(sigma) + s.eps)
-    return df.withColumns({
-        "aligned": y, "transmission": y / (c(expected) + s.eps), "amplitude": (y - c(expected)) / scale, "snr": snr,
-        "weight": c(reliability) * sc.clip((snr - 0.10) / 0.35, 0.0, 1.0),
-    })
-
-
-def directional_label(u: Column, amplitude: Column, aligned: Column, expected: Column, sigma: Column) -> Column:
-    """Name of a directional response by its rank among training responses."""
-    return (
-        F.when((u >= 0.85) & (amplitude > 0), "amplification").when(u >= 0.65, "baseline_plus").when(u >= 0.35, "normal")
-        .when((u < 0.15) & (aligned < 0), "takeover").when((u < 0.35) & (F.abs(aligned) < F.greatest(0.15 * expected, 0.10 * sigma)), "stall")
-        .when(u < 0.35, "partial").otherwise("normal")
-    )
-
-
-def neutral_label(active_z: Column) -> Column:
-    return F.when(active_z < 0.75, "low").when(active_z < 1.5, "normal").when(active_z < 3, "strong").otherwise("extreme")
-
-
-def calibrated(df: DataFrame, levels: Sequence[Sequence[str]], value: str, train: Column, least: int, out: str = "u") -> DataFrame:
-    """Empirical CDF of training values in the first bucket level with enough of them.
-
-    Each level ranks the rows inside its own buckets, so no list of values is ever built.
-    """
-    picks = []
-    for k, columns in enumerate(levels):
-        n = df.where(train & F.col(value).isNotNull()).groupBy(*columns).agg(F.count("*").alias("n"), F.lit(1.0).alias("v"))
-        df = empirical_cdf(df, list(columns), value, train, f"_u{k}")
-        df = fallback_lookup(df, [(list(columns), n)], "n", "n", 0, f"_c{k}")
-        picks.append(F.when(F.coalesce(F.col(f"_c{k}"), F.lit(0)) >= (least if k < len(levels) - 1 else 0), F.col(f"_u{k}")))
-    return df.withColumn(out, F.coalesce(*picks)).drop(*[f"_{x}{k}" for k in range(len(levels)) for x in "uc"])
-
-
 def matured_memory(base: DataFrame, events: DataFrame, keys: Keys, ts: str, available: str, score: str, span: float, half_life_hours: float, out: str = "memory", tie: Sequence[str] = ()) -> DataFrame:
     """Exponential memory of event scores that were available at each time, pulled to 50 as the last one ages.
 
@@ -131,35 +76,6 @@ def matured_memory(base: DataFrame, events: DataFrame, keys: Keys, ts: str, avai
     return joined.withColumns({f"{out}_raw": F.col("_ewm"), f"{out}_age_h": F.col("_age") / HOUR, out: 50 + f * (F.coalesce("_ewm", F.lit(50.0)) - 50)}).drop("_ewm", "_age")
 
 
-def path_sums(df: DataFrame, keys: Keys, ts: str, direction: str, reliability: str, intensity: str, ret: str, n: int, prefix: str) -> DataFrame:
-    """Pressure mass, net pressure, directionality and transmitted move over the last n rows."""
-    w, c = rows(keys, ts, n), F.col
-    signed = c(direction) * c(reliability) * c(intensity)
-    df = df.withColumn("_s", signed)
-    mass, net, moved = F.sum(F.abs("_s")).over(w), F.sum("_s").over(w), F.sum(c(ret)).over(w)
-    return df.withColumns({f"{prefix}_mass": mass, f"{prefix}_net": net, f"{prefix}_dir": sc.divide(F.abs(net), mass), f"{prefix}_move": F.signum(net) * moved}).drop("_s")
-
-
-def path_context(mass: Column, directionality: Column, q30: Column, q70: Column) -> Column:
-    """Class of a path by its mass against training terciles and its directionality."""
-    return sc.last_assignment(
-        F.lit("mixed"), ((mass > q30) & (directionality >= 0.55), F.lit("weak_directional")), ((mass >= q70) & (directionality >= 0.70), F.lit("directional_core")),
-        ((mass >= q70) & (directionality < 0.35), F.lit("mixed_high_activity")), (mass <= q30, F.lit("quiet")),
-    )
-
-
-def path_label(transmission: Column, cascade: Column, divergence: Column, trend_against: Column) -> Column:
-    return (
-        F.when((transmission >= 1.25) & (cascade >= 0.35), "cascade").when(transmission >= 0.65, "baseline").when(transmission >= 0.15, "partial")
-        .when(transmission >= -0.15, "stall").when((transmission <= -0.65) & ((divergence > 0.75) | trend_against), "takeover").otherwise("rejection")
-    )
-
-
-def state_evidence(names: Sequence[str], scores: Sequence[Column]) -> tuple[Column, Column]:
-    """(name of the strongest evidence, its margin to the second)."""
-    return sc.row_argmax(list(names), list(scores)), sc.row_margin(*scores)
-
-
 def score_model(features: dict[str, float], intercept: float, reliability: Column, direction: Column) -> tuple[Column, Column]:
     """(expected size, signed expectation) of a linear model with non-negative size: literal coefficients over columns."""
     size = sc.clip(F.lit(intercept) + sum((F.lit(b) * F.col(n) for n, b in features.items()), F.lit(0.0)), 0.0)

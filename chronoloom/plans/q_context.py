@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions.frames import DAY, HOUR
 from chronoloom.operators import price_context as pc
-from chronoloom.plans.registry import BARS, bars, query, rounded
+from chronoloom.plans.registry import BARS, bars, query
 
 _S = pc.ContextSettings()
 E = "1e-12"
@@ -88,10 +88,12 @@ def _sql() -> str:
   n AS (SELECT *, {lagged} FROM v WINDOW o AS (PARTITION BY k ORDER BY t)),
   m AS (SELECT *, {", ".join(lists)} FROM n WINDOW m AS {_frame(30 * DAY)}),
   r AS (SELECT k, t AS time, t AS price_feature_time, 0.0::DOUBLE AS price_feature_age_min, ret_robust_sigma_bps, ret_outlier_z, {", ".join(out)} FROM m)
-  SELECT k, time, price_feature_time, round(COLUMNS(lambda c: c NOT IN ('k', 'time', 'price_feature_time') AND NOT contains(c, 'expected_count') AND NOT contains(c, 'flag') AND NOT contains(c, 'jump_count')), 4) + 0.0, COLUMNS('.*(expected_count|flag|jump_count).*') FROM r"""
+  SELECT k, time, price_feature_time, round(COLUMNS(lambda c: c NOT IN ('k', 'time', 'price_feature_time') AND NOT contains(c, 'expected_count') AND NOT contains(c, 'flag') AND NOT contains(c, 'jump_count') AND NOT contains(c, 'compression')), 4) + 0.0, COLUMNS('.*(expected_count|flag|jump_count).*'), round(COLUMNS('.*compression.*'), 10) + 0.0 FROM r"""
 
 
 @query(_sql())
 def price_context_full(spark, sf_dir):
     """All features of the price context of hourly bars, at the published spans."""
-    return rounded(pc.context_features(bars(spark, sf_dir).where(F.col("k").isNotNull()), ["k"], "t"), 4)
+    d = pc.context_features(bars(spark, sf_dir), ["k"], "t")
+    exact = {c: F.round(c, 10) + F.lit(0.0) for c in d.columns if "compression" in c}  # shares of counts, which tie at few digits
+    return d.select(*[exact[c].alias(c) if c in exact else (F.round(c, 4) + F.lit(0.0)).alias(c) if kind == "double" else F.col(c) for c, kind in d.dtypes])

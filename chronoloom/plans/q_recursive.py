@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from chronoloom.functions import scalar as sc
 from chronoloom.functions.frames import HOUR, ordered
 from chronoloom.operators import pressure as ps, quantreg, recursive as rc, regime as rg, windows as wn
-from chronoloom.operators.resample import chronological_split
 from chronoloom.plans.registry import BARS, FLOWS, bars, flows, query, r, rounded, table
 
 I = "i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) AS i FROM bars)"
@@ -164,30 +163,6 @@ def pressure_phases(spark, sf_dir):
     return _pressure(spark, sf_dir).groupBy("phase", "direction").agg(F.count("*").alias("n"), F.round(F.avg("intensity"), 6).alias("intensity"), F.round(F.avg("accel"), 6).alias("accel"))
 
 
-@query("""WITH e AS (SELECT event_id, CASE WHEN event_type = 'click' THEN 1 WHEN event_type = 'view' THEN -1 ELSE 0 END AS d, (event_id % 100) / 100.0 AS r, value / 20 AS b, 10 + event_id % 7 AS s FROM events), x AS (SELECT *, b / (s + 1e-9) AS snr FROM e)
-  SELECT event_id, CASE WHEN d = 0 THEN 'true_neutral' WHEN r >= 0.65 AND snr >= 0.20 AND b >= 2 THEN 'directional_core' WHEN r >= 0.30 OR snr >= 0.10 OR b >= 2 THEN 'weak_directional_context' ELSE 'low_quality' END AS context,
-    round(d * (value - 50) / (b + 1e-9), 4) + 0.0 AS transmission, round(r * least(greatest((snr - 0.10) / 0.35, 0), 1), 6) + 0.0 AS weight FROM x JOIN events USING (event_id)""")
-def response_context(spark, sf_dir):
-    return rounded(_responses(spark, sf_dir).select("event_id", "context", F.round("transmission", 4).alias("transmission"), "weight"))
-
-
-def _responses(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    e = e.withColumns({"d": F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", -1).otherwise(0), "r": (F.col("event_id") % 100) / 100.0, "b": F.col("value") / 20, "s": 10 + F.col("event_id") % 7, "ret": F.col("value") - 50})
-    e = ps.event_scores(e, "d", "ret", "b", "s", "r")
-    return e.withColumn("context", ps.response_context(F.col("d"), F.col("r"), F.col("snr"), F.col("b")))
-
-
-@query()
-def absorption_events(spark, sf_dir):
-    """Directional responses calibrated on training rows by bucket, with their labels."""
-    e = chronological_split(_responses(spark, sf_dir).where("d <> 0"), ["event_type"], ["ts", "event_id"])
-    e = e.withColumn("hour", F.hour("ts"))
-    e = ps.calibrated(e, [["event_type", "hour"], ["event_type"], ["d"]], "amplitude", F.col("split") == "train", 50, "u")
-    label = ps.directional_label(F.col("u"), F.col("amplitude"), F.col("aligned"), F.col("b"), F.col("s"))
-    return rounded(e.select("event_id", "split", "u", label.alias("label")))
-
-
 @query(f"""WITH RECURSIVE {BARS}, ev AS (SELECT event_type AS k, ts + INTERVAL 30 MINUTE AS av, 100 * (event_id % 101) / 100.0 AS sc, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events WHERE event_id % 3 = 0),
   e(k, i, av, y) AS (SELECT k, i, av, sc FROM ev WHERE i = 1 UNION ALL SELECT ev.k, ev.i, ev.av, e.y + 2.0 / 13 * (ev.sc - e.y) FROM e JOIN ev ON ev.k = e.k AND ev.i = e.i + 1), l AS (SELECT k, av, arg_max(y, i) AS y FROM e GROUP BY 1, 2)
   SELECT b.k, b.t, round(CASE WHEN l.y IS NULL THEN 50 ELSE 50 + pow(2, -(epoch_us(b.t) - epoch_us(l.av)) / 3600000000.0 / 24) * (l.y - 50) END, 6) + 0.0 AS memory FROM bars b ASOF LEFT JOIN l ON l.k = b.k AND b.t >= l.av""")
@@ -207,20 +182,6 @@ def _memory(spark, sf_dir, events):
     return rounded(ps.matured_memory(bars(spark, sf_dir).select("k", "t"), ev, ["k"], "t", "av", "sc", 12, 24, tie=["event_id"]).select("k", "t", "memory"))
 
 
-@query()
-def path_absorption(spark, sf_dir):
-    """Path sums over three windows, their context against training thresholds, and the evidence for each."""
-    w = ordered(["k"], "t")
-    d = _pressure(spark, sf_dir).withColumn("ret", sc.log_return_bps(F.col("price"), F.lag("price").over(w)))
-    for n in (6, 12, 24):
-        d = ps.path_sums(d, ["k"], "t", "direction", "reliability", "intensity", "ret", n, f"p{n}")
-    q = d.where("t < TIMESTAMP_NTZ '2024-01-20'").agg(*[F.percentile(f"p{n}_mass", v).alias(f"q{n}_{int(v * 100)}") for n in (6, 12, 24) for v in (0.3, 0.7)])
-    d = d.crossJoin(F.broadcast(q))
-    contexts = {f"context_{n}": ps.path_context(F.col(f"p{n}_mass"), F.col(f"p{n}_dir"), F.col(f"q{n}_30"), F.col(f"q{n}_70")) for n in (6, 12, 24)}
-    best, margin = ps.state_evidence(["6h", "12h", "24h"], [F.coalesce(f"p{n}_dir", F.lit(0.0)) for n in (6, 12, 24)])
-    return rounded(d.withColumns(contexts).select("t", *contexts, best.alias("strongest"), margin.alias("margin")))
-
-
 @query()
 def quantile_regression(spark, sf_dir):
     """Slopes kept non-negative, and the coverage they reach."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import scalar as sc
 from chronoloom.functions.frames import DAY, HOUR
-from chronoloom.operators import asof, islands, pressure, ranks, recursive as rc, regime, time_windows as tw, windows as wn
+from chronoloom.operators import asof, islands, ranks, recursive as rc, regime, time_windows as tw, windows as wn
 
 T0, N, CUT = dt.datetime(2024, 1, 1), 160, 100
 
@@ -45,7 +45,6 @@ OPERATORS = {
     "wavelet": lambda d: rc.trailing_wavelet(d, K, ["t"], "x", 64, 2, "o"),
     "hmm": lambda d: regime.forward_filter(d, K, ["t"], ["x"], MODEL).withColumnRenamed("p0", "o"),
     "viterbi": lambda d: regime.prefix_viterbi(d, K, ["t"], ["x"], MODEL, "o"),
-    "path": lambda d: pressure.path_sums(d, K, "t", "s", "p", "p", "x", 6, "o").withColumnRenamed("o_mass", "o"),
     "anchor": lambda d: d.withColumn("o", asof.anchor(d, K, "t", "x", 3 * HOUR, HOUR)),
 }
 
