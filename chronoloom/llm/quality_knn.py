@@ -50,7 +50,7 @@ for _k, _c in enumerate(_SYMBOLS):
 _LENGTHS = np.array([0, 1, 5, 10, 20, 40, 80, 160, 320, 640, 1280, 2560, 5120, 10240])
 _REPEATED = np.array([0.0, 0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.75])
 _DOUBLED = np.array([0.05, 0.1, 0.2, 0.4])
-PAIRS, WORDS = CLASSES * CLASSES, 1024
+PAIRS, WORDS = CLASSES * CLASSES, 256
 STEPS = PAIRS + WORDS
 TERMS = STEPS + len(_LENGTHS) + len(_REPEATED) + len(_DOUBLED)
 #: Rows that are compared with the labelled vectors at a time.
@@ -111,14 +111,18 @@ class Model:
 
 
 def fit(counts: np.ndarray, labels: np.ndarray) -> Model:
-    """A latent space from the labelled texts' term counts."""
+    """A latent space from the labelled texts' term counts, which are weighted block by block: the driver holds one copy of them."""
     if not len(labels):
         return Model(np.zeros(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1), np.float32), labels)
-    idf = np.log((1.0 + len(counts)) / (1.0 + (counts > 0).sum(axis=0))) + 0.2
-    x = np.sqrt(counts) * idf
-    values, axes = np.linalg.eigh(x.T @ x)
-    model = Model(idf, axes[:, np.argsort(-values, kind="stable")[:RANK]], np.zeros((0, RANK), np.float32), labels)
-    return Model(idf, model.axes, model.project(counts), labels)
+    blocks = [slice(at, at + BLOCK) for at in range(0, len(counts), BLOCK)]
+    idf = np.log((1.0 + len(counts)) / (1.0 + sum((counts[b] > 0).sum(axis=0) for b in blocks))) + 0.2
+    gram = np.zeros((TERMS, TERMS))
+    for b in blocks:
+        x = np.sqrt(counts[b].astype(np.float64)) * idf
+        gram += x.T @ x
+    values, axes = np.linalg.eigh(gram)
+    model = Model(idf, axes[:, np.argsort(-values, kind="stable")[:RANK]].copy(), np.zeros((0, RANK), np.float32), labels)
+    return Model(idf, model.axes, np.concatenate([model.project(counts[b].astype(np.float64)) for b in blocks]), labels)
 
 
 def in_training(doc_id: Column) -> Column:
@@ -142,8 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
     rows = texts.mapInArrow(count, "doc_id long, label double, counts array<float>").toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
-    counts = rows.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, TERMS).astype(np.float64)
-    return fit(counts[order], rows.column("label").to_numpy()[order])
+    labels = rows.column("label").to_numpy()[order]
+    counts = rows.column("counts").combine_chunks().flatten().to_numpy().reshape(-1, TERMS)[order]
+    del rows
+    return fit(counts, labels)
 
 
 def classify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
