@@ -134,7 +134,7 @@ def _path_sql() -> str:
      least(0.3 * CASE WHEN mass / (qm_hi + 1e-9) IS NULL THEN 0 ELSE least(mass / (qm_hi + 1e-9), 1) END + 0.25 * coalesce(least(rv / (qv_hi + 1e-9), 1), 0) + 0.25 * coalesce(least(trd / (qt_hi + 1e-9), 1), 0) + 0.2 * coalesce(least(jmp / (qj_hi + 1e-9), 1), 0), 1) AS activity FROM p)"""
 
 
-@query(f"""WITH {_path_sql()} SELECT t AS time, n AS window_hours, context, label, {", ".join(f"round({x}, 5) + 0.0 AS {y}" for x, y in (("mass", "mass"), ("dirn", "directionality"), ("al", "aligned"), ("cascade", "cascade_score"), ("reject", "rejection_score"),
+@query(f"""WITH {_path_sql()} SELECT t AS time, n AS window_hours, context, label, {", ".join(f"round(({x})::DOUBLE, 5) + 0.0 AS {y}" for x, y in (("mass", "mass"), ("dirn", "directionality"), ("al", "aligned"), ("cascade", "cascade_score"), ("reject", "rejection_score"),
   ("act", "active_dominance"), ("quiet", "quiet_score"), ("chop", "chop_score"), ("dq", "data_quality"), ("clarity", "signal_clarity"), ("activity", "activity_level"), ("CASE WHEN dv2 IS NOT NULL THEN 100 / (1 + exp(-least(greatest(dv2, -20), 20))) END", "absorption_score"), ("dq * clarity * tanh(least(greatest(ts, -20), 20))", "force_aligned")))} FROM z""")
 def path_absorption(spark, sf_dir):
     """Paths of pressure over four windows: context, scores, labels and quality."""
@@ -160,7 +160,7 @@ def _evidence_sql() -> str:
   e6 AS (SELECT *, list_reverse_sort([st, vt, rc, rha, hpem, amb]) AS o FROM e5)"""
 
 
-@query(f"""WITH {_evidence_sql()} SELECT t AS time, {", ".join(f"round({x}, 5) + 0.0 AS score_{x}" for x in ("st", "vt", "rc", "rha", "hpem", "amb"))}, round(o[1] - o[2], 5) + 0.0 AS state_margin,
+@query(f"""WITH {_evidence_sql()} SELECT t AS time, {", ".join(f"round({x}::DOUBLE, 5) + 0.0 AS score_{x}" for x in ("st", "vt", "rc", "rha", "hpem", "amb"))}, round((o[1] - o[2])::DOUBLE, 5) + 0.0 AS state_margin,
   CASE WHEN o[1] - o[2] < 1e-9 THEN 'tie' WHEN st = o[1] THEN 'ST' WHEN vt = o[1] THEN 'VT' WHEN rc = o[1] THEN 'RC' WHEN rha = o[1] THEN 'RHA' WHEN hpem = o[1] THEN 'HPEM' ELSE 'AMB' END AS state_label FROM e6""")
 def path_evidence(spark, sf_dir):
     """Evidence for six states from the paths of all windows; states whose scores differ by rounding alone are a tie."""
