@@ -171,12 +171,12 @@ def union_horizons(spark, sf_dir):
     return rounded(long.groupBy("k", "horizon").agg(F.count("m").alias("n"), F.avg("m").alias("mean")))
 
 
-@query(f"""WITH {BARS} , p AS (SELECT event_id, event_type AS k, ts AS t FROM events WHERE event_id % 7 = 0),
+@query(f"""WITH {BARS} , p AS (SELECT event_id, event_type AS k, ts AS t FROM events),
   j AS (SELECT p.event_id, p.t, epoch_us(a.t) AS ta, a.close AS va FROM p ASOF LEFT JOIN bars a ON a.k = p.k AND p.t >= a.t), q AS (SELECT p.event_id, epoch_us(b.t) AS tb, b.close AS vb FROM p ASOF LEFT JOIN bars b ON b.k = p.k AND p.t <= b.t)
   SELECT event_id, round(CASE WHEN tb = ta THEN va ELSE va + (vb - va) * (epoch_us(t) - ta) / (tb - ta) END, 6) + 0.0 AS price FROM j JOIN q USING (event_id)""")
 def interpolated_at_events(spark, sf_dir):
-    """The events that its SQL names, one of seven; ``interpolated_at_all_events`` takes all."""
-    return _interpolated(spark, sf_dir, table(spark, sf_dir, "events").where("event_id % 7 = 0"))
+    """A price for every event, on the line between the bars around it."""
+    return _interpolated(spark, sf_dir, table(spark, sf_dir, "events"))
 
 
 @query(f"""WITH {BARS} , p AS (SELECT event_id, event_type AS k, ts AS t FROM events),

@@ -163,17 +163,17 @@ def pressure_phases(spark, sf_dir):
     return _pressure(spark, sf_dir).groupBy("phase", "direction").agg(F.count("*").alias("n"), F.round(F.avg("intensity"), 6).alias("intensity"), F.round(F.avg("accel"), 6).alias("accel"))
 
 
-@query(f"""WITH RECURSIVE {BARS}, ev AS (SELECT event_type AS k, ts + INTERVAL 30 MINUTE AS av, 100 * (event_id % 101) / 100.0 AS sc, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events WHERE event_id % 3 = 0),
+@query(f"""WITH RECURSIVE {BARS}, ev AS (SELECT event_type AS k, ts + INTERVAL 30 MINUTE AS av, 100 * (event_id % 101) / 100.0 AS sc, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
   e(k, i, av, y) AS (SELECT k, i, av, sc FROM ev WHERE i = 1 UNION ALL SELECT ev.k, ev.i, ev.av, e.y + 2.0 / 13 * (ev.sc - e.y) FROM e JOIN ev ON ev.k = e.k AND ev.i = e.i + 1), l AS (SELECT k, av, arg_max(y, i) AS y FROM e GROUP BY 1, 2)
   SELECT b.k, b.t, round(CASE WHEN l.y IS NULL THEN 50 ELSE 50 + pow(2, -(epoch_us(b.t) - epoch_us(l.av)) / 3600000000.0 / 24) * (l.y - 50) END, 6) + 0.0 AS memory FROM bars b ASOF LEFT JOIN l ON l.k = b.k AND b.t >= l.av""")
 def matured_memory(spark, sf_dir):
-    """The events that its SQL names, one of three; ``matured_memory_whole`` takes all."""
-    return _memory(spark, sf_dir, table(spark, sf_dir, "events").where("event_id % 3 = 0"))
+    """Memory of every event."""
+    return _memory(spark, sf_dir, table(spark, sf_dir, "events"))
 
 
 @query()
 def matured_memory_whole(spark, sf_dir):
-    """Memory of every event. Without SQL: recursion over all events is too slow there, a test holds it against brute force."""
+    """Memory of every event, as ``matured_memory``; a test holds it against brute force."""
     return _memory(spark, sf_dir, table(spark, sf_dir, "events"))
 
 
