@@ -11,11 +11,14 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Check:
-    """A condition that rows must meet; more than ``fail_share`` of bad rows fails, any at all warns (or fails at 0)."""
+    """A condition that rows must meet; more than ``fail_share`` of bad rows fails, any at all warns (or fails at 0).
+
+    Below the share a ``quiet`` check passes."""
 
     name: str
     holds: Column
     fail_share: float = 0.0
+    quiet: bool = False
 
 
 def required_columns(df: DataFrame, names: Sequence[str]) -> None:
@@ -28,10 +31,10 @@ def run_checks(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """One pass over the rows; (check, n_bad, n_rows, status)."""
     sums = [F.coalesce(F.sum(F.when(F.coalesce(c.holds, F.lit(False)), 0).otherwise(1)), F.lit(0)).alias(f"c{k}") for k, c in enumerate(checks)]
     one = df.agg(F.count("*").alias("n_rows"), *sums)
-    each = F.array(*[F.struct(F.lit(c.name).alias("check"), F.col(f"c{k}").cast("long").alias("n_bad"), F.lit(c.fail_share).alias("fail_share")) for k, c in enumerate(checks)])
+    each = F.array(*[F.struct(F.lit(c.name).alias("check"), F.col(f"c{k}").cast("long").alias("n_bad"), F.lit(float(c.fail_share)).alias("fail_share"), F.lit(c.quiet).alias("quiet")) for k, c in enumerate(checks)])
     rows = one.select("n_rows", F.inline(each))
     bad = F.col("n_bad") > F.col("fail_share") * F.col("n_rows")
-    return rows.select("check", "n_bad", "n_rows", F.when(F.col("n_bad") == 0, "PASS").when(bad, "FAIL").otherwise("WARN").alias("status"))
+    return rows.select("check", "n_bad", "n_rows", F.when(F.col("n_bad") == 0, "PASS").when(bad, "FAIL").when(F.col("quiet"), "PASS").otherwise("WARN").alias("status"))
 
 
 def ohlc_checks(prefix: str = "") -> list[Check]:
@@ -47,6 +50,122 @@ def between(name: str, low: float, high: float) -> Check:
     return Check(f"{name}_in_range", F.col(name).isNull() | F.col(name).between(low, high))
 
 
+def positive(name: str) -> Check:
+    return Check(f"{name}_positive", F.col(name).isNull() | (F.col(name) > 0))
+
+
+def not_negative(name: str) -> Check:
+    return Check(f"{name}_not_negative", F.col(name).isNull() | (F.col(name) >= 0))
+
+
+def one_of(name: str, values: Sequence[object]) -> Check:
+    return Check(f"{name}_allowed", F.col(name).isNull() | F.col(name).isin(*values))
+
+
+def whole_between(name: str, low: int, high: int) -> Check:
+    x = F.col(name)
+    return Check(f"{name}_whole_in_range", x.isNull() | (x.between(low, high) & (x == F.floor(x))))
+
+
+def identity(name: str, left: Column, right: Column, tolerance: float = 1e-6) -> Check:
+    """Both sides agree where both are known."""
+    return Check(name, left.isNull() | right.isNull() | (F.abs(left - right) <= tolerance))
+
+
+def finite_only(name: str) -> Check:
+    x = F.col(name).cast("double")
+    return Check(f"{name}_finite", x.isNull() | (~F.isnan(x) & (F.abs(x) < float("inf"))))
+
+
+def mostly_known(name: str, most: float) -> Check:
+    """At most this share of the rows has no value, or none that is a finite number."""
+    x = F.col(name).cast("double")
+    return Check(f"{name}_known", x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")), most, True)
+
+
+@dataclass(frozen=True)
+class Family:
+    """Names of the columns of a two-sided frame."""
+
+    long_side: str = "long_level"
+    short_side: str = "short_level"
+    total: str = "total_level"
+    difference: str = "diff_level"
+    share: str = "share"
+    dominance: str = "dominance_share"
+    price: str = "price"
+
+
+def family_checks(f: Family = Family(), active: str | None = None) -> list[Check]:
+    """Ranges and identities of a two-sided frame: what the sides, their sum, difference and shares must have in common."""
+    l, s, total = F.col(f.long_side), F.col(f.short_side), F.col(f.total)
+    flag = [identity("active_matches_total", F.col(active).cast("double"), (total > 1e-6).cast("double"))] if active else []
+    return [
+        positive(f.price), *[not_negative(c) for c in (f.long_side, f.short_side, f.total)], between(f.share, 0.0, 1.0), between(f.dominance, -1.0, 1.0),
+        identity("total_is_sum", total, l + s), identity("difference_is_difference", F.col(f.difference), l - s),
+        identity("dominance_follows_share", F.col(f.dominance), 2 * F.col(f.share) - 1), *flag, *[finite_only(c) for c in (f.long_side, f.short_side, f.total, f.difference)],
+    ]
+
+
+def stage_checks(stage: str, columns: Sequence[str], f: Family = Family(), *, active: str | None = None, bins: str = "bin_index", most_unknown: float = 0.5) -> list[Check]:
+    """The checks of a stage of the feature chain: ``clean``, ``canonical``, ``dominance``, ``contract``, ``model`` or ``final``.
+
+    Columns that a stage needs must be there, or it is an error; the further ones are checked where they are."""
+    present = set(columns)
+    base = [f.price, f.share] if stage == "model" else [f.long_side, f.short_side, f.total, f.difference, f.share, f.dominance, f.price]
+    needed = base + ([bins] if stage not in ("clean", "canonical") else []) + ([active] if active and stage in ("clean", "canonical", "dominance") else [])
+    if missing := sorted(set(needed) - present):
+        raise ValueError(f"stage {stage}: missing columns: {', '.join(missing)}")
+    checks = [positive(f.price), between(f.share, 0.0, 1.0)] if stage == "model" else family_checks(f, active if stage in ("clean", "canonical", "dominance") else None)
+    if bins in needed:
+        checks.append(whole_between(bins, 0, 8))
+        checks += [one_of(c, (-1, 0, 1)) for c in ("dominance", "dominance_last", "dominance_prev", "hit", "reverse_hit", "extreme") if c in present]
+        checks += [one_of(c, (0, 1)) for c in ("keep", "strengthen") if c in present]
+    if stage in ("model", "final"):
+        checks += [mostly_known(c, most_unknown) for c in columns if c.startswith("z_")]
+    return checks
+
+
+def time_checks(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
+    """Rows without a time, and rows that share theirs with another, as rows of a report."""
+    once = df.groupBy(*keys, ts).agg(F.count("*").alias("_n"))
+    one = once.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(n) for n, c in (("n_rows", F.col("_n")), ("unknown", F.when(F.col(ts).isNull(), F.col("_n")).otherwise(0)), ("twice", F.when(F.col(ts).isNotNull(), F.col("_n") - 1).otherwise(0)))])
+    each = F.array(*[F.struct(F.lit(f"{ts}_{n}").alias("check"), F.col(c).alias("n_bad")) for n, c in (("known", "unknown"), ("unique", "twice"))])
+    return one.select("n_rows", F.inline(each)).select("check", "n_bad", "n_rows", F.when(F.col("n_bad") == 0, "PASS").otherwise("FAIL").alias("status"))
+
+
+def require_pass(report: DataFrame) -> None:
+    """Raises with the names of the failed checks. A report has one row for each check."""
+    failed = [f"{r.check} ({r.n_bad} of {r.n_rows})" for r in report.where(F.col("status") == "FAIL").orderBy("check").collect()]
+    if failed:
+        raise ValueError("failed checks: " + "; ".join(failed))
+
+
+def leakage_report(df: DataFrame, source_ts: str, ts: str, age: str) -> DataFrame:
+    """Sources later than their rows, negative ages, and columns whose names look ahead (REVIEW); checks without their column are SKIP."""
+    has = set(df.columns)
+    checks = [c for c, need in ((not_from_future(source_ts, ts), {source_ts, ts}), (not_negative(age), {age})) if need <= has]
+    skipped = [n for n, need in ((f"{source_ts}_not_after_{ts}", {source_ts, ts}), (f"{age}_not_negative", {age})) if not need <= has]
+    ahead = len(label_columns(df.columns))
+    rows = [(n, 0, "SKIP") for n in skipped] + [("names_that_look_ahead", ahead, "REVIEW" if ahead else "PASS")]
+    fixed = df.agg(F.count("*").alias("n_rows")).select("n_rows", F.inline(F.array(*[F.struct(F.lit(n).alias("check"), F.lit(b).cast("long").alias("n_bad"), F.lit(s).alias("status")) for n, b, s in rows])))
+    fixed = fixed.select("check", "n_bad", "n_rows", "status")
+    return run_checks(df, checks).unionByName(fixed) if checks else fixed
+
+
+def output_sanity(df: DataFrame, measures: Sequence[str], direction: str, reliability: str, state: str, up: int, down: int, most_unknown: float = 0.05, agree: float = 0.9) -> DataFrame:
+    """Whether model outputs are finite, in range, and point the way their states say; one pass."""
+    s, d = F.col(state), F.col(direction)
+    along = lambda k, ok: Check(f"state_{k}_direction", ~F.coalesce(s == k, F.lit(False)) | d.isNull() | ok)
+    rows = run_checks(df, [one_of(direction, (-1, 0, 1)), between(reliability, -1e-9, 1 + 1e-9), *[mostly_known(c, most_unknown) for c in measures], along(up, d >= 0), along(down, d <= 0)])
+    of = df.agg(*[F.coalesce(F.sum(((s == k) & d.isNotNull()).cast("long")), F.lit(0)).alias(f"_of_{k}") for k in (up, down)])
+    wide = rows.crossJoin(F.broadcast(of))
+    for k in (up, down):
+        mine, n = F.col("check") == f"state_{k}_direction", F.col(f"_of_{k}")
+        wide = wide.withColumn("status", F.when(mine, F.when(F.col("n_bad") <= (1 - agree) * n, "PASS").otherwise("FAIL")).otherwise(F.col("status"))).withColumn("n_rows", F.when(mine, n).otherwise(F.col("n_rows")))
+    return wide.select("check", "n_bad", "n_rows", "status")
+
+
 def not_from_future(source_ts: str, ts: str) -> Check:
     return Check(f"{source_ts}_not_after_{ts}", F.col(source_ts).isNull() | (F.col(source_ts) <= F.col(ts)))
 

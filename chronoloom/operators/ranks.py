@@ -189,15 +189,29 @@ def past_ranks(df: DataFrame, keys: Keys, ts: str, value: str, length: int, leas
         return ((v.below(x) + (v.upto(x) - v.below(x) - 1) / 2) / (n - 1),) if x == x and n >= max(least, 2) else (NAN,)
 
     def before(f: Frame, at: int, x: float) -> tuple[float]:
-        f.evict(at)
-        v = f.values
-        found = (v.below(x) + v.upto(x)) / (2 * len(v)) if x == x and len(v) >= max(least, 1) else NAN
-        f.add(at, x)
-        return (found,)
+        return (midrank(f, at, x, least),)
 
     return sliding(df, keys, ts, value, [out], lambda: Frame(length + 1 if strict else length), before if strict else within, length=length + 1 if strict else length)
 
 
+def past_midranks(df: DataFrame, keys: Keys, ts: str, values: Mapping[str, str], length: int, least: int) -> DataFrame:
+    """Mid-ranks (output: value) among the values of [t - length, t), all in one pass."""
+
+    def each(frames: list[Frame], at: int, *xs: float) -> list[float]:
+        return [midrank(f, at, x, least) for f, x in zip(frames, xs, strict=True)]
+
+    return sliding(df, keys, ts, list(values.values()), list(values), lambda: [Frame(length + 1) for _ in values], each, length=length + 1)
+
+
+def midrank(f: Frame, at: int, x: float, least: int) -> float:
+    """Mid-rank of x among the frame's earlier values, which it then joins."""
+    f.evict(at)
+    v = f.values
+    found = (v.below(x) + v.upto(x)) / (2 * len(v)) if x == x and len(v) >= max(least, 1) else NAN
+    f.add(at, x)
+    return found
+
+
 def past_quantiles(df: DataFrame, keys: Keys, ts: str, value: str, quantiles: Mapping[str, float], length: int, least: int) -> DataFrame:
     """Quantiles of the values of the rows before, each standing at the row after it, over the span (t - length, t]."""
     qs = list(quantiles.values())

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -37,13 +37,33 @@ def _ratio(x: Column, both: tuple[tuple[float, ...], tuple[float, ...]]) -> Colu
     return top / bottom
 
 
+def _inside(p: Column, eps: float) -> Column:
+    return F.when(p.isNotNull(), F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps)))
+
+
+def _quantile(q: Column, middle: Column, tail: Column, far: Column | None) -> Column:
+    """From p - 1/2 and the arguments of the approximations; ``far`` is left out where p can't be that small."""
+    tails = _ratio(tail, TAIL)
+    if far is not None:
+        tails = F.when(tail <= 5 - 1.6, tails).otherwise(_ratio(far, FAR))
+    return F.when(F.abs(q) <= 0.425, q * _ratio(middle, MIDDLE)).otherwise(F.signum(q) * tails)
+
+
 def probit(p: Column, eps: float = 1e-4) -> Column:
     """Standard normal quantile of a probability kept away from 0 and 1."""
-    p = F.when(p.isNotNull(), F.greatest(F.least(p, F.lit(1 - eps)), F.lit(eps)))
-    q = p - 0.5
-    r = F.sqrt(-F.ln(F.least(p, 1 - p)))
-    tails = F.when(r <= 5, _ratio(r - 1.6, TAIL)).otherwise(_ratio(r - 5.0, FAR))
-    return F.when(F.abs(q) <= 0.425, q * _ratio(0.180625 - q * q, MIDDLE)).otherwise(F.signum(q) * tails)
+    p = _inside(p, eps)
+    q, r = p - 0.5, F.sqrt(-F.ln(F.least(p, 1 - p)))
+    return _quantile(q, 0.180625 - q * q, r - 1.6, r - 5.0 if eps < np.exp(-25) else None)
+
+
+def with_probits(df: DataFrame, probabilities: Mapping[str, str], eps: float = 1e-4) -> DataFrame:
+    """``probit`` of several columns (output: probability), in steps, so that the generated code stays small."""
+    names, far = list(enumerate(probabilities.items())), eps < np.exp(-25)
+    c = lambda x, k: F.col(f"_{x}{k}")
+    df = df.withColumns({f"_p{k}": _inside(F.col(p), eps) for k, (_, p) in names})
+    df = df.withColumns({f"_q{k}": c("p", k) - 0.5 for k, _ in names} | {f"_r{k}": F.sqrt(-F.ln(F.least(c("p", k), 1 - c("p", k)))) for k, _ in names})
+    df = df.withColumns({f"_m{k}": 0.180625 - c("q", k) * c("q", k) for k, _ in names} | {f"_t{k}": c("r", k) - 1.6 for k, _ in names} | {f"_f{k}": c("r", k) - 5.0 for k, _ in names})
+    return df.withColumns({out: _quantile(c("q", k), c("m", k), c("t", k), c("f", k) if far else None) for k, (out, _) in names}).drop(*[f"_{x}{k}" for k, _ in names for x in "pqrmtf"])
 
 
 @dataclass(frozen=True)

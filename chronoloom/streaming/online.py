@@ -7,6 +7,7 @@ in the batch operators after de-duplication. State is a few numbers (or a bounde
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -14,7 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from chronoloom.functions.scalar import EPS
+from chronoloom.operators.ranks import Frame, midrank
 from chronoloom.operators.regime import Gaussians
+from chronoloom.operators.stages import ObservationSettings
 
 
 def _fresh(pdfs: Iterator[pd.DataFrame], ts: str, last: float) -> pd.DataFrame:
@@ -68,42 +72,102 @@ def online_rank(stream: DataFrame, keys: Sequence[str], ts: str, value: str, loo
     return stream.groupBy(*keys).applyInPandasWithState(step, schema, "times array<long>, seen array<double>, last long", "append", GroupStateTimeout.NoTimeout)
 
 
+class _Regime:
+    """The filter and the debounced state of one key, row by row."""
+
+    schema = "a array<double>, current int, waiting int, n int, age int"
+
+    def __init__(self, model: Gaussians, confirm: int, switch: float, held: tuple | None) -> None:
+        self.log_start, self.log_move = np.log(model.start + 1e-300), np.log(model.move + 1e-300)
+        self.confirm, self.switch = confirm, switch
+        a, self.current, self.waiting, self.count, self.age = held or (None, None, None, 0, 0)
+        self.a = None if a is None else np.array(a)
+
+    def take(self, density: np.ndarray) -> tuple[int, float, int]:
+        """Best state, its probability, and the state held."""
+        if self.a is None:
+            a = self.log_start + density
+        else:
+            m = self.a[:, None] + self.log_move
+            top = m.max(0)
+            a = top + np.log(np.exp(m - top).sum(0)) + density
+        self.a = a = a - (a.max() + np.log(np.exp(a - a.max()).sum()))
+        s, p = int(a.argmax()), float(np.exp(a.max()))
+        self.current = s if self.current is None else self.current
+        self.age += 1
+        if s == self.current or p < self.switch:
+            self.waiting, self.count = None, 0
+        else:
+            self.count = self.count + 1 if s == self.waiting else 1
+            self.waiting = s
+            if self.count >= self.confirm and self.age > 1:
+                self.current, self.waiting, self.count, self.age = s, None, 0, 1
+        return s, p, self.current
+
+    def held(self) -> tuple:
+        return (None if self.a is None else self.a.tolist(), self.current, self.waiting, self.count, self.age)
+
+
 def online_regime(stream: DataFrame, keys: Sequence[str], ts: str, features: Sequence[str], model: Gaussians, confirm: int = 2, switch: float = 0.6) -> DataFrame:
     """Filtered best state, its probability, and the debounced state of each accepted row; a row with a NULL feature only predicts."""
-    log_start, log_move = np.log(model.start + 1e-300), np.log(model.move + 1e-300)
 
     def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        a, last, current, waiting, count, age = state.get if state.exists else (None, -(2**62), None, None, 0, 0)
-        a = None if a is None else np.array(a)
-        rows = _fresh(pdfs, ts, last)
-        best, sure, steady = [], [], []
-        for d in model.known_density(rows[list(features)].to_numpy(float)):
-            if a is None:
-                a = log_start + d
-            else:
-                m = a[:, None] + log_move
-                top = m.max(0)
-                a = top + np.log(np.exp(m - top).sum(0)) + d
-            a = a - (a.max() + np.log(np.exp(a - a.max()).sum()))
-            s, p = int(a.argmax()), float(np.exp(a.max()))
-            current = s if current is None else current
-            age += 1
-            if s == current or p < switch:
-                waiting, count = None, 0
-            else:
-                count = count + 1 if s == waiting else 1
-                waiting = s
-                if count >= confirm and age > 1:
-                    current, waiting, count, age = s, None, 0, 1
-            best.append(s)
-            sure.append(p)
-            steady.append(current)
+        *held, last = state.get if state.exists else (None, None, None, 0, 0, -(2**62))
+        own, rows = _Regime(model, confirm, switch, tuple(held)), _fresh(pdfs, ts, last)
+        done = [own.take(d) for d in model.known_density(rows[list(features)].to_numpy(float))]
+        if len(rows):
+            state.update((*own.held(), int(rows["_at"].iloc[-1])))
+        best, sure, steady = zip(*done, strict=True) if done else ((), (), ())
+        yield rows.assign(state=list(best), confidence=list(sure), steady=list(steady))[[*keys, ts, "state", "confidence", "steady"]]
+
+    schema = ", ".join(f"`{c}` {dict(stream.dtypes)[c]}" for c in (*keys, ts)) + ", state int, confidence double, steady int"
+    return stream.groupBy(*keys).applyInPandasWithState(step, schema, _Regime.schema + ", last long", "append", GroupStateTimeout.NoTimeout)
+
+
+def online_engine(
+    stream: DataFrame, keys: Sequence[str], ts: str, long_side: str, short_side: str, model: Gaussians, s: ObservationSettings = ObservationSettings(), confirm: int = 2, switch: float = 0.6
+) -> DataFrame:
+    """From two sides to the regime in one stateful hop: ranks of share, difference and total, their normal scores, filter, debounce.
+
+    The state of a key is its last ``lookback`` of values and the filter. Until there are enough values a row has no state; all
+    three ranks take every row in, as in ``stages.observation_features``, whose average over both sides (``span``) has no online form here.
+    """
+    if s.span:
+        raise ValueError("online_engine takes unsmoothed sides; put online_ema before it")
+    normal = NormalDist()
+
+    def step(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, longs, shorts, *held, last = state.get if state.exists else ([], [], [], None, None, None, 0, 0, -(2**62))
+        own, rows = _Regime(model, confirm, switch, tuple(held)), _fresh(pdfs, ts, last)
+        frames = [Frame(s.lookback + 1) for _ in range(3)]
+
+        def ranks(at: int, l: float, r: float) -> list[float]:
+            return [midrank(f, at, x, s.least) for f, x in zip(frames, (l / (l + r + EPS), l - r, l + r), strict=True)]
+
+        for known in zip(times, longs, shorts, strict=True):
+            ranks(*known)
+        times, longs, shorts, out = list(times), list(longs), list(shorts), []
+        for at, l, r in zip(rows["_at"].tolist(), rows[long_side].to_numpy(float).tolist(), rows[short_side].to_numpy(float).tolist(), strict=True):
+            found = ranks(at, l, r)
+            times.append(at)
+            longs.append(l)
+            shorts.append(r)
+            if any(p != p for p in found):
+                out.append((None, None, None))
+                continue
+            z = np.array([[normal.inv_cdf(min(max(p, s.clip), 1 - s.clip)) for p in found]])
+            out.append(own.take(model.log_density(z)[0]))
         if len(rows):
-            state.update((a.tolist(), int(rows["_at"].iloc[-1]), current, waiting, count, age))
-        yield rows.assign(state=best, confidence=sure, steady=steady)[[*keys, ts, "state", "confidence", "steady"]]
+            end = int(rows["_at"].iloc[-1])
+            cut = int(np.searchsorted(times, end - s.lookback))
+            state.update((times[cut:], longs[cut:], shorts[cut:], *own.held(), end))
+        best, sure, steady = zip(*out, strict=True) if out else ((), (), ())
+        done = rows.assign(state=pd.array(best, "Int32"), confidence=pd.array(sure, "Float64"), steady=pd.array(steady, "Int32"))
+        yield done[[*keys, ts, "state", "confidence", "steady"]]
 
     schema = ", ".join(f"`{c}` {dict(stream.dtypes)[c]}" for c in (*keys, ts)) + ", state int, confidence double, steady int"
-    return stream.groupBy(*keys).applyInPandasWithState(step, schema, "a array<double>, last long, current int, waiting int, n int, age int", "append", GroupStateTimeout.NoTimeout)
+    kept = "times array<long>, longs array<double>, shorts array<double>, " + _Regime.schema + ", last long"
+    return stream.groupBy(*keys).applyInPandasWithState(step, schema, kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def online_asof(left: DataFrame, right: DataFrame, keys: Sequence[str], ts: str, value: str, tolerance: int) -> DataFrame:
