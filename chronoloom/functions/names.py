@@ -56,6 +56,19 @@ def gated(df: DataFrame, flags: Mapping[str, bool]) -> DataFrame:
     return df.drop(*[c for c in df.columns if off and c.startswith(off)])
 
 
+def price_suffix(bars: int) -> str:
+    """The price features' window for a path of so many bars: 6 and 12 go with 6h, longer ones with 24h."""
+    return "6h" if bars <= 12 else "24h"
+
+
+def first_present(columns: Sequence[str], wanted: Sequence[str]) -> str:
+    """The first wanted column that is there, such as the main horizon's or its stand-in."""
+    for c in wanted:
+        if c in columns:
+            return c
+    raise ValueError(f"none of {', '.join(wanted)}")
+
+
 def request_range(start: str | None = None, lookback_days: int | None = None, now: datetime | None = None) -> dict[str, int]:
     """Parameters s and u (epoch seconds) of a series request."""
     until = now or datetime.now(timezone.utc)

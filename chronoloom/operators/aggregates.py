@@ -11,13 +11,13 @@ from chronoloom.functions.scalar import divide
 
 
 def bin_statistics(df: DataFrame, level: str, value: str) -> DataFrame:
-    """Range, count, centre, spread and shares of a value by bin, with shares cumulated from the low end."""
+    """Range, count, centre, spread and shares of a value by bin, with the shares of the bins below and of these and the bin itself."""
     out = df.groupBy(level).agg(
         F.count("*").alias("n"), F.min(value).alias("v_min"), F.max(value).alias("v_max"), F.percentile(value, 0.5).alias("v_median"), F.avg(value).alias("v_mean"), F.stddev_samp(value).alias("v_std")
     )
     total = F.sum("n").over(Window.partitionBy())
     up = F.sum("n").over(Window.orderBy(level).rowsBetween(Window.unboundedPreceding, 0))  # one row for each bin
-    return out.withColumn("share", F.col("n") / total).withColumn("share_low", up / total)
+    return out.withColumns({"v_range": F.col("v_max") - F.col("v_min"), "share": F.col("n") / total, "share_low": up / total, "share_below": (up - F.col("n")) / total})
 
 
 def share_within(df: DataFrame, group: Sequence[str], label: str) -> DataFrame:

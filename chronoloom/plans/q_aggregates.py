@@ -13,7 +13,7 @@ from chronoloom.plans.registry import BARS, FLOWS, bars, flows, query, r, rounde
 
 
 @query(f"""WITH b AS (SELECT floor(l_quantity / 10)::BIGINT AS lv, l_extendedprice AS x FROM lineitem), g AS (SELECT lv, count(*)::BIGINT AS n, min(x) AS v_min, max(x) AS v_max, quantile_cont(x, 0.5) AS v_median, avg(x) AS v_mean, stddev_samp(x) AS v_std FROM b GROUP BY 1)
-  SELECT lv, n, {r("v_min", "v_max", "v_median", "v_mean", "v_std")}, round(n / sum(n) OVER (), 6) + 0.0 AS share, round(sum(n) OVER (ORDER BY lv) / sum(n) OVER (), 6) + 0.0 AS share_low FROM g""")
+  SELECT lv, n, {r("v_min", "v_max", "v_median", "v_mean", "v_std")}, round(n / sum(n) OVER (), 6) + 0.0 AS share, round(sum(n) OVER (ORDER BY lv) / sum(n) OVER (), 6) + 0.0 AS share_low, round(v_max - v_min, 6) + 0.0 AS v_range, round((sum(n) OVER (ORDER BY lv) - n) / sum(n) OVER (), 6) + 0.0 AS share_below FROM g""")
 def bin_stats(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_quantity") / 10).alias("lv"), F.col("l_extendedprice").alias("x"))
     return rounded(ag.bin_statistics(l, "lv", "x"))

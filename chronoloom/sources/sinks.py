@@ -8,6 +8,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronoloom.operators.reviews import as_markdown
+
 
 def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: Sequence[str] = ()) -> None:
     """Parquet, or CSV by the path's ending (ISO times, empty for NULL)."""
@@ -52,3 +54,9 @@ def save_parameters(spark: SparkSession, parameters: dict[str, list[float]], pat
 
 def load_parameters(spark: SparkSession, path: str) -> dict[str, list[float]]:
     return {r.name: list(r.value) for r in spark.read.parquet(path).collect()}
+
+
+def write_catalogue(df: DataFrame, path: str, order: Sequence[str]) -> None:
+    """A small table of names (a feature catalogue, a run's summary) as ``path/json`` and ``path/markdown``, one file each."""
+    df.orderBy(*order).coalesce(1).write.mode("overwrite").json(f"{path}/json")
+    as_markdown(df, order).orderBy("i").select("line").coalesce(1).write.mode("overwrite").text(f"{path}/markdown")

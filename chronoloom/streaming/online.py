@@ -207,10 +207,12 @@ def matured(events: DataFrame, clock: DataFrame, available: str, ts: str) -> Dat
     return events.crossJoin(F.broadcast(now)).where(F.col(available) <= F.col("_now")).drop("_now")
 
 
-def retrain_due(history: DataFrame, ts: str, last_trained: str | None, days: int = 7, least_rows: int = 144) -> bool:
-    """Whether enough time and rows have passed since the last training."""
+def retrain_due(history: DataFrame, ts: str, last_trained: str | None, days: int = 7, least_rows: int = 144, status: str | None = None, force: bool = False) -> bool:
+    """Whether to train now: forced, or enough rows and either no model yet, a monitor that says ``retrain_now`` (``reviews.retrain_status``) or enough time since the last training."""
+    if force:
+        return True
     fresh = history if last_trained is None else history.where(F.col(ts) > F.lit(last_trained).cast("timestamp_ntz"))
     row = fresh.agg(F.count("*").alias("n"), F.max(ts).alias("hi")).first()
     if row.n < least_rows:
         return False
-    return last_trained is None or (pd.Timestamp(row.hi) - pd.Timestamp(last_trained)).days >= days
+    return last_trained is None or status == "retrain_now" or (pd.Timestamp(row.hi) - pd.Timestamp(last_trained)).days >= days
