@@ -128,3 +128,21 @@ def feature_catalogue(spark, sf_dir):
 def batch_inference(spark, sf_dir):
     f = flows(spark, sf_dir).withColumns({"rel": F.least(F.col("price") / 100, F.lit(1.0)), "d": F.signum(F.col("fl") - F.col("fs"))})
     return rounded(rv.scored(f, {"fl": 0.5, "fs": -0.25}, 2.0, "rel", "d").select("t", "size", "expectation"))
+
+
+def _thinned(where: str, columns: str) -> str:
+    """SQL: bars that meet a condition, thinned evenly to 50 of each key."""
+    return f"""WITH {BARS}, i AS (SELECT k, t, close, total, row_number() OVER (PARTITION BY k ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY k) AS n FROM bars WHERE {where}), p AS (SELECT DISTINCT k, floor(j * (n - 1) / 49 + 1e-9)::BIGINT AS i FROM (SELECT DISTINCT k, n FROM i), (SELECT unnest(range(50)) AS j) WHERE n > 50)
+  SELECT {columns} FROM i LEFT JOIN p ON p.k = i.k AND p.i = i.i WHERE n <= 50 OR p.i IS NOT NULL"""
+
+
+@query(_thinned("n > 1", "i.k, i.t, round(close, 6) + 0.0 AS close, round(total, 6) + 0.0 AS total"))
+def paired_sample(spark, sf_dir):
+    b = bars(spark, sf_dir).withColumn("total", F.when(F.col("n") > 1, F.col("total")).otherwise(float("nan")))
+    return rounded(rv.paired_sample(b, ["k"], "t", "close", "total", 50))
+
+
+@query(_thinned("n < 2", "i.k, i.t"))
+def missing_markers(spark, sf_dir):
+    b = bars(spark, sf_dir).withColumn("close", F.when(F.col("n") > 1, F.col("close")))
+    return rv.missing_markers(b, ["k"], "t", "close", 50)
