@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Callable
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: ASCII white space as the contracts define it: \x20 and \x09-\x0D.
@@ -51,3 +52,45 @@ def space_words(text: Column) -> Column:
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, every other character as it is."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared checkpoint folder: computed once, its columns pruned when read, and not lost
+    with an executor."""
+    spark = with_checkpoint_dir(df.sparkSession)
+    folder = f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+def small(df: DataFrame, rows: int, limit: int = 500_000) -> DataFrame:
+    """Broadcast a narrow table where a count has shown it to be small; else the optimiser chooses, which goes by bytes."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+#: Bits of a digit of ``starts``.
+DIGIT_BITS = 10
+
+
+def starts(counts: DataFrame, keys: Sequence[str], digits: str, n: str, largest: int) -> DataFrame:
+    """``counts`` (one row for each ``keys`` and ``digits``, keys not null, digits from 0 to ``largest``) with ``start``: the sum of ``n``
+    over the smaller digits of the same keys.
+
+    The histogram is rolled up digit by digit of ``DIGIT_BITS`` bits, and the starts go down again: a start is that of the longer number's
+    prefix and the sum over its smaller siblings. A window holds the siblings of one prefix, so no task sees a whole key.
+    """
+    levels = max(1, -(-largest.bit_length() // DIGIT_BITS))
+    tables = [counts]
+    for _ in range(levels - 1):
+        below = tables[-1].select(*keys, F.shiftright(digits, DIGIT_BITS).alias(digits), n)
+        tables.append(below.groupBy(*keys, digits).agg(F.sum(n).alias(n)))
+    prefix = [f"_prefix_of_{digits}"]
+    siblings = Window.partitionBy(*keys, *prefix).orderBy(digits).rowsBetween(Window.unboundedPreceding, -1)
+    above = None
+    for level in reversed(tables):
+        before = level.withColumn(prefix[0], F.shiftright(digits, DIGIT_BITS)).withColumn("start", F.coalesce(F.sum(n).over(siblings), F.lit(0)))
+        if above is not None:
+            over = above.select(*keys, F.col(digits).alias(prefix[0]), F.col("start").alias("_above"))
+            before = before.join(over, [*keys, *prefix]).withColumn("start", F.col("start") + F.col("_above")).drop("_above")
+        above = before.drop(*prefix)
+    return above

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from chronoloom.llm import chat_format, decontaminate, html_text, language_id, license_scan, ngram_join, piece_codec, quality_knn, quality_rules, warc
+from chronoloom.llm import chat_format, decontaminate, html_text, language_id, lexical_search, license_scan, merkle, ngram_join, packing, piece_codec, quality_knn, quality_rules, warc
 from chronoloom.llm.common import read_table
 
 
@@ -52,6 +52,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(read_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+def op12_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(read_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.prove_documents(read_table(spark, sf_dir, "documents"))
+
+
 REGISTERED = (
     op1_license_scan,
     op2_chat_format,
@@ -63,6 +75,9 @@ REGISTERED = (
     op8_ngram_jaccard,
     op9_decontaminate,
     op10_html_text,
+    op11_ranked_search,
+    op12_mixture_packing,
+    op13_merkle_manifest,
 )
 
 
@@ -78,4 +93,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_quality_rules": quality_rules.ORACLE_SQL,
         "op8_ngram_jaccard": ngram_join.ORACLE_SQL,
         "op9_decontaminate": decontaminate.ORACLE_SQL,
+        "op11_ranked_search": lexical_search.ORACLE_SQL,
+        "op13_merkle_manifest": merkle.ORACLE_SQL,
     }
