@@ -199,7 +199,7 @@ class Schedule:
         head = np.ones(len(run), bool)
         head[1:] = (run[1:] != run[:-1]) | (window[1:] != window[:-1])
         begin = np.flatnonzero(head)
-        end = np.append(begin[1:], len(run)) - 1
+        end = np.append(begin, len(run))[1:] - 1
         r, w = run[begin], window[begin]
         start = np.maximum(CELL * cell[begin], at[r])
         stop = np.minimum(CELL * (cell[end] + 1), (at + inside)[r])
