@@ -112,15 +112,14 @@ class Codec(dict):
         return b"".join(map(self.table.__getitem__, ids))[1:]
 
 
-_CODECS: dict[int, Codec] = {}
+_CODECS: dict[bytes, Codec] = {}
 
 
 def shared_codec(vocabulary: Vocabulary) -> Codec:
     """One codec for each vocabulary and worker, as building the automaton takes a while."""
-    key = hash((len(vocabulary.pieces), vocabulary.pieces[-100:], vocabulary.scores[-100:]))
-    if key not in _CODECS:
-        _CODECS[key] = Codec(vocabulary)
-    return _CODECS[key]
+    if vocabulary.digest not in _CODECS:
+        _CODECS[vocabulary.digest] = Codec(vocabulary)
+    return _CODECS[vocabulary.digest]
 
 
 def encode(docs: DataFrame, model_file: str = DEFAULT_MODEL, text_col: str = "text") -> DataFrame:

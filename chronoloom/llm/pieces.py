@@ -7,6 +7,7 @@ that of the vocabulary (32,000 pieces), not of the data. Nothing is trained here
 
 from __future__ import annotations
 
+import hashlib
 import re
 from dataclasses import dataclass
 from functools import cached_property
@@ -29,6 +30,11 @@ class Vocabulary:
     bytes_from: int
     first: int
 
+    @cached_property
+    def digest(self) -> bytes:
+        """Tells vocabularies apart: of all pieces, scores and numbers."""
+        return hashlib.sha256(repr((self.pieces, self.scores, self.bytes_from, self.first)).encode("utf-8", "surrogatepass")).digest()
+
     @cached_property
     def ordinary(self) -> dict[str, int]:
         return {p: i for i, p in enumerate(self.pieces) if i >= self.first and p}
