@@ -147,6 +147,19 @@ def training_sample(docs: DataFrame, languages: dict[str, int], docs_per_languag
     return docs.where(place < F.try_element_at(share, F.col("lang")))
 
 
+def smoothed(counts: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Probabilities of pieces (rows) in languages from their counts. Of the pieces with ``letters`` a language has ``1 - SMOOTHING`` of its
+    own, the rest is one background for all languages (the mean of their own, ``SMOOTHING`` of it uniform); pieces without a letter and the
+    share of pieces with one are the same in all. What no language has is thus as likely in each, however little text a language has."""
+    own = lambda c: c / np.maximum(c.sum(axis=0), 1e-300)
+    common = lambda c: ((1 - SMOOTHING) * own(c).mean(axis=1) + SMOOTHING / max(len(c), 1))[:, None]
+    share = own(np.stack([counts[letters].sum(axis=0), counts[~letters].sum(axis=0)])).mean(axis=1).clip(SMOOTHING, 1 - SMOOTHING)
+    out = np.zeros_like(counts)
+    out[letters] = share[0] * ((1 - SMOOTHING) * own(counts[letters]) + SMOOTHING * common(counts[letters]))
+    out[~letters] = share[1] * common(counts[~letters])
+    return out / out.sum(axis=0)
+
+
 def train(docs: DataFrame, model_file: str = DEFAULT_MODEL, docs_per_language: int = DOCS_PER_LANGUAGE, rounds: int = ROUNDS) -> Model:
     """Piece probabilities of each language from ``docs`` (text, lang, doc_id); rows without text or lang are left out."""
     spark = with_checkpoint_dir(docs.sparkSession)
@@ -156,6 +169,7 @@ def train(docs: DataFrame, model_file: str = DEFAULT_MODEL, docs_per_language: i
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     vocabulary = load_vocabulary(model_file)
     size = len(vocabulary.pieces)
+    letters = np.array([bool(_LETTER.search(p)) for p in vocabulary.pieces])
     names = tuple(sorted(counted))
     if not names:
         return Model((), np.zeros((size, 0)))
@@ -189,17 +203,16 @@ def train(docs: DataFrame, model_file: str = DEFAULT_MODEL, docs_per_language: i
         total = np.zeros_like(model)
         for row in sums.collect():  # one row for each piece of the vocabulary at most
             total[row[0]] = row[1:]
-        total += SMOOTHING
-        model = total / total.sum(axis=0)
+        model = smoothed(total, letters)
     return Model(names, model)
 
 
-_VOCABULARIES: dict[int, Vocabulary] = {}
+_VOCABULARIES: dict[bytes, Vocabulary] = {}
 
 
 def shared_vocabulary(vocabulary: Vocabulary) -> Vocabulary:
     """One automaton for each vocabulary and worker."""
-    return _VOCABULARIES.setdefault(hash((len(vocabulary.pieces), vocabulary.pieces[-100:])), vocabulary)
+    return _VOCABULARIES.setdefault(vocabulary.digest, vocabulary)
 
 
 class Scorer(dict):
