@@ -4,6 +4,9 @@ A page is cut into flat blocks at block-level tags. Every block has its word cou
 and after it, and three flags of the markup around it: inside an element for something other than the article (menus, footers,
 forms, adverts, comments ...), inside or outside of an element that holds the article (or neither, if the page has none), and
 heading. A small decision tree, grown by Gini impurity from the labelled table below, says which blocks are the article.
+What a name says ends at a word such as "with" or "no" ("content-with-sidebar" is content). Forms and names of two meanings ("related", "dialog"
+...) are settled by what they hold: a form around an article, or around half of the page's words, is no form; prose under such a name inside
+the article is the article's. A run of links under a heading of its own stays unless the heading announces other pages.
 Inside a block, references are decoded and white space becomes one space; the blocks kept are joined by line feeds in page order.
 
 Defined results: a null or empty html, or a page without article blocks, gives an empty text; repeated rows are extracted row by
@@ -28,7 +31,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 SILENT = "script|style|noscript|template|title|textarea|select|button|svg|iframe|object|canvas"
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 CONTAINERS = frozenset("article aside blockquote details dialog div dl fieldset figure footer form header main menu nav ol section span table td ul".split())
-OTHER_ELEMENTS = frozenset("aside dialog fieldset footer form menu nav".split())
+OTHER_ELEMENTS = frozenset("aside dialog fieldset footer menu nav".split())
 ARTICLE_ELEMENTS = frozenset("article main".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OTHER_NAMES = frozenset(
@@ -36,6 +39,10 @@ OTHER_NAMES = frozenset(
 )
 ARTICLE_NAMES = frozenset("article articlebody content main maincontent post postbody entry story storybody".split())
 HEADER_NAMES = frozenset("header siteheader pageheader".split())
+#: Names that mean something else in an article's prose; words after which a name speaks of what is absent or beside it; headings of links to other pages.
+TWO_MEANINGS = frozenset("dialog discussion form recommended related".split())
+ASIDE_WORDS = frozenset("has hide no non not with without".split())
+OTHER_HEADINGS = frozenset("also contents follow latest like more navigation newsletter next popular previous read recommended related share subscribe tags topics trending".split())
 
 # Attributes up to the end of a tag: a quote opens a value only after "=", values have any length.
 _ATTRS = r"(?:[^<>=/]++|/(?!>)|=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'<>][^\s<>]*+)?+)*+"
@@ -54,6 +61,8 @@ REMEMBERED = 500
 _WORD = re.compile(r"[a-z0-9]+")
 
 FEATURES = ("words", "link", "prev_words", "prev_link", "next_words", "next_link", "other", "scope", "heading")
+#: Words, words a block and most link density of prose; link density of a block of links.
+PROSE_WORDS, PROSE_BLOCK, PROSE_LINKS, ALL_LINKS = 20, 8, 0.3, 0.9
 #: scope: the block stands outside of the page's article element, the page has none, inside of it.
 OUTSIDE, NONE, INSIDE = 0, 1, 2
 
@@ -136,34 +145,71 @@ def article_tree() -> Node:
 
 
 @dataclass
-class Blocks:
-    texts: list[str] = field(default_factory=list)
-    rows: list[tuple[int, float, int, int, int]] = field(default_factory=list)  # words, link density, other, inside, heading
+class Region:
+    """A container of two meanings: its blocks, and what settles it."""
 
+    first: int
+    form: bool
+    inside: bool
+    article: bool = False
+    last: int = -1
 
-def _says(name: str, attrs: str) -> tuple[bool, bool, bool]:
-    """(not the article, the article, a header) by an element's name and attributes."""
+
+@dataclass
+class Blocks:
+    texts: list[str] = field(default_factory=list)
+    rows: list[tuple[int, float, int, int, int]] = field(default_factory=list)  # words, link density, other, inside, level of heading
+    regions: list[Region] = field(default_factory=list)
+
+    def settle(self) -> None:
+        """Blocks of regions that are neither a form around the page's text nor prose of the article become other ones."""
+        for r in self.regions:
+            own = self.rows[r.first : r.last if r.last >= 0 else None]
+            mine = [x for x in own if not x[2]]
+            words, linked = sum(x[0] for x in mine), sum(x[0] * x[1] for x in mine)
+            if r.form:
+                good = r.article or (2 * words >= sum(x[0] for x in self.rows if not x[2]) and words >= PROSE_WORDS and linked < PROSE_LINKS * words)
+            else:
+                good = r.inside and words >= PROSE_WORDS and words >= PROSE_BLOCK * len(mine) and linked < PROSE_LINKS * words
+            if not good:
+                self.rows[r.first : r.first + len(own)] = [(*x[:2], 1, *x[3:]) for x in own]
+
+
+def _names(value: str) -> set[str]:
+    """Words of an attribute's names, each up to a word that turns the rest into what it isn't."""
+    words: set[str] = set()
+    for name in value.lower().split():
+        for word in _WORD.findall(name):
+            if word in ASIDE_WORDS:
+                break
+            words.add(word)
+    return words
+
+
+def _says(name: str, attrs: str) -> tuple[int, bool, bool]:
+    """(not the article: 1, perhaps not: 2, or 0; the article; a header) by an element's name and attributes."""
     words, hidden = set(), False
     for m in _ATTRIBUTE.finditer(attrs):
         attribute, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if attribute in ("class", "id", "role"):
-            words.update(_WORD.findall(value.lower()))
+            words |= _names(value)
         hidden = hidden or (attribute in ("hidden", "aria-hidden") and value.lower() != "false") or (attribute == "style" and bool(_UNSEEN.search(value)))
-    other = name in OTHER_ELEMENTS or not words.isdisjoint(OTHER_NAMES) or hidden
+    named = words & OTHER_NAMES
+    other = 1 if name in OTHER_ELEMENTS or named - TWO_MEANINGS or hidden else 2 if named or name == "form" else 0
     return other, not other and (name in ARTICLE_ELEMENTS or not words.isdisjoint(ARTICLE_NAMES)), name == "header" or not words.isdisjoint(HEADER_NAMES)
 
 
 _remembered = lru_cache(maxsize=50_000)(_says)
 
 
-def _about(name: str, attrs: str) -> tuple[bool, bool, bool]:
+def _about(name: str, attrs: str) -> tuple[int, bool, bool]:
     return (_remembered if len(attrs) <= REMEMBERED else _says)(name, attrs)
 
 
 def cut_blocks(html: str) -> Blocks:
     """Flat blocks of a page. ``span`` elements count as containers only for their names."""
     out = Blocks()
-    stack: list[tuple[str, int, int]] = []  # open containers: name, other, inside
+    stack: list[tuple[str, int, int, Region | None]] = []  # open containers: name, other, inside, and the region that it opened
     other = inside = heading = 0  # other: 1 by a name, 2 by an element that is never the article
     seen_article = False
     text: list[str] = []
@@ -199,7 +245,7 @@ def cut_blocks(html: str) -> Blocks:
             flush()
             in_link = False
             if name in HEADINGS:
-                heading = 0 if closing else 1
+                heading = 0 if closing else int(name[1])
             elif not closing:
                 heading = 0
         elif name == "a":
@@ -208,13 +254,25 @@ def cut_blocks(html: str) -> Blocks:
             if closing:
                 for k in range(len(stack) - 1, -1, -1):
                     if stack[k][0] == name:
-                        if name == "span" and stack[k][1:] != (other, inside):
+                        if name == "span" and stack[k][1:3] != (other, inside):
                             flush()
+                        for *_, region in stack[k:]:
+                            if region:
+                                region.last = len(out.rows)
                         del stack[k:]
                         break
-                other, inside = stack[-1][1:] if stack else (0, 0)
+                other, inside = stack[-1][1:3] if stack else (0, 0)
             elif not m["void"]:
                 is_other, is_article, is_header = _about(name, m["attrs"])
+                region = None
+                if is_other == 2 and name in BLOCKS:
+                    region = Region(len(out.rows), name == "form", bool(inside))
+                    out.regions.append(region)
+                    is_other = 0
+                elif is_article and not other:
+                    for *_, around in stack:
+                        if around:
+                            around.article = True
                 if name in ARTICLE_ELEMENTS and not is_other and not seen_article:
                     seen_article = True
                     other = 0 if other == 1 else other  # a wrapper's name (say "with-sidebar") doesn't hide the page's article
@@ -223,9 +281,10 @@ def cut_blocks(html: str) -> Blocks:
                 if name == "span" and now != (other, inside):
                     flush()
                 other, inside = now
-                stack.append((name, other, inside))
+                stack.append((name, other, inside, region))
     text.append(html[at:])
     flush()
+    out.settle()
     return out
 
 
@@ -234,7 +293,7 @@ def features(pages: list[Blocks]) -> np.ndarray:
     rows = np.array([r for p in pages for r in p.rows], dtype=float).reshape(-1, 5)
     page = np.repeat(np.arange(len(pages)), [len(p.rows) for p in pages])
     x = np.zeros((len(rows), len(FEATURES)))
-    x[:, 0:2], x[:, 6], x[:, 8] = rows[:, 0:2], rows[:, 2], rows[:, 4]
+    x[:, 0:2], x[:, 6], x[:, 8] = rows[:, 0:2], rows[:, 2], rows[:, 4] > 0
     if len(rows):
         same = page[1:] == page[:-1]
         x[1:, 2:4] = rows[:-1, 0:2] * same[:, None]
@@ -244,11 +303,24 @@ def features(pages: list[Blocks]) -> np.ndarray:
     return x
 
 
+def _under_headings(page: Blocks, kept: np.ndarray) -> None:
+    """Keep runs of links of the article that stand under a heading of their own, below the title."""
+    listed = False
+    for k, (_, link, other, inside, heading) in enumerate(page.rows):
+        if heading:
+            listed = bool(kept[k]) and heading > 1 and OTHER_HEADINGS.isdisjoint(_WORD.findall(page.texts[k].lower()))
+        elif listed and inside and not other and link >= ALL_LINKS:
+            kept[k] = True
+        else:
+            listed = False
+
+
 def extract_texts(htmls: list[str | None], tree: Node | None = None) -> list[str]:
     pages = [cut_blocks(h or "") for h in htmls]
     kept = apply_tree(tree or article_tree(), features(pages)) >= 0.5
     texts, at = [], 0
     for p in pages:
+        _under_headings(p, kept[at : at + len(p.texts)])
         texts.append("\n".join(t for t, k in zip(p.texts, kept[at : at + len(p.texts)], strict=True) if k))
         at += len(p.texts)
     return texts
