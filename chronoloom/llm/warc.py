@@ -8,7 +8,9 @@ compared. Every header of the HTTP head is carried into the metadata. Everything
 
 Defined results: a null html is an empty payload, a null url an empty target; repeated rows give records with the same
 identifiers; an empty table gives no records; a record without header end or length has an empty block and fails
-``digest_ok``; records may be strings or bytes, bytes that are no UTF-8 are read as the charset that the HTTP head names (ISO-8859-1
+``digest_ok``; an HTTP head may end its lines with a bare line feed; a body sent in chunks is put together (an unfinished last chunk as far
+as it goes), a compressed one (Content-Encoding other than identity) is not read: its conversion is empty and the metadata say so in
+``sourceEncoding``; records may be strings or bytes, bytes that are no UTF-8 are read as the charset that the HTTP head names (ISO-8859-1
 and its kin) or with replacement characters; other columns are carried unless they clash with the result's.
 """
 
@@ -38,9 +40,11 @@ NAMED = {
 EVERY_NAME = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
 WINDOWS = {n: c for n in range(0x80, 0xA0) if (c := bytes([n]).decode("cp1252", "ignore"))}
 
-_SILENT = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{t}\b[^>]*>.*?(?:</{t}\s*>|\z)" for t in SILENT_TAGS) + ")"
-_BLOCK = rf"(?i)</?(?:{BLOCK_TAGS})(?:[\s/][^>]*)?>"
-_INLINE = r"<[a-zA-Z/!?][^>]*>"
+# The rest of a tag: a quote opens a value only after "=", and a value may hold ">".
+_REST = r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+>"
+_SILENT = r"(?is)<(?:!--.*?(?:-->|\z)|" + "|".join(rf"{t}\b{_REST}.*?(?:</{t}\s*>|\z)" for t in SILENT_TAGS) + ")"
+_BLOCK = rf"(?i)</?(?:{BLOCK_TAGS})(?=[\s/>]){_REST}"
+_INLINE = rf"<[a-zA-Z/!?]{_REST}"
 _BLANKS = "[ \\t\\r\\f\\x0B ]+"
 _BREAKS = r" ?\n[ \n]*"
 
@@ -117,6 +121,23 @@ def plain_text(html: Column) -> Column:
     return F.btrim(F.regexp_replace(text, _BREAKS, "\n"), F.lit(" \n"))
 
 
+def _unchunked(body: Column) -> Column:
+    """The bytes of a body sent in chunks: between line ends stand sizes and data, and a size says how much of what follows is data."""
+    lines = F.split(F.decode(body, "ISO-8859-1"), CRLF, -1)
+    start = F.struct(F.lit(0).cast("long").alias("due"), F.array().cast("array<string>").alias("data"), F.lit(False).alias("over"))
+
+    def step(state: Column, line: Column) -> Column:
+        length = F.conv(F.regexp_extract(line, "^([0-9a-fA-F]{1,8})", 1), 16, 10).cast("long")
+        size = F.coalesce(length, F.lit(0))
+        header = F.struct(size.alias("due"), state["data"].alias("data"), (size == 0).alias("over"))
+        got = F.substr(line, F.lit(1), F.least(state["due"], F.length(line).cast("long")).cast("int"))
+        more = state["due"] > F.length(line)
+        data = F.struct(F.greatest(state["due"] - F.length(line) - 2, F.lit(0)).alias("due"), F.concat(state["data"], F.array(F.when(more, F.concat(got, F.lit(CRLF))).otherwise(got))).alias("data"), F.lit(False).alias("over"))
+        return F.when(state["over"], state).when(state["due"] > 0, data).otherwise(header)
+
+    return F.encode(F.array_join(F.aggregate(lines, start, step)["data"], ""), "ISO-8859-1")
+
+
 RESULT = ("record_type", "record_id", "refers_to", "target_uri", "warc_date", "content_type", "content_length", "block_digest", "source_block_digest", "source_payload_digest", "digest_ok", "headers", "block")
 #: Charsets of an HTTP head that are read byte by byte.
 ONE_BYTE = r"(?i)charset=[\"']?(iso-8859-1|latin-?1|windows-1252|cp1252)"
@@ -142,8 +163,13 @@ def derive(responses: DataFrame, record_col: str = "record") -> DataFrame:
     r = r.withColumn("_h", head(F.col("_raw"), F.col("_raw").cast("string")))
     r = r.withColumn("_n", F.coalesce(_header(F.col("_h"), "Content-Length").try_cast("int"), F.lit(0)))
     r = r.withColumn("_b", F.substring("_raw", size(F.col("_h")) + F.lit(len(CRLF) + 1), F.col("_n")))
-    r = r.withColumn("_http", head(F.col("_b"), F.col("_b").cast("string")))
-    r = r.withColumn("_bytes", F.substring("_b", size(F.col("_http")) + F.lit(len(CRLF) + 1), F.octet_length("_b")))
+    r = r.withColumn("_crlf", head(F.col("_b"), F.col("_b").cast("string"))).withColumn("_lf", F.substring_index("_crlf", "\n\n", 1))
+    bare = F.length("_lf") < F.length("_crlf")  # lines that end in a bare line feed
+    r = r.withColumn("_body", F.substring("_b", F.when(bare, size(F.col("_lf")) + F.lit(3)).otherwise(size(F.col("_crlf")) + F.lit(len(CRLF) + 1)), F.octet_length("_b")))
+    r = r.withColumn("_http", F.when(bare, F.concat("_lf", F.lit("\n"))).otherwise(F.col("_crlf"))).drop("_crlf", "_lf")
+    packed = F.lower(F.trim(_header(F.col("_http"), "Content-Encoding")))
+    r = r.withColumn("_packed", F.when(~packed.isin("", "identity"), packed))
+    r = r.withColumn("_bytes", F.when(F.col("_packed").isNotNull(), F.lit(b"")).when(F.lower(_header(F.col("_http"), "Transfer-Encoding")).contains("chunked"), _unchunked(F.col("_body"))).otherwise(F.col("_body")))
     r = r.withColumn("_p", F.when(_header(F.col("_http"), "Content-Type").rlike(ONE_BYTE), F.decode("_bytes", "ISO-8859-1")).otherwise(_utf8(F.col("_bytes"))) if binary else _utf8(F.col("_bytes")))
     if binary:
         r = r.withColumns({c: _utf8(F.encode(c, "ISO-8859-1")) for c in ("_h", "_http")})
@@ -158,9 +184,9 @@ def derive(responses: DataFrame, record_col: str = "record") -> DataFrame:
         ("outlinks", F.regexp_count("_p", F.lit(r"(?i)<a\s[^>]*href")).cast("string")),
     )
     lines = F.filter(F.split("_http", r"\r?\n"), lambda x, i: (i > 0) & x.contains(":"))
-    meta = F.concat(meta, F.array_join(F.transform(lines, lambda x: F.concat(F.lit("sourceHeader: "), x, F.lit(CRLF))), ""))
+    meta = F.concat(meta, F.coalesce(F.concat(F.lit("sourceEncoding: "), F.col("_packed"), F.lit(" (not read)" + CRLF)), F.lit("")), F.array_join(F.transform(lines, lambda x: F.concat(F.lit("sourceHeader: "), x, F.lit(CRLF))), ""))
     r = r.withColumns({"_id": h["WARC-Record-ID"], "_date": h["WARC-Date"], "_uri": h["WARC-Target-URI"], "_pd": h["WARC-Payload-Digest"], "_bd": h["WARC-Block-Digest"]})
-    r = r.withColumn("_ok", F.col("_pd") == _digest(F.col("_bytes")))
+    r = r.withColumn("_ok", F.col("_pd").isin(_digest(F.col("_bytes")), _digest(F.col("_body"))))  # of the payload, or as it was sent
     two = F.array(
         F.struct(F.lit("metadata").alias("record_type"), F.lit("application/warc-fields").alias("content_type"), meta.alias("block")),
         F.struct(F.lit("conversion").alias("record_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), plain_text(F.col("_p")).alias("block")),
@@ -192,10 +218,14 @@ def _sql_id(expr: str) -> str:
 
 
 def _sql_text(html: str) -> str:
+    """The text by patterns of its own: attributes one by one."""
     q = lambda s: s.replace("'", "''")
-    text = f"regexp_replace({html}, '{q(_SILENT)}', ' ', 'g')"
-    text = rf"regexp_replace(regexp_replace({text}, '[\r\n]', ' ', 'g'), '{_BLOCK}', chr(10), 'g')"
-    text = f"regexp_replace({text}, '{_INLINE}', '', 'g')"
+    value = "(?:\"[^\"]*\"|'[^']*'|[^\\s\"'>]+)"
+    attributes = rf"(?:\s*[^\s=>]+(?:\s*=\s*{value})?)*\s*"
+    silent = "|".join(rf"<{t}{attributes}>.*?(?:</{t}\s*>|\z)" for t in SILENT_TAGS)
+    text = f"regexp_replace({html}, '(?is)<!--.*?(?:-->|\\z)|{q(silent)}', ' ', 'g')"
+    text = rf"regexp_replace(regexp_replace({text}, '[\r\n]', ' ', 'g'), '(?i)</?(?:{BLOCK_TAGS})(?:\s{q(attributes)}|/)?>', chr(10), 'g')"
+    text = f"regexp_replace({text}, '</?[a-zA-Z][a-zA-Z0-9:-]*{q(attributes)}>|<[!?][^>]*>', '', 'g')"
     text = f"num({text})"
     for name, char in NAMED.items():
         text = f"replace({text}, '&{name};', '{q(char)}')"
