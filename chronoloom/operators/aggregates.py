@@ -115,38 +115,55 @@ def event_study(df: DataFrame, keys: Sequence[str], ts: str, value: str, event:
     return around.join(df.select(*keys, "_rn", value), [*keys, "_rn"]).groupBy("offset").agg(F.percentile(value, 0.5).alias("median"), F.avg(value).alias("mean"), F.count(value).alias("n"))
 
 
-def cdf_table(df: DataFrame, keys: Sequence[str], value: str, train: Column, out: str, ranges: int = 128) -> DataFrame:
-    """One row for each key (columns ``_k0``, ``_k1`` ...) and value (``_v``): the share of the key's training values that are not
-    above it, and their number (``{out}_n``).
+#: Ranges of a binade in ``value_range``, and the parts that rows without a value are dealt to.
+RANGES, SALTS = 1 << 18, 1_024
 
-    Values are counted first, by key and value, and cumulated in two steps: within ranges of values (cut at approximate quantiles of
-    all of them) and over the ranges, so that neither a key with many rows nor one with many values is the work of one task.
+
+def value_range(value: Column) -> Column:
+    """A long that never falls as the value rises, equal for values of about the same size: sign, exponent and first 18 bits of the fraction.
+
+    A wrong exponent by rounding, just below a power of two, gives the same number as the right one."""
+    x = F.abs(value.cast("double"))
+    e = F.floor(F.log2(x))
+    place = F.when(x == 0, 0).when(x >= 1.7e308, F.lit(2_200 * RANGES)).otherwise((e + 1_100) * RANGES + F.floor((x / F.pow(F.lit(2.0), e) - 1) * RANGES))
+    return F.when(F.isnan(value.cast("double")), F.lit(2_300 * RANGES)).when(value < 0, -place).otherwise(place).cast("long")
+
+
+def hierarchical_cdf(
+    df: DataFrame, levels: Sequence[Sequence[str]], value: str, train: Column, least: int = 0, out: str = "u", other: Column | None = None, other_levels: Sequence[Sequence[str]] = ()
+) -> DataFrame:
+    """Share of the training values that are not above a row's value, in the first level of buckets with ``least`` training values or
+    more; the last level needs none. NULL without a value or without training values; a NULL in a column is a bucket of its own.
+    Rows where ``other`` holds have buckets of their own, of ``other_levels``, so that two calibrations are one pass.
+
+    Values are counted once, by all columns and value; the counts go to their bucket on every level, are cumulated within ranges of values
+    (``value_range``: at most ``RANGES`` for each binade, so neither a bucket with many rows nor one with many values is one task's work) and
+    over the ranges of a bucket; of each column tuple and value the first good level is kept and looked up by one join for all levels. Rows without
+    a value are spread over the join's tasks.
     """
-    names = {f"_k{i}": k for i, k in enumerate(keys)}
-    known = df.where(F.col(value).isNotNull())
-    edges = known.agg(F.percentile_approx(value, [k / ranges for k in range(1, ranges)]).alias("_edges"))
-    counts = known.groupBy(*[F.col(k).alias(n) for n, k in names.items()], F.col(value).alias("_v")).agg(F.sum(F.when(train, 1).otherwise(0)).alias("_n"))
-    counts = counts.crossJoin(F.broadcast(edges)).withColumn("_range", F.size(F.filter("_edges", lambda e: e <= F.col("_v")))).drop("_edges")
-    by_range = counts.groupBy(*names, "_range").agg(F.sum("_n").alias("_n"))
-    w = Window.partitionBy(*names) if names else Window.partitionBy(F.lit(0))  # at most ``ranges`` rows for each key
-    before = F.coalesce(F.sum("_n").over(w.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by_range = by_range.select(*[F.col(n).alias(f"{n}r") for n in names], F.col("_range").alias("_rr"), before.alias("_before"), F.sum("_n").over(w).alias(f"{out}_n"))
-    here = F.col("_range") == F.col("_rr")
-    for n in names:
-        here = here & F.col(n).eqNullSafe(F.col(f"{n}r"))
-    upto = F.sum("_n").over(Window.partitionBy(*names, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
-    share = divide((F.col("_before") + F.col("_upto")).cast("double"), F.col(f"{out}_n"))
-    return counts.withColumn("_upto", upto).join(by_range, here).select(*names, "_v", share.alias(out), f"{out}_n")
-
-
-def with_cdf(df: DataFrame, keys: Sequence[str], value: str, cdf: DataFrame) -> DataFrame:
-    """The rows with the columns of a ``cdf_table``; a NULL in a key is a key of its own."""
-    same = F.col(value) == F.col("_v")
-    for i, k in enumerate(keys):
-        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
-    return df.join(cdf, same, "left").drop("_v", *[f"_k{i}" for i in range(len(keys))])
+    columns = list(dict.fromkeys(c for level in (*levels, *other_levels) for c in level))
+    kind = F.coalesce(other, F.lit(False)) if other is not None else F.lit(False)
+    key = F.struct(kind.alias("_other"), *columns)
+    rows = df.withColumns({"_key": key, "_v": F.col(value)})
+    counts = rows.where("_v IS NOT NULL").groupBy("_key", "_v").agg(F.sum(F.when(train, 1).otherwise(0)).alias("_n"))
+    part = lambda c, level: F.when(F.lit(c in level), F.col(f"_key.`{c}`")).alias(c)
+    buckets = lambda lists, first: F.array(*[F.struct(F.lit(first + k).alias("level"), F.lit(k == len(lists) - 1).alias("last"), *[part(c, level) for c in columns]) for k, level in enumerate(lists)])
+    every = F.when(F.col("_key._other"), buckets(other_levels, len(levels))).otherwise(buckets(levels, 0)) if other_levels else buckets(levels, 0)
+    spread = counts.select("_key", "_v", "_n", F.coalesce(value_range(F.col("_v")), F.lit(0)).alias("_range"), F.explode(every).alias("_bucket"))
+    by_range = spread.groupBy("_bucket", "_range").agg(F.sum("_n").alias("_n"))
+    bucket = Window.partitionBy("_bucket")
+    before = F.coalesce(F.sum("_n").over(bucket.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_range = by_range.select("_bucket", "_range", before.alias("_before"), F.sum("_n").over(bucket).alias("_all"))
+    upto = F.sum("_n").over(Window.partitionBy("_bucket", "_range").orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = spread.withColumn("_upto", upto).join(by_range, ["_bucket", "_range"])
+    share = divide((F.col("_before") + F.col("_upto")).cast("double"), F.col("_all"))
+    good = F.when((F.col("_all") >= least) | F.col("_bucket.last"), F.struct(F.col("_bucket.level"), share.alias("share")))
+    table = ranked.groupBy("_key", "_v").agg(F.min(good)["share"].alias(out)).withColumn("_salt", F.lit(0))
+    plain = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    salt = F.when(F.col("_v").isNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(SALTS)).cast("int")).otherwise(0)
+    return rows.drop(out).withColumn("_salt", salt).join(table, ["_key", "_v", "_salt"], "left").drop("_key", "_v", "_salt")
 
 
 def empirical_cdf(df: DataFrame, keys: Sequence[str], value: str, train: Column, out: str = "u") -> DataFrame:
     """Share of the key's training values that are not above a value; NULL where the key has none."""
-    return with_cdf(df, keys, value, cdf_table(df, keys, value, train, out)).drop(f"{out}_n")
+    return hierarchical_cdf(df, [list(keys)], value, train, out=out)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from chronoloom.functions import scalar as sc
 from chronoloom.functions.frames import HOUR, Keys, at_least, ordered, rows
 from chronoloom.operators import ranks, windows as wn
-from chronoloom.operators.aggregates import cdf_table, with_cdf
+from chronoloom.operators.aggregates import hierarchical_cdf
 from chronoloom.operators.asof import asof_join
 from chronoloom.operators.joins import with_thresholds
 from chronoloom.operators.recursive import ordered_scan
@@ -124,16 +124,6 @@ def neutral_label(active_z: Column) -> Column:
     return decide([(active_z.isNull(), "unavailable"), (active_z < 0.75, "low_active_move"), (active_z < 1.5, "normal_active_move"), (active_z < 3, "strong_active_move")], "extreme_active_move")
 
 
-def calibrated(df: DataFrame, levels: Sequence[Sequence[str]], value: str, train: Column, least: int, out: str = "u", source: DataFrame | None = None) -> DataFrame:
-    """Empirical CDF of the training values of ``source`` (the rows themselves if not given) in the first bucket level with enough
-    of them; the last level needs none."""
-    source, picks = df if source is None else source, []
-    for k, columns in enumerate(levels):
-        df = with_cdf(df, columns, value, cdf_table(source, columns, value, train, f"_u{k}"))
-        picks.append(F.col(f"_u{k}") if k == len(levels) - 1 else F.when(F.col(f"_u{k}_n") >= least, F.col(f"_u{k}")))
-    return df.withColumn(out, F.coalesce(*picks)).drop(*[f"_u{k}{x}" for k in range(len(levels)) for x in ("", "_n")])
-
-
 @dataclass(frozen=True)
 class Horizon:
     """A horizon and the columns of its return, expected size, effective signed size and scale."""
@@ -169,10 +159,9 @@ def response_events(
         "active_z": F.abs("ret") / (c("sigma") + s.eps), "_residual": sc.clip(residual, -s.winsor * F.abs("sigma"), s.winsor * F.abs("sigma")),
     })
     core = c("context") == CORE
-    e = e.withColumns({"_core": F.when(core, c("transmission")), "_other": F.when(~core, c("active_z")), "z_abs": -c("z_amp"), "absorption_raw": 1 - c("transmission"), "active_residual": c("quality_weight") * c("_residual")})
-    source = e
-    e = calibrated(e, levels, "_core", c("_train"), least_bucket, "u", source)
-    e = calibrated(e, neutral_levels, "_other", c("_train"), least_bucket, "neutral_u", source)
+    e = e.withColumns({"_size": F.when(core, c("transmission")).otherwise(c("active_z")), "z_abs": -c("z_amp"), "absorption_raw": 1 - c("transmission"), "active_residual": c("quality_weight") * c("_residual")})
+    e = hierarchical_cdf(e, levels, "_size", c("_train"), least_bucket, "_u", ~core, neutral_levels)
+    e = e.withColumns({"u": F.when(core, c("_u")), "neutral_u": F.when(~core, c("_u"))})
     neutral = F.when(~core, neutral_label(c("active_z")))
     directional = decide([(core, directional_label(c("u"), c("z_amp"), c("aligned"), c("expected"), c("sigma"), s)), (c("context") == WEAK, weak_label(c("aligned"), c("transmission"), c("expected"), c("sigma"), s))], None)
     market = decide([(c("context") == "true_neutral_plie", F.concat(F.lit("neutral_"), neutral)), (c("context") == "low_quality_plie", F.concat(F.lit("low_quality_"), neutral))], directional)
@@ -180,7 +169,7 @@ def response_events(
         "absorption_score": 100 * (1 - c("u")), "active_force_aligned": c("quality_weight") * (2 * c("u") - 1), "neutral_active_strength": 100 * c("neutral_u"), "neutral_active_label": neutral,
         "neutral_active_force": F.signum("ret") * F.tanh(c("active_z") / s.tanh_scale) * (1 - sc.clip(c("quality_weight"), 0.0, 1.0)), "directional_label": directional, "market_label": market,
     })
-    return e.withColumn("active_force_price", c("direction") * c("active_force_aligned")).drop("_train", "_least", "_core", "_other", "_residual")
+    return e.withColumn("active_force_price", c("direction") * c("active_force_aligned")).drop("_train", "_least", "_size", "_u", "_residual")
 
 
 def absorption_curve(events: DataFrame, keys: Sequence[str], keep: Sequence[str], horizons: tuple[str, str, str] = ("20m", "30m", "60m")) -> DataFrame:
