@@ -1,13 +1,15 @@
 """Recursive operators: state is carried over the ordered rows of each key.
 
-``ordered_scan`` sorts by key and time within partitions and streams Arrow batches; only the state of the key in hand is kept,
-so a series may be of any length. Finite filters are plain windows instead.
+Averages and filters are recurrences of ``scans``. ``ordered_scan``, for others, sorts by key and time within partitions and streams Arrow
+batches; only the state of the key in hand is kept, so a series may be of any length. Finite filters are plain windows instead.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from math import ceil, exp
+from dataclasses import dataclass
+from functools import lru_cache
+from math import exp
 
 import numpy as np
 import pandas as pd
@@ -17,6 +19,7 @@ from pyspark.sql.types import StructType
 
 from chronoloom.functions.frames import Keys, ordered
 from chronoloom.functions.scalar import divide, log_guarded
+from chronoloom.operators import scans
 
 #: (state or None at the start of a key, rows of one key in order) -> (new columns, state)
 Step = Callable[[object, pd.DataFrame], tuple[dict[str, np.ndarray], object]]
@@ -48,78 +51,24 @@ def ordered_scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], step:
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def ema_step(value: str, alpha: float, out: str, ignore_na: bool = True) -> Step:
-    """Exponential average without adjustment. A NULL keeps the average; unless ``ignore_na`` its weight decays meanwhile."""
+def ema(df: DataFrame, keys: Keys, order: Sequence[str], value: str, span: float, out: str, ignore_na: bool = True, chunk: int | None = None) -> DataFrame:
+    """Exponential average (``scans.Average``); with ``chunk`` one series is the work of many tasks."""
+    return scans.scan(df, keys, order, [scans.Average([value], [out], 2 / (span + 1), ignore_na)], chunk=chunk)
 
-    def step(state: object, rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], object]:
-        y, weight = state or (None, 1.0)
-        res = np.empty(len(rows))
-        for i, x in enumerate(rows[value].to_numpy(float)):
-            if x == x:
-                if y is None:
-                    y = x
-                else:
-                    w = weight * (1 - alpha)
-                    y = (w * y + alpha * x) / (w + alpha)
-                weight = 1.0
-            elif y is not None and not ignore_na:
-                weight *= 1 - alpha
-            res[i] = np.nan if y is None else y
-        return {out: res}, (y, weight)
-
-    return step
-
-
-def ema(df: DataFrame, keys: Keys, order: Sequence[str], value: str, span: float, out: str, ignore_na: bool = True) -> DataFrame:
-    return ordered_scan(df, keys, order, ema_step(value, 2 / (span + 1), out, ignore_na), f"{out} double")
 
+def kalman_level(
+    df: DataFrame, keys: Keys, order: Sequence[str], value: str, out: str, mean: float = 0.49, variance: float = 50.0, noise: float = 80.0, drift: float = 0.05, chunk: int | None = None
+) -> DataFrame:
+    """Level by a random-walk Kalman filter (``scans.Level``)."""
+    return scans.scan(df, keys, order, [scans.Level([value], [out], mean, variance, noise, drift)], chunk=chunk)
 
-def kalman_level(df: DataFrame, keys: Keys, order: Sequence[str], value: str, out: str, mean: float = 0.49, variance: float = 50.0, noise: float = 80.0, drift: float = 0.05) -> DataFrame:
-    """Random-walk Kalman filter, not below 0. The first observation updates the prior as it is; a NULL only predicts."""
-
-    def step(state: object, rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], object]:
-        m, p, first = state or (mean, variance, True)
-        res = np.empty(len(rows))
-        for i, x in enumerate(rows[value].to_numpy(float)):
-            if not first:
-                p += drift
-            first = False
-            if x == x:
-                gain = p / (p + noise)
-                m, p = m + gain * (x - m), (1 - gain) * p
-            res[i] = max(m, 0.0)
-        return {out: res}, (m, p, first)
-
-    return ordered_scan(df, keys, order, step, f"{out} double")
 
+def local_slope(df: DataFrame, keys: Keys, order: Sequence[str], value: str, out: str, level_noise: float = 1e-4, slope_noise: float = 1e-5, noise: float = 1e-2, chunk: int | None = None) -> DataFrame:
+    """Slope of a local linear trend (``scans.Slope``)."""
+    return scans.scan(df, keys, order, [scans.Slope([value], [out], level_noise, slope_noise, noise)], chunk=chunk)
 
-def local_slope(df: DataFrame, keys: Keys, order: Sequence[str], value: str, out: str, level_noise: float = 1e-4, slope_noise: float = 1e-5, noise: float = 1e-2) -> DataFrame:
-    """Slope of a local linear trend (level and slope) by a two-state Kalman filter; NULLs only predict."""
 
-    def step(state: object, rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], object]:
-        a = state
-        res = np.full(len(rows), np.nan)
-        for i, x in enumerate(rows[value].to_numpy(float)):
-            if a is None:
-                if x == x:
-                    a = (x, 0.0, 1.0, 0.0, 1.0)
-                    res[i] = 0.0
-                continue
-            level, slope, p00, p01, p11 = a
-            level, p00, p01, p11 = level + slope, p00 + 2 * p01 + p11 + level_noise, p01 + p11, p11 + slope_noise
-            if x == x:
-                s, e = p00 + noise, x - level
-                k0, k1 = p00 / s, p01 / s
-                level, slope = level + k0 * e, slope + k1 * e
-                p00, p01, p11 = (1 - k0) * p00, (1 - k0) * p01, p11 - k1 * p01
-            a = (level, slope, p00, p01, p11)
-            res[i] = slope
-        return {out: res}, a
-
-    return ordered_scan(df, keys, order, step, f"{out} double")
-
-
-def kama(df: DataFrame, keys: Keys, ts: str, value: str, n: int, out: str, fast: int = 2, slow: int = 30) -> DataFrame:
+def kama(df: DataFrame, keys: Keys, ts: str, value: str, n: int, out: str, fast: int = 2, slow: int = 30, chunk: int | None = None) -> DataFrame:
     """Adaptive average: the weight ((fast - slow) efficiency + slow)^2 follows |net change| / path over n rows.
 
     It starts at the first value with an efficiency and is held where that can't be formed.
@@ -132,18 +81,7 @@ def kama(df: DataFrame, keys: Keys, ts: str, value: str, n: int, out: str, fast:
     f, s = 2 / (fast + 1), 2 / (slow + 1)
     er = F.coalesce(divide(F.abs(x - F.lag(x, n).over(w)), path), F.when(path == 0, 0.0))
     df = df.withColumn("_alpha", F.pow(er * (f - s) + s, 2))
-
-    def step(state: object, rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], object]:
-        y = state
-        res = np.full(len(rows), np.nan)
-        for i, (v, a) in enumerate(zip(rows[value].to_numpy(float), rows["_alpha"].to_numpy(float), strict=True)):
-            if a == a and v == v:
-                y = v if y is None else y + a * (v - y)
-            if y is not None:
-                res[i] = y
-        return {out: res}, y
-
-    return ordered_scan(df, keys, [ts], step, f"{out} double").drop("_d", "_alpha")
+    return scans.scan(df, keys, [ts], [scans.Adaptive([value, "_alpha"], [out])], chunk=chunk).drop("_d", "_alpha")
 
 
 def spike(df: DataFrame, keys: Keys, ts: str, value: str, average: str, out: str, eps: float = 1e-9) -> DataFrame:
@@ -190,39 +128,79 @@ def wavelet_reach(level: int) -> int:
     return -(-(2 * len(COIF3_LOW) * step) // step) * step
 
 
+@lru_cache(maxsize=4096)
+def wavelet_weights(n: int, level: int) -> np.ndarray:
+    """``wavelet_end`` of n values is their product with these weights: its steps transposed, from the last value back."""
+    low, sizes, places = np.array(COIF3_LOW), [n], []
+    f = len(low)
+    for _ in range(level):
+        m = sizes[-1]
+        padded = np.pad(np.arange(m), f - 1, mode="symmetric" if m >= f - 1 else "edge")
+        ends = np.arange(1, len(padded) - f + 1, 2)
+        places.append(padded[ends[:, None] + f - 1 - np.arange(f)])
+        sizes.append(len(ends))
+    g = np.zeros(n)
+    g[-1] = 1.0
+    for m, below in zip(sizes[:-1], sizes[1:], strict=True):
+        wide = np.zeros(2 * below + f - 1)
+        wide[f - 2 : f - 2 + m] = g
+        g = np.correlate(wide, low[::-1], "valid")[::2]
+    for m, place in zip(sizes[-2::-1], reversed(places), strict=True):
+        g = np.bincount(place.ravel(), (g[:, None] * low).ravel(), m)
+    return g
+
+
+@dataclass(frozen=True)
+class Trend:
+    """Wavelet trend of the strictly past ``history`` values (a recurrence of ``scans``; no chunks). State: values seen, the average that stands in, the values."""
+
+    inputs: Sequence[str]
+    outputs: Sequence[str]
+    history: int
+    level: int
+    fallback_span: int = 64
+
+    def start(self) -> list[float]:
+        return [np.nan]
+
+    def run(self, state: list[float], x: np.ndarray) -> tuple[np.ndarray, list[float]]:
+        history, level, least = self.history, self.level, 2 * len(COIF3_LOW)
+        reach, step = wavelet_reach(level), 1 << level
+        tail = min(history, reach + history % step)  # as many as reach, of the same parity at every level
+        average, past, v = state[0], np.array(state[1:]), x[:, 0]
+        known = np.concatenate([past, v[~np.isnan(v)]])  # the values before the row at place i are known[: before[i]]
+        before = len(past) + np.cumsum(~np.isnan(v)) - ~np.isnan(v)
+        ends: dict[int, float] = {}
+        full = np.unique(before[before >= history])
+        if len(full):
+            run = np.convolve(known[full[0] - tail : full[-1]], wavelet_weights(tail, level)[::-1], "valid")
+            ends = dict(zip(full.tolist(), run[full - full[0]].tolist(), strict=True))
+        out = np.full(len(v), np.nan)
+        for i, (n, value) in enumerate(zip(before.tolist(), v.tolist(), strict=True)):
+            if n >= least:
+                if n not in ends:
+                    seen = known[max(0, n - reach - n % step) : n]
+                    ends[n] = float(wavelet_weights(len(seen), level) @ seen)
+                out[i] = max(ends[n], 0.0)
+            elif average == average:
+                out[i] = max(average, 0.0)
+            if value == value:
+                average = value if average != average else average + 2 / (self.fallback_span + 1) * (value - average)
+        return out[:, None], [average, *known[-history:].tolist()]
+
+    def summary(self, x: np.ndarray) -> list[float]:
+        raise NotImplementedError("its last values are the state: no chunks")
+
+    enter = summary
+
+
 def trailing_wavelet(df: DataFrame, keys: Keys, order: Sequence[str], value: str, history: int, level: int, out: str, fallback_span: int = 64) -> DataFrame:
     """Wavelet trend of the strictly past ``history`` values: the last value of the level's approximation, not below 0.
 
     With less than two filter lengths of history, an exponential average stands in. The last value depends on the newest
-    ``wavelet_reach`` values alone, and linearly: once the history is full it is their product with fixed weights.
+    ``wavelet_reach`` values alone, and linearly: it is their product with fixed weights.
     """
-    least, reach, step = 2 * len(COIF3_LOW), wavelet_reach(level), 1 << level
-    tail = min(history, reach + history % step)  # as many as reach, of the same parity at every level
-    weights: list[np.ndarray] = []
-
-    def end(past: np.ndarray) -> float:
-        if len(past) < history:
-            return wavelet_end(past[-(reach + len(past) % step) :], level)
-        if not weights:
-            weights.append(np.array([wavelet_end(row, level) for row in np.eye(tail)]))
-        return float(weights[0] @ past[-tail:])
-
-    def step_of(state: object, rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], object]:
-        past, average = state if state is not None else (np.empty(0), None)
-        x = rows[value].to_numpy(float)
-        known = np.concatenate([past, x[~np.isnan(x)]])  # the values before the row at place i are known[: len(past) + i]
-        res, n = np.full(len(rows), np.nan), len(past)
-        for i, v in enumerate(x):
-            if n >= least:
-                res[i] = max(end(known[max(n - history, 0) : n]), 0.0)
-            elif average is not None:
-                res[i] = max(average, 0.0)
-            if v == v:
-                n += 1
-                average = v if average is None else average + 2 / (fallback_span + 1) * (v - average)
-        return {out: res}, (known[-history:], average)
-
-    return ordered_scan(df, keys, order, step_of, f"{out} double")
+    return scans.scan(df, keys, order, [Trend([value], [out], history, level, fallback_span)])
 
 
 def cooldown_events(df: DataFrame, keys: Keys, order: Sequence[str], value: str, threshold: str, gap: int, out: str = "selected") -> DataFrame:
@@ -237,8 +215,3 @@ def cooldown_events(df: DataFrame, keys: Keys, order: Sequence[str], value: str,
         return {out: res}, since
 
     return ordered_scan(df, keys, order, step, f"{out} boolean")
-
-
-def bars_of(minutes: float, bar_minutes: float) -> int:
-    """A duration in whole bars, at least one."""
-    return max(1, ceil(minutes / bar_minutes))

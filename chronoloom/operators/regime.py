@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoloom.operators import scans
 from chronoloom.operators.recursive import ordered_scan
 
 
@@ -88,28 +89,14 @@ class Gaussians:
         return Gaussians(self.start[o], self.move[np.ix_(o, o)], self.means[o], self.variances[o])
 
 
-def _log_add(x: np.ndarray, axis: int) -> np.ndarray:
-    top = x.max(axis=axis, keepdims=True)
-    return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
+def filter_of(features: Sequence[str], model: Gaussians, prefix: str = "p") -> scans.Filter:
+    """The model's forward filter as a recurrence."""
+    return scans.Filter(list(features), [*(f"{prefix}{j}" for j in range(len(model.start))), "state", "confidence"], model.start, model.move, model.known_density)
 
 
-def forward_filter(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[str], model: Gaussians, prefix: str = "p") -> DataFrame:
+def forward_filter(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[str], model: Gaussians, prefix: str = "p", chunk: int | None = None) -> DataFrame:
     """Filtered state probabilities p0..pk, the best state and its probability; rows with a NULL feature only predict."""
-    k = len(model.start)
-    log_start, log_move = np.log(model.start + 1e-300), np.log(model.move + 1e-300)
-
-    def step(state: object, rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], object]:
-        density = model.known_density(rows[list(features)].to_numpy(float))
-        out = np.empty((len(density), k))
-        a = state
-        for i in range(len(density)):
-            a = (log_start if a is None else _log_add(a[:, None] + log_move, 0)) + density[i]
-            a = a - _log_add(a, 0)
-            out[i] = np.exp(a)
-        best = out.argmax(axis=1)
-        return {f"{prefix}{j}": out[:, j] for j in range(k)} | {"state": best.astype(np.int32), "confidence": out.max(axis=1)}, a
-
-    return ordered_scan(df, keys, order, step, ", ".join(f"{prefix}{j} double" for j in range(k)) + ", state int, confidence double")
+    return scans.scan(df, keys, order, [filter_of(features, model, prefix)], chunk=chunk).withColumn("state", F.col("state").cast("int"))
 
 
 def prefix_viterbi(df: DataFrame, keys: Sequence[str], order: Sequence[str], features: Sequence[str], model: Gaussians, out: str = "viterbi") -> DataFrame:
@@ -129,28 +116,11 @@ def prefix_viterbi(df: DataFrame, keys: Sequence[str], order: Sequence[str], fea
 
 
 def debounced(df: DataFrame, keys: Sequence[str], order: Sequence[str], candidate: str, confidence: str, confirm: int, switch: float, least_rows: int = 1, out: str = "steady", posteriors: Sequence[str] = ()) -> DataFrame:
-    """Switches to another state after ``confirm`` rows in a row say so with confidence, and not before ``least_rows`` rows.
+    """Switches to another state after ``confirm`` rows in a row say so with confidence, and not before ``least_rows`` rows; a NULL state is no
+    evidence, and until a first state comes none is held.
 
     With the names of the states' ``posteriors``, ``{out}_confidence`` is that of the state held."""
-
-    def step(state: object, rows: pd.DataFrame) -> tuple[dict[str, np.ndarray], object]:
-        current, waiting, count, age = state or (None, None, 0, 0)
-        res = np.empty(len(rows), np.int32)
-        for i, (s, p) in enumerate(zip(rows[candidate].to_numpy(), rows[confidence].to_numpy(float), strict=True)):
-            if current is None:
-                current, age = s, 0
-            age += 1
-            if s == current or not p >= switch:
-                waiting, count = None, 0
-            else:
-                count = count + 1 if s == waiting else 1
-                waiting = s
-                if count >= confirm and age > least_rows:
-                    current, waiting, count, age = s, None, 0, 1
-            res[i] = current
-        return {out: res}, (current, waiting, count, age)
-
-    held = ordered_scan(df, keys, order, step, f"{out} int")
+    held = scans.scan(df, keys, order, [scans.Debounce([candidate, confidence], [out], confirm, switch, least_rows)]).withColumn(out, F.col(out).cast("int"))
     return held.withColumn(f"{out}_confidence", F.get(F.array(*posteriors), F.col(out))) if posteriors else held
 
 

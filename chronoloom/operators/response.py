@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import scalar as sc
 from chronoloom.functions.frames import HOUR, Keys, at_least, ordered, rows
-from chronoloom.operators import ranks, windows as wn
+from chronoloom.operators import ranks, scans, windows as wn
 from chronoloom.operators.aggregates import hierarchical_cdf
 from chronoloom.operators.asof import asof_join
 from chronoloom.operators.joins import with_thresholds
@@ -197,25 +197,7 @@ def absorption_curve(events: DataFrame, keys: Sequence[str], keep: Sequence[str]
 
 def averages(df: DataFrame, keys: Keys, order: Sequence[str], specs: Mapping[str, tuple[str, float, bool]]) -> DataFrame:
     """Several exponential averages in one pass: output -> (value, span, whether a NULL keeps its weight from decaying)."""
-
-    def step(state: object, part: pd.DataFrame) -> tuple[dict[str, np.ndarray], object]:
-        state = state or {n: (None, 1.0) for n in specs}
-        out = {}
-        for n, (value, span, ignore) in specs.items():
-            (y, weight), keep = state[n], 1 - 2 / (span + 1)
-            res = np.full(len(part), np.nan)
-            for i, x in enumerate(part[value].to_numpy(float)):
-                if x == x:
-                    w = weight * keep
-                    y, weight = x if y is None else (w * y + (1 - keep) * x) / (w + 1 - keep), 1.0
-                elif y is not None and not ignore:
-                    weight *= keep
-                res[i] = np.nan if y is None else y
-            state[n], out[n] = (y, weight), res
-        return out, state
-
-    found = ordered_scan(df, keys, order, step, ", ".join(f"`{n}` double" for n in specs))
-    return found.withColumns({n: sc.finite(n) for n in specs})
+    return scans.scan(df, keys, order, [scans.Average([value], [n], 2 / (span + 1), ignore) for n, (value, span, ignore) in specs.items()])
 
 
 def response_memory(base: DataFrame, ts: str, events: DataFrame, curve: DataFrame, keys: Keys, main: str, tie: str, spans: Sequence[int] = (3, 6, 12), persistence: int = 6, takeover: int = 12, half_life: float = 24.0, mode: int = 6) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import scalar as sc
 from chronoloom.functions.frames import DAY, Keys, ordered
-from chronoloom.operators import asof, ranks, recursive as rc, regime as rg
+from chronoloom.operators import asof, ranks, recursive as rc, regime as rg, scans
 from chronoloom.operators.resample import collapse_to_source, keep_last
 
 
@@ -23,16 +23,15 @@ def delta_case(a: Column, b: Column, da: Column, db: Column) -> Column:
 
 def canonical_family(df: DataFrame, keys: Keys, ts: str, long_side: str, short_side: str, *, history: int = 17280, level: int = 6, difference_span: float = 16, share_span: float = 12) -> DataFrame:
     """Both sides smoothed by the trailing wavelet and the level filter, their sum, difference and shares, averages of these, and the case of their moves."""
-    for side, out in ((long_side, "long_level"), (short_side, "short_level")):
-        df = rc.trailing_wavelet(df, keys, [ts], side, history, level, f"_{out}")
-        df = rc.kalman_level(df, keys, [ts], f"_{out}", out).drop(f"_{out}")
+    sides = {"long_level": long_side, "short_level": short_side}
+    parts = [p for out, side in sides.items() for p in (rc.Trend([side], [f"_{out}"], history, level), scans.Level([f"_{out}"], [out]))]
+    df = scans.scan(df, keys, [ts], parts).drop(*[f"_{out}" for out in sides])
     l, s, w = F.col("long_level"), F.col("short_level"), ordered(keys, ts)
     df = df.withColumns({"total_level": l + s, "diff_level": l - s, "delta_long": l - F.lag(l).over(w), "delta_short": s - F.lag(s).over(w)})
     df = df.withColumns({
         "share": sc.safe_ratio(l, "total_level", 0.5), "dominance_share": sc.safe_ratio("diff_level", "total_level", 0.0), "delta_case": delta_case(l, s, F.col("delta_long"), F.col("delta_short")),
     })
-    df = rc.ema(df, keys, [ts], "diff_level", difference_span, "diff_smooth")
-    return rc.ema(df, keys, [ts], "share", share_span, "share_smooth")
+    return scans.scan(df, keys, [ts], [scans.Average([x], [f"{name}_smooth"], 2 / (span + 1)) for x, name, span in (("diff_level", "diff", difference_span), ("share", "share", share_span))])
 
 
 def arcsinh_scaled(df: DataFrame, keys: Keys, value: str, out: str) -> DataFrame:
@@ -107,6 +106,11 @@ def age_in_state(df: DataFrame, keys: Keys, ts: str, state: str, out: str) -> Da
     return df.withColumn(out, F.when(known, F.row_number().over(Window.partitionBy(*keys, known, "_run").orderBy(ts)) - 1)).drop("_new", "_run")
 
 
+def regime_parts(model: rg.Gaussians, confirm: int = 2, switch: float = 0.6, least_rows: int = 1) -> list[scans.Recurrence]:
+    """The model's filter (``_q0`` ...) and the state that is held (``_held``), in one pass."""
+    return [rg.filter_of(FEATURES, model, "_q"), scans.Debounce(["state", "confidence"], ["_held"], confirm, switch, least_rows)]
+
+
 def apply_regime(
     df: DataFrame, keys: Keys, source_ts: str, ts: str, long_side: str, short_side: str, model: rg.Gaussians, s: ObservationSettings = ObservationSettings(), *, confirm: int = 2, switch: float = 0.6, least_rows: int = 1
 ) -> DataFrame:
@@ -117,8 +121,8 @@ def apply_regime(
     posteriors = [f"p_state_{k}" for k in range(1, len(ROLES) + 1)]
     one = collapse_to_source(df.select(*keys, source_ts, ts, F.col(long_side).alias("_long"), F.col(short_side).alias("_short")), keys, source_ts, ts)
     seen = observation_features(one, keys, source_ts, "_long", "_short", s).dropna(subset=list(FEATURES))
-    seen = rg.forward_filter(seen, keys, [source_ts], FEATURES, model, "_q")
-    seen = rg.debounced(seen, keys, [source_ts], "state", "confidence", confirm, switch, least_rows, "_held", [f"_q{k}" for k in range(len(ROLES))])
+    seen = scans.scan(seen, keys, [source_ts], regime_parts(model, confirm, switch, least_rows))
+    seen = seen.withColumn("_held", F.col("_held").cast("int")).withColumn("_held_confidence", F.get(F.array(*[f"_q{k}" for k in range(len(ROLES))]), F.col("_held")))
     seen = seen.select(*keys, source_ts, (F.col("_held") + 1).alias("state"), F.col("_held_confidence").alias("state_confidence"), *[F.col(f"_q{k}").alias(p) for k, p in enumerate(posteriors)])
     seen = age_in_state(posterior_summary(seen, posteriors), keys, source_ts, "state", "age_in_state_source")
     rows = df.join(seen, [*keys, source_ts], "left")

@@ -6,9 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scalar as sc
-from chronoloom.functions.frames import HOUR, ordered
-from chronoloom.operators import pressure as ps, quantreg, recursive as rc, regime as rg, windows as wn
-from chronoloom.plans.registry import BARS, FLOWS, bars, flows, query, r, rounded, table
+from chronoloom.functions.frames import DAY, HOUR, ordered
+from chronoloom.operators import pressure as ps, quantreg, recursive as rc, regime as rg, scans, windows as wn
+from chronoloom.plans.registry import BARS, FLOWS, SQL, bars, flows, query, r, rounded, table
 
 I = "i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY t) AS i FROM bars)"
 
@@ -105,6 +105,42 @@ def hmm_filter(spark, sf_dir):
     return rounded(rg.forward_filter(b, ["k"], ["t"], ["x"], _model()).select("k", "t", "p0", "p1", "p2"))
 
 
+_AVERAGE_AND_LEVEL = f"""WITH RECURSIVE {BARS}, {I}, e(k, i, t, y) AS (SELECT k, i, t, close FROM i WHERE i = 1 UNION ALL SELECT i.k, i.i, i.t, e.y + 2.0 / 13 * (i.close - e.y) FROM e JOIN i ON i.k = e.k AND i.i = e.i + 1),
+  f(k, i, t, m, p) AS (SELECT k, i, t, 0.49 + 50.0 / 130 * (close - 0.49), 50.0 * 80 / 130 FROM i WHERE i = 1
+    UNION ALL SELECT i.k, i.i, i.t, f.m + (f.p + 0.05) / (f.p + 80.05) * (i.close - f.m), 80 * (f.p + 0.05) / (f.p + 80.05) FROM f JOIN i ON i.k = f.k AND i.i = f.i + 1),
+  g AS (SELECT k, t, n, sum(new) OVER (PARTITION BY k ORDER BY t) AS run FROM (SELECT k, t, n, CASE WHEN n = lag(n) OVER (PARTITION BY k ORDER BY t) THEN 0 ELSE 1 END AS new FROM bars))
+  SELECT k, t, round(y, 6) + 0.0 AS y, round(greatest(m, 0), 6) + 0.0 AS level, row_number() OVER (PARTITION BY k, run ORDER BY t)::DOUBLE AS stood FROM e JOIN f USING (k, i, t) JOIN g USING (k, t)"""
+
+
+@query(_AVERAGE_AND_LEVEL)
+def recurrences_in_chunks(spark, sf_dir):
+    """Average, level and run length of each series in one pass over chunks of two days, each the work of a task of its own."""
+    parts = [scans.Average(["close"], ["y"], 2 / 13), scans.Level(["close"], ["level"]), scans.RunLength(["n"], ["stood"])]
+    return rounded(scans.scan(bars(spark, sf_dir), ["k"], ["t"], parts, chunk=2 * DAY).select("k", "t", "y", "level", "stood"))
+
+
+@query(_AVERAGE_AND_LEVEL)
+def recurrences_resumed(spark, sf_dir):
+    """The same, built in two appends: the later rows go on from the states after the earlier ones."""
+    b, parts = bars(spark, sf_dir), [scans.Average(["close"], ["y"], 2 / 13), scans.Level(["close"], ["level"]), scans.RunLength(["n"], ["stood"])]
+    old, new = b.where(F.col("t") < F.lit("2024-01-15")), b.where(F.col("t") >= F.lit("2024-01-15"))
+    states = scans.last_states(old, ["k"], ["t"], parts)
+    both = scans.scan(old, ["k"], ["t"], parts).unionByName(scans.scan(new, ["k"], ["t"], parts, states=states))
+    return rounded(both.select("k", "t", "y", "level", "stood"))
+
+
+@query(SQL["hmm_filter"])
+def hmm_filter_in_chunks(spark, sf_dir):
+    b = bars(spark, sf_dir).withColumn("x", F.log1p("close"))
+    return rounded(rg.forward_filter(b, ["k"], ["t"], ["x"], _model(), chunk=2 * DAY).select("k", "t", "p0", "p1", "p2"))
+
+
+@query(SQL["local_slope"])
+def local_slope_in_chunks(spark, sf_dir):
+    b = bars(spark, sf_dir).withColumn("x", F.log1p("close"))
+    return rounded(rc.local_slope(b, ["k"], ["t"], "x", "slope", chunk=2 * DAY).select("k", "t", "slope"))
+
+
 def _best(a: str, b: str, c: str) -> str:
     return f"CASE WHEN {a} >= {b} AND {a} >= {c} THEN 0 WHEN {b} >= {c} THEN 1 ELSE 2 END"
 
