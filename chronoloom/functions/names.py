@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from calendar import monthrange
 from collections.abc import Mapping, Sequence
 from datetime import datetime, timedelta, timezone
 
@@ -85,7 +86,8 @@ def month_folds(first: str, last: str, train: int = 18, test: int = 3, step: int
     """(start, cut, end) dates of rolling folds in calendar months."""
     def plus(date: datetime, months: int) -> datetime:
         y, m = divmod(date.month - 1 + months, 12)
-        return date.replace(year=date.year + y, month=m + 1)
+        last = monthrange(date.year + y, m + 1)[1]  # a month's end stays one
+        return date.replace(year=date.year + y, month=m + 1, day=min(date.day, last))
 
     at, end, out = datetime.fromisoformat(first), datetime.fromisoformat(last), []
     while plus(at, train + test) <= end and len(out) < most:

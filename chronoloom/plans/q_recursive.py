@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import scalar as sc
 from chronoloom.functions.frames import DAY, HOUR, ordered
+from chronoloom.functions.names import month_folds
 from chronoloom.operators import pressure as ps, quantreg, recursive as rc, regime as rg, scans, windows as wn
 from chronoloom.plans.registry import BARS, FLOWS, SQL, bars, flows, query, r, rounded, table
 
@@ -229,9 +230,14 @@ def quantile_regression(spark, sf_dir):
 
 @query()
 def walk_forward(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").withColumn("x", F.month("o_orderdate").cast("double"))
-    folds = [("1995-01-01", "1996-07-01", "1996-10-01"), ("1995-04-01", "1996-10-01", "1997-01-01")]
-    return spark.createDataFrame([{k: float(v) for k, v in f.items()} for f in quantreg.walk_forward(o, "o_orderdate", folds, ["x"], "o_totalprice")])
+    """Folds of 18 and 3 months, every 3 months, three targets: all fits in common rounds."""
+    month = F.month("o_orderdate").cast("double")
+    price = F.col("o_totalprice")
+    o = table(spark, sf_dir, "orders").select("o_orderdate", month.alias("x"), F.dayofmonth("o_orderdate").cast("double").alias("day"), price.alias("price"), (price * (1 + month / 24)).alias("rising"), (price - 150000).alias("centred"))
+    ends = o.agg(F.min("o_orderdate"), F.max("o_orderdate")).first()
+    rows = quantreg.walk_forward(o, "o_orderdate", month_folds(str(ends[0]), str(ends[1])), ["x", "day"], ["price", "rising", "centred"])
+    kinds = "fold int, target string, start string, cut string, intercept double, x double, day double, n_train long, n_test long, skipped boolean, mean_predicted double, mean_actual double, positive_rate double, coverage double, pinball double"
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in kinds.split(", ")) for r in rows], kinds)
 
 
 @query()

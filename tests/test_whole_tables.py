@@ -81,14 +81,41 @@ def test_slopes_of_the_wrong_sign_are_zero(spark):
 
 
 def test_walk_forward_converges(spark, sf_dir):
+    """All folds and targets against plain fits; jobs counted."""
     orders = pd.read_parquet(f"{sf_dir}/orders.parquet")
-    for r in catalog.queries()["walk_forward"](spark, sf_dir).collect():
-        start, cut, end = (("1995-01-01", "1996-07-01", "1996-10-01"), ("1995-04-01", "1996-10-01", "1997-01-01"))[int(r.fold)]
-        train = orders[(orders.o_orderdate >= start) & (orders.o_orderdate < cut)]
-        a, b = plain_quantile_fit(train.o_orderdate.dt.month.to_numpy(float)[:, None], train.o_totalprice.to_numpy(float))
-        test = orders[(orders.o_orderdate >= cut) & (orders.o_orderdate < end)]
-        assert (r.intercept, r.x) == pytest.approx((a, b[0]), rel=1e-4, abs=1e-2) and r.n_test == len(test)
-        assert r.coverage == pytest.approx((test.o_totalprice <= a + b[0] * test.o_orderdate.dt.month).mean(), abs=5e-3)
+    x = np.column_stack([orders.o_orderdate.dt.month, orders.o_orderdate.dt.day]).astype(float)
+    targets = {"price": orders.o_totalprice, "rising": orders.o_totalprice * (1 + orders.o_orderdate.dt.month / 24), "centred": orders.o_totalprice - 150000}
+    spark.sparkContext.setJobGroup("folds", "")
+    rows = catalog.queries()["walk_forward"](spark, sf_dir).collect()
+    spark.sparkContext.setJobGroup("", "")
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("folds"))
+    assert jobs <= 40, jobs
+    assert len(rows) == 3 * len({r.fold for r in rows}) and len({r.fold for r in rows}) == 20
+    for r in rows:
+        start, cut = pd.Timestamp(r.start), pd.Timestamp(r.cut)
+        assert cut == start + pd.DateOffset(months=18)
+        train = ((orders.o_orderdate >= start) & (orders.o_orderdate < cut)).to_numpy()
+        test = ((orders.o_orderdate >= cut) & (orders.o_orderdate < cut + pd.DateOffset(months=3))).to_numpy()
+        y = targets[r.target].to_numpy(float)
+        assert r.n_train == train.sum() and r.n_test == test.sum() and not r.skipped
+        if r.fold % 5 == 0:
+            a, b = plain_quantile_fit(x[train], y[train])
+            assert r.intercept == pytest.approx(a, rel=1e-4, abs=5) and (r.x, r.day) == pytest.approx(tuple(b), rel=1e-4, abs=0.5)
+        said = np.maximum(r.intercept + x[test] @ [r.x, r.day], 0)
+        off = y[test] - said
+        assert (r.mean_predicted, r.mean_actual, r.positive_rate, r.coverage) == pytest.approx((said.mean(), y[test].mean(), (y[test] > 0).mean(), (y[test] <= said).mean()))
+        assert r.pinball == pytest.approx(np.maximum(0.65 * off, -0.35 * off).mean())
+
+
+def test_folds_and_skipped_ones(spark):
+    from chronoloom.operators import quantreg
+
+    from chronoloom.functions.names import month_folds
+
+    assert month_folds("2020-01-31", "2022-02-01") == [("2020-01-31", "2021-07-31", "2021-10-31"), ("2020-04-30", "2021-10-30", "2022-01-30")]
+    df = spark.range(60).select((F.lit("2020-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("id").cast("int"))).alias("t"), F.lit(5.0).alias("one"), F.col("id").cast("double").alias("x"), F.when(F.col("id") % 3 == 0, F.col("id").cast("double")).alias("y"))
+    a, b = quantreg.walk_forward(df, "t", [("2020-01-01", "2020-02-01", "2020-03-01"), ("2021-01-01", "2021-02-01", "2021-03-01")], ["one", "x"], "y", least_train=5)
+    assert a["n_train"] == 11 and not a["skipped"] and a["x"] == pytest.approx(1, abs=0.05) and b["n_train"] == 0 and b["skipped"] and b["coverage"] is None
 
 
 def plain_training(x, k, restarts=10, rounds=300):
