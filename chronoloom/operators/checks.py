@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions.scalar import finite
+
 
 @dataclass(frozen=True)
 class Check:
@@ -204,3 +206,58 @@ def outlier_profile(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame
         F.avg(((x < q1 - 3 * (q3 - q1)) | (x > q3 + 3 * (q3 - q1))).cast("double")).alias("iqr_share"), F.avg((F.abs(x - F.col("_m")) > 6 * F.col("_s")).cast("double")).alias("z_share")
     )
     return out.withColumn("verdict", F.when(F.col("iqr_share") > 0.05, "FAIL").when(F.col("iqr_share") > 0.01, "WARN").otherwise("PASS"))
+
+
+@dataclass(frozen=True)
+class OutlierLimits:
+    """When a value stands out; the defaults are the published ones."""
+
+    z: float = 4.0
+    iqr: float = 3.0
+    tails: tuple[float, float] = (0.01, 0.99)
+    explosion: float = 1000.0  # median deviations above the median's size
+    cliff: float = 20.0  # median deviations of the steps above their median
+
+
+OUTLIER_REASONS = ("zscore", "iqr", "extreme_quantile", "explosion", "cliff")
+
+
+def outlier_marks(df: DataFrame, keys: Sequence[str], ts: str, value: str, s: OutlierLimits = OutlierLimits()) -> DataFrame:
+    """Rows with a finite value: keys, time, value, ``z`` (NULL without spread), ``score`` (its size; without spread the value over the usual size), the
+    key's thresholds, and a flag for each of ``OUTLIER_REASONS``. A cliff is a step to the row above the usual steps."""
+    x = F.col("_x")
+    known = df.select(*keys, ts, finite(F.col(value).cast("double")).alias("_x"))
+    known = known.withColumn("_step", F.abs(x - F.lag(x).over(Window.partitionBy(*keys).orderBy(ts))))
+    q = [0.25, 0.5, 0.75, *s.tails]
+    first = known.groupBy(*keys).agg(F.avg(x).alias("_mean"), F.stddev_samp(x).alias("_sd"), F.percentile(x, q).alias("_q"), F.percentile("_step", 0.5).alias("_step_mid"), F.percentile(F.abs(x), 0.5).alias("_usual"))
+    first = first.select("*", *[F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(("_q1", "_mid", "_q3", "extreme_low", "extreme_high"))]).drop("_q")
+    rows = known.join(first, list(keys))
+    second = rows.groupBy(*keys).agg(F.percentile(F.abs(x - F.col("_mid")), 0.5).alias("_mad"), F.percentile(F.abs(F.col("_step") - F.col("_step_mid")), 0.5).alias("_step_mad"))
+    rows = rows.join(second, list(keys)).where(x.isNotNull())
+    least = lambda c: F.greatest(F.col(c), F.lit(1e-12))
+    iqr = F.col("_q3") - F.col("_q1")
+    rows = rows.withColumns({
+        "z": F.when(F.col("_sd") > 0, (x - F.col("_mean")) / F.col("_sd")), "iqr_low": F.col("_q1") - s.iqr * iqr, "iqr_high": F.col("_q3") + s.iqr * iqr,
+        "explosion_threshold": F.abs("_mid") + s.explosion * least("_mad"), "cliff_threshold": F.when(F.col("_step_mid").isNotNull(), F.col("_step_mid") + s.cliff * least("_step_mad")),
+    })
+    marks = {
+        "zscore": F.abs("z") > s.z, "iqr": (iqr > 0) & ((x < F.col("iqr_low")) | (x > F.col("iqr_high"))), "extreme_quantile": (x < F.col("extreme_low")) | (x > F.col("extreme_high")),
+        "explosion": F.abs(x) > F.col("explosion_threshold"), "cliff": F.col("_step") > F.col("cliff_threshold"),
+    }
+    rows = rows.withColumn("score", F.coalesce(F.abs("z"), F.abs(x) / least("_usual")))
+    thresholds = ("iqr_low", "iqr_high", "extreme_low", "extreme_high", "explosion_threshold", "cliff_threshold")
+    return rows.select(*keys, ts, x.alias(value), "z", "score", *thresholds, *[F.coalesce(m, F.lit(False)).alias(n) for n, m in marks.items()])
+
+
+def outlier_counts(marks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Thresholds and the number of rows for each reason, by key."""
+    thresholds = ("iqr_low", "iqr_high", "extreme_low", "extreme_high", "explosion_threshold", "cliff_threshold")
+    return marks.groupBy(*keys).agg(F.count("*").alias("n"), *[F.first(t).alias(t) for t in thresholds], *[F.sum(F.col(r).cast("long")).alias(f"n_{r}") for r in OUTLIER_REASONS])
+
+
+def outlier_examples(marks: DataFrame, keys: Sequence[str], ts: str, value: str, most: int = 30) -> DataFrame:
+    """The ``most`` worst rows of each key with their reasons, the worst first (equal scores by time)."""
+    reasons = F.concat_ws(",", *[F.when(F.col(r), F.lit(r)) for r in OUTLIER_REASONS])
+    rows = marks.withColumn("reason", reasons).where("reason <> ''")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("score"), ts))
+    return rows.withColumn("place", place).where(F.col("place") <= most).select(*keys, "place", ts, value, "z", "reason")

@@ -63,15 +63,15 @@ def kalman_level(
     return scans.scan(df, keys, order, [scans.Level([value], [out], mean, variance, noise, drift)], chunk=chunk)
 
 
-def local_slope(df: DataFrame, keys: Keys, order: Sequence[str], value: str, out: str, level_noise: float = 1e-4, slope_noise: float = 1e-5, noise: float = 1e-2, chunk: int | None = None) -> DataFrame:
+def local_slope(df: DataFrame, keys: Keys, order: Sequence[str], value: str, out: str, level_noise: float = 1e-4, slope_noise: float = 1e-5, noise: float = 1e-2, chunk: int | None = None, update_first: bool = False) -> DataFrame:
     """Slope of a local linear trend (``scans.Slope``)."""
-    return scans.scan(df, keys, order, [scans.Slope([value], [out], level_noise, slope_noise, noise)], chunk=chunk)
+    return scans.scan(df, keys, order, [scans.Slope([value], [out], level_noise, slope_noise, noise, update_first)], chunk=chunk)
 
 
-def kama(df: DataFrame, keys: Keys, ts: str, value: str, n: int, out: str, fast: int = 2, slow: int = 30, chunk: int | None = None) -> DataFrame:
+def kama(df: DataFrame, keys: Keys, ts: str, value: str, n: int, out: str, fast: int = 2, slow: int = 30, chunk: int | None = None, from_first: bool = False) -> DataFrame:
     """Adaptive average: the weight ((fast - slow) efficiency + slow)^2 follows |net change| / path over n rows.
 
-    It starts at the first value with an efficiency and is held where that can't be formed.
+    It starts at the first value with an efficiency (``from_first``: at the key's first row) and is held where that can't be formed.
     """
     w = ordered(keys, ts)
     x = F.col(value)
@@ -81,6 +81,8 @@ def kama(df: DataFrame, keys: Keys, ts: str, value: str, n: int, out: str, fast:
     f, s = 2 / (fast + 1), 2 / (slow + 1)
     er = F.coalesce(divide(F.abs(x - F.lag(x, n).over(w)), path), F.when(path == 0, 0.0))
     df = df.withColumn("_alpha", F.pow(er * (f - s) + s, 2))
+    if from_first:
+        df = df.withColumn("_alpha", F.when(F.row_number().over(w) == 1, 0.0).otherwise(F.col("_alpha")))
     return scans.scan(df, keys, [ts], [scans.Adaptive([value, "_alpha"], [out])], chunk=chunk).drop("_d", "_alpha")
 
 

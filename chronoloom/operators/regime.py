@@ -10,9 +10,10 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoloom.functions.scalar import EPS, finite
 from chronoloom.operators import scans
 from chronoloom.operators.recursive import ordered_scan
 
@@ -321,9 +322,9 @@ def _first_centres(series: _Series, k: int, restarts: int, rows: int) -> np.ndar
 
 def train(
     series: DataFrame | pd.DataFrame, features: Sequence[str], k: int, spark, order: Sequence[str] = (), restarts: int = 10, validation: float = 0.2,  # noqa: ANN001
-    rounds: int = 300, tolerance: float = 1e-3, sticky: float = 10.0, floor: float = 1e-3,
+    rounds: int = 300, tolerance: float = 1e-3, sticky: float = 10.0, floor: float = 1e-3, warm: Gaussians | None = None,
 ) -> Gaussians:
-    """The restart with the best likelihood of the held-out tail.
+    """The restart with the best likelihood of the held-out tail; with ``warm`` the one training that starts from that model's parameters.
 
     ``series`` is one entity's rows, in the order of ``order`` (a pandas frame: as it stands); rows with a missing feature are
     left out. The rows stay on the executors as ordered blocks. A round of expectation maximisation takes two passes over all
@@ -337,11 +338,16 @@ def train(
         cut, d = int(rows.n * (1 - validation)), rows.d
         if cut < k:
             raise ValueError(f"{rows.n} rows are too few to train {k} states")
-        centres = _first_centres(rows, k, restarts, cut)
+        if warm is not None and (warm.means.shape != (k, d)):
+            raise ValueError(f"the model to start from has {warm.means.shape[0]} states of {warm.means.shape[1]} features")
+        restarts = 1 if warm is not None else restarts
+        centres = warm.means[None] if warm is not None else _first_centres(rows, k, restarts, cut)
         spread = rows.total(lambda at, x: np.concatenate([(y := x[: max(cut - at, 0)]).sum(0), (y * y).sum(0)]), 2 * d) / cut
         variance = np.maximum(spread[d:] - spread[:d] ** 2, 0.0) + floor
         move = np.full((k, k), 0.1 / max(k - 1, 1)) + np.eye(k) * (0.9 - 0.1 / max(k - 1, 1))
         models = _Restarts(np.full((restarts, k), 1 / k), np.tile(move, (restarts, 1, 1)), centres, np.tile(variance, (restarts, k, 1)))
+        if warm is not None:
+            models = _Restarts(*(np.array(v[None], float) for v in (warm.start, warm.move, warm.means, warm.variances)))
         one_block = sum(at < cut for at in rows.first.values()) == 1
         last, active = np.full(restarts, -np.inf), np.arange(restarts)
         for _ in range(rounds):
@@ -383,3 +389,37 @@ def relabelled(model: Gaussians, feature: int) -> tuple[Gaussians, list[int]]:
     """States ordered by their mean of one feature, so that labels mean the same after each training."""
     order = list(np.argsort(model.means[:, feature], kind="stable"))
     return model.reordered(order), order
+
+
+def pressure_medians(df: DataFrame, state: str, long_side: str, short_side: str) -> DataFrame:
+    """By state: rows, medians of the total, of short less long, of both sides and of the short share, the mean of the difference, the total's 0.9 quantile."""
+    l, s = F.col(long_side).cast("double"), F.col(short_side).cast("double")
+    good = df.select(F.col(state).alias("state"), finite(l).alias("l"), finite(s).alias("s")).dropna()
+    middle = lambda x, name: F.percentile(x, 0.5).alias(name)
+    total, lean = F.col("l") + F.col("s"), F.col("s") - F.col("l")
+    return good.groupBy("state").agg(
+        F.count("*").alias("n"), middle(total, "total_med"), F.percentile(total, 0.9).alias("total_p90"), middle(lean, "short_dom_med"), F.avg(lean).alias("short_dom_mean"), middle("l", "long_med"), middle("s", "short_med"), middle(F.col("s") / (total + EPS), "short_share_med")
+    )
+
+
+def neutral_first(summary: DataFrame) -> DataFrame:
+    """The states of ``pressure_medians`` with ``new_state`` (from 1): the one whose median difference is nearest to 0 stands in the middle, the others
+    around it from the most upward to the most downward; ``short_side_ok``: whether the sign of the difference fits the place; ``share`` of the rows."""
+    every = Window.partitionBy()  # one row for each state of a model
+    nearest = F.row_number().over(Window.orderBy(F.abs("short_dom_med"), "total_med", "state"))
+    out = summary.withColumn("_near", nearest == 1).withColumn("_k", F.count("*").over(every))
+    middle = F.floor((F.col("_k") - 1) / 2)
+    place = F.row_number().over(Window.partitionBy("_near").orderBy(F.desc("short_dom_med"), F.desc("total_med"), "state"))
+    out = out.withColumn("new_state", F.when(F.col("_near"), middle + 1).otherwise(place + F.when(place > middle, 1).otherwise(0)).cast("int"))
+    fits = F.when(F.col("new_state") <= middle, F.col("short_dom_med") > 0).when(F.col("new_state") > middle + 1, F.col("short_dom_med") < 0).otherwise(F.lit(True))
+    return out.withColumns({"sign_ok": fits, "share": F.col("n") / F.sum("n").over(every)}).drop("_near", "_k")
+
+
+def relabelled_by_medians(model: Gaussians, states: DataFrame, state: str, long_side: str, short_side: str) -> tuple[Gaussians, list[int]]:
+    """The model with its states in the order of ``neutral_first`` over rows that it has labelled (states from 0), and the old state of each new one.
+
+    States that no row has keep their order after the others of the downward side."""
+    found = {r.new_state: r.state for r in neutral_first(pressure_medians(states, state, long_side, short_side)).collect()}  # one row for each state
+    order = [int(found[k]) for k in sorted(found)]
+    order += [k for k in range(len(model.start)) if k not in order]
+    return model.reordered(order), order

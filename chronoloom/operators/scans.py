@@ -229,7 +229,8 @@ class Level:
 
 @dataclass(frozen=True)
 class Slope:
-    """Slope of a local linear trend (level and slope) by a two-state Kalman filter; NULLs only predict; the first value starts it at slope 0.
+    """Slope of a local linear trend (level and slope) by a two-state Kalman filter; NULLs only predict; the first value starts it at slope 0
+    (with ``update_first`` that row then predicts and updates as well).
 
     State: level, slope, their covariances. Summary: the steps of all rows, the first value, and the steps of the rows after it."""
 
@@ -238,6 +239,7 @@ class Slope:
     level_noise: float = 1e-4
     slope_noise: float = 1e-5
     noise: float = 1e-2
+    update_first: bool = False
 
     def start(self) -> list[float]:
         return [np.nan] * 5
@@ -250,7 +252,8 @@ class Slope:
                 if v == v:
                     level, slope, p00, p01, p11 = v, 0.0, 1.0, 0.0, 1.0
                     out[i] = 0.0
-                continue
+                if not (v == v and self.update_first):
+                    continue
             level, p00, p01, p11 = level + slope, p00 + 2 * p01 + p11 + self.level_noise, p01 + p11, p11 + self.slope_noise
             if v == v:
                 s, e = p00 + self.noise, v - level
@@ -267,7 +270,7 @@ class Slope:
     def summary(self, x: np.ndarray) -> list[float]:
         at = np.flatnonzero(~np.isnan(x[:, 0]))
         first = at[0] if len(at) else len(x)
-        return [float(x[first, 0]) if len(at) else np.nan, *self._over(x[:, 0]), *self._over(x[first + 1 :, 0])]
+        return [float(x[first, 0]) if len(at) else np.nan, *self._over(x[:, 0]), *self._over(x[first + (not self.update_first) :, 0])]
 
     def enter(self, state: list[float], summary: list[float]) -> list[float]:
         first, half = summary[0], (len(summary) - 1) // 2

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scalar as sc
-from chronoloom.functions.frames import DAY, Keys, ordered
-from chronoloom.operators import asof, ranks, recursive as rc, regime as rg, scans
+from chronoloom.functions.frames import DAY, Keys, at_least, ordered, rows
+from chronoloom.operators import asof, islands, ranks, recursive as rc, regime as rg, scans, windows as wn
 from chronoloom.operators.resample import collapse_to_source, keep_last
 
 
@@ -172,3 +172,89 @@ def flag_counts(df: DataFrame, keys: Sequence[str], flags: Mapping[str, Column])
     """How often each flag holds in each group, one row for each, zeros included."""
     each = F.array(*[F.struct(F.lit(n).alias("flag"), F.coalesce(c, F.lit(False)).cast("long").alias("v")) for n, c in flags.items()])
     return df.select(*keys, F.inline(each)).groupBy(*keys, "flag").agg(F.sum("v").alias("n"), F.avg("v").alias("share"))
+
+
+@dataclass(frozen=True)
+class PriceSettings:
+    """Spans in minutes and noises of ``liquidity_price``; the defaults are the published ones."""
+
+    spike: int = 1440
+    kama: tuple[int, int] = (2, 30)
+    gaussian: int = 130
+    momentum: int = 180
+    momentum_vol: int = 720
+    noises: tuple[float, float, float] = (1e-6, 1e-7, 1e-4)  # level, slope, measurement
+    vol: tuple[int, int] = (360, 1440)
+    least_weight: float = 0.30
+    gamma: float = 3.0
+
+
+def liquidity_price(df: DataFrame, keys: Keys, ts: str, price: str, long_side: str, short_side: str, bar_minutes: int, s: PriceSettings = PriceSettings()) -> DataFrame:
+    """Nine features of the price and two sides: for each side the spike over its adaptive average and velocity and acceleration of its smoothed logarithm
+    (an hour), the price's trend pressure, its Kalman slope (an hour), and a blend of short and long volatility.
+
+    Negative sides count as 0; spans are whole bars, at least one. Keys' rows are all decision bars, one after the other."""
+    bars = lambda minutes: max(round(minutes / bar_minutes), 1)
+    w, c, hour = ordered(keys, ts), F.col, 60.0 / bar_minutes
+    names = df.columns
+    df = df.withColumns({"_long": F.greatest(sc.finite(c(long_side).cast("double")), F.lit(0.0)), "_short": F.greatest(sc.finite(c(short_side).cast("double")), F.lit(0.0)), "_log": F.ln(F.greatest(sc.finite(c(price).cast("double")), F.lit(sc.EPS)))})
+    df = df.withColumns({"_ret": c("_log") - F.lag("_log").over(w), "_mom": c("_log") - F.lag("_log", bars(s.momentum)).over(w), "_ll": F.log1p("_long"), "_ls": F.log1p("_short")})
+    for side in ("long", "short"):
+        df = rc.kama(df, keys, ts, f"_{side}", bars(s.spike), f"_kama_{side}", *s.kama, from_first=True)
+        df = rc.spike(df, keys, ts, f"_{side}", f"_kama_{side}", f"{side}_spike", sc.EPS)
+    smooth = lambda x: rc.gaussian_fir(c(x), keys, ts, bars(s.gaussian)) if bars(s.gaussian) > 1 else c(x)
+    df = df.withColumns({"_gl": smooth("_ll"), "_gs": smooth("_ls")})
+    df = df.withColumns({f"{side}_velocity": (c(x) - F.lag(x).over(w)) * hour for side, x in (("long", "_gl"), ("short", "_gs"))})
+    df = df.withColumns({f"{side}_acceleration": (c(f"{side}_velocity") - F.lag(f"{side}_velocity").over(w)) * hour for side in ("long", "short")})
+    vol = lambda n: at_least(F.stddev_samp("_ret").over(rows(keys, ts, n)), c("_ret"), rows(keys, ts, n), min(n, max(3, n // 3)))
+    df = df.withColumns({"_vm": vol(bars(s.momentum_vol)), "_vs": vol(bars(s.vol[0])), "_vl": vol(bars(s.vol[1]))})
+    weight = s.least_weight + (1 - s.least_weight) * sc.sigmoid(sc.clip(s.gamma * F.ln((c("_vs") + sc.EPS) / (c("_vl") + sc.EPS)), -40.0, 40.0))
+    df = df.withColumns({"trend_pressure": c("_mom") / (bars(s.momentum) ** 0.5 * (c("_vm") + sc.EPS)), "vol_adaptive": weight * c("_vs") + (1 - weight) * c("_vl")})
+    df = rc.local_slope(df, keys, [ts], "_log", "_slope", *s.noises, update_first=True).withColumn("kalman_slope", c("_slope") * hour)
+    made = [f"{side}_{x}" for side in ("long", "short") for x in ("spike", "velocity", "acceleration")] + ["trend_pressure", "kalman_slope", "vol_adaptive"]
+    return df.select(*names, *made)
+
+
+@dataclass(frozen=True)
+class DominanceSettings:
+    """Rows of the quantiles, of the bins' first fit and refits, and of reversals; the defaults are the published ones."""
+
+    rows: int = 365 * 24
+    least: int = 24 * 30
+    first: int = 24 * 30
+    every: int = 24
+    reverse_rows: int = 8
+    reverse_step: float = 0.2
+
+
+def dominance(df: DataFrame, keys: Keys, ts: str, long_side: str, short_side: str, s: DominanceSettings = DominanceSettings()) -> DataFrame:
+    """The whole chain of two sides' dominance: difference and share, its point-in-time bin, rolling thresholds, the dominating side, slopes, runs and
+    entries, hits of ceiling and bottom and the reversals after them, each without repeats within three rows."""
+    c, w = F.col, ordered(keys, ts)
+    df = df.withColumns({"diff": c(long_side) - c(short_side), "rpn": sc.safe_ratio(long_side, c(long_side) + c(short_side), 0.5)})
+    df = ranks.expanding_bins(df, keys, ts, "diff", 9, s.first, s.every, 4, "bin")
+    span = {"least": s.least, "rows": s.rows}
+    df = ranks.rolling_quantiles(df, keys, ts, "diff", {"thr_pos": 0.8, "thr_neg": 0.2, "thr_pos_base": 0.6, "thr_neg_base": 0.4}, **span)
+    for side, name in ((long_side, "long_high"), (short_side, "short_high")):
+        df = ranks.rolling_quantiles(df, keys, ts, side, {name: 0.8}, **span)
+    up = ((c("bin") <= 3) & (c("diff") <= c("thr_neg"))) | ((c("bin") == 4) & (c("rpn") <= 0.48) & (c("diff") <= c("thr_neg_base")))
+    down = ((c("bin") >= 5) & (c("diff") >= c("thr_pos"))) | ((c("bin") == 4) & (c("rpn") >= 0.52) & (c("diff") >= c("thr_pos_base")))
+    df = df.withColumn("dominance", F.when(up, 1).when(down, -1).otherwise(0))
+    df = df.withColumns({f"beta_{n}": wn.rolling_slope(c("diff"), keys, ts, n) for n in (3, 8, 10, 24)})
+    d = c("dominance")
+    df = df.withColumns({"_step": F.abs(c("diff") - F.lag("diff").over(w)), "thr_range": c("thr_pos") - c("thr_neg"), "dominance_prev": F.coalesce(F.lag("dominance").over(w), F.lit(0)), "dominance_last": F.coalesce(islands.last_matching(d, d != 0, keys, ts), F.lit(0))})
+    df = islands.entry_counter(islands.run_length(df, keys, ts, "dominance", "dominance_duration"), keys, ts, "dominance", "dominance_time")
+    beta = F.lag("beta_3").over(w)
+    ceiling = (d == 1) & (c("diff") <= c("thr_neg")) & (c(short_side) >= c("short_high")) & (beta < 0) & (c("beta_3") >= 0)
+    bottom = (d == -1) & (c("diff") >= c("thr_pos")) & (c(long_side) >= c("long_high")) & (beta > 0) & (c("beta_3") <= 0)
+    df = df.withColumns({
+        "max_variation": F.max("_step").over(rows(keys, ts, 24)), "dominance_total": F.when(d != 0, c("dominance_duration")).otherwise(0), "dominance_class": F.when(d == 1, "Bull").when(d == -1, "Bear").otherwise("Congestion"),
+        "is_keep": ((d != 0) & (d == c("dominance_prev"))).cast("int"), "is_strengthen": ((d != 0) & (d == c("dominance_last"))).cast("int"), "_hit": F.when(ceiling, -1).when(bottom, 1).otherwise(0),
+    })
+    event = c("_hit") != 0
+    df = islands.rows_since(df, keys, ts, event, "_since").withColumns({"_at": islands.last_matching(c("diff"), event, keys, ts), "_kind": islands.last_matching(c("_hit"), event, keys, ts)})
+    near = c("_since").between(1, s.reverse_rows)
+    back = F.when(near & (c("_kind") == -1) & (c("diff") <= c("_at") - s.reverse_step), 1).when(near & (c("_kind") == 1) & (c("diff") >= c("_at") + s.reverse_step), -1).otherwise(0)
+    df = df.withColumn("_back", back)
+    df = df.withColumns({"hit_ceiling_bottom": wn.repeat_suppressed(c("_hit"), keys, ts), "reverse_ceiling_bottom": wn.repeat_suppressed(c("_back"), keys, ts)})
+    return df.drop("_step", "_hit", "_since", "_at", "_kind", "_back")

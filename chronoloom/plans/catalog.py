@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from chronoloom.plans import registry
-from chronoloom.plans import q_aggregates, q_context, q_joins, q_recursive, q_reports, q_response, q_reviews, q_stages, q_windows  # noqa: F401
+from chronoloom.plans import q_aggregates, q_context, q_joins, q_recursive, q_reports, q_response, q_reviews, q_stages, q_whole, q_windows  # noqa: F401
 
 
 def queries() -> dict[str, registry.Query]:

@@ -21,7 +21,7 @@ from chronoloom.operators.resample import keep_last
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Parquet, JSON, CSV or zipped CSV by the path's ending; ``archive.zip::member`` names one member."""
+    """Parquet, JSON, CSV or zipped CSV by the path's ending; ``archive.zip::member`` names one member, ``archive.zip::*`` all."""
     if ".zip" in path:
         archive, _, member = path.partition("::")
         return read_zip(spark, archive, schema, member or None)
@@ -47,7 +47,7 @@ def first_existing(spark: SparkSession, paths: Sequence[str], schema: StructType
 def read_zip(spark: SparkSession, archives: str, schema: StructType | str | None, member: str | None = None) -> DataFrame:
     """CSV members of zip archives as string columns cast to a schema; each archive is unpacked line by line in one task.
 
-    Without a member's name the first CSV that is no metadata is taken.
+    Without a member's name the first CSV that is no metadata is taken, with ``*`` all of them one after the other.
     """
     if schema is None:
         raise ValueError("zipped CSV needs a schema")
@@ -61,16 +61,17 @@ def read_zip(spark: SparkSession, archives: str, schema: StructType | str | None
             for content in batch.column("content").to_pylist():
                 with zipfile.ZipFile(BytesIO(content)) as z:
                     usable = [n for n in z.namelist() if n.lower().endswith(".csv") and not n.startswith("__MACOSX")]
-                    chosen = member or (usable or z.namelist())[0]
-                    with z.open(chosen) as f:
-                        rows: list[list[str | None]] = []
-                        for row in csv.DictReader(TextIOWrapper(f, "utf-8")):
-                            rows.append([row.get(n) or None for n in names])
-                            if len(rows) == 10_000:
+                    chosen = usable if member == "*" else [member or (usable or z.namelist())[0]]
+                    for name in chosen:
+                        with z.open(name) as f:
+                            rows: list[list[str | None]] = []
+                            for row in csv.DictReader(TextIOWrapper(f, "utf-8", newline="")):
+                                rows.append([row.get(n) or None for n in names])
+                                if len(rows) == 10_000:
+                                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
+                                    rows = []
+                            if rows:
                                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
-                                rows = []
-                        if rows:
-                            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
 
     text = spark.read.format("binaryFile").load(archives).select("content").mapInArrow(unpack, ", ".join(f"`{n}` string" for n in names))
     return text.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in target.fields])
