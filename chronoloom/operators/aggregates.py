@@ -117,11 +117,11 @@ def event_study(df: DataFrame, keys: Sequence[str], ts: str, value: str, event:
 
 
 #: Ranges of a binade in ``value_range``, and the parts that rows without a value are dealt to.
-RANGES, SALTS = 1 << 18, 1_024
+RANGES, SALTS = 1 << 8, 1_024
 
 
 def value_range(value: Column) -> Column:
-    """A long that never falls as the value rises, equal for values of about the same size: sign, exponent and first 18 bits of the fraction.
+    """A long that never falls as the value rises, equal for values of about the same size: sign, exponent and first 8 bits of the fraction.
 
     A wrong exponent by rounding, just below a power of two, gives the same number as the right one."""
     x = F.abs(value.cast("double"))
@@ -138,7 +138,7 @@ def hierarchical_cdf(
     Rows where ``other`` holds have buckets of their own, of ``other_levels``, so that two calibrations are one pass.
 
     Values are counted once, by all columns and value; the counts go to their bucket on every level, are cumulated within ranges of values
-    (``value_range``: at most ``RANGES`` for each binade, so neither a bucket with many rows nor one with many values is one task's work) and
+    (``value_range``: ``RANGES`` for each binade, so that a bucket of many values is the work of many tasks; repeated values are counted before) and
     over the ranges of a bucket; of each column tuple and value the first good level is kept and looked up by one join for all levels. Rows without
     a value are spread over the join's tasks.
     """
@@ -158,8 +158,9 @@ def hierarchical_cdf(
     upto = F.sum("_n").over(Window.partitionBy("_bucket", "_range").orderBy("_v").rangeBetween(Window.unboundedPreceding, Window.currentRow))
     ranked = spread.withColumn("_upto", upto).join(by_range, ["_bucket", "_range"])
     share = divide((F.col("_before") + F.col("_upto")).cast("double"), F.col("_all"))
-    good = F.when((F.col("_all") >= least) | F.col("_bucket.last"), F.struct(F.col("_bucket.level"), share.alias("share")))
-    table = ranked.groupBy("_key", "_v").agg(F.min(good)["share"].alias(out)).withColumn("_salt", F.lit(0))
+    good = (F.col("_all") >= least) | F.col("_bucket.last")
+    picks = [F.max(F.when((F.col("_bucket.level") == k) & good, share)).alias(f"_s{k}") for k in range(len(levels) + len(other_levels))]
+    table = ranked.groupBy("_key", "_v").agg(*picks).select("_key", "_v", F.coalesce(*[f"_s{k}" for k in range(len(picks))]).alias(out), F.lit(0).alias("_salt"))
     plain = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
     salt = F.when(F.col("_v").isNull(), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in plain]), F.lit(SALTS)).cast("int")).otherwise(0)
     return rows.drop(out).withColumn("_salt", salt).join(table, ["_key", "_v", "_salt"], "left").drop("_key", "_v", "_salt")
