@@ -30,11 +30,6 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataF
     return df.groupBy(*keys).agg(best).select(*[F.col(c) if c in keys else F.col(f"_r.{c}").alias(c) for c in df.columns])
 
 
-def last_non_null(df: DataFrame, keys: Sequence[str], ts: str, values: Sequence[str]) -> DataFrame:
-    """The last non-null value of each column in each group."""
-    return df.groupBy(*keys).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(ts))).alias(v) for v in values])
-
-
 def collapse_to_source(df: DataFrame, keys: Sequence[str], source_ts: str, ts: str) -> DataFrame:
     """One row, the latest, of each source time."""
     return keep_last(df.where(F.col(source_ts).isNotNull()), [*keys, source_ts], [ts])

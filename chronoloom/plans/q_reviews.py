@@ -115,13 +115,20 @@ def latest_payload(spark, sf_dir):
     return rv.latest_payload(e, ["ts", "event_id"], ["event_id", "user_id", "event_type", "absent"])
 
 
-_DOCUMENTED = [("price", "price", "last price"), ("rv_24h", "volatility", "realised volatility of a day"), ("jump_z", "jump", "largest move in robust units")]
+_DOCUMENTED = [("close", "price", "last price of the bar"), ("rv_24h", "volatility", "realised volatility of a day"), ("total", "size", "sum of the bar's values")]
+_BAR_COLUMNS = ("k", "t", "open", "high", "low", "close", "total", "n", "wide")
 
 
-@query("""SELECT * FROM (VALUES ('price', 'price', 'last price', TRUE, TRUE), ('rv_24h', 'volatility', 'realised volatility of a day', TRUE, TRUE), ('jump_z', 'jump', 'largest move in robust units', TRUE, FALSE),
-  ('tr_slope', 'trend', 'not documented', FALSE, TRUE), ('misc', 'other', 'not documented', FALSE, TRUE)) c(name, category, description, documented, actual)""")
+@query(f"""WITH {BARS}, b AS (SELECT *, CASE WHEN n > 1 THEN high - low END AS wide FROM bars), c(name, category, description, documented, actual) AS (VALUES ('close', 'price', 'last price of the bar', TRUE, TRUE), ('rv_24h', 'volatility', 'realised volatility of a day', TRUE, FALSE), ('total', 'size', 'sum of the bar''s values', TRUE, TRUE),
+  {", ".join(f"('{c}', '{k}', 'not documented', FALSE, TRUE)" for c, k in (("k", "other"), ("t", "other"), ("open", "price"), ("high", "price"), ("low", "price"), ("n", "other"), ("wide", "other")))}),
+  m AS ({" UNION ALL ".join(f"SELECT '{c}' AS name, round(100 * avg(({c} IS NULL)::INT), 6) + 0.0 AS null_percent FROM b" for c in _BAR_COLUMNS)})
+  SELECT name, category, description, documented, actual, null_percent FROM c LEFT JOIN m USING (name)""")
 def feature_catalogue(spark, sf_dir):
-    return rv.catalogue(spark, _DOCUMENTED, ["price", "rv_24h", "tr_slope", "misc"], {"tr_": "trend", "rv_": "volatility"})
+    """What is documented and what the bars' frame has, with the share of NULLs measured on it."""
+    b = bars(spark, sf_dir).withColumn("wide", F.when(F.col("n") > 1, F.col("high") - F.col("low")))
+    found = rv.catalogue(spark, _DOCUMENTED, b.columns, {"open": "price", "high": "price", "low": "price"})
+    measured = rv.null_percent(b, b.columns).withColumnRenamed("column", "name")
+    return rounded(found.join(measured, "name", "left"))
 
 
 @query(f"""WITH {FLOWS} SELECT t, round(greatest(2 + 0.5 * fl - 0.25 * fs, 0), 6) + 0.0 AS size, round(greatest(2 + 0.5 * fl - 0.25 * fs, 0) * least(price / 100, 1) * sign(fl - fs), 6) + 0.0 AS expectation FROM flows""")
