@@ -49,11 +49,6 @@ def space_words(text: Column) -> Column:
     return F.when(F.length(trimmed) == 0, F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
 
 
-def lower_ascii(text: Column) -> Column:
-    """A-Z in lower case, every other character as it is."""
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared checkpoint folder: computed once, its columns pruned when read, and not lost
     with an executor."""
