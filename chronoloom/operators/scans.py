@@ -11,6 +11,7 @@ Rows whose first order column is NULL come first, as a chunk of their own.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -149,6 +150,19 @@ class Adaptive:
         return [a * (y + w * (v - y) if y == y else v) + b]
 
 
+def _inverse(m: np.ndarray) -> np.ndarray:
+    """Inverses of 2 x 2 matrices along the last two axes."""
+    a, b, c, d = m[..., 0, 0], m[..., 0, 1], m[..., 1, 0], m[..., 1, 1]
+    return np.stack([np.stack([d, -b], -1), np.stack([-c, a], -1)], -2) / (a * d - b * c)[..., None, None]
+
+
+def _gaussian_level(first: tuple[np.ndarray, ...], then: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """``_gaussian`` for a state of one number."""
+    (a1, b1, c1, e1, j1), (a2, b2, c2, e2, j2) = first, then
+    d = 1 + c1 * j2
+    return a1 * a2 / d, a2 * (b1 + c1 * e2) / d + b2, a2 * a2 * c1 / d + c2, a1 * (e2 - j2 * b1) / d + e1, a1 * a1 * j2 / d + j1
+
+
 def _gaussian(first: tuple[np.ndarray, ...], then: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     """Steps of a linear Gaussian filter, one after the other: each is (transition A, offset b, covariance C, information vector e and matrix J).
 
@@ -156,8 +170,8 @@ def _gaussian(first: tuple[np.ndarray, ...], then: tuple[np.ndarray, ...]) -> tu
     (a1, b1, c1, e1, j1), (a2, b2, c2, e2, j2) = first, then
     eye = np.eye(a1.shape[-1])
     t = lambda m: np.swapaxes(m, -1, -2)
-    forward = a2 @ np.linalg.inv(eye + c1 @ j2)
-    back = t(a1) @ np.linalg.inv(eye + j2 @ c1)
+    forward = a2 @ _inverse(eye + c1 @ j2)
+    back = t(a1) @ _inverse(eye + j2 @ c1)
     return forward @ a1, forward @ (b1 + c1 @ e2) + b2, forward @ c1 @ t(a2) + c2, back @ (e2 - j2 @ b1) + e1, back @ j2 @ a1 + j1
 
 
@@ -185,7 +199,7 @@ def _advance(mean: np.ndarray, covariance: np.ndarray, flat: list[float]) -> tup
     """State mean and covariance after the steps of a summary."""
     d = len(mean)
     a, b, c, e, j = (np.array(p).reshape(shape) for p, shape in zip(np.split(np.array(flat), np.cumsum([d * d, d, d * d, d])), [(d, d), (d, 1), (d, d), (d, 1), (d, d)], strict=True))
-    k = a @ np.linalg.inv(np.eye(d) + covariance @ j)
+    k = a @ _inverse(np.eye(d) + covariance @ j)
     return k @ (mean + covariance @ e) + b, k @ covariance @ a.T + c
 
 
@@ -219,12 +233,15 @@ class Level:
         return out[:, None], [m, p, begun]
 
     def summary(self, x: np.ndarray) -> list[float]:
-        return _flat(composed(_steps(x[:, 0], np.eye(1), np.array([[self.drift]]), self.noise), _identity(1), _gaussian))
+        known, v, s = ~np.isnan(x[:, 0]), np.nan_to_num(x[:, 0]), self.drift + self.noise
+        gain = np.where(known, self.drift / s, 0.0)
+        steps = (1 - gain, gain * v, (1 - gain) * self.drift, np.where(known, v / s, 0.0), np.where(known, 1 / s, 0.0))
+        return [float(p) for p in composed(steps, (1.0, 0.0, 0.0, 0.0, 0.0), _gaussian_level)]
 
     def enter(self, state: list[float], summary: list[float]) -> list[float]:
-        m, p, begun = state
-        mean, covariance = _advance(np.array([[m]]), np.array([[p if begun else p - self.drift]]), summary)  # the first row adds the drift that it shouldn't
-        return [mean.item(), covariance.item(), 1.0]
+        (m, p, begun), (a, b, c, e, j) = state, summary
+        p = p if begun else p - self.drift  # the first row adds the drift that it shouldn't
+        return [a * (m + p * e) / (1 + p * j) + b, a * a * p / (1 + p * j) + c, 1.0]
 
 
 @dataclass(frozen=True)
@@ -517,7 +534,8 @@ def scan(df: DataFrame, keys: Keys, order: Sequence[str], parts: Sequence[Recurr
         seeds, by = states.select(*keys, "_state") if states is not None else None, keys
     cut = cut.select("*", *[F.col(c).cast("double").alias(f"_in_{c}") for c in _inputs(parts)])
     if seeds is not None:
-        cut = cut.withColumn("_state", F.lit(None).cast(_VECTORS)).unionByName(seeds, allowMissingColumns=True)
+        # as text: a column of nested arrays that is NULL in all rows but one of each chunk costs more than the scan
+        cut = cut.withColumn("_seed", F.lit(None).cast("string")).unionByName(seeds.select(*by, F.to_json("_state").alias("_seed")), allowMissingColumns=True)
     fresh, seeded = _inputs(parts), seeds is not None
     schema = StructType([df.schema[c] for c in names])
     for c in (c for p in parts for c in p.outputs):
@@ -528,8 +546,8 @@ def scan(df: DataFrame, keys: Keys, order: Sequence[str], parts: Sequence[Recurr
         for new, rows in _runs(batches, by):
             if new:
                 state = [p.start() for p in parts]
-                if seeded and rows["_state"].iloc[0] is not None:
-                    state, rows = [list(map(float, s)) for s in rows["_state"].iloc[0]], rows.iloc[1:]
+                if seeded and isinstance(seed := rows["_seed"].iloc[0], str):
+                    state, rows = [[np.nan if v is None else float(v) for v in s] for s in json.loads(seed)], rows.iloc[1:]
                     if not len(rows):
                         continue
             made = {c: rows[f"_in_{c}"].to_numpy(float) for c in fresh}
@@ -538,7 +556,7 @@ def scan(df: DataFrame, keys: Keys, order: Sequence[str], parts: Sequence[Recurr
                 made |= {c: out[:, j] for j, c in enumerate(p.outputs)}
             yield rows[names].assign(**{c: made[c] for p in parts for c in p.outputs})
 
-    order_by = [F.asc_nulls_last("_state"), *order] if seeds is not None else list(order)
+    order_by = [F.col("_seed").isNull(), *order] if seeds is not None else list(order)
     found = cut.repartition(*by).sortWithinPartitions(*by, *order_by).mapInPandas(run, schema)
     return found.withColumns({c: finite(F.col(c)) for p in parts for c in p.outputs})
 
