@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 from math import pi
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,15 +67,16 @@ def unbiased_kurtosis(x: str) -> Column:
 
 
 def numeric_profile(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Count, missing, moments, quantiles, zero and positive shares, distinct values, in one pass."""
+    """Count, missing, moments, zero and positive shares in one pass; exact quantiles and the number of distinct values by ``exact_quantiles``."""
     x = F.col(value)
-    q = F.percentile(value, [0.01, 0.25, 0.5, 0.75, 0.99])
     out = df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.sum(x.isNull().cast("int")).alias("n_null"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.min(value).alias("v_min"), F.max(value).alias("v_max"),
         unbiased_skewness(value).alias("skew"), unbiased_kurtosis(value).alias("kurt"), F.avg((x == 0).cast("double")).alias("zero_share"), F.avg((x > 0).cast("double")).alias("positive_share"),
-        F.count_distinct(value).alias("n_distinct"), q.alias("_q"),
     )
-    return out.select("*", *[F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(("p01", "p25", "p50", "p75", "p99"))]).drop("_q")
+    q = exact_quantiles(df, keys, [value], {"p01": 0.01, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p99": 0.99}).drop("column", "n")
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_q_{k}")) for k in keys], F.lit(True))
+    joined = out.join(q.withColumnsRenamed({k: f"_q_{k}" for k in keys}), same, "left").drop(*[f"_q_{k}" for k in keys])
+    return joined.withColumn("n_distinct", F.coalesce("n_distinct", F.lit(0)))
 
 
 def with_total(df: DataFrame, group: str, other: Sequence[str], aggregates: Sequence[Column], name: str = "all") -> DataFrame:
@@ -130,6 +132,40 @@ def value_range(value: Column) -> Column:
     return F.when(F.isnan(value.cast("double")), F.lit(2_300 * RANGES)).when(value < 0, -place).otherwise(place).cast("long")
 
 
+def exact_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
+    """Exact quantiles of several columns by key: keys, ``column``, ``n`` values, ``n_distinct``, and one double for each of ``shares`` (name: share, between
+    neighbours on the line, as ``percentile``). Groups without a value have no row; a NULL key is a key; NaN is no value.
+
+    No task holds a column's distinct values: values are counted once, counts summed by range of values (``value_range``), which tells the ranges that the
+    wanted ranks are in, and only the values of these are put in order, one range a task. Few groups of many values are so the work of many tasks.
+    """
+    group = F.struct(*keys, "_column") if keys else F.struct("_column")
+    cells = F.array(*[F.struct(F.lit(c).alias("_column"), F.col(c).cast("double").alias("_v")) for c in columns])
+    long = df.select(*keys, F.inline(cells)).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    counts = long.select(group.alias("_group"), (F.col("_v") + 0.0).alias("_v")).groupBy("_group", "_v").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_range", value_range(F.col("_v")))
+    by_range = counts.groupBy("_group", "_range").agg(F.sum("_n").alias("_in"), F.count("*").alias("_distinct"))
+    g = Window.partitionBy("_group")
+    by_range = by_range.select(
+        "_group", "_range", "_in", F.coalesce(F.sum("_in").over(g.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"), F.sum("_in").over(g).alias("_all"), F.sum("_distinct").over(g).alias("_distinct")
+    )
+    place = lambda q: (F.col("_all") - 1) * F.lit(float(q))
+    ranks = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(upper).alias("upper"), f(place(q)).cast("long").alias("rank")) for name, q in shares.items() for upper, f in ((False, F.floor), (True, F.ceil))])
+    wanted = F.filter(ranks, lambda x: (x["rank"] >= F.col("_before")) & (x["rank"] < F.col("_before") + F.col("_in")))
+    some = by_range.withColumn("_wanted", wanted).where(F.size("_wanted") > 0)
+    upto = F.col("_before") + F.sum("_n").over(Window.partitionBy("_group", "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    inside = counts.join(some, ["_group", "_range"]).withColumn("_upto", upto)
+    hit = inside.select("_group", "_all", "_distinct", "_v", F.inline(F.filter("_wanted", lambda x: (x["rank"] < F.col("_upto")) & (x["rank"] >= F.col("_upto") - F.col("_n")))))
+    value = lambda name, upper: F.max(F.when((F.col("name") == name) & (F.col("upper") == upper), F.col("_v")))
+
+    def between(name: str, q: float) -> Column:
+        low, high, part = value(name, False), value(name, True), F.max(place(q)) - F.floor(F.max(place(q)))
+        return F.when(low == high, low).otherwise(low * (1 - part) + high * part).alias(name)
+
+    out = hit.groupBy("_group").agg(F.max("_all").alias("n"), F.max("_distinct").alias("n_distinct"), *[between(n, q) for n, q in shares.items()])
+    return out.select(*[F.col(f"_group.`{k}`").alias(k) for k in keys], F.col("_group._column").alias("column"), "n", "n_distinct", *shares)
+
+
 def hierarchical_cdf(
     df: DataFrame, levels: Sequence[Sequence[str]], value: str, train: Column, least: int = 0, out: str = "u", other: Column | None = None, other_levels: Sequence[Sequence[str]] = ()
 ) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions.scalar import finite
@@ -136,6 +136,39 @@ def time_checks(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     return one.select("n_rows", F.inline(each)).select("check", "n_bad", "n_rows", F.when(F.col("n_bad") == 0, "PASS").otherwise("FAIL").alias("status"))
 
 
+def stored_bytes(spark: SparkSession, path: str) -> int:
+    """Bytes of a file or folder of any store that Spark reads, of all that match where the path has wildcards; 0 where nothing does. Paths named as markers don't count."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = [m.getPath() for m in store.globStatus(at) or []]
+    return sum(store.getContentSummary(p).getLength() for p in found if not p.getName().startswith(("_", ".")))
+
+
+def artifact_checks(spark: SparkSession, paths: Mapping[str, str], counted: Mapping[str, tuple[str, int]] | None = None) -> DataFrame:
+    """One row for each named path: PASS where it is there and not empty; and for each pattern of ``counted`` whether as many paths match as are
+    expected. Only names and sizes are read, of the paths that the caller states."""
+    rows = [(f"{n}_exists", 0 if stored_bytes(spark, p) else 1, 1) for n, p in paths.items()]
+    for name, (pattern, least) in (counted or {}).items():
+        at = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+        n = len(at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or [])
+        rows.append((f"{name}_count", max(0, least - n), least))
+    return spark.createDataFrame([(n, bad, of, "FAIL" if bad else "PASS") for n, bad, of in rows], "check string, n_bad long, n_rows long, status string")
+
+
+def cache_report(spark: SparkSession, path: str, keys: Sequence[str], ts: str, values: Sequence[str]) -> DataFrame:
+    """Checks of a stored Parquet or CSV table: it is there; its times are known and unique by key, its numbers finite and not negative. A table that is
+    missing or empty has its first row alone."""
+    there = artifact_checks(spark, {"table": path})
+    if not stored_bytes(spark, path):
+        return there
+    csv = path.rstrip("/").endswith((".csv", ".csv.gz"))
+    df = spark.read.options(header=True).csv(path) if csv else spark.read.parquet(path)
+    if csv:
+        df = df.withColumns({ts: F.col(ts).try_cast("timestamp_ntz"), **{v: F.col(v).try_cast("double") for v in values}})
+    required_columns(df, [*keys, ts, *values])
+    return there.unionByName(time_checks(df, keys, ts)).unionByName(run_checks(df, [c for v in values for c in (not_negative(v), finite_only(v))]))
+
+
 def require_pass(report: DataFrame) -> None:
     """Raises with the names of the failed checks. A report has one row for each check."""
     failed = [f"{r.check} ({r.n_bad} of {r.n_rows})" for r in report.where(F.col("status") == "FAIL").orderBy("check").collect()]

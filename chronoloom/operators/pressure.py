@@ -21,45 +21,90 @@ from chronoloom.operators.islands import run_length
 from chronoloom.operators.recursive import ema
 
 
+#: How much a change of state strengthens (or turns) the pressure; other changes count 0.
+MOVE_SEVERITY = {"2->1": 1.0, "4->5": 1.0, "3->1": 0.7, "3->5": 0.7, "1->2": 0.3, "5->4": 0.3, "1->5": -1.0, "5->1": -1.0}
+
+
 @dataclass(frozen=True)
 class PressureSettings:
     posterior_weight: float = 0.65
+    state_weights: tuple[float, ...] = (1.0, 0.5, 0.0, -0.5, -1.0)
     dead_zone: float = 0.03
     z_rows: int = 24
     z_least: int = 8
+    strong_states: tuple[int, ...] = (1, 5)
     age_free: float = 60.0
     age_scale: float = 60.0
+    usual_rows: int = 24
+    usual_least: int = 3
     mature_rows: int = 24
 
 
-def pressure_features(df: DataFrame, keys: Keys, ts: str, posteriors: Sequence[str], long_side: str, short_side: str, state: str, age_minutes: str, s: PressureSettings = PressureSettings()) -> DataFrame:
-    """Fused coordinate, direction, intensity, force, acceleration, transition, reliability and phase.
+def pressure_features(
+    df: DataFrame, keys: Keys, ts: str, posteriors: Sequence[str], long_side: str, short_side: str, state: str, age_minutes: str, s: PressureSettings = PressureSettings(),
+    *, total: str | None = None, entropy: str | None = None, state_age: str | None = None,
+) -> DataFrame:
+    """The pressure of two opposed sides and its phase, from what is known at each row.
+
+    ``posteriors`` are the state probabilities from the strongest upward state to the strongest downward one. Adds ``raw_side`` (balance of
+    the sides), ``severity`` (weighted probabilities), their blend ``coordinate`` and its ``direction``; ``z_total`` (robust z of the log total),
+    ``intensity``, ``force``, ``accel`` (growth of the force along the direction); ``move``, ``move_severity``, ``strong``, ``entered``,
+    ``strong_entry``; ``base_reliability``, ``fresh``, ``reliability``; ``phase``; and ``log_intensity``, ``log_accel`` for a score model.
 
-    ``posteriors`` are the five state probabilities from the strongest upward state to the strongest downward one.
+    Missing or negative sides count 0, as do missing probabilities and ages; a missing entropy is the largest one. Without a column
+    of its own the total is the sum of the sides (it is never below that), the entropy that of the probabilities, and the state's age the rows since it was entered.
     """
     c, w = F.col, ordered(keys, ts)
-    total = c(long_side) + c(short_side)
-    lean = sum((F.lit(v / 2) * c(p) for v, p in zip((2, 1, 0, -1, -2), posteriors, strict=True)), F.lit(0.0))
-    coordinate = s.posterior_weight * lean + (1 - s.posterior_weight) * (c(short_side) - c(long_side)) / (total + sc.EPS)
-    df = df.withColumn("coordinate", coordinate).withColumn("_log", F.log1p(total))
-    df = wn.true_mad_z(df, keys, ts, "_log", s.z_rows, s.z_least, "_z")
-    df = df.withColumn("direction", F.when(F.abs("coordinate") < s.dead_zone, 0).otherwise(F.signum("coordinate").cast("int")))
-    df = df.withColumns({"intensity": F.abs("coordinate") * sc.softplus("_z"), "force": c("coordinate") * sc.softplus("_z")})
-    df = df.withColumn("accel", F.coalesce(sc.clip(c("direction") * (c("force") - F.lag("force").over(w)), 0.0), F.lit(0.0)))
-    h = sc.entropy([c(p) for p in posteriors], normalised=False)
+    side = lambda n: F.coalesce(sc.clip(F.col(n).cast("double"), 0.0), F.lit(0.0))
+    p = [F.coalesce(F.col(n).cast("double"), F.lit(0.0)) for n in posteriors]
+    both = side(long_side) + side(short_side)
+    df = df.withColumn("_total", both if total is None else F.greatest(sc.clip(F.col(total).cast("double"), 0.0), both))
     df = df.withColumns({
-        "move": sc.transition(F.lag(state).over(w), c(state)),
-        "entered": F.when(c(state).eqNullSafe(F.lag(state).over(w)), 0).otherwise(1),
-        "reliability": sc.clip(F.abs("coordinate"), 0.0, 1.0) * sc.clip(1 - h / log(len(posteriors)), 0.0, 1.0) * sc.freshness(age_minutes, s.age_free, s.age_scale),
+        "raw_side": (side(short_side) - side(long_side)) / (c("_total") + sc.EPS),
+        "severity": sum((F.lit(v) * x for v, x in zip(s.state_weights, p, strict=True)), F.lit(0.0)), "_log": F.log1p("_total"),
     })
-    df = run_length(df, keys, ts, "direction", "_age")
-    usual = at_least(F.percentile("accel", 0.5).over(rows(keys, ts, s.z_rows)), c("accel"), rows(keys, ts, s.z_rows), 3)
-    df = df.withColumn("_usual", usual)
+    df = df.withColumn("coordinate", s.posterior_weight * c("severity") + (1 - s.posterior_weight) * c("raw_side"))
+    df = wn.true_mad(df.withColumn("_med", F.percentile("_log", 0.5).over(rows(keys, ts, s.z_rows))), keys, ts, "_log", s.z_rows, s.z_least, "_mad")
+    df = df.withColumns({
+        "z_total": F.coalesce((c("_log") - c("_med")) / (wn.MAD_SCALE * c("_mad") + sc.EPS), F.lit(0.0)),
+        "direction": F.when(F.abs("coordinate") < s.dead_zone, 0).otherwise(F.signum("coordinate").cast("int")),
+    })
+    df = df.withColumns({"intensity": F.abs("coordinate") * sc.softplus("z_total"), "force": c("coordinate") * sc.softplus("z_total")})
+    before = F.lag(state).over(w)
+    df = df.withColumns({
+        "accel": F.greatest(c("direction") * F.coalesce(c("force") - F.lag("force").over(w), F.lit(0.0)), F.lit(0.0)),
+        "move": sc.transition(before, c(state)),
+        "strong": F.coalesce(c(state).isin(*s.strong_states), F.lit(False)).cast("int"),
+        "entered": F.when(c(state) == before, 0).otherwise(1),
+    })
+    severity = F.create_map(*[F.lit(x) for pair in MOVE_SEVERITY.items() for x in pair])
+    h = sc.entropy(p, normalised=False) if entropy is None else F.col(entropy)
+    df = df.withColumns({
+        "move_severity": F.coalesce(F.try_element_at(severity, c("move")), F.lit(0.0)), "strong_entry": c("strong") * c("entered"),
+        "base_reliability": sc.clip(F.abs("coordinate"), 0.0, 1.0) * F.coalesce(sc.clip(1 - h / log(len(posteriors)), 0.0, 1.0), F.lit(0.0)),
+        "fresh": sc.freshness(F.coalesce(age_minutes, F.lit(0.0)), s.age_free, s.age_scale),
+    })
+    df = df.withColumn("reliability", c("base_reliability") * c("fresh"))
+    df = run_length(df, keys, ts, state, "_age") if state_age is None else df.withColumn("_age", F.coalesce(state_age, F.lit(0)))
+    recent = rows(keys, ts, s.usual_rows)
+    df = df.withColumn("_usual", F.coalesce(at_least(F.percentile("accel", 0.5).over(recent), c("accel"), recent, s.usual_least), F.lit(0.0)))
     phase = (
-        F.when(c("direction") == 0, "neutral").when((c("_age") <= 2) & (F.abs("coordinate") >= 0.5), "early_strong_entry")
+        F.when(c("direction") == 0, "neutral").when(c("strong_entry") == 1, "early_strong_entry")
         .when(c("accel") > c("_usual"), "accelerating").when(c("_age") >= s.mature_rows, "mature").otherwise("normal")
     )
-    return df.withColumn("phase", phase).drop("_log", "_z", "_age", "_usual")
+    return df.withColumns({"phase": phase, "log_intensity": F.log1p("intensity"), "log_accel": F.log1p("accel")}).drop("_total", "_log", "_med", "_mad", "_age", "_usual")
+
+
+def pressure_labels(df: DataFrame, prices: DataFrame, keys: Keys, ts: str, price: str, minutes: Sequence[int], direction: str = "direction") -> DataFrame:
+    """Labels, look ahead: ``ret_{m}m_bps``, the log return of the price from a row's time to exactly ``m`` minutes later, and
+    ``aligned_ret_{m}m_bps``, the same along the direction; NULL where one of the prices is missing. One join serves all horizons. Of several
+    prices of one time the smallest counts."""
+    spans = [0, *minutes]
+    placed = prices.where(F.col(price).isNotNull()).select(*keys, F.col(price).alias("_p"), F.posexplode(F.array(*[F.col(ts) - F.make_dt_interval(mins=F.lit(m)) for m in spans])).alias("_i", ts))
+    known = placed.groupBy(*keys, ts).agg(*[F.min(F.when(F.col("_i") == i, F.col("_p"))).alias(f"_p{i}") for i in range(len(spans))])
+    out = df.join(known, [*keys, ts], "left")
+    out = out.withColumns({f"ret_{m}m_bps": sc.log_return_bps(f"_p{i}", "_p0") for i, m in enumerate(spans) if i})
+    return out.withColumns({f"aligned_ret_{m}m_bps": F.col(direction) * F.col(f"ret_{m}m_bps") for m in minutes}).drop(*[f"_p{i}" for i in range(len(spans))])
 
 
 def matured_memory(base: DataFrame, events: DataFrame, keys: Keys, ts: str, available: str, score: str, span: float, half_life_hours: float, out: str = "memory", tie: Sequence[str] = ()) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.types import NumericType
 
 from chronoloom.functions.frames import Keys, ordered
 from chronoloom.functions.scalar import finite, log_guarded, micros, pinball
+from chronoloom.operators.aggregates import exact_quantiles
 from chronoloom.operators.pressure import score_model
 from chronoloom.operators.recursive import cooldown_events
 from chronoloom.operators.selection import evenly_thinned
@@ -81,10 +82,14 @@ def input_quality(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def input_statistics(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """Per numeric column: share missing, share beyond three interquartile ranges of the quartiles, moments, quartiles and ends. Quartiles are
-    exact, or approximate with an ``accuracy``: take that for columns with more distinct values than a task can hold."""
+    exact (``exact_quantiles``: no task holds a column's distinct values), or approximate in one pass with an ``accuracy``."""
     df = df.select(*[finite(F.col(c).cast("double")).alias(c) for c in columns])
     share, n = [0.25, 0.5, 0.75], range(len(columns))
-    q = df.agg(*[(F.percentile(c, share) if accuracy is None else F.percentile_approx(c, share, accuracy)).alias(f"_q{i}") for i, c in enumerate(columns)])
+    if accuracy is None:
+        exact = exact_quantiles(df, [], columns, {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+        q = exact.agg(*[F.max(F.when(F.col("column") == c, F.array("p25", "p50", "p75"))).alias(f"_q{i}") for i, c in enumerate(columns)])
+    else:
+        q = df.agg(*[F.percentile_approx(c, share, accuracy).alias(f"_q{i}") for i, c in enumerate(columns)])
     with_q, sums = df.crossJoin(F.broadcast(q)), []  # one row
     for i, c in enumerate(columns):
         q1, q3 = F.get(f"_q{i}", F.lit(0)), F.get(f"_q{i}", F.lit(2))

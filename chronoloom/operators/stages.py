@@ -10,8 +10,42 @@ from pyspark.sql import functions as F
 
 from chronoloom.functions import scalar as sc
 from chronoloom.functions.frames import DAY, Keys, at_least, ordered, rows
-from chronoloom.operators import asof, islands, ranks, recursive as rc, regime as rg, scans, windows as wn
+from chronoloom.operators import asof, islands, ranks, recursive as rc, regime as rg, scans, time_windows as tw, windows as wn
+from chronoloom.operators.checks import Family
 from chronoloom.operators.resample import collapse_to_source, keep_last
+from chronoloom.sources.readers import typed_series, with_aliases
+
+
+def clean_frame(
+    df: DataFrame, keys: Keys, ts: str, raw: tuple[str, str] = ("raw_long", "raw_short"), f: Family = Family(), *,
+    aliases: Mapping[str, str] | None = None, start: str | None = None, days: int = 180, factor: float = 3.0, tie: Column | None = None, active: str = "active",
+) -> DataFrame:
+    """The clean two-sided frame: keys, time, price, both sides, their total, difference, share and dominance, and whether there was any.
+
+    Columns decide what is done. A frame with the ``raw`` sides gets them capped over the last ``days`` (values above the third quartile and
+    ``factor`` interquartile ranges are compressed) and gaps filled on the line between their neighbours; one with the clean sides (``long_side`` and
+    ``short_side`` of ``f``) keeps them; any other is an error. ``aliases`` (their name: ours) come first. Rows without a time, or before ``start``, go; of
+    rows of one time the last by ``tie`` stays; text that is no number counts as missing. Sides are not below 0. A side stays NULL before its first
+    value: then total and difference are NULL, the share is 0.5, the dominance 0 and nothing is active.
+    """
+    df = with_aliases(df, aliases or {})
+    sides, have = (f.long_side, f.short_side), set(df.columns)
+    given = raw if {ts, f.price, *raw} <= have else sides if {ts, f.price, *sides} <= have else None
+    if given is None:
+        raise ValueError(f"neither a raw frame ({', '.join((ts, f.price, *raw))}) nor a clean one ({', '.join((ts, f.price, *sides))})")
+    df = typed_series(df.select(*keys, ts, f.price, *given, *([tie.alias("_tie")] if tie is not None else [])), ts, [f.price, *given], keys, F.col("_tie") if tie is not None else None)
+    if start is not None:
+        df = df.where(F.col(ts) >= F.lit(start).cast("timestamp_ntz"))
+    for source, out in zip(given, sides, strict=True):
+        if given == raw:
+            df = wn.interpolated(tw.outlier_cap(df, keys, ts, source, days * DAY, out, factor), keys, ts, out, out)
+        df = df.withColumn(out, sc.clip(out, 0.0))
+    l, s, total = F.col(f.long_side), F.col(f.short_side), F.col(f.total)
+    df = df.withColumns({f.total: l + s, f.difference: l - s})
+    return df.select(
+        *keys, ts, f.price, *sides, f.total, f.difference, F.coalesce(sc.safe_ratio(l, total, 0.5), F.lit(0.5)).alias(f.share),
+        F.coalesce(sc.safe_ratio(F.col(f.difference), total, 0.0), F.lit(0.0)).alias(f.dominance), F.when(total > 0, 1).otherwise(0).alias(active),
+    )
 
 
 def delta_case(a: Column, b: Column, da: Column, db: Column) -> Column:

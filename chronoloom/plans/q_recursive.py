@@ -184,22 +184,47 @@ PR = f"""WITH {FLOWS}, p AS (SELECT *, CASE WHEN fl + fs > 1e-12 THEN fs / (fl +
 
 @query(PR + f""" SELECT t, round(coordinate, 6) + 0.0 AS coordinate, CASE WHEN abs(coordinate) < 0.03 THEN 0 ELSE sign(coordinate) END::INT AS direction, round(least(greatest(abs(coordinate), 0), 1) * least(greatest(1 - h / ln(5), 0), 1), 6) + 0.0 AS reliability FROM c""")
 def pressure_features(spark, sf_dir):
-    d = _pressure(spark, sf_dir)
+    d = _pressure(spark, sf_dir, F.lit(0.0))
     return rounded(d.select("t", "coordinate", "direction", "reliability"))
 
 
-def _pressure(spark, sf_dir):
+def _pressure(spark, sf_dir, age=None):
     f = flows(spark, sf_dir).withColumn("sh", sc.safe_ratio("fs", F.col("fl") + F.col("fs"), 0.5))
     f = f.withColumns({f"a{j + 1}": F.lit(float(c)) * F.pow("sh", F.lit(4 - j)) * F.pow(1 - F.col("sh"), F.lit(j)) for j, c in enumerate((1, 4, 6, 4, 1))})
-    f = f.withColumn("state", F.floor(F.col("sh") * 4.999).cast("int") + 1).withColumn("age", F.lit(0.0))
+    f = f.withColumn("state", F.floor(F.col("sh") * 4.999).cast("int") + 1).withColumn("age", F.when(F.hour("t") % 11 > 0, 30 * (F.hour("t") % 5)) if age is None else age)
     return ps.pressure_features(f, ["k"], "t", ["a1", "a2", "a3", "a4", "a5"], "fl", "fs", "state", "age")
 
 
-@query()
+_CHAIN = ["raw_side", "severity", "coordinate", "z_total", "intensity", "force", "accel", "move_severity", "base_reliability", "fresh", "reliability", "log_intensity", "log_accel"]
+_AHEAD = (60, 120, 360)
+_MOVES = " ".join(f"WHEN '{move}' THEN {v}" for move, v in ps.MOVE_SEVERITY.items())
+_LAST = lambda n: f"(PARTITION BY k ORDER BY t ROWS {n - 1} PRECEDING)"
+CHAIN = PR + f""", s AS (SELECT *, (fs - fl) / (fl + fs + 1e-12) AS raw_side, a1 + a2 / 2 - a4 / 2 - a5 AS severity, ln(1 + fl + fs) AS lt, floor(sh * 4.999)::INT + 1 AS st, CASE WHEN extract(hour FROM t) % 11 > 0 THEN 30 * (extract(hour FROM t) % 5) END AS age FROM c),
+  m AS (SELECT *, list(lt) OVER {_LAST(24)} AS a, quantile_cont(lt, 0.5) OVER {_LAST(24)} AS med, lag(st) OVER (PARTITION BY k ORDER BY t) AS before FROM s),
+  z AS (SELECT *, CASE WHEN abs(coordinate) < 0.03 THEN 0 ELSE sign(coordinate) END::INT AS direction, CASE WHEN st IN (1, 5) THEN 1 ELSE 0 END AS strong, CASE WHEN st = before THEN 0 ELSE 1 END AS entered, coalesce(before::VARCHAR, 'NA') || '->' || st AS move,
+    coalesce((lt - med) / (1.4826 * CASE WHEN len(a) >= 8 THEN list_aggregate(list_transform(a, lambda v: abs(v - med)), 'quantile_cont', 0.5) END + 1e-12), 0) AS z_total,
+    least(abs(coordinate), 1) * least(greatest(1 - h / ln(5), 0), 1) AS base_reliability, exp(-greatest(coalesce(age, 0) - 60, 0) / 60.0) AS fresh FROM m),
+  f AS (SELECT *, coordinate * (ln(1 + exp(-abs(z_total))) + greatest(z_total, 0)) AS force, sum(entered) OVER (PARTITION BY k ORDER BY t) AS run FROM z),
+  g AS (SELECT *, abs(force) AS intensity, greatest(0, direction * coalesce(force - lag(force) OVER (PARTITION BY k ORDER BY t), 0)) AS accel, row_number() OVER (PARTITION BY k, run ORDER BY t) AS since FROM f),
+  u AS (SELECT *, coalesce(CASE WHEN count(accel) OVER {_LAST(24)} >= 3 THEN quantile_cont(accel, 0.5) OVER {_LAST(24)} END, 0) AS usual FROM g),
+  chain AS (SELECT *, strong * entered AS strong_entry, (CASE move {_MOVES} ELSE 0 END)::DOUBLE AS move_severity, base_reliability * fresh AS reliability, ln(1 + intensity) AS log_intensity, ln(1 + accel) AS log_accel,
+    CASE WHEN direction = 0 THEN 'neutral' WHEN strong * entered = 1 THEN 'early_strong_entry' WHEN accel > usual THEN 'accelerating' WHEN since >= 24 THEN 'mature' ELSE 'normal' END AS phase FROM u)"""
+
+
+@query(CHAIN + """ SELECT phase, direction, count(*)::BIGINT AS n, round(avg(intensity), 6) + 0.0 AS intensity, round(avg(accel), 6) + 0.0 AS accel FROM chain GROUP BY 1, 2""")
 def pressure_phases(spark, sf_dir):
     return _pressure(spark, sf_dir).groupBy("phase", "direction").agg(F.count("*").alias("n"), F.round(F.avg("intensity"), 6).alias("intensity"), F.round(F.avg("accel"), 6).alias("accel"))
 
 
+@query(CHAIN + f""" SELECT c.t, c.direction, c.move, c.strong, c.entered, c.strong_entry, c.phase, {r(*_CHAIN)}, {", ".join(f"round(1e4 * ln(p{m}.price / c.price), 6) + 0.0 AS ret_{m}m_bps, round(direction * 1e4 * ln(p{m}.price / c.price), 6) + 0.0 AS aligned_ret_{m}m_bps" for m in _AHEAD)}
+  FROM chain c {" ".join(f"LEFT JOIN flows p{m} ON p{m}.t = c.t + INTERVAL {m} MINUTE" for m in _AHEAD)}""")
+def pressure_chain(spark, sf_dir):
+    """Every column of the pressure chain with its labels at three horizons."""
+    d = _pressure(spark, sf_dir)
+    d = ps.pressure_labels(d, d.select("k", "t", "price"), ["k"], "t", "price", _AHEAD)
+    return rounded(d.select("t", "direction", "move", "strong", "entered", "strong_entry", "phase", *_CHAIN, *[f"{p}ret_{m}m_bps" for m in _AHEAD for p in ("", "aligned_")]))
+
+
 @query(f"""WITH RECURSIVE {BARS}, ev AS (SELECT event_type AS k, ts + INTERVAL 30 MINUTE AS av, 100 * (event_id % 101) / 100.0 AS sc, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
   e(k, i, av, y) AS (SELECT k, i, av, sc FROM ev WHERE i = 1 UNION ALL SELECT ev.k, ev.i, ev.av, e.y + 2.0 / 13 * (ev.sc - e.y) FROM e JOIN ev ON ev.k = e.k AND ev.i = e.i + 1), l AS (SELECT k, av, arg_max(y, i) AS y FROM e GROUP BY 1, 2)
   SELECT b.k, b.t, round(CASE WHEN l.y IS NULL THEN 50 ELSE 50 + pow(2, -(epoch_us(b.t) - epoch_us(l.av)) / 3600000000.0 / 24) * (l.y - 50) END, 6) + 0.0 AS memory FROM bars b ASOF LEFT JOIN l ON l.k = b.k AND b.t >= l.av""")

@@ -103,3 +103,34 @@ def state_order(spark, sf_dir):
     """States put in order by their medians, the neutral one in the middle."""
     f = flows(spark, sf_dir).withColumn("state", ((F.hour("t") * 7 + F.dayofmonth("t")) % 5).cast("int"))
     return rounded(rg.neutral_first(rg.pressure_medians(f, "state", "fl", "fs")))
+
+
+_CLEAN = ["long_level", "short_level", "total_level", "diff_level", "share", "dominance_share"]
+
+
+def _clean_sql() -> str:
+    side = lambda n, x: f"""q_{n} AS (SELECT t, i, {x} AS x, quantile_cont({x}, 0.25) OVER w AS q1, quantile_cont({x}, 0.75) OVER w AS q3, max({x}) OVER w AS top FROM raw WINDOW w AS (ORDER BY t RANGE BETWEEN INTERVAL '604799.999999 seconds' PRECEDING AND CURRENT ROW)),
+  v_{n} AS (SELECT t, i, CASE WHEN x > q3 + 1.5 * (q3 - q1) THEN coalesce(q3 + 2.5 * (q3 - q1) * (x - q3) / nullif(top - q3, 0), q3 + 1.5 * (q3 - q1)) ELSE x END AS v FROM q_{n}),
+  n_{n} AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER p AS ia, last_value(v IGNORE NULLS) OVER p AS va, first_value(CASE WHEN v IS NOT NULL THEN i END IGNORE NULLS) OVER n AS ib, first_value(v IGNORE NULLS) OVER n AS vb FROM v_{n}
+    WINDOW p AS (ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+  {n} AS (SELECT t, greatest(coalesce(v, va + (vb - va) * (i - ia) / nullif(ib - ia, 0), va), 0) AS {n} FROM n_{n} WHERE coalesce(v, va) IS NOT NULL)"""
+    return f"""WITH {FLOWS}, raw AS (SELECT t, price, CASE WHEN extract(hour FROM t) % 7 <> 3 THEN fl END AS a, CASE WHEN extract(hour FROM t) % 5 <> 0 THEN fs END AS b, row_number() OVER (ORDER BY t) AS i FROM flows WHERE t >= TIMESTAMP '2024-01-03'),
+  {side("l", "a")}, {side("s", "b")}, j AS (SELECT t, price, l AS long_level, s AS short_level, l + s AS total_level, l - s AS diff_level FROM raw LEFT JOIN l USING (t) LEFT JOIN s USING (t))
+  SELECT t, price, {r(*_CLEAN[:4])}, round(CASE WHEN total_level > 1e-12 THEN long_level / (total_level + 1e-12) ELSE 0.5 END, 6) + 0.0 AS share,
+    round(CASE WHEN total_level > 1e-12 THEN diff_level / (total_level + 1e-12) ELSE 0 END, 6) + 0.0 AS dominance_share, CASE WHEN total_level > 0 THEN 1 ELSE 0 END AS active FROM j"""
+
+
+@query(_clean_sql())
+def clean_frame(spark, sf_dir):
+    """Raw sides with gaps, capped over seven days, filled and put together."""
+    f = flows(spark, sf_dir).select("k", "t", "price", F.when(F.hour("t") % 7 != 3, F.col("fl")).alias("raw_long"), F.when(F.hour("t") % 5 != 0, F.col("fs")).alias("raw_short"))
+    out = st.clean_frame(f, ["k"], "t", days=7, factor=1.5, start="2024-01-03")
+    return rounded(out.select("t", "price", *_CLEAN, "active"))
+
+
+@query("""WITH c AS (SELECT count(*) FILTER (ts IS NULL) AS unknown, count(*) FILTER (ts IS NOT NULL) - count(DISTINCT ts) AS twice, count(*) FILTER (value < 0) AS negative, count(*) FILTER (isinf(value) OR isnan(value)) AS odd, count(*) AS n FROM events)
+  SELECT 'table_exists' AS "check", 0::BIGINT AS n_bad, 1::BIGINT AS n_rows, 'PASS' AS status UNION ALL SELECT 'ts_known', unknown, n, CASE WHEN unknown = 0 THEN 'PASS' ELSE 'FAIL' END FROM c UNION ALL SELECT 'ts_unique', twice, n, CASE WHEN twice = 0 THEN 'PASS' ELSE 'FAIL' END FROM c
+  UNION ALL SELECT 'value_not_negative', negative, n, CASE WHEN negative = 0 THEN 'PASS' ELSE 'FAIL' END FROM c UNION ALL SELECT 'value_finite', odd, n, CASE WHEN odd = 0 THEN 'PASS' ELSE 'FAIL' END FROM c""")
+def cache_report(spark, sf_dir):
+    """Whether a stored table is there, its times are known and unique, its numbers finite and not negative."""
+    return ck.cache_report(spark, f"{sf_dir}/events.parquet", [], "ts", ["value"])
