@@ -279,11 +279,27 @@ def test_decontaminate_against_its_sql(spark):
     assert len(ours) > 40 and ours == sorted(con.execute(f"SELECT {', '.join(names)} FROM ({decontaminate.ORACLE_SQL})").fetchall())
 
 
-def test_decontaminate_in_blocks(spark, sf_dir, monkeypatch):
+@pytest.mark.parametrize("bits", [decontaminate.FILTER_BITS, 1 << 16, 64])
+def test_decontaminate_with_a_shuffled_benchmark(spark, sf_dir, monkeypatch, bits):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "benchmark"))
-    whole = sorted(map(tuple, decontaminate.overlaps(docs, bench).collect()))
-    monkeypatch.setattr(decontaminate, "SEED_LIMIT", 1500)
-    assert whole and sorted(map(tuple, decontaminate.overlaps(docs, bench).collect())) == whole
+    docs = docs.select("doc_id", "text").unionByName(docs.limit(5).select(F.lit(None).cast("long").alias("doc_id"), "text")).unionByName(docs.where("doc_id < 40").select("doc_id", "text"))
+    whole = sorted(map(str, decontaminate.overlaps(docs, bench).collect()))
+    monkeypatch.setattr(decontaminate, "SEED_LIMIT", 0)
+    monkeypatch.setattr(decontaminate, "FILTER_BITS", bits)
+    shuffled = decontaminate.overlaps(docs, bench)
+    assert whole and sorted(map(str, shuffled.collect())) == whole
+plan = decontaminate.overlaps(spark.read.parquet(f"{sf_dir}/documents.parquet"), bench)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("documents.parquet") == 2  # however many seeds the benchmark has
+
+
+def test_one_item_longer_than_the_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SEED_LIMIT", 200)
+    item = [f"w{i}" for i in range(400)]
+    docs = spark.createDataFrame([(1, " ".join(["x", "y", *item[100:130], "z"])), (2, " ".join(item[::-1])), (3, ""), (4, None), (5, " ".join(item))], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, "a few other words that no text of these has"), (9, None)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.matched, r.first_word) for r in decontaminate.overlaps(docs, bench).collect()}
+    assert got == {(1, 7): (30, -98), (5, 7): (400, 0)}
+    assert sorted(r.doc_id for r in decontaminate.remove_contaminated(docs, bench).collect()) == [2, 3, 4]
 
 
 def test_ids_are_those_of_the_model(spark):
