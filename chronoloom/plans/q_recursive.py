@@ -195,7 +195,7 @@ def _pressure(spark, sf_dir, age=None):
     return ps.pressure_features(f, ["k"], "t", ["a1", "a2", "a3", "a4", "a5"], "fl", "fs", "state", "age")
 
 
-_CHAIN = ["raw_side", "severity", "coordinate", "z_total", "intensity", "force", "accel", "move_severity", "base_reliability", "fresh", "reliability", "log_intensity", "log_accel"]
+_CHAIN = ["raw_side", "severity", "coordinate", "log_z", "log_force", "move_severity", "base_reliability", "fresh", "reliability", "log_intensity", "log_accel"]
 _AHEAD = (60, 120, 360)
 _MOVES = " ".join(f"WHEN '{move}' THEN {v}" for move, v in ps.MOVE_SEVERITY.items())
 _LAST = lambda n: f"(PARTITION BY k ORDER BY t ROWS {n - 1} PRECEDING)"
@@ -207,20 +207,21 @@ CHAIN = PR + f""", s AS (SELECT *, (fs - fl) / (fl + fs + 1e-12) AS raw_side, a1
   f AS (SELECT *, coordinate * (ln(1 + exp(-abs(z_total))) + greatest(z_total, 0)) AS force, sum(entered) OVER (PARTITION BY k ORDER BY t) AS run FROM z),
   g AS (SELECT *, abs(force) AS intensity, greatest(0, direction * coalesce(force - lag(force) OVER (PARTITION BY k ORDER BY t), 0)) AS accel, row_number() OVER (PARTITION BY k, run ORDER BY t) AS since FROM f),
   u AS (SELECT *, coalesce(CASE WHEN count(accel) OVER {_LAST(24)} >= 3 THEN quantile_cont(accel, 0.5) OVER {_LAST(24)} END, 0) AS usual FROM g),
-  chain AS (SELECT *, strong * entered AS strong_entry, (CASE move {_MOVES} ELSE 0 END)::DOUBLE AS move_severity, base_reliability * fresh AS reliability, ln(1 + intensity) AS log_intensity, ln(1 + accel) AS log_accel,
+  chain AS (SELECT *, strong * entered AS strong_entry, (CASE move {_MOVES} ELSE 0 END)::DOUBLE AS move_severity, base_reliability * fresh AS reliability, ln(1 + intensity) AS log_intensity, ln(1 + accel) AS log_accel, sign(z_total) * ln(1 + abs(z_total)) AS log_z, sign(force) * ln(1 + abs(force)) AS log_force,
     CASE WHEN direction = 0 THEN 'neutral' WHEN strong * entered = 1 THEN 'early_strong_entry' WHEN accel > usual THEN 'accelerating' WHEN since >= 24 THEN 'mature' ELSE 'normal' END AS phase FROM u)"""
 
 
-@query(CHAIN + """ SELECT phase, direction, count(*)::BIGINT AS n, round(avg(intensity), 6) + 0.0 AS intensity, round(avg(accel), 6) + 0.0 AS accel FROM chain GROUP BY 1, 2""")
+@query(CHAIN + """ SELECT phase, direction, count(*)::BIGINT AS n, round(avg(log_intensity), 6) + 0.0 AS log_intensity, round(avg(log_accel), 6) + 0.0 AS log_accel FROM chain GROUP BY 1, 2""")
 def pressure_phases(spark, sf_dir):
-    return _pressure(spark, sf_dir).groupBy("phase", "direction").agg(F.count("*").alias("n"), F.round(F.avg("intensity"), 6).alias("intensity"), F.round(F.avg("accel"), 6).alias("accel"))
+    return _pressure(spark, sf_dir).groupBy("phase", "direction").agg(F.count("*").alias("n"), F.round(F.avg("log_intensity"), 6).alias("log_intensity"), F.round(F.avg("log_accel"), 6).alias("log_accel"))
 
 
 @query(CHAIN + f""" SELECT c.t, c.direction, c.move, c.strong, c.entered, c.strong_entry, c.phase, {r(*_CHAIN)}, {", ".join(f"round(1e4 * ln(p{m}.price / c.price), 6) + 0.0 AS ret_{m}m_bps, round(direction * 1e4 * ln(p{m}.price / c.price), 6) + 0.0 AS aligned_ret_{m}m_bps" for m in _AHEAD)}
   FROM chain c {" ".join(f"LEFT JOIN flows p{m} ON p{m}.t = c.t + INTERVAL {m} MINUTE" for m in _AHEAD)}""")
 def pressure_chain(spark, sf_dir):
-    """Every column of the pressure chain with its labels at three horizons."""
-    d = _pressure(spark, sf_dir)
+    """The pressure chain with its labels at three horizons; z and force as signed logarithms, as they are huge where the scale is 0."""
+    log = lambda x: F.signum(x) * F.log1p(F.abs(x))
+    d = _pressure(spark, sf_dir).withColumns({"log_z": log("z_total"), "log_force": log("force")})
     d = ps.pressure_labels(d, d.select("k", "t", "price"), ["k"], "t", "price", _AHEAD)
     return rounded(d.select("t", "direction", "move", "strong", "entered", "strong_entry", "phase", *_CHAIN, *[f"{p}ret_{m}m_bps" for m in _AHEAD for p in ("", "aligned_")]))
 
