@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -51,15 +53,19 @@ def min_max_sampled(df: DataFrame, keys: Keys, ts: str, value: str, bucket: int)
 
 
 def interpolated_at(df: DataFrame, points: DataFrame, keys: Keys, ts: str, value: str, out: str) -> DataFrame:
-    """A series' value at other times, on the line between the rows around them; NULL outside of the series."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    known = df.select(*keys, at.alias("_at"), F.struct(at.alias("t"), F.col(value).alias("v")).alias("_k"), F.lit(None).cast(points.schema[ts].dataType).alias(ts))
-    asked = points.select(*keys, at.alias("_at"), F.col(ts)).withColumn("_k", F.lit(None).cast(known.schema["_k"].dataType))
-    both = known.unionByName(asked)
-    w = Window.partitionBy(*keys).orderBy("_at")
-    a = F.last("_k", True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    b = F.first("_k", True).over(w.rangeBetween(0, Window.unboundedFollowing))
-    both = both.withColumn("_a", a).withColumn("_b", b).where(F.col(ts).isNotNull())
-    step = F.col("_b.t") - F.col("_a.t")
-    line = F.when(step == 0, F.col("_a.v")).otherwise(F.col("_a.v") + (F.col("_b.v") - F.col("_a.v")) * (F.col("_at") - F.col("_a.t")) / F.nullif(step, F.lit(0)))
-    return both.select(*keys, ts, line.alias(out))
+    """``points`` with a series' value at their times, on the line between the rows around them; NULL outside of the series.
+
+    Each row of the series carries the one after it, so a point needs only the last row before it: one sort and one running frame, no
+    frame that is read again for each row.
+    """
+    at, known = F.unix_micros(F.col(ts).cast("timestamp")), [F.col(c).isNotNull() for c in (*keys, ts)]
+    line = df.where(reduce(and_, known)).select(*keys, at.alias("_at"), F.struct(at.alias("t"), F.col(value).alias("v")).alias("_row"))
+    line = line.withColumn("_next", F.lead("_row").over(Window.partitionBy(*keys).orderBy("_row")))
+    line = line.select(*keys, "_at", F.struct(F.col("_row.t").alias("t"), F.col("_row.v").alias("v"), F.col("_next.t").alias("next_t"), F.col("_next.v").alias("next_v")).alias("_known"))
+    asked = points.drop(out).withColumns({"_at": at, "_asked": F.lit(True)})
+    both = line.unionByName(asked, allowMissingColumns=True)
+    before = F.last("_known", True).over(Window.partitionBy(*keys).orderBy("_at", F.asc_nulls_last("_known")).rowsBetween(Window.unboundedPreceding, 0))
+    both = both.withColumn("_known", before).where("_asked")
+    t, v, next_t, next_v = (F.col(f"_known.{c}") for c in ("t", "v", "next_t", "next_v"))
+    price = F.when(F.col("_at") == t, v).otherwise(v + (next_v - v) * (F.col("_at") - t) / F.nullif(next_t - t, F.lit(0)))
+    return both.select(*[c for c in points.columns if c != out], price.alias(out))

@@ -189,5 +189,4 @@ def interpolated_at_all_events(spark, sf_dir):
 def _interpolated(spark, sf_dir, events):
     b = bars(spark, sf_dir).select("k", "t", "close")
     e = events.select("event_id", F.col("event_type").alias("k"), F.col("ts").alias("t"))
-    out = selection.interpolated_at(b, e.select("k", "t").distinct(), ["k"], "t", "close", "price")
-    return rounded(e.join(out, ["k", "t"]).select("event_id", "price"))
+    return rounded(selection.interpolated_at(b, e, ["k"], "t", "close", "price").select("event_id", "price"))

@@ -1,5 +1,6 @@
 """Queries over whole tables and whole fits, against plain restatements on small fixtures."""
 
+import datetime as dt
 import math
 
 import numpy as np
@@ -36,6 +37,20 @@ def test_every_event_has_a_price_row(spark, sf_dir, events):
     assert sorted(r.event_id for r in got.select("event_id").collect()) == sorted(events.event_id)
 
 
+def test_price_lookup_keeps_odd_points_and_reads_no_frame_twice(spark):
+    from chronoloom.operators import selection
+
+    at = lambda h, m=0: dt.datetime(2024, 1, 1, h, m)
+    bars = spark.createDataFrame([("a", at(1), 10.0), ("a", at(3), 30.0), ("a", at(5), None), ("b", at(1), 7.0), ("b", at(1), 7.0), ("a", None, 99.0), (None, at(1), 5.0)], "k string, t timestamp_ntz, close double")
+    asked = [("a", at(0), None), ("a", at(1), 10.0), ("a", at(1, 30), 15.0), ("a", at(1, 30), 15.0), ("a", at(3), 30.0), ("a", at(4), None), ("a", at(6), None), ("b", at(1), 7.0), ("b", at(2), None), ("a", None, None), (None, at(1), None), ("c", at(1), None)]
+    points = spark.createDataFrame([(i, k, t) for i, (k, t, _) in enumerate(asked)], "id long, k string, t timestamp_ntz")
+    out = selection.interpolated_at(bars, points, ["k"], "t", "close", "price")
+    assert {r.id: r.price for r in out.collect()} == {i: v for i, (_, _, v) in enumerate(asked)} and out.columns == ["id", "k", "t", "price"]
+    # a frame up to the end of the partition is read anew for each of its rows: 120,000 points of one key would take 7 billion steps
+    plan = out._jdf.queryExecution().executedPlan().toString().lower()
+    assert "unboundedfollowing" not in plan and "join" not in plan
+
+
 def plain_quantile_fit(x, y, q=0.65, ridge=1e-4, smooth=1e-3):
     """Minimum of the smoothed loss over non-negative slopes: accelerated gradient on arrays, until it stands still."""
     sx, sy = x.std(0), y.std()
