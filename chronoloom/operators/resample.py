@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,9 +37,12 @@ def collapse_to_source(df: DataFrame, keys: Sequence[str], source_ts: str, ts: s
 
 
 def chronological_split(df: DataFrame, keys: Sequence[str], order: Sequence[str], train: float = 0.70, validation: float = 0.15) -> DataFrame:
-    """``split`` by row position: the first floor(n train) rows, up to floor(n (train + validation)), the rest."""
+    """``split`` by row position: the first floor(n train) rows, up to floor(n (train + validation)), the rest.
+
+    Shares are taken as the decimals they are written as: in doubles 179460 * 0.7 is just below 125622."""
     w = Window.partitionBy(*keys)
     n = F.count("*").over(w)
     rn = F.row_number().over(w.orderBy(*order))
-    a, b = F.floor(n * train), F.floor(n * (train + validation))
+    upto = Decimal(str(train)), Decimal(str(train)) + Decimal(str(validation))
+    a, b = (F.floor(n.cast("decimal(18,0)") * F.lit(share)) for share in upto)
     return df.withColumn("split", F.when(rn <= a, "train").when(rn <= b, "validation").otherwise("test"))

@@ -193,3 +193,14 @@ def test_hmm_trained_sees_rows_beyond_the_first_two_thousand(spark):
     x = np.concatenate([np.random.default_rng(6).normal(m, 0.3, 1500) for m in (0, 0, 4)])  # the second regime starts at row 3000
     model, _ = regime.relabelled(regime.train(pd.DataFrame({"x": x}), ["x"], 2, spark, restarts=2), 0)
     assert model.means.ravel() == pytest.approx([0, 4], abs=0.1)
+
+
+@pytest.mark.parametrize("n", [60, 90, 170, 179_460])
+def test_split_takes_its_shares_as_written(spark, n):
+    """In doubles, 90 * 0.7 is just below 63 and 179460 * 0.7 just below 125622."""
+    from chronoloom.operators import resample
+
+    df = spark.range(n).select(F.lit("a").alias("k"), F.col("id").alias("t"))
+    got = {r.split: r["count"] for r in resample.chronological_split(df, ["k"], ["t"], 0.70, 0.15).groupBy("split").count().collect()}
+    a, b = n * 70 // 100, n * 85 // 100
+    assert got == {"train": a, "validation": b - a, "test": n - b}
