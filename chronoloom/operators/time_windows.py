@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import pi
 
 from pyspark.sql import Column, DataFrame
@@ -12,9 +13,9 @@ from chronoloom.functions.scalar import clip, divide, log_return_bps, micros, sq
 from chronoloom.operators import ranks
 
 
-def base_returns(df: DataFrame, keys: Keys, ts: str, price: str, out: str = "ret") -> DataFrame:
-    """Log return in basis points from row to row."""
-    return df.withColumn(out, log_return_bps(F.col(price), F.lag(price).over(ordered(keys, ts))))
+def base_returns(df: DataFrame, keys: Keys, ts: str, price: str, out: str = "ret", ln: Callable[[Column], Column] = F.ln) -> DataFrame:
+    """Log return in basis points from row to row; where the sign of sums counts, with ``scalar.c_ln``."""
+    return df.withColumn("_before", F.lag(price).over(ordered(keys, ts))).withColumn(out, log_return_bps(F.col(price), F.col("_before"), ln)).drop("_before")
 
 
 def realised_volatility(x: Column, keys: Keys, ts: str, length: int, per_hour: bool = False) -> Column:

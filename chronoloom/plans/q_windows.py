@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from chronoloom.functions.frames import DAY, HOUR, ordered, rows, span
-
+from chronoloom.functions.scalar import c_ln
 from chronoloom.operators import islands, ranks, time_windows as tw, windows as wn
 from chronoloom.plans.registry import BARS, FLOWS, bars, flows, query, r, rounded
 
@@ -152,15 +152,15 @@ def interpolate_nulls(spark, sf_dir):
 RET = """ret AS (SELECT k, t, high, low, close, CASE WHEN close > 0 AND lag(close) OVER w > 0 THEN 1e4 * ln(close / lag(close) OVER w) END AS ret FROM bars WINDOW w AS (PARTITION BY k ORDER BY t))"""
 
 
-def _ret(spark, sf_dir):
-    return tw.base_returns(bars(spark, sf_dir), ["k"], "t", "close")
+def _ret(spark, sf_dir, ln=F.ln):
+    return tw.base_returns(bars(spark, sf_dir), ["k"], "t", "close", ln=ln)
 
 
 @query(f"""WITH {BARS}, {RET}, b AS (SELECT k, t, CASE WHEN count(ret) OVER {rn(4)} >= 4 THEN sum(ret) OVER {rn(4)} END AS b FROM ret),
   l AS (SELECT k, t, b AS b0, lag(b, 4) OVER w AS b1, lag(b, 8) OVER w AS b2 FROM b WINDOW w AS (PARTITION BY k ORDER BY t))
   SELECT k, t, round(CASE WHEN b0 + b1 + b2 IS NOT NULL THEN ((sign(b0) = sign(b0 + b1 + b2))::INT + (sign(b1) = sign(b0 + b1 + b2))::INT + (sign(b2) = sign(b0 + b1 + b2))::INT) / 3.0 END, 6) + 0.0 AS agree FROM l""")
 def block_alignment(spark, sf_dir):
-    return rounded(wn.block_alignment(_ret(spark, sf_dir), ["k"], "t", "ret", 4, 3, "agree").select("k", "t", "agree"))
+    return rounded(wn.block_alignment(_ret(spark, sf_dir, c_ln), ["k"], "t", "ret", 4, 3, "agree").select("k", "t", "agree"))
 
 
 @query(f"""WITH {BARS} SELECT k, t, round(coalesce(sum(n) OVER (PARTITION BY k ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(n) OVER (PARTITION BY k), 6) + 0.0 AS share FROM bars""")
