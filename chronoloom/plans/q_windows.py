@@ -189,7 +189,7 @@ def rolling_trend(spark, sf_dir):
 @query(f"""WITH {BARS}, {RET}, s AS (SELECT k, t, sum((ret > 0)::INT) OVER w AS up, sum((ret < 0)::INT) OVER w AS down, count(ret) OVER w AS n, sum(ret) OVER w AS total FROM ret WINDOW w AS {tn(DAY)})
   SELECT k, t, round(CASE WHEN total IS NOT NULL THEN CASE WHEN total > 0 THEN up WHEN total < 0 THEN down ELSE 0 END / n END, 6) + 0.0 AS aligned FROM s""")
 def direction_alignment(spark, sf_dir):
-    return rounded(_ret(spark, sf_dir).select("k", "t", tw.direction_alignment("ret", ["k"], "t", DAY).alias("aligned")))
+    return rounded(_ret(spark, sf_dir, c_ln).select("k", "t", tw.direction_alignment("ret", ["k"], "t", DAY).alias("aligned")))
 
 
 @query(f"""WITH {BARS}, {RET}, v AS (SELECT k, t, sqrt(sum(ret * ret) OVER {tn(3 * HOUR)}) AS rv FROM ret) SELECT k, t, round(CASE WHEN count(rv) OVER {tn(DAY)} >= 4 THEN stddev_pop(rv) OVER {tn(DAY)} / nullif(avg(rv) OVER {tn(DAY)}, 0) END, 6) + 0.0 AS vov FROM v""")

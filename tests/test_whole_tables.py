@@ -206,7 +206,7 @@ def test_split_takes_its_shares_as_written(spark, n):
     assert got == {"train": a, "validation": b - a, "test": n - b}
 
 
-@pytest.mark.parametrize("name", ["block_alignment"])
+@pytest.mark.parametrize("name", ["block_alignment", "direction_alignment"])
 def test_signs_of_cancelling_returns(spark, tmp_path, name):
     """Prices of few values come back to where they were, so that sums of returns are 0 but for the last bits of the logarithms."""
     from tests import oracle
