@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoloom.functions import scalar as sc
-from chronoloom.functions.frames import HOUR, Keys, at_least, ordered, rows
+from chronoloom.functions.frames import DAY, HOUR, Keys, at_least, ordered, rows
 from chronoloom.operators import ranks, scans, windows as wn
 from chronoloom.operators.aggregates import hierarchical_cdf
 from chronoloom.operators.asof import asof_join
@@ -195,29 +195,28 @@ def absorption_curve(events: DataFrame, keys: Sequence[str], keep: Sequence[str]
     return curve.withColumns({"curve_label": label, "conflict": F.greatest(a, b, d) - F.least(a, b, d)})
 
 
-def averages(df: DataFrame, keys: Keys, order: Sequence[str], specs: Mapping[str, tuple[str, float, bool]]) -> DataFrame:
-    """Several exponential averages in one pass: output -> (value, span, whether a NULL keeps its weight from decaying)."""
-    return scans.scan(df, keys, order, [scans.Average([value], [n], 2 / (span + 1), ignore) for n, (value, span, ignore) in specs.items()])
-
-
-def response_memory(base: DataFrame, ts: str, events: DataFrame, curve: DataFrame, keys: Keys, main: str, tie: str, spans: Sequence[int] = (3, 6, 12), persistence: int = 6, takeover: int = 12, half_life: float = 24.0, mode: int = 6) -> DataFrame:
+def response_memory(base: DataFrame, ts: str, events: DataFrame, curve: DataFrame, keys: Keys, main: str, tie: str, spans: Sequence[int] = (3, 6, 12), persistence: int = 6, takeover: int = 12, half_life: float = 24.0, mode: int = 6, chunk: int = DAY) -> DataFrame:
     """What matured events say at each time of ``base``: last values, averages with and without staleness, persistence of labels, curve.
 
-    Events that mature at one time are taken in the order of ``tie``; the last of them stands.
+    Events that mature at one time are taken in the order of ``tie``; the last of them stands. Only the last events before each time of
+    ``base`` are put in order by key, the others are summed up in chunks of time (``scans.tails``).
     """
     c = F.col
     order = ["available_time", tie]
     w = ordered(keys, "available_time").orderBy(*order)
     seq = events.where(c("horizon") == main).withColumn("_core", c("context") == CORE)
-    seq = seq.withColumn("last_core_time", F.last(F.when(c("_core"), c("available_time")), True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    age = (sc.micros("available_time") - sc.micros("last_core_time")) / HOUR
     seq = seq.withColumns({
-        "core_age_hours": age, "core_freshness": sc.clip(sc.half_life(age, half_life), 0.0, 1.0), "_quality": F.when(c("_core"), F.coalesce("quality_weight", F.lit(0.0))).otherwise(0.0),
+        "_core_at": F.when(c("_core"), sc.micros("available_time")), "_quality": F.when(c("_core"), F.coalesce("quality_weight", F.lit(0.0))).otherwise(0.0),
         "_neutral": F.when(c("_core"), 0.0).otherwise(F.coalesce("neutral_active_strength", F.lit(0.0))),
     })
     kept = {"abs_score": "absorption_score", "force_aligned": "active_force_aligned", "force_price": "active_force_price", "neutral_strength": "neutral_active_strength"}
     specs = {f"{n}_ewm_{k}": (v, k, True) for k in spans for n, v in kept.items()} | {f"quality_ewm_{k}": ("_quality", k, False) for k in spans} | {f"neutral_evidence_ewm_{k}": ("_neutral", k, False) for k in spans}
-    seq = averages(seq, keys, order, specs)
+    parts = [scans.Average([value], [n], 2 / (span + 1), ignore) for n, (value, span, ignore) in specs.items()] + [scans.Average(["_core_at"], ["_last_core"], 1.0)]  # of span 1: the last value
+    seq = seq.select(*keys, *order, "_core", "market_label", *dict.fromkeys(p.inputs[0] for p in parts))
+    seq = scans.tails(seq, keys, order, parts, max(persistence, takeover), base, ts, chunk)
+    seq = seq.withColumn("last_core_time", F.timestamp_micros(c("_last_core").cast("long")).cast(seq.schema["available_time"].dataType))
+    age = (sc.micros("available_time") - sc.micros("last_core_time")) / HOUR
+    seq = seq.withColumns({"core_age_hours": age, "core_freshness": sc.clip(sc.half_life(age, half_life), 0.0, 1.0)})
     f, out = c("core_freshness"), [*specs]
     for k in spans:
         seq = seq.withColumns({f"abs_score_fresh_{k}": 50 + f * (c(f"abs_score_ewm_{k}") - 50)} | {f"{n}_fresh_{k}": f * F.coalesce(f"{n}_ewm_{k}", F.lit(0.0)) for n in ("force_aligned", "force_price")})
@@ -233,8 +232,11 @@ def response_memory(base: DataFrame, ts: str, events: DataFrame, curve: DataFram
     out += [*shares, *(f"{n}_last" for n in kept), "market_label_last", "core_freshness", "core_age_hours", "last_core_time", "latest_available_time"]
     seq = seq.withColumn("latest_available_time", c("available_time"))
     mem = asof_join(base, seq, ts, keys, out, right_on="available_time", tie=tie)
-    curve = wn.rolling_mode(curve, keys, "available_time", "curve_label", mode, "curve_label_mode").withColumns({"curve_label_last": c("curve_label"), "curve_conflict": c("conflict")})
-    return asof_join(mem, curve, ts, keys, ["curve_label_last", "curve_label_mode", "curve_conflict"], right_on="available_time")
+    order = [x for x in order if x in curve.columns]
+    curve = scans.tails(curve.select(*keys, *order, "curve_label", "conflict"), keys, order, [], mode, base, ts, chunk)
+    curve = curve.withColumn("_order", F.struct(*order))  # curves of one time in the order of ``tie``
+    curve = wn.rolling_mode(curve, keys, "_order", "curve_label", mode, "curve_label_mode").withColumns({"curve_label_last": c("curve_label"), "curve_conflict": c("conflict")})
+    return asof_join(mem, curve, ts, keys, ["curve_label_last", "curve_label_mode", "curve_conflict"], right_on="available_time", tie=order[1] if len(order) > 1 else None)
 
 
 @dataclass(frozen=True)

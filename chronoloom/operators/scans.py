@@ -19,7 +19,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructType
 
@@ -100,8 +100,11 @@ class Average:
         at = np.flatnonzero(~np.isnan(x[:, 0]))
         if not len(at):
             return [len(x), np.nan, 1.0, 0.0, 0.0]
-        gap = np.ones(len(at) - 1) if self.ignore_na else np.diff(at)
-        w = (1 - self.alpha) ** gap
+        n, keep = len(at) - 1, 1 - self.alpha
+        if self.ignore_na or n == at[-1] - at[0]:  # equal steps: the map in one product
+            b = self.alpha * (keep ** np.arange(n - 1, -1, -1.0) @ x[at[1:], 0])
+            return [float(at[0]), float(x[at[0], 0]), keep**n, float(b), float(len(x) - 1 - at[-1])]
+        w = keep ** np.diff(at)
         a, b = composed((w / (w + self.alpha), self.alpha / (w + self.alpha) * x[at[1:], 0]), (1.0, 0.0), _affine)
         return [float(at[0]), float(x[at[0], 0]), float(a), float(b), float(len(x) - 1 - at[-1])]
 
@@ -561,6 +564,59 @@ def scan(df: DataFrame, keys: Keys, order: Sequence[str], parts: Sequence[Recurr
     return found.withColumns({c: finite(F.col(c)) for p in parts for c in p.outputs})
 
 
+def tails(df: DataFrame, keys: Keys, order: Sequence[str], parts: Sequence[Average], n: int, marks: DataFrame, mark: str, chunk: int) -> DataFrame:
+    """The rows that a look back from the times ``mark`` of ``marks`` can see, at most ``n`` deep, and a few more; on the last row at or before each such
+    time the averages of all rows so far, as ``scan`` gives them (elsewhere NULL or the same).
+
+    Rows between two times of a key are a slot: each is summed up where it lies, in a chunk of ``chunk`` microseconds, and only sums and
+    last rows meet by key. So a key of many rows is the work of many tasks, and no row is stepped through.
+    """
+    keys, names, at = list(keys), df.columns, micros(order[0])
+    times = marks.select(*keys, micros(mark).alias("_at"), micros(mark).alias("_mark"))
+    both = df.withColumns({"_at": at, "_own": F.lit(True)}).unionByName(times, allowMissingColumns=True).withColumn("_chunk", F.floor(F.col("_at") / chunk))
+    ahead = Window.partitionBy(*keys, "_chunk").orderBy(F.desc("_at"), F.asc_nulls_last("_mark")).rowsBetween(Window.unboundedPreceding, 0)
+    slotted = both.repartition(*keys, "_chunk").withColumn("_slot", F.last("_mark", True).over(ahead)).where("_own")
+    inputs = _inputs(parts)
+    by = [*keys, "_chunk", "_slot"]
+    cut = slotted.select(*names, "_chunk", "_slot", *[F.col(c).cast("double").alias(f"_in_{c}") for c in inputs])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:  # a slot may come in several batches: each is a slot of its own
+            if not len(pdf):
+                continue
+            slot = pdf[by]
+            new = (~((slot == slot.shift()) | (slot.isna() & slot.shift().isna()))).any(axis=1).to_numpy()
+            new[0] = True
+            cuts = np.append(np.flatnonzero(new), len(pdf))
+            x = {c: pdf[f"_in_{c}"].to_numpy(float)[:, None] for c in inputs}
+            kept = np.concatenate([np.arange(max(lo, hi - n), hi) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)])
+            summary = np.full(len(pdf), None, object)
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True) if parts else ():
+                summary[hi - 1] = [p.summary(x[p.inputs[0]][lo:hi]) for p in parts]
+            yield pdf.iloc[kept][names].assign(_summary=summary[kept])
+
+    def enter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        state: list[list[float]] = []
+        for new, rows in _runs(batches, keys):
+            if new:
+                state = [p.start() for p in parts]
+            made = np.full((len(rows), len(parts)), np.nan)
+            for i, summary in enumerate(rows["_summary"]):
+                if summary is not None:
+                    state = [p.enter(s, list(map(float, v))) for p, s, v in zip(parts, state, summary, strict=True)]
+                    made[i] = [s[0] for s in state]
+            yield rows[names].assign(**{p.outputs[0]: made[:, k] for k, p in enumerate(parts)})
+
+    # partitioned by keys and chunk since the window; slots without a time after them in their chunk come last
+    ends = cut.sortWithinPartitions(*keys, "_chunk", F.asc_nulls_last("_slot"), *order).mapInPandas(sums, StructType([df.schema[c] for c in names]).add("_summary", _VECTORS))
+    if not parts:
+        return ends.drop("_summary")
+    schema = StructType([df.schema[c] for c in names])
+    for p in parts:
+        schema = schema.add(p.outputs[0], "double")
+    return _sorted(ends, keys, order).mapInPandas(enter, schema).withColumns({p.outputs[0]: finite(F.col(p.outputs[0])) for p in parts})
+
+
 def last_states(df: DataFrame, keys: Keys, order: Sequence[str], parts: Sequence[Recurrence], *, chunk: int | None = None, states: DataFrame | None = None) -> DataFrame:
     """keys, the first order column's last value and ``_state`` after each key's last row: where ``scan`` goes on. Keys of ``states`` without new rows keep theirs.
 

@@ -122,3 +122,28 @@ def test_wavelet_weights_are_the_transform():
         for n in (1, 5, 17, 18, 40, 333, 2400):
             x = rng.normal(size=n)
             assert rc.wavelet_weights(n, level) @ x == pytest.approx(rc.wavelet_end(x, level), rel=1e-9, abs=1e-12)
+
+
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_tails_hold_what_a_look_back_sees(spark, batch):
+    """At each mark the last rows and averages are those of a scan over all rows; the other rows are left out but for a few of each chunk."""
+    rng = np.random.default_rng(9)
+    rows = [(str(k) if k else None, int(t), i, None if rng.random() < 0.3 else float(v)) for i, (k, t, v) in enumerate(zip(rng.integers(0, 3, 3000), rng.integers(0, 5_000_000, 3000) // 1000 * 1000, rng.normal(size=3000), strict=True))]
+    rows.append(("1", None, 3000, 50.0))
+    df = spark.createDataFrame(rows, "k string, at long, i long, x double").select("k", F.timestamp_micros("at").cast("timestamp_ntz").alias("t"), "i", "x")
+    marks = spark.createDataFrame([(k, t) for k in (None, "1", "2") for t in (0, 70_000, 70_001, 1_500_000, 1_999_999, 2_000_000, 4_100_000)], "k string, at long").select("k", F.timestamp_micros("at").cast("timestamp_ntz").alias("m"))
+    parts = [scans.Average(["x"], ["a"], 0.3), scans.Average(["x"], ["b"], 0.2, False), scans.Average(["x"], ["last"], 1.0)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        every = scans.scan(df, ["k"], ["t", "i"], parts).toPandas().sort_values(["t", "i"], na_position="first")
+        tails = scans.tails(df, ["k"], ["t", "i"], parts, 4, marks, "m", 1_000_000).toPandas().sort_values(["t", "i"], na_position="first")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    seen = 0
+    for k, m in marks.toPandas().itertuples(index=False):
+        a, b = (d[(d.k.isna() if k is None else d.k == k) & (d.t.isna() | (d.t <= m))] for d in (every, tails))
+        assert a.i.tolist()[-4:] == b.i.tolist()[-4:]
+        if len(a):
+            assert b.iloc[-1][["a", "b", "last"]].tolist() == pytest.approx(a.iloc[-1][["a", "b", "last"]].tolist(), abs=1e-9, nan_ok=True)
+            seen += 1
+    assert seen >= 18 and (batch == "7" or len(tails) <= 4 * 3 * (7 + 6))
