@@ -107,3 +107,28 @@ def test_tags_bodies_and_heads_of_records(spark, as_text):
     assert [blocks[i, "conversion"] for i in range(len(cases))] == [c[-1] for c in cases]
     assert ["sourceEncoding: gzip (not read)" in blocks[i, "metadata"] for i in range(len(cases))] == [b"gzip" in r[1] if not as_text else "gzip" in r[1] for r in rows]
     assert all(re.search("sourceStatus: 200\r\n", blocks[i, "metadata"]) for i in range(len(cases)))
+
+
+def test_items_of_equal_words_are_compared_once(spark, monkeypatch):
+    """A benchmark of 40 copies has as many hashes as one of them, and gives each found id."""
+    item = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(1, " ".join(["x", *item, "y"])), (2, "none of these words stands in any item at all"), (3, "yes no")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(item)) for k in range(40)] + [(k, "Yes, no!") for k in range(40, 45)] + [(7, " ".join(item[:15]))], "item_id long, text string")
+    shuffled = []
+    monkeypatch.setattr(decontaminate, "SEED_LIMIT", 45 * len(decontaminate.LONG_MASKS))
+    monkeypatch.setattr(decontaminate, "_shuffled_hits", lambda *a, f=decontaminate._shuffled_hits: shuffled.append(a) or f(*a))
+    found = lambda: sorted((r.doc_id, r.item_id, r.matched, r.n_hits) for r in decontaminate.overlaps(docs, bench).collect())
+    by_broadcast = found()
+    assert not shuffled and [x[:3] for x in by_broadcast] == [(1, k, 30) for k in range(40)] + [(3, k, 2) for k in range(40, 45)]
+    monkeypatch.setattr(decontaminate, "SEED_LIMIT", 0)
+    assert found() == by_broadcast and shuffled
+
+
+def test_seeds_of_a_large_benchmark_are_not_broadcast(spark, monkeypatch, tmp_path):
+    """Whatever the benchmark's file weighs: beside the bitmap, only tables that a count has shown to be small."""
+    monkeypatch.setattr(decontaminate, "SEED_LIMIT", 0)
+    for name in ("documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").write.parquet(f"{tmp_path}/{name}")
+    plan = decontaminate.overlaps(spark.read.parquet(f"{tmp_path}/documents"), spark.read.parquet(f"{tmp_path}/benchmark"))._jdf.queryExecution().executedPlan().toString()
+    joins = [re.search(r"[\[(]?(seed|item_key)#", x)[1] for x in plan.split("\n") if re.search(r"SortMergeJoin \[(seed|item_key)#", x)]
+    assert {*joins} == {"seed", "item_key"} and not re.search(r"BroadcastHashJoin \[(seed|item_key)#", plan)
