@@ -13,8 +13,8 @@ size and, as a possible smaller partner, in the next one.
   smaller partners with too few clean partitions themselves are treated as open sets, see below.
 
 Signatures travel in packed blocks: each task deals its signatures to buckets by hash, without the sets, one emission per
-distinct set and task. The number of buckets follows from the number of signatures, so that a bucket has about ``PER_BUCKET``
-at every size of the table. A bucket is sorted, and sets that share a signature meet there. Groups of up to ``LIGHT`` sets give their
+distinct set and task. The number of buckets follows from the number of signatures, copies in other tasks included, so that a bucket has
+about ``PER_BUCKET`` at every size of the table. A bucket is sorted, and sets that share a signature meet there. Groups of up to ``LIGHT`` sets give their
 pairs (a bounded number for each member). Larger groups are heavy: copies edited many times, or passages that many documents
 share. A set that keeps more clean partitions than ``d / 2`` apart from its heavy signatures finds every partner elsewhere.
 The others, the open sets, are joined among themselves by prefixes: shingles in order of their frequency among open sets,
@@ -253,7 +253,7 @@ def _edge(band: Column) -> Column:
 
 
 def n_buckets(of_set: DataFrame) -> int:
-    """Buckets for the signatures of all sets, in both of their bands."""
+    """Buckets for the signatures of the given sets, in both of their bands."""
     count = lambda edge: F.when(edge <= SMALL, F.col("n_shingles")).otherwise(3 * (edge * PARTITIONS_PER_SIZE + 5))
     own, following = _edge(F.col("own_band")), _edge(F.col("own_band") + 1)
     total = of_set.agg(F.sum(count(own) + F.when(WHOLE * F.col("n_shingles") >= NEAR * (own + 1), count(following)).otherwise(0.0))).first()[0]
@@ -346,7 +346,8 @@ def classes(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     with_checkpoint_dir(docs.sparkSession)
     profile = profiles(docs).checkpoint()
     of_set = profile.where("n_shingles > 0").select("digest", "n_shingles", F.col("band").alias("own_band"), "clean0", "clean1").dropDuplicates(["digest"]).checkpoint()
-    buckets = n_buckets(of_set)
+    of_task = profile.where("n_shingles > 0").select(F.spark_partition_id().alias("task"), "digest", "n_shingles", F.col("band").alias("own_band")).distinct()  # as they are emitted
+    buckets = n_buckets(of_task)
     met = meetings(signature_blocks(docs, buckets), buckets).checkpoint()
     light = met.where(F.col("kind") == LIGHT_PAIR).select(F.col("x").alias("a"), F.col("y").alias("b"), "band", "n")
     heavy = met.where(F.col("kind") == HEAVY_MEMBER).select(F.col("x").alias("group"), F.col("y").alias("digest"), "band")

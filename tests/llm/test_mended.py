@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoloom.llm import decontaminate, html_text, language_id, piece_codec, warc
+from chronoloom.llm import decontaminate, html_text, language_id, ngram_join, piece_codec, warc
 from chronoloom.llm.pieces import Vocabulary
 
 
@@ -132,3 +132,16 @@ def test_seeds_of_a_large_benchmark_are_not_broadcast(spark, monkeypatch, tmp_pa
     plan = decontaminate.overlaps(spark.read.parquet(f"{tmp_path}/documents"), spark.read.parquet(f"{tmp_path}/benchmark"))._jdf.queryExecution().executedPlan().toString()
     joins = [re.search(r"[\[(]?(seed|item_key)#", x)[1] for x in plan.split("\n") if re.search(r"SortMergeJoin \[(seed|item_key)#", x)]
     assert {*joins} == {"seed", "item_key"} and not re.search(r"BroadcastHashJoin \[(seed|item_key)#", plan)
+
+
+def test_copies_in_other_tasks_get_buckets_of_their_own(spark, monkeypatch):
+    """Each task emits a set once: a bucket holds no more where every text has eight copies in as many tasks."""
+    texts = [" ".join(f"t{k}w{i}" for i in range(40)) for k in range(30)]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(list(enumerate(texts * 8)), 8), "doc_id long, text string")
+    per_bucket = []
+    monkeypatch.setattr(ngram_join, "BUCKETS", 1)
+    monkeypatch.setattr(ngram_join, "PER_BUCKET", 300)
+    monkeypatch.setattr(ngram_join, "signature_blocks", lambda d, n, f=ngram_join.signature_blocks: per_bucket.append(sum(len(r.low) // 4 for r in f(d, n).collect()) / n) or f(d, n))
+    found = ngram_join.score_documents(docs).collect()
+    assert len(found) == 240 and all(r.component_id == r.doc_id % 30 for r in found)
+    assert len(per_bucket) == 1 and 0 < per_bucket[0] <= 300
